@@ -54,7 +54,9 @@ def latest(tickets: DataFrame, n: int = LIST_K) -> DataFrame:
     return recent_candidates(tickets, n)
 
 
-def search_substring(tickets: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+def search_substring(
+    tickets: DataFrame, query: str, limit: int | None = CANDIDATE_LIMIT
+) -> DataFrame:
     """Tickets whose summary contains the query, letter case aside; an empty query finds none.
 
     ``limit`` searches only that many newest tickets, ``None`` the whole table.
@@ -77,8 +79,8 @@ def high_priority(tickets: DataFrame, n: int = LIST_K, limit: int | None = CANDI
     return found.orderBy(*recency()).limit(n)
 
 
-def ticket(tickets: DataFrame, number: str, limit: int | None = None) -> DataFrame:
-    """The newest ticket with this number."""
+def ticket(tickets: DataFrame, number: str, limit: int | None = CANDIDATE_LIMIT) -> DataFrame:
+    """The newest ticket with this number, among the newest ``limit`` (``None``: in the whole table)."""
     found = recent_candidates(tickets, limit).where(F.col("ticket_number").cast("string") == number)
     return found.orderBy(*recency()).limit(1)
 
