@@ -46,6 +46,8 @@ def text_features(
     """TF-IDF vectors of unit length, ``id, features``, and the terms their positions stand for.
 
     The vocabulary, at most ``max_features`` terms, is found first; the vectors then take no shuffle.
+    They are checkpointed: clustering goes over them many times, and neither that nor the loss of an
+    executor repeats the text work.
     """
     counts = term_counts(docs, text, stop_words)
     terms = vocabulary(counts, docs, max_features, min_df, max_df).orderBy("term").collect()
@@ -60,7 +62,8 @@ def text_features(
     with_features = unit.transform(
         scale.transform(counter.transform(with_terms(docs.select("id", text), text, stop_words)))
     )
-    return with_features.select("id", "features"), names
+    shared_dir(docs.sparkSession)
+    return with_features.select("id", "features").checkpoint(), names
 
 
 def kmeans(
@@ -73,15 +76,14 @@ def kmeans(
 ) -> KMeansModel:
     """The best of several K-means runs by their summed squared distances.
 
-    The vectors are checkpointed, so that no pass repeats the text work and a lost executor costs one
-    read, and kept in memory while the runs, a few at a time, go over them.
+    The vectors are kept in memory while the runs, a few at a time, go over them.
     """
-    shared_dir(features.sparkSession)
-    points = features.select("features").checkpoint().persist(StorageLevel.MEMORY_AND_DISK)
+    points = features.select("features").persist(StorageLevel.MEMORY_AND_DISK)
 
     @inheritable_thread_target(features.sparkSession)
     def run(i: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(points)
+        runner = KMeans(k=k, seed=seed + i, maxIter=max_iter, predictionCol="cluster")
+        return runner.fit(points)
 
     try:
         with ThreadPool(at_once) as pool:

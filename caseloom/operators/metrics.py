@@ -103,6 +103,7 @@ def exact_median(df: DataFrame, value: str, keys: Sequence[str], out: str = "med
     middle = F.explode(F.array_distinct(F.array(
         F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
     )))
+    buckets = buckets.withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
     positions = _with_offset(buckets, keys, "_bucket").select(
         *keys, "_bucket", "_n", "_before", middle.alias("_middle")
     )
@@ -129,13 +130,9 @@ def exact_median(df: DataFrame, value: str, keys: Sequence[str], out: str = "med
 
 
 def _with_offset(counts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Add how many rows of the group come before, and how many it has in all."""
-    group = Window.partitionBy(*keys)
-    before = group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumns({
-        "_before": F.coalesce(F.sum("_n").over(before), F.lit(0)),
-        "_total": F.sum("_n").over(group),
-    })
+    """Add how many rows of the group come before."""
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
 
 
 def _holds(position: str) -> Column:
