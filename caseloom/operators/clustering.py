@@ -10,10 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, cloudpickle, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,23 +97,39 @@ def cluster_labels(features: DataFrame, model: KMeansModel) -> DataFrame:
     return model.transform(features).select("id", "cluster")
 
 
+def principal_axes(features: DataFrame, n: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` principal components, as columns, and the mean vector.
+
+    One pass gives the correlation of the features, another their means and deviations; results have the
+    square of the number of features at most, whatever the number of rows. Of the two signs of a
+    component the one with the largest loading positive is used.
+    """
+    moments = features.agg(
+        Summarizer.metrics("mean", "std").summary(F.col("features")).alias("s")
+    ).head()["s"]
+    mean, deviation = moments["mean"].toArray(), moments["std"].toArray()
+    correlation = Correlation.corr(features, "features").head()[0].toArray()
+    covariance = np.nan_to_num(correlation) * np.outer(deviation, deviation)
+    axes = np.linalg.eigh(covariance)[1][:, ::-1][:, :n]
+    largest = axes[np.abs(axes).argmax(axis=0), np.arange(n)]
+    return axes * np.where(largest < 0, -1.0, 1.0), mean
+
+
 def project_2d(features: DataFrame) -> DataFrame:
     """Centred coordinates on the first two principal components: ``id, x, y``.
 
-    The components come from the covariance, one pass whose result has the square of the number of
-    features. The sparse vectors are projected as they are and the mean is taken off afterwards, so they
-    never become dense. Of the two signs of a component the one with the largest loading positive is
-    used.
+    The sparse vectors are projected as they are and the mean is taken off afterwards, so they never
+    become dense.
     """
-    model = PCA(k=2, inputCol="features", outputCol="at").fit(features)
-    loadings = model.pc.toArray()
-    sign = [1.0 if loadings[np.abs(loadings[:, i]).argmax(), i] > 0 else -1.0 for i in (0, 1)]
-    at = vector_to_array(F.col("at"))
-    placed = model.transform(features).select(
-        "id", (at[0] * sign[0]).alias("x"), (at[1] * sign[1]).alias("y")
-    )
-    means = {name: placed.agg(F.avg(name)).scalar() for name in ("x", "y")}
-    return placed.select("id", *[(F.col(n) - mean).alias(n) for n, mean in means.items()])
+    axes, mean = principal_axes(features)
+    vector = F.unwrap_udt("features")
+
+    def along(axis: np.ndarray):
+        loadings = F.lit(np.ascontiguousarray(axis))
+        products = F.zip_with(vector["indices"], vector["values"], lambda i, x: x * F.get(loadings, i))
+        return F.aggregate(products, F.lit(0.0), lambda total, x: total + x) - float(axis @ mean)
+
+    return features.select("id", along(axes[:, 0]).alias("x"), along(axes[:, 1]).alias("y"))
 
 
 def mean_vectors(points: DataFrame, label: str, vector: str) -> DataFrame:

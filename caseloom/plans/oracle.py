@@ -185,8 +185,9 @@ m AS (
   FROM t GROUP BY category
 ),
 p AS (
-  SELECT category, strftime(submitted, '%Y-%m') AS peak_month FROM t GROUP BY ALL
-  QUALIFY row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, peak_month) = 1
+  SELECT category, peak_month FROM (
+    SELECT category, strftime(submitted, '%Y-%m') AS peak_month, count(*) AS n FROM t GROUP BY 1, 2
+  ) QUALIFY row_number() OVER (PARTITION BY category ORDER BY n DESC, peak_month) = 1
 )"""
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.sources.readers import split_rejected
+from caseloom.sources.readers import REJECTED, good_rows
 
 
 def with_new_id(tickets: DataFrame) -> DataFrame:
@@ -19,16 +19,19 @@ def with_content_id(tickets: DataFrame) -> DataFrame:
     return tickets.withColumn("id", F.sha2(F.to_json(F.struct(*content)), 256))
 
 
+def one_per_key(rows: DataFrame, key: str, first: list[Column]) -> DataFrame:
+    """The first row of each key by ``first``. Rows are merged before they are shuffled."""
+    row = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy(key).agg(F.min_by(row, F.struct(*first)).alias("_row")).select("_row.*")
+
+
 def absent_from(new: DataFrame, existing: DataFrame, key: str, first: list[Column]) -> DataFrame:
     """Rows of ``new`` whose key is not in ``existing``, one row per key: the first by ``first``.
 
-    Rows are merged per key before they are shuffled, so many copies of one key cost nothing, and
-    both sides of the anti join have unique keys.
+    Both sides of the anti join have unique keys, so many copies of one key cost nothing.
     """
-    row = F.struct(*[F.col(c) for c in new.columns])
-    one_each = new.groupBy(key).agg(F.min_by(row, F.struct(*first)).alias("_row")).select("_row.*")
     known = existing.select(key).distinct()
-    return one_each.join(known, key, "left_anti").select(*new.columns)
+    return one_per_key(new, key, first).join(known, key, "left_anti").select(*new.columns)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -36,33 +39,36 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def append_once(tickets: DataFrame, path: str) -> dict[str, int]:
+def append_once(tickets: DataFrame, path: str) -> int:
     """Append the tickets a stored table does not hold yet; returns the number of rows written."""
     spark = tickets.sparkSession
     rows = with_content_id(tickets)
     if path_exists(spark, path):
-        rows = absent_from(rows, spark.read.parquet(path), "id", [F.col("ts")])
-    else:
-        rows = absent_from(rows, rows.limit(0), "id", [F.col("ts")])
-    return _append(rows, path)
+        return _append(absent_from(rows, spark.read.parquet(path), "id", [F.col("ts")]), path)
+    return _append(one_per_key(rows, "id", [F.col("ts")]), path)
 
 
-def append_all(tickets: DataFrame, path: str) -> dict[str, int]:
-    """Append all tickets under fresh ids."""
+def append_all(tickets: DataFrame, path: str) -> int:
+    """Append all tickets under fresh ids; returns the number of rows written."""
     return _append(with_new_id(tickets), path)
 
 
-def _append(rows: DataFrame, path: str) -> dict[str, int]:
+def _append(rows: DataFrame, path: str) -> int:
     seen = Observation("append")
     rows.observe(seen, F.count(F.lit(1)).alias("written")).write.mode("append").parquet(path)
-    return {"written": int(seen.get["written"])}
+    return int(seen.get["written"])
 
 
 def load_sheet(rows: DataFrame, path: str, once: bool = True) -> dict[str, object]:
-    """Store a sheet as ``read_sheet`` gives it; returns its columns, rows written and rejected."""
-    good, rejected = split_rejected(rows)
+    """Store a sheet as ``read_sheet`` gives it; returns its columns and how many rows it had, how many
+    of them were rejected as not fitting, and how many were written. The sheet is read once."""
+    seen = Observation("sheet")
+    counted = rows.observe(
+        seen, F.count(F.lit(1)).alias("read"), F.count_if(F.col(REJECTED).isNotNull()).alias("rejected")
+    )
+    good = good_rows(counted)
     written = (append_once if once else append_all)(good, path)
-    return {**written, "rejected": rejected.count(), "columns": good.columns}
+    return {"columns": good.columns, **seen.get, "written": written}
 
 
 def write_bucketed(tickets: DataFrame, table: str, buckets: int) -> None:
