@@ -17,9 +17,12 @@ def term_counts(docs: DataFrame, text: str, stop_words: Sequence[str]) -> DataFr
     Texts are dealt by id before they are split into terms. All that follows per document, counting
     and scaling, then happens in place: the many terms are never shuffled, only the texts are.
     """
-    dealt = docs.select("id", text).repartition("id")
-    terms = with_terms(dealt, text, stop_words).select("id", F.explode("terms").alias("term"))
-    return terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # A set number of partitions: sized by the texts alone they would be too few for the terms.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select("id", text).repartition(parts, "id")
+    # The outer form, as the plain one would also make the terms for a filter on their number.
+    terms = with_terms(dealt, text, stop_words).select("id", F.explode_outer("terms").alias("term"))
+    return terms.where(F.col("term").isNotNull()).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(
