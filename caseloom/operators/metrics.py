@@ -17,6 +17,8 @@ from caseloom.functions.text import fixed
 
 # Values of one bucket of the median's first pass span 2**30 microseconds, about 18 minutes.
 MEDIAN_BUCKET_BITS = 30
+# Key of the one group that is the whole table.
+WHOLE = "_whole"
 
 
 def value_counts(df: DataFrame, fields: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -90,43 +92,24 @@ def exact_median(df: DataFrame, value: str, keys: Sequence[str], out: str = "med
     values that holds each of the two middle positions, a second ranks the values inside it alone. No
     task ever holds the values of a group, however large the group is.
     """
-    one = "_one" if not keys else None
-    table = df.withColumn(one, F.lit(0)) if one else df
-    keys = [one] if one else list(keys)
+    if not keys:
+        return exact_median(df.withColumn(WHOLE, F.lit(0)), value, [WHOLE], out).drop(WHOLE)
     counts = (
-        table.where(F.col(value).isNotNull())
+        df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_value"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_bucket", F.shiftright("_value", MEDIAN_BUCKET_BITS))
     )
     buckets = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_n"))
-    middle = F.explode(F.array_distinct(F.array(
-        F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
-    )))
     buckets = buckets.withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
-    positions = _with_offset(buckets, keys, "_bucket").select(
-        *keys, "_bucket", "_n", "_before", middle.alias("_middle")
-    )
-    here = positions.where(_holds("_middle")).select(
-        *keys, "_bucket", (F.col("_middle") - F.col("_before")).alias("_middle")
-    )
-    same_group = [F.col(f"c.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    inside = (
-        counts.alias("c")
-        .join(here.select(*keys, "_bucket").distinct().alias("h"), [
-            *same_group, F.col("c._bucket") == F.col("h._bucket"),
-        ], "left_semi")
-    )
+    last = F.col("_total") - 1
+    middles = F.explode(F.array_distinct(F.array(F.floor(last / 2), F.ceil(last / 2))))
+    positions = _with_offset(buckets, keys, "_bucket").withColumn("_middle", middles).where(_holds("_middle"))
+    here = positions.select(*keys, "_bucket", (F.col("_middle") - F.col("_before")).alias("_middle"))
+    inside = _join_groups(counts, here.select(*keys, "_bucket").distinct(), [*keys, "_bucket"], "left_semi")
     ranked = _with_offset(inside, [*keys, "_bucket"], "_value")
-    same_group = [F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    found = ranked.alias("r").join(
-        here.alias("h"),
-        [*same_group, F.col("r._bucket") == F.col("h._bucket"), _holds("_middle")],
-    )
-    result = found.groupBy(*[F.col(f"r.{k}").alias(k) for k in keys]).agg(
-        F.avg(F.col("_value").cast("double")).alias(out)
-    )
-    return result.drop(one) if one else result
+    found = _join_groups(ranked, here, [*keys, "_bucket"], "inner").where(_holds("_middle"))
+    return found.groupBy(*keys).agg(F.avg(F.col("_value").cast("double")).alias(out))
 
 
 def _with_offset(counts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -154,6 +137,8 @@ def resolution_metrics(tickets: DataFrame, keys: Sequence[str]) -> DataFrame:
     Unresolved tickets and texts that are no dates are left out of the times; ``n_bad_dates`` tells how
     many tickets had such a text. Of months tied for busiest the earliest counts.
     """
+    if not keys:
+        return resolution_metrics(tickets.withColumn(WHOLE, F.lit(0)), [WHOLE]).drop(WHOLE)
     timed = with_times(tickets)
     bad = is_bad_date(F.col("date_submitted")) | is_bad_date(F.col("resolution_date"))
     micros = F.col("resolution_micros")
@@ -166,15 +151,15 @@ def resolution_metrics(tickets: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count_if(bad).alias("n_bad_dates"),
     )
     median = exact_median(timed.select(*keys, "resolution_micros"), "resolution_micros", keys)
-    with_median = _join_groups(plain, median, keys)
+    with_median = _join_groups(plain, median, keys, "left")
     return with_median.withColumn("median_hours", hours(F.col("median"))).drop("median")
 
 
-def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join of two tables with one row per group; a null key is a group like any other."""
+def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on grouping columns; a null key is a group like any other."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys] or F.lit(True)
-    return left.join(renamed, same, "left").drop(*[f"_right_{k}" for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def roll_up(groups: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def similar_for_all(
 ) -> DataFrame:
     """The ``k`` most similar tickets of every ticket, itself left out: ``query_id, id, score, rank``."""
     usable, kept, asking = without_copies(tickets, k)
-    found = top_k(asking, kept, Rule(threshold, k + 1), block_rows, cell_rows)
+    found = top_k(asking, kept, Rule(threshold, k + 1), block_rows, cell_rows).hits
     return for_copies(usable, asking, found, k)
 
 

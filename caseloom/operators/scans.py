@@ -19,6 +19,8 @@ from caseloom.fixed_values import (
 from caseloom.functions.text import non_blank, or_default, preview
 from caseloom.sources.schema import CANDIDATE_COLUMNS, SCAN_COLUMNS
 
+EARLIEST = -(2**63)
+
 
 def recency() -> list[Column]:
     """Newest first; the id settles ties, so every list has one order."""
@@ -37,12 +39,18 @@ def searchable(tickets: DataFrame) -> DataFrame:
 def recent(tickets: DataFrame, limit: int | None = CANDIDATE_LIMIT, offset: int = 0) -> DataFrame:
     """The newest searchable tickets; ``limit=None`` takes the whole table, in no order.
 
-    Order and limit become one TakeOrderedAndProject: every task keeps its own newest ``limit``.
+    The newest keys are found first, on two narrow columns. The whole rows are then only read from where
+    the oldest of these keys allows, which files sorted or written by time answer from their statistics,
+    and no more than the wanted rows meet in the task that orders them.
     """
     found = searchable(tickets)
     if limit is None:
         return found
-    ordered = found.orderBy(*recency())
+    key = F.struct("ts", "id")
+    newest = found.select("ts", "id").orderBy(*recency()).limit(limit + offset)
+    oldest = newest.agg(F.min(F.coalesce("ts", F.lit(EARLIEST))).alias("ts"), F.min(key).alias("key"))
+    late = (F.col("ts") >= oldest.select("ts").scalar()) | F.col("ts").isNull()
+    ordered = found.where(late & (key >= oldest.select("key").scalar())).orderBy(*recency())
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 

@@ -133,13 +133,20 @@ def top_hits(queries: Block, tickets: Block, rule: Rule) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(_HIT_COLUMNS, picked)))
 
 
+class Found(NamedTuple):
+    """Best hits, ``query_id, id, ts, score, rank``, and whether they are few for certain."""
+
+    hits: DataFrame
+    few: bool
+
+
 def top_k(
     queries: DataFrame,
     tickets: DataFrame,
     rule: Rule,
     block_rows: int = BLOCK_ROWS,
     cell_rows: int = CELL_ROWS,
-) -> DataFrame:
+) -> Found:
     """Per query the best ``rule.k`` tickets that reach the threshold, with their rank.
 
     ``queries`` has ``query_id, query_vec`` and ``tickets`` has ``id, ts, embedding``; ids are
@@ -149,17 +156,21 @@ def top_k(
     queries = queries.select("query_id", "query_vec").where(F.size("query_vec") > 0)
     block = bounded(queries, block_rows)
     if block is not None:
-        return _stream_tickets(block, queries, tickets, rule)
+        return Found(_stream_tickets(block, queries, tickets, rule), True)
     block = bounded(tickets, block_rows)
     if block is not None:
-        return top_k_of_block(queries, block, tickets.schema, rule)
-    return _grid(queries, tickets, rule, cell_rows)
+        return Found(top_k_of_block(queries, block, tickets.schema, rule), False)
+    return Found(_grid(queries, tickets, rule, cell_rows), False)
 
 
 def bounded(df: DataFrame, rows: int) -> pa.Table | None:
-    """The rows of a table if there are no more than ``rows`` of them."""
-    table = df.limit(rows + 1).toArrow()
-    return table if table.num_rows <= rows else None
+    """The rows of a table if there are no more than ``rows`` of them.
+
+    The check reads partitions only until it has seen enough rows, and fetches none of their columns.
+    """
+    if len(df.select(F.lit(1)).limit(rows + 1).collect()) > rows:
+        return None
+    return df.toArrow()
 
 
 def top_k_of_block(

@@ -29,7 +29,7 @@ from caseloom.operators.scoring import (
     BLOCK_ROWS,
     BY_RECENCY,
     CELL_ROWS,
-    SCORE_DIGITS,
+    Found,
     Rule,
     top_k,
     top_k_of_block,
@@ -66,24 +66,27 @@ class Candidates:
 
     def scored(
         self, queries: DataFrame, rule: Rule, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS
-    ) -> DataFrame:
-        """Best hits per query: ``query_id, id, ts, score, rank``."""
+    ) -> Found:
+        """Best hits per query."""
         usable = self.tickets.where(non_blank(F.col("summary")) & (F.size("embedding") > 0))
         if self.newest is None:
             return top_k(queries, usable, rule, block_rows, cell_rows)
-        return top_k_of_block(queries, usable.toArrow(), usable.schema, rule)
+        return Found(top_k_of_block(queries, usable.toArrow(), usable.schema, rule), False)
 
-    def described(self, hits: DataFrame) -> DataFrame:
-        """Hits with the columns of their tickets."""
-        return hits.drop("ts").join(self.tickets.drop("embedding"), "id")
+    def described(self, hits: DataFrame, few: bool) -> DataFrame:
+        """Hits with the columns of their tickets.
+
+        Few hits, k per query of a block of bounded size, are sent to the tickets. Else the join is
+        Spark's choice, which sends the tickets to the hits where the tickets are few.
+        """
+        hits = hits.drop("ts")
+        return (F.broadcast(hits) if few else hits).join(self.tickets.drop("embedding"), "id")
 
 
 def hits(
     candidates: Candidates, queries: DataFrame, threshold: float, k: int, exclude_self: bool = False
 ) -> DataFrame:
-    return candidates.described(
-        candidates.scored(queries, Rule(threshold, k, exclude_self=exclude_self))
-    )
+    return candidates.described(*candidates.scored(queries, Rule(threshold, k, exclude_self=exclude_self)))
 
 
 def similar(
@@ -138,14 +141,14 @@ def context(
     per_query = Window.partitionBy("query_id")
     by_score = per_query.orderBy(F.desc("score"), F.desc("ts"), F.desc("id"))
     chosen = (
-        strict.withColumn("is_fallback", F.lit(False))
-        .unionByName(loose.withColumn("is_fallback", F.lit(True)))
+        strict.hits.withColumn("is_fallback", F.lit(False))
+        .unionByName(loose.hits.withColumn("is_fallback", F.lit(True)))
         .withColumn("_strict_found", F.bool_or(~F.col("is_fallback")).over(per_query))
         .where(F.col("is_fallback") != F.col("_strict_found"))
         .withColumn("rank", F.row_number().over(by_score))
         .drop("_strict_found")
     )
-    return candidates.described(chosen).select(
+    return candidates.described(chosen, strict.few).select(
         "query_id", "rank", "is_fallback", "id",
         F.coalesce("ticket_number", F.lit(NOT_AVAILABLE)).alias("ticket"),
         F.substring("summary", 1, CONTEXT_SUMMARY_CHARS).alias("summary"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseloom.sources.readers import REJECTED, good_rows
 
@@ -34,18 +36,23 @@ def absent_from(new: DataFrame, existing: DataFrame, key: str, first: list[Colum
     return one_per_key(new, key, first).join(known, key, "left_anti").select(*new.columns)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """The table at a path, if there is one."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def append_once(tickets: DataFrame, path: str) -> int:
     """Append the tickets a stored table does not hold yet; returns the number of rows written."""
-    spark = tickets.sparkSession
     rows = with_content_id(tickets)
-    if path_exists(spark, path):
-        return _append(absent_from(rows, spark.read.parquet(path), "id", [F.col("ts")]), path)
-    return _append(one_per_key(rows, "id", [F.col("ts")]), path)
+    present = stored(tickets.sparkSession, path, rows.schema)
+    if present is None:
+        return _append(one_per_key(rows, "id", [F.col("ts")]), path)
+    return _append(absent_from(rows, present, "id", [F.col("ts")]), path)
 
 
 def append_all(tickets: DataFrame, path: str) -> int:
@@ -54,7 +61,9 @@ def append_all(tickets: DataFrame, path: str) -> int:
 
 
 def _append(rows: DataFrame, path: str) -> int:
+    """Write rows, with the time of writing where they bring no time of their own."""
     seen = Observation("append")
+    rows = rows.withColumn("ts", F.coalesce("ts", F.unix_timestamp()))
     rows.observe(seen, F.count(F.lit(1)).alias("written")).write.mode("append").parquet(path)
     return int(seen.get["written"])
 

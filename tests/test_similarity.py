@@ -73,7 +73,7 @@ def test_layouts_equal_brute_force(layout, recency, corpus, queries, vectors):
     block, cell = LAYOUTS[layout]
     rule = Rule(0.2, 4, BY_RECENCY if recency else "score", True)
     usable = corpus.where(F.col("id").startswith("t"))
-    got = rows(top_k(queries, usable, rule, block, cell))
+    got = rows(top_k(queries, usable, rule, block, cell).hits)
     assert got == brute(vectors, 0.2, 4, recency)
 
 
@@ -91,7 +91,7 @@ def test_candidate_limit_cuts_before_scoring(corpus, queries, vectors):
 
 
 def test_map_only_plan_for_held_tickets(corpus, queries):
-    hits = similarity.Candidates.of(corpus, 300).scored(queries, Rule(0.2, 4))
+    hits = similarity.Candidates.of(corpus, 300).scored(queries, Rule(0.2, 4)).hits
     assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
 
 
