@@ -25,9 +25,10 @@ from caseloom.fixed_values import (
     MAX_FEATURES,
     MIN_DF,
     N_CLUSTERS,
+    TOP_KEYWORDS,
 )
 from caseloom.functions.text import with_terms
-from caseloom.operators.tfidf import term_counts, vocabulary
+from caseloom.operators.tfidf import heaviest, term_counts, vocabulary
 from caseloom.session import shared_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -42,8 +43,9 @@ def text_features(
     max_features: int = MAX_FEATURES,
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
+    keep: Sequence[str] = ("id",),
 ) -> tuple[DataFrame, list[str]]:
-    """TF-IDF vectors of unit length, ``id, features``, and the terms their positions stand for.
+    """TF-IDF vectors of unit length next to the columns to keep, and the terms of their positions.
 
     The vocabulary, at most ``max_features`` terms, is found first; the vectors then take no shuffle.
     They are checkpointed: clustering goes over them many times, and neither that nor the loss of an
@@ -59,11 +61,10 @@ def text_features(
         scalingVec=Vectors.dense([t["idf"] for t in terms]), inputCol="tf", outputCol="tfidf"
     )
     unit = Normalizer(p=2.0, inputCol="tfidf", outputCol="features")
-    with_features = unit.transform(
-        scale.transform(counter.transform(with_terms(docs.select("id", text), text, stop_words)))
-    )
+    described = with_terms(docs.select(*keep, text), text, stop_words)
+    vectors = unit.transform(scale.transform(counter.transform(described)))
     shared_dir(docs.sparkSession)
-    return with_features.select("id", "features").checkpoint(), names
+    return vectors.select(*keep, "features").checkpoint(), names
 
 
 def kmeans(
@@ -93,8 +94,21 @@ def kmeans(
         points.unpersist()
 
 
-def cluster_labels(features: DataFrame, model: KMeansModel) -> DataFrame:
-    return model.transform(features).select("id", "cluster")
+def labelled(features: DataFrame, model: KMeansModel) -> DataFrame:
+    """The vectors, and the columns next to them, with their ``cluster``."""
+    return model.transform(features)
+
+
+def cluster_keywords(labelled: DataFrame, names: Sequence[str], n: int = TOP_KEYWORDS) -> DataFrame:
+    """The heaviest ``n`` terms of each cluster by summed weight: ``cluster, rank, term, weight``.
+
+    Vectors are summed in the tasks that hold them, so one vector per task and cluster is shuffled.
+    """
+    sums = labelled.groupBy("cluster").agg(vector_to_array(Summarizer.sum(F.col("features"))).alias("_sum"))
+    weights = sums.select("cluster", F.posexplode("_sum").alias("_at", "weight")).where(F.col("weight") > 0)
+    terms = labelled.sparkSession.createDataFrame(list(enumerate(names)), "_at int, term string")
+    # As many rows as there are features.
+    return heaviest(weights.join(F.broadcast(terms), "_at"), "cluster", n)
 
 
 def principal_axes(features: DataFrame, n: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +118,9 @@ def principal_axes(features: DataFrame, n: int = 2) -> tuple[np.ndarray, np.ndar
     square of the number of features at most, whatever the number of rows. Of the two signs of a
     component the one with the largest loading positive is used.
     """
+    # Each task holds a square of the number of features: better few tasks than many.
+    context = features.sparkSession.sparkContext
+    features = features.select("features").coalesce(2 * context.defaultParallelism)
     moments = features.agg(
         Summarizer.metrics("mean", "std").summary(F.col("features")).alias("s")
     ).head()["s"]
@@ -115,8 +132,8 @@ def principal_axes(features: DataFrame, n: int = 2) -> tuple[np.ndarray, np.ndar
     return axes * np.where(largest < 0, -1.0, 1.0), mean
 
 
-def project_2d(features: DataFrame) -> DataFrame:
-    """Centred coordinates on the first two principal components: ``id, x, y``.
+def project_2d(features: DataFrame, keep: Sequence[str] = ("id",)) -> DataFrame:
+    """Centred coordinates on the first two principal components, ``x, y``, next to the columns to keep.
 
     The sparse vectors are projected as they are and the mean is taken off afterwards, so they never
     become dense.
@@ -129,7 +146,7 @@ def project_2d(features: DataFrame) -> DataFrame:
         products = F.zip_with(vector["indices"], vector["values"], lambda i, x: x * F.get(loadings, i))
         return F.aggregate(products, F.lit(0.0), lambda total, x: total + x) - float(axis @ mean)
 
-    return features.select("id", along(axes[:, 0]).alias("x"), along(axes[:, 1]).alias("y"))
+    return features.select(*keep, along(axes[:, 0]).alias("x"), along(axes[:, 1]).alias("y"))
 
 
 def mean_vectors(points: DataFrame, label: str, vector: str) -> DataFrame:

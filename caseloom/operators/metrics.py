@@ -75,14 +75,19 @@ def tied_modes(
 
 def samples(df: DataFrame, keys: Sequence[str], text: str, n: int, order: list[Column]) -> DataFrame:
     """The first ``n`` texts of each group in the given order: ``keys, samples``."""
+    return listed(first_of_group(df, keys, n, order).select(*keys, "_at", text), keys, text)
+
+
+def first_of_group(df: DataFrame, keys: Sequence[str], n: int, order: list[Column]) -> DataFrame:
+    """The first ``n`` rows of each group, numbered in ``_at``; no more than these leave a task."""
     first = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        df.select(*keys, text, F.row_number().over(first).alias("_at"))
-        .where(F.col("_at") <= n)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("_at", text))).alias("_s"))
-        .select(*keys, F.col(f"_s.{text}").alias("samples"))
-    )
+    return df.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= n)
+
+
+def listed(rows: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """The texts of numbered rows as one array per group."""
+    ordered = F.sort_array(F.collect_list(F.struct("_at", text)))
+    return rows.groupBy(*keys).agg(ordered.alias("_s")).select(*keys, F.col(f"_s.{text}").alias("samples"))
 
 
 def exact_median(df: DataFrame, value: str, keys: Sequence[str], out: str = "median") -> DataFrame:

@@ -39,18 +39,16 @@ def searchable(tickets: DataFrame) -> DataFrame:
 def recent(tickets: DataFrame, limit: int | None = CANDIDATE_LIMIT, offset: int = 0) -> DataFrame:
     """The newest searchable tickets; ``limit=None`` takes the whole table, in no order.
 
-    The newest keys are found first, on two narrow columns. The whole rows are then only read from where
-    the oldest of these keys allows, which files sorted or written by time answer from their statistics,
-    and no more than the wanted rows meet in the task that orders them.
+    Their times are found first, on two narrow columns. Whole rows are then only read from where the
+    oldest of these times allows: the filter reaches the scan, and files written in the order of time
+    answer it from their statistics. Each task keeps its newest ``limit`` of what is left.
     """
     found = searchable(tickets)
     if limit is None:
         return found
-    key = F.struct("ts", "id")
     newest = found.select("ts", "id").orderBy(*recency()).limit(limit + offset)
-    oldest = newest.agg(F.min(F.coalesce("ts", F.lit(EARLIEST))).alias("ts"), F.min(key).alias("key"))
-    late = (F.col("ts") >= oldest.select("ts").scalar()) | F.col("ts").isNull()
-    ordered = found.where(late & (key >= oldest.select("key").scalar())).orderBy(*recency())
+    oldest = newest.agg(F.min(F.coalesce("ts", F.lit(EARLIEST)))).scalar()
+    ordered = found.where((F.col("ts") >= oldest) | F.col("ts").isNull()).orderBy(*recency())
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 

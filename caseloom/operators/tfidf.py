@@ -78,12 +78,16 @@ def group_weights(weighted: DataFrame, groups: DataFrame, key: str) -> DataFrame
 
 
 def keywords(weighted: DataFrame, groups: DataFrame, key: str, n: int = TOP_KEYWORDS) -> DataFrame:
-    """The heaviest ``n`` terms of each group: ``key, rank, term, weight``; ties by term."""
-    heaviest = Window.partitionBy(key).orderBy(F.desc(F.round("weight", 9)), "term")
+    """The heaviest ``n`` terms of each group: ``key, rank, term, weight``."""
+    return heaviest(group_weights(weighted, groups, key), key, n)
+
+
+def heaviest(weights: DataFrame, key: str, n: int) -> DataFrame:
+    """The first ``n`` terms of each group by weight, ties by term. Terms without weight are left out."""
+    first = Window.partitionBy(key).orderBy(F.desc(F.round("weight", 9)), "term")
     return (
-        group_weights(weighted, groups, key)
-        .where(F.col("weight") > 0)
-        .withColumn("rank", F.row_number().over(heaviest))
+        weights.where(F.col("weight") > 0)
+        .withColumn("rank", F.row_number().over(first))
         .where(F.col("rank") <= n)
         .select(key, "rank", "term", "weight")
     )

@@ -279,16 +279,19 @@ def link(number: str) -> str:
     return f"'{BASE_URL}/direct-ticket/' || {number} || '/' || {token}"
 
 
-def similar_replies() -> str:
-    row = (
-        f"'|' || ticket_number || '|' || summary || '|' || {fixed('score * 100', 1)} || '%|' || {NL}"
-    )
+def replies(title: str, table_head: str, cells: str, source: str, group: str = "") -> str:
     line = f"'- Ticket ' || ticket_number || ': ' || {link('ticket_number')} || {NL}"
-    head = f"## {v.SIMILAR_TITLE}\n\n{v.SCORED_TABLE_HEAD}"
+    return f"""SELECT {group + ',' if group else ''}
+  {text(f'## {title}' + chr(10) * 2 + table_head)} ||
+  string_agg('|' || ticket_number || '|' || summary || '|' || {cells} || {NL}, '' ORDER BY rank) ||
+  {text(v.LINKS_HEAD)} || string_agg({line}, '' ORDER BY rank) AS reply
+FROM {source} {'GROUP BY ' + group if group else ''}"""
+
+
+def scored_replies(title: str, threshold: float, k: int) -> str:
+    cells = f"{fixed('score * 100', 1)} || '%|'"
     return on_tickets(
-        f"""SELECT query_id, {text(head)} || string_agg({row}, '' ORDER BY rank) || {text(v.LINKS_HEAD)} ||
-  string_agg({line}, '' ORDER BY rank) AS reply FROM h JOIN c USING (id) GROUP BY query_id""",
-        best(None, 0.3, 5),
+        replies(title, v.SCORED_TABLE_HEAD, cells, "h JOIN c USING (id)", "query_id"), best(None, threshold, k)
     )
 
 
@@ -480,6 +483,9 @@ FROM embeddings JOIN c USING (label)""",
         "keywords_top7": on_tickets(
             "SELECT category, rank, term, round(weight, 6) AS weight FROM k", KEYWORDS
         ),
+        "category_term_weights": on_tickets(
+            "SELECT category, term, round(sum(weight), 6) AS weight FROM wt JOIN t USING (id) GROUP BY ALL", WEIGHTS
+        ),
         "text_pieces": on_tickets(
             f"""SELECT id,
   CASE WHEN length(summary) > 100 THEN left(summary, 100) || '...' ELSE summary END AS preview,
@@ -496,7 +502,13 @@ FROM t"""
             f"""SELECT id AS query_id, CASE WHEN id::BIGINT % 5 <> 4 AND {non_blank('x')} THEN x END AS search_text
 FROM (SELECT id, CASE WHEN id::BIGINT % 3 <> 0 THEN summary || ' ' || latest_comments ELSE category END AS x FROM t)"""
         ),
-        "similar_replies": similar_replies(),
+        "similar_replies": scored_replies(v.SIMILAR_TITLE, 0.3, 5),
+        "recommended_replies": scored_replies(v.RECOMMENDED_TITLE, 0.4, 3),
+        "latest_reply": on_tickets(
+            replies(v.LATEST_TITLE, v.PLAIN_TABLE_HEAD, "''", """(
+  SELECT *, row_number() OVER (ORDER BY ts DESC, id DESC) AS rank FROM t WHERE length(summary) > 5 QUALIFY rank <= 5
+)"""),
+        ),
         "access_links": on_tickets(f"SELECT id, {link('ticket_number')} AS link FROM t"),
         "token_check": f"""SELECT doc_id, token,
   length(token) = 32 AND regexp_matches(token, '{BASE_16}') AS well_formed,

@@ -11,6 +11,7 @@ from caseloom.fixed_values import (
     BATCH_SAMPLES,
     CLUSTER_SAMPLES,
     NO_RESOLUTION,
+    RECOMMENDED_TITLE,
     SIMILAR_KEYWORDS,
     SIMILAR_TITLE,
 )
@@ -318,6 +319,13 @@ def keywords_top7(spark, folder):
     return tfidf.keywords(weighted, docs, "category").withColumn("weight", F.round("weight", 6))
 
 
+@query
+def category_term_weights(spark, folder):
+    docs = _texts(spark, folder)
+    weighted = tfidf.weights(docs, "cluster_text", text.default_stop_words())
+    return tfidf.group_weights(weighted, docs, "category").withColumn("weight", F.round("weight", 6))
+
+
 @query
 def text_pieces(spark, folder):
     summary, comments = F.col("summary"), F.col("latest_comments")
@@ -340,7 +348,9 @@ def reflowed(spark, folder):
 def _by_category(spark, folder):
     docs = reports.with_text(tickets(spark, folder)).withColumn("cluster", F.col("category"))
     weighted = tfidf.weights(docs, "cluster_text", text.default_stop_words())
-    return reports.group_report(docs, "combined_text", weighted)
+    keywords = tfidf.keyword_lists(tfidf.keywords(weighted, docs, "cluster"), "cluster")
+    texts = metrics.samples(docs, ["cluster"], "combined_text", CLUSTER_SAMPLES, scans.recency())
+    return reports.group_report(docs, keywords, texts)
 
 
 @query
@@ -406,6 +416,19 @@ def similar_replies(spark, folder):
     return prompts.markdown(prompts.with_link(found, BASE_URL, ACCESS_KEY, NOW), SIMILAR_TITLE)
 
 
+@query
+def recommended_replies(spark, folder):
+    candidates = similarity.Candidates.of(embedded_tickets(spark, folder), None)
+    found = similarity.recommend(candidates, ticket_queries(spark, folder), exclude_self=True)
+    found = found.select("query_id", "rank", "ticket_info.*", "similarity_score")
+    return prompts.markdown(prompts.with_link(found, BASE_URL, ACCESS_KEY, NOW), RECOMMENDED_TITLE)
+
+
+@query
+def latest_reply(spark, folder):
+    return streaming.latest_reply(tickets(spark, folder), BASE_URL, ACCESS_KEY, NOW)
+
+
 @query
 def access_links(spark, folder):
     linked = prompts.with_link(tickets(spark, folder), BASE_URL, ACCESS_KEY, NOW)
@@ -491,7 +514,7 @@ def answered_messages(spark, folder):
     stream = spark.readStream.schema(table(spark, folder, "conversations").schema)
     arriving = stream.option("pathGlobFilter", "conversations.parquet").parquet(folder)
     out = run_dir(spark, "answers")
-    snapshot = readers.TicketSnapshot(lambda: tickets(spark, folder))
+    snapshot = readers.TicketSnapshot(lambda: scans.recent(tickets(spark, folder)))
     streaming.answer_stream(
         sample_tables.opened(arriving), snapshot, "message_id", f"{out}/rows", f"{out}/checkpoint",
         BASE_URL, ACCESS_KEY, lambda: NOW,
@@ -535,12 +558,12 @@ def sheet_round_trip(spark, folder):
 def kmeans_clusters(spark, folder):
     docs = _texts(spark, folder)
     features, _ = clustering.text_features(docs, "cluster_text", text.default_stop_words())
-    return clustering.cluster_labels(features, clustering.kmeans(features))
+    return clustering.labelled(features, clustering.kmeans(features)).select("id", "cluster")
 
 
 @query
 def cluster_report(spark, folder):
-    found = reports.root_cause_patterns(tickets(spark, folder), restarts=2)
+    found = reports.root_cause_patterns(tickets(spark, folder))
     return found["clusters"].select(
         "cluster", "size", F.array_join("keywords", ",").alias("keywords"), "avg_hours", "median_hours",
         "peak_month", F.col("messages")[1]["content"].alias("prompt"),

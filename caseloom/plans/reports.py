@@ -16,39 +16,42 @@ from caseloom.fixed_values import (
     N_CLUSTERS,
 )
 from caseloom.functions.text import clean_text, combined_text, default_stop_words
-from caseloom.operators.clustering import cluster_labels, kmeans, project_2d, text_features
+from caseloom.operators.clustering import (
+    cluster_keywords,
+    kmeans,
+    labelled,
+    project_2d,
+    text_features,
+)
 from caseloom.operators.metrics import (
+    first_of_group,
+    listed,
     resolution_metrics,
     roll_up,
-    samples,
     tied_modes,
     value_count_maps,
     value_counts,
 )
 from caseloom.operators.prompts import batch_prompts, cluster_messages
 from caseloom.operators.scans import recency
-from caseloom.operators.tfidf import keyword_lists, keywords, weights
+from caseloom.operators.tfidf import keyword_lists
 
 METADATA = ["category", "task_type", "severity"]
 MODE_FIELDS = ["category", "project", "severity", "priority", "status", "task_type"]
 OVERVIEW_FIELDS = ["category", "severity", "status"]
 
 
-def group_report(
-    tickets: DataFrame, text: str, weighted: DataFrame, order: list[Column] | None = None
-) -> DataFrame:
+NARROW = ["id", "ts", "date_submitted", "resolution_date", *MODE_FIELDS]
+
+
+def group_report(tickets: DataFrame, keywords: DataFrame, samples: DataFrame) -> DataFrame:
     """One row per ``cluster``: size, keywords, times, value counts and the question to ask about it.
 
-    ``tickets`` carries the group in ``cluster`` and, in ``text``, the text the weights were made of.
-    Each part has one row per group by the time the parts are joined.
+    ``tickets`` carries the group in ``cluster``; ``keywords`` and ``samples`` have one row per group, and
+    so has every other part by the time it is joined.
     """
-    parts = [
-        value_count_maps(tickets, METADATA, ["cluster"]),
-        samples(tickets, ["cluster"], text, CLUSTER_SAMPLES, order or recency()),
-        keyword_lists(keywords(weighted, tickets, "cluster"), "cluster"),
-    ]
     report = resolution_metrics(tickets, ["cluster"])
-    for part in parts:
+    for part in (value_count_maps(tickets, METADATA, ["cluster"]), samples, keywords):
         report = report.join(part, "cluster", "left")
     return report.withColumn("messages", cluster_messages())
 
@@ -75,26 +78,34 @@ def root_cause_patterns(
 
     ``batch`` is the form of the offline report: cleaned text with the owner, value counts of the whole
     table, tied modes and its own two questions per cluster.
+
+    Texts are read twice, for the vocabulary and for the vectors. All else is computed from the vectors and
+    the few narrow columns checkpointed with them, without a join; only the sample texts are fetched again.
     """
     stop_words = default_stop_words() if stop_words is None else stop_words
+    order = order or recency()
     source = tickets if batch else tickets.where(F.col("summary").isNotNull())
     docs = with_text(source, batch, stop_words)
-    features, _ = text_features(docs, "cluster_text", stop_words, max_features)
-    labels = cluster_labels(features, kmeans(features, k, restarts, seed))
-    labelled = docs.join(labels, "id")
-    weighted = weights(docs, "cluster_text", stop_words, max_features)
-    clusters = group_report(labelled, "combined_text", weighted, order)
+    features, names = text_features(docs, "cluster_text", stop_words, max_features, keep=NARROW)
+    grouped = labelled(features, kmeans(features, k, restarts, seed))
+    keywords = cluster_keywords(grouped, names)
+
+    def sample_texts(n: int) -> DataFrame:
+        # No more than n rows for each of the k clusters.
+        chosen = F.broadcast(first_of_group(grouped, ["cluster"], n, order).select("cluster", "_at", "id"))
+        return listed(docs.select("id", "combined_text").join(chosen, "id"), ["cluster"], "combined_text")
+
+    clusters = group_report(grouped, keyword_lists(keywords, "cluster"), sample_texts(CLUSTER_SAMPLES))
     tables = {
-        "labels": labels,
+        "labels": grouped.select("id", "cluster"),
         "clusters": clusters,
-        "summary": roll_up(clusters),
-        "cluster_counts": value_counts(labelled, METADATA, ["cluster"]),
-        "cluster_keywords": keywords(weighted, labelled, "cluster"),
-        "projection2d": project_2d(features).join(labels, "id"),
+        "summary": roll_up(resolution_metrics(grouped, ["cluster"])),
+        "cluster_counts": value_counts(grouped, METADATA, ["cluster"]),
+        "cluster_keywords": keywords,
+        "projection2d": project_2d(grouped, ["id", "cluster"]),
     }
     if batch:
-        texts = samples(labelled, ["cluster"], "combined_text", BATCH_SAMPLES, order or recency())
-        tables["overview_counts"] = value_counts(docs, OVERVIEW_FIELDS)
-        tables["cluster_modes"] = tied_modes(labelled, MODE_FIELDS, ["cluster"])
-        tables["cluster_prompts"] = batch_prompts(texts, "cluster")
+        tables["overview_counts"] = value_counts(features, OVERVIEW_FIELDS)
+        tables["cluster_modes"] = tied_modes(grouped, MODE_FIELDS, ["cluster"])
+        tables["cluster_prompts"] = batch_prompts(sample_texts(BATCH_SAMPLES), "cluster")
     return tables

@@ -180,7 +180,7 @@ def test_kmeans_keeps_the_best_run(spark):
     one = clustering.kmeans(features, k=3, restarts=1)
     best = clustering.kmeans(features, k=3, restarts=6)
     assert best.summary.trainingCost <= one.summary.trainingCost + 1e-9
-    labels = clustering.cluster_labels(features, best)
+    labels = clustering.labelled(features, best).select("id", "cluster")
     assert labels.count() == 40 and labels.select("id").distinct().count() == 40
     assert {r["cluster"] for r in labels.collect()} <= {0, 1, 2}
 
