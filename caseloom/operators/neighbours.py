@@ -25,6 +25,7 @@ from caseloom.operators.scoring import (
     top_k,
     unit_rows,
 )
+from caseloom.session import shared_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -62,7 +63,7 @@ def likely_similar_for_all(
     planes = np.random.RandomState(seed).standard_normal((bands * bits, dim))
     rule = Rule(threshold, k + 1)
     there = _with_bands(kept.select("id", "ts", "embedding"), "embedding", planes, bands)
-    here = _with_bands(asking, "query_vec", planes, bands)
+    here = _with_bands(asking.select("query_id", "query_vec"), "query_vec", planes, bands)
     down = _splits(there, cell_rows, "_down")
     across = _splits(here, cell_rows, "_across")
     found = score_cells(
@@ -80,16 +81,23 @@ def without_copies(tickets: DataFrame, k: int) -> tuple[DataFrame, DataFrame, Da
 
     Of tickets with one and the same vector only the newest k+1 can be among anyone's best k, and the
     newest of them asks for all. Both are exact, and a vector shared by a third of the table costs no
-    more than any other: the surplus is dropped before the shuffle.
+    more than any other: the surplus is dropped before the shuffle. What is left is checkpointed, as it is
+    counted, dealt out and asked in turn.
     """
     usable = recent(tickets, None).where(non_blank(F.col("summary")) & (F.size("embedding") > 0))
-    usable = usable.select("id", "ts", "embedding")
-    newest = Window.partitionBy("embedding").orderBy(F.desc("ts"), F.desc("id"))
-    kept = usable.withColumn("_copy", F.row_number().over(newest)).where(F.col("_copy") <= k + 1)
+    usable = usable.select("id", "ts", "embedding", _vector_key().alias("_vector"))
+    newest = Window.partitionBy("_vector").orderBy(F.desc("ts"), F.desc("id"))
+    shared_dir(tickets.sparkSession)
+    kept = usable.withColumn("_copy", F.row_number().over(newest)).where(F.col("_copy") <= k + 1).checkpoint()
     asking = kept.where(F.col("_copy") == 1).select(
-        F.col("id").alias("query_id"), F.col("embedding").alias("query_vec")
+        F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"), "_vector"
     )
-    return usable, kept, asking
+    return usable.select("id", "_vector"), kept, asking
+
+
+def _vector_key():
+    """A short stand-in for a vector, to find copies by without shuffling the vectors of all tickets."""
+    return F.sha2(F.col("embedding").cast("string"), 256)
 
 
 def for_copies(usable: DataFrame, asking: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -97,13 +105,10 @@ def for_copies(usable: DataFrame, asking: DataFrame, found: DataFrame, k: int) -
     lists = found.groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("_hits")
     )
-    answers = asking.join(lists, "query_id").select(F.col("query_vec").alias("embedding"), "_hits")
+    answers = asking.select("query_id", "_vector").join(lists, "query_id").select("_vector", "_hits")
     own = F.filter("_hits", lambda hit: hit["id"] != F.col("query_id"))
     return (
-        salted_join(
-            usable.select(F.col("id").alias("query_id"), "embedding"),
-            answers, "embedding", F.col("query_id"),
-        )
+        salted_join(usable.withColumnRenamed("id", "query_id"), answers, "_vector", F.col("query_id"))
         .select("query_id", F.posexplode(F.slice(own, 1, k)).alias("_at", "_hit"))
         .select(
             "query_id", F.col("_hit.id").alias("id"), F.col("_hit.score").alias("score"),
