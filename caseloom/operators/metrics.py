@@ -111,9 +111,8 @@ def exact_median(df: DataFrame, value: str, keys: Sequence[str], out: str = "med
     middles = F.explode(F.array_distinct(F.array(F.floor(last / 2), F.ceil(last / 2))))
     positions = _with_offset(buckets, keys, "_bucket").withColumn("_middle", middles).where(_holds("_middle"))
     here = positions.select(*keys, "_bucket", (F.col("_middle") - F.col("_before")).alias("_middle"))
-    inside = _join_groups(counts, here.select(*keys, "_bucket").distinct(), [*keys, "_bucket"], "left_semi")
-    ranked = _with_offset(inside, [*keys, "_bucket"], "_value")
-    found = _join_groups(ranked, here, [*keys, "_bucket"], "inner").where(_holds("_middle"))
+    inside = _join_groups(counts, here, [*keys, "_bucket"], "inner")
+    found = _with_offset(inside, [*keys, "_bucket", "_middle"], "_value").where(_holds("_middle"))
     return found.groupBy(*keys).agg(F.avg(F.col("_value").cast("double")).alias(out))
 
 
@@ -142,8 +141,6 @@ def resolution_metrics(tickets: DataFrame, keys: Sequence[str]) -> DataFrame:
     Unresolved tickets and texts that are no dates are left out of the times; ``n_bad_dates`` tells how
     many tickets had such a text. Of months tied for busiest the earliest counts.
     """
-    if not keys:
-        return resolution_metrics(tickets.withColumn(WHOLE, F.lit(0)), [WHOLE]).drop(WHOLE)
     timed = with_times(tickets)
     bad = is_bad_date(F.col("date_submitted")) | is_bad_date(F.col("resolution_date"))
     micros = F.col("resolution_micros")
@@ -156,7 +153,10 @@ def resolution_metrics(tickets: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count_if(bad).alias("n_bad_dates"),
     )
     median = exact_median(timed.select(*keys, "resolution_micros"), "resolution_micros", keys)
-    with_median = _join_groups(plain, median, keys, "left")
+    if keys:
+        with_median = _join_groups(plain, median, keys, "left")
+    else:
+        with_median = plain.withColumn("median", median.scalar())
     return with_median.withColumn("median_hours", hours(F.col("median"))).drop("median")
 
 

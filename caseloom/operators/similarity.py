@@ -76,11 +76,13 @@ class Candidates:
     def described(self, hits: DataFrame, few: bool) -> DataFrame:
         """Hits with the columns of their tickets.
 
-        Few hits, k per query of a block of bounded size, are sent to the tickets. Else the join is
-        Spark's choice, which sends the tickets to the hits where the tickets are few.
+        Tickets fetched already, no more than the limit, are sent to the hits. Few hits, k per query of a
+        block of bounded size, are sent to the tickets. With many of both the join is Spark's choice.
         """
-        hits = hits.drop("ts")
-        return (F.broadcast(hits) if few else hits).join(self.tickets.drop("embedding"), "id")
+        hits, tickets = hits.drop("ts"), self.tickets.drop("embedding")
+        if self.newest is not None:
+            return hits.join(F.broadcast(tickets), "id")
+        return (F.broadcast(hits) if few else hits).join(tickets, "id")
 
 
 def hits(
