@@ -73,7 +73,7 @@ def kmeans(
     restarts: int = KMEANS_RESTARTS,
     seed: int = KMEANS_SEED,
     max_iter: int = 300,
-    at_once: int = 4,
+    at_once: int = KMEANS_RESTARTS,
 ) -> KMeansModel:
     """The best of several K-means runs by their summed squared distances.
 

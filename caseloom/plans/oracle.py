@@ -379,6 +379,11 @@ def oracle_sql() -> dict[str, str]:
     reflow = "'1. ' || text || ' 2. see 21. and 0.1.'"
     for i in range(1, 7):
         reflow = f"replace({reflow}, '{i}.', {NL} || '{i}.')"
+    every_ticket = on_tickets(
+        "SELECT query_id, id, rank, round(score, 6) AS score FROM h WHERE query_id IN (SELECT id FROM u)",
+        best(None, 0.3, 5),
+    )
+    overview = on_tickets(by_field(["category", "severity", "status"]))
     own = f"left(sha256(doc_id || '-' || ({NOW} - doc_id * 1000) || '-{ACCESS_KEY}'), 32)"
     return {
         "full_scan": on_tickets(
@@ -395,6 +400,12 @@ def oracle_sql() -> dict[str, str]:
         "search_substring": on_tickets(
             f"SELECT {CANDIDATE} FROM t WHERE length(summary) > 5 AND contains(lower(summary), lower({text(SEARCHED)}))"
         ),
+        "search_recent": on_tickets(
+            f"SELECT {CANDIDATE} FROM r WHERE contains(lower(summary), lower({text(SEARCHED)}))", RECENT
+        ),
+        "high_priority_all": on_tickets(
+            f"SELECT {CANDIDATE} FROM t WHERE length(summary) > 5 AND {HIGH} ORDER BY ts DESC, id DESC LIMIT 5"
+        ),
         "high_priority": on_tickets(
             f"SELECT {CANDIDATE} FROM r WHERE {HIGH} ORDER BY ts DESC, id DESC LIMIT 5", RECENT
         ),
@@ -423,10 +434,13 @@ def oracle_sql() -> dict[str, str]:
         "context_top3": on_tickets(FOUND, context(300, 0.5, 0.3)),
         "context_top3_all": on_tickets(FOUND, context(None, 0.5, 0.1)),
         "context_top3_035": on_tickets(FOUND, context(None, 0.35, 0.1)),
-        "similar_for_every_ticket": on_tickets(
-            "SELECT query_id, id, rank, round(score, 6) AS score FROM h WHERE query_id IN (SELECT id FROM u)",
-            best(None, 0.3, 5),
-        ),
+        "similar_for_every_ticket": every_ticket,
+        "similar_for_every_ticket_by_grid": every_ticket,
+        "likely_similar_in_one_bucket": every_ticket,
+        "hash_embedding_lengths": f"""SELECT doc_id, CASE WHEN len({tokens('text')}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length
+FROM documents WHERE {non_blank('text')} UNION ALL
+SELECT doc_id, NULL FROM documents WHERE NOT {non_blank('text')}""",
+        "kmeans_coverage": on_tickets("SELECT count(*) AS tickets, count(DISTINCT id) AS ids, 5 AS clusters FROM t"),
         "assign_centroid": CENTROIDS + """, d AS (
   SELECT vec_id, label, sqrt(greatest(round(
     list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::DOUBLE - centroid[i]) ** 2)), 9), 0)) AS distance
@@ -438,7 +452,8 @@ SELECT vec_id::VARCHAR AS id, round(list_cosine_similarity(embedding::DOUBLE[],
 FROM embeddings JOIN c USING (label)""",
         "embed_distinct_texts": f"""SELECT doc_id, sha256(text) AS text_key,
   count(*) OVER (PARTITION BY text) AS copies, true AS embedded FROM documents WHERE {non_blank('text')}""",
-        "overview_counts": on_tickets(by_field(["category", "severity", "status"])),
+        "overview_counts": overview,
+        "report_tables": overview,
         "value_count_maps": on_tickets(
             """SELECT a.g AS project, category_counts AS category, task_type_counts AS task_type,
   severity_counts AS severity FROM n_category a JOIN n_task_type b USING (g) JOIN n_severity c USING (g)""",

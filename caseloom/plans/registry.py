@@ -18,7 +18,7 @@ from caseloom.fixed_values import (
 from caseloom.functions import links, text
 from caseloom.functions.dates import day
 from caseloom.functions.messages import arrived, command_argument, topic
-from caseloom.functions.vectors import cosine, hash_embed
+from caseloom.functions.vectors import cosine, hash_embed, norm
 from caseloom.operators import clustering, metrics, neighbours, prompts, scans, similarity, tfidf
 from caseloom.operators.joins import attach_embeddings, embed_once
 from caseloom.plans import reports
@@ -82,6 +82,16 @@ def search_substring(spark, folder):
     return scans.search_substring(tickets(spark, folder), SEARCHED, limit=None)
 
 
+@query
+def search_recent(spark, folder):
+    return scans.search_substring(tickets(spark, folder), SEARCHED)
+
+
+@query
+def high_priority_all(spark, folder):
+    return scans.high_priority(tickets(spark, folder), limit=None)
+
+
 @query
 def high_priority(spark, folder):
     return scans.high_priority(tickets(spark, folder))
@@ -180,6 +190,22 @@ def similar_for_every_ticket(spark, folder):
     )
 
 
+@query
+def similar_for_every_ticket_by_grid(spark, folder):
+    """The layout for many queries and many tickets, on cells small enough to need several."""
+    found = neighbours.similar_for_all(embedded_tickets(spark, folder), block_rows=0, cell_rows=128)
+    return found.select("query_id", "id", "rank", _score("score"))
+
+
+@query
+def likely_similar_in_one_bucket(spark, folder):
+    """With no sign bits all tickets share one bucket, and all neighbours are found."""
+    found = neighbours.likely_similar_for_all(
+        embedded_tickets(spark, folder), dim=64, bands=1, bits=0, cell_rows=128
+    )
+    return found.select("query_id", "id", "rank", _score("score"))
+
+
 @query
 def likely_similar_for_every_ticket(spark, folder):
     with_vectors = attach_embeddings(tickets(spark, folder), embeddings(spark, folder))
@@ -219,6 +245,12 @@ def hash_embedding(spark, folder):
     return hash_embed(table(spark, folder, "documents"), "text").select("doc_id", "embedding")
 
 
+@query
+def hash_embedding_lengths(spark, folder):
+    embedded = hash_embed(table(spark, folder, "documents"), "text", dim=64)
+    return embedded.select("doc_id", F.round(norm(F.col("embedding")), 3).alias("length"))
+
+
 # --- counts and times ---
 
 @query
@@ -540,6 +572,14 @@ def append_twice(spark, folder):
     return spark.read.parquet(path).groupBy("ticket_number", "summary").agg(F.count(F.lit(1)).alias("copies"))
 
 
+@query
+def report_tables(spark, folder):
+    """Tables of a report, written and read back."""
+    path = run_dir(spark, "report")
+    sinks.write_report({"overview_counts": overview_counts(spark, folder)}, path)
+    return spark.read.parquet(f"{path}/overview_counts")
+
+
 @query
 def sheet_round_trip(spark, folder):
     """Tickets exported as a sheet, loaded from it and stored."""
@@ -561,9 +601,20 @@ def kmeans_clusters(spark, folder):
     return clustering.labelled(features, clustering.kmeans(features)).select("id", "cluster")
 
 
+@query
+def kmeans_coverage(spark, folder):
+    """Every ticket is in exactly one of the clusters."""
+    features, _ = clustering.text_features(_texts(spark, folder), "cluster_text", text.default_stop_words())
+    found = clustering.labelled(features, clustering.kmeans(features, restarts=1))
+    return found.agg(
+        F.count(F.lit(1)).alias("tickets"), F.count_distinct("id").alias("ids"),
+        F.count_distinct("cluster").alias("clusters"),
+    )
+
+
 @query
 def cluster_report(spark, folder):
-    found = reports.root_cause_patterns(tickets(spark, folder))
+    found = reports.root_cause_patterns(tickets(spark, folder), projection=False)
     return found["clusters"].select(
         "cluster", "size", F.array_join("keywords", ",").alias("keywords"), "avg_hours", "median_hours",
         "peak_month", F.col("messages")[1]["content"].alias("prompt"),

@@ -72,20 +72,24 @@ def root_cause_patterns(
     max_features: int = MAX_FEATURES,
     stop_words: Sequence[str] | None = None,
     batch: bool = False,
+    cleaning_stop_words: Sequence[str] | None = None,
     order: list[Column] | None = None,
+    projection: bool = True,
 ) -> dict[str, DataFrame]:
     """Cluster tickets by their text and describe the clusters; the tables of the report by name.
 
     ``batch`` is the form of the offline report: cleaned text with the owner, value counts of the whole
-    table, tied modes and its own two questions per cluster.
+    table, tied modes and its own two questions per cluster. ``cleaning_stop_words`` are dropped from its
+    texts first, ``stop_words`` from the terms of either form.
 
     Texts are read twice, for the vocabulary and for the vectors. All else is computed from the vectors and
     the few narrow columns checkpointed with them, without a join; only the sample texts are fetched again.
     """
     stop_words = default_stop_words() if stop_words is None else stop_words
+    cleaning = stop_words if cleaning_stop_words is None else cleaning_stop_words
     order = order or recency()
     source = tickets if batch else tickets.where(F.col("summary").isNotNull())
-    docs = with_text(source, batch, stop_words)
+    docs = with_text(source, batch, cleaning)
     features, names = text_features(docs, "cluster_text", stop_words, max_features, keep=NARROW)
     grouped = labelled(features, kmeans(features, k, restarts, seed))
     keywords = cluster_keywords(grouped, names)
@@ -102,8 +106,9 @@ def root_cause_patterns(
         "summary": roll_up(resolution_metrics(grouped, ["cluster"])),
         "cluster_counts": value_counts(grouped, METADATA, ["cluster"]),
         "cluster_keywords": keywords,
-        "projection2d": project_2d(grouped, ["id", "cluster"]),
     }
+    if projection:
+        tables["projection2d"] = project_2d(grouped, ["id", "cluster"])
     if batch:
         tables["overview_counts"] = value_counts(features, OVERVIEW_FIELDS)
         tables["cluster_modes"] = tied_modes(grouped, MODE_FIELDS, ["cluster"])
