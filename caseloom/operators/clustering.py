@@ -28,7 +28,7 @@ from caseloom.fixed_values import (
     TOP_KEYWORDS,
 )
 from caseloom.functions.text import with_terms
-from caseloom.operators.tfidf import heaviest, term_counts, vocabulary
+from caseloom.operators.tfidf import dealt, heaviest, is_in_few_files, vocabulary
 from caseloom.session import shared_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -47,12 +47,13 @@ def text_features(
 ) -> tuple[DataFrame, list[str]]:
     """TF-IDF vectors of unit length next to the columns to keep, and the terms of their positions.
 
-    The vocabulary, at most ``max_features`` terms, is found first; the vectors then take no shuffle.
+    The vocabulary, at most ``max_features`` terms, is found first; the vectors then need no shuffle.
     They are checkpointed: clustering goes over them many times, and neither that nor the loss of an
     executor repeats the text work.
     """
-    counts = term_counts(docs, text, stop_words)
-    terms = vocabulary(counts, docs, max_features, min_df, max_df).orderBy("term").collect()
+    deal = is_in_few_files(docs)
+    in_use = vocabulary(docs, text, stop_words, max_features, min_df, max_df, deal)
+    terms = in_use.orderBy("term").collect()
     if not terms:
         raise ValueError("no term is frequent enough to describe the documents")
     names = [t["term"] for t in terms]
@@ -61,7 +62,8 @@ def text_features(
         scalingVec=Vectors.dense([t["idf"] for t in terms]), inputCol="tf", outputCol="tfidf"
     )
     unit = Normalizer(p=2.0, inputCol="tfidf", outputCol="features")
-    described = with_terms(docs.select(*keep, text), text, stop_words)
+    texts = docs.select(*keep, text)
+    described = with_terms(dealt(texts) if deal else texts, text, stop_words)
     vectors = unit.transform(scale.transform(counter.transform(described)))
     shared_dir(docs.sparkSession)
     return vectors.select(*keep, "features").checkpoint(), names

@@ -11,36 +11,46 @@ from caseloom.fixed_values import MAX_DF, MAX_FEATURES, MIN_DF, TOP_KEYWORDS
 from caseloom.functions.text import with_terms
 
 
-def term_counts(docs: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:
-    """How often each term occurs in each document: ``id, term, tf``.
+def dealt(docs: DataFrame) -> DataFrame:
+    """Documents dealt by id.
 
-    Texts are dealt by id before they are split into terms. All that follows per document, counting
-    and scaling, then happens in place: the many terms are never shuffled, only the texts are.
+    Over a set number of partitions: sized by the texts alone they would be too few for the terms.
     """
-    # A set number of partitions: sized by the texts alone they would be too few for the terms.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("id", text).repartition(parts, "id")
-    # The outer form, as the plain one would also make the terms for a filter on their number.
-    terms = with_terms(dealt, text, stop_words).select("id", F.explode_outer("terms").alias("term"))
-    return terms.where(F.col("term").isNotNull()).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+
+
+def is_in_few_files(docs: DataFrame) -> bool:
+    """Whether reading alone would leave cores idle; a large table is better left where it is."""
+    return len(docs.inputFiles()) < docs.sparkSession.sparkContext.defaultParallelism
 
 
 def vocabulary(
-    counts: DataFrame,
     docs: DataFrame,
+    text: str,
+    stop_words: Sequence[str],
     max_features: int | None = MAX_FEATURES,
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
+    deal: bool | None = None,
 ) -> DataFrame:
     """The terms in use, with their inverse document frequency: ``term, df, total, idf``.
 
     Terms of at least ``min_df`` documents and at most a share ``max_df`` of them; of those the
-    ``max_features`` most frequent.
+    ``max_features`` most frequent. Each document gives all its terms, and once more the distinct ones, so
+    both counts come from one aggregation by term, summed up in the tasks before the shuffle. Texts need
+    not move for that; with ``deal`` they are dealt by id first, by default only from a few files.
     """
+    deal = is_in_few_files(docs) if deal is None else deal
+    texts = docs.select("id", text)
+    terms = with_terms(dealt(texts) if deal else texts, text, stop_words)
+    # Outer explodes, as plain ones would also make the terms for a filter on their number.
+    twice = F.posexplode_outer(F.array("terms", F.array_distinct("terms"))).alias("_first", "_terms")
+    each = terms.select(twice).select("_first", F.explode_outer("_terms").alias("term"))
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     found = (
-        counts.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+        each.where(F.col("term").isNotNull())
+        .groupBy("term")
+        .agg(F.sum("_first").alias("df"), F.sum(1 - F.col("_first")).alias("total"))
         .withColumn("_n", n_docs)
         .where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("_n")))
     )
@@ -60,13 +70,19 @@ def weights(
 ) -> DataFrame:
     """TF-IDF weights, every document scaled to length one: ``id, term, weight``.
 
-    Documents without a term in use have no rows.
+    Texts are dealt by id once, for the vocabulary and the counts alike. Counting and scaling happen where
+    the texts then are: the many terms are never shuffled. Documents without a term in use have no rows.
     """
-    counts = term_counts(docs, text, stop_words)
-    terms = vocabulary(counts, docs, max_features, min_df, max_df).select("term", "idf")
-    # No more than max_features rows; without that bound Spark chooses the join.
-    terms = F.broadcast(terms) if max_features is not None else terms
-    raw = counts.join(terms, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("_w"))
+    in_use = vocabulary(docs, text, stop_words, max_features, min_df, max_df, deal=True).select("term", "idf")
+    split = with_terms(dealt(docs.select("id", text)), text, stop_words)
+    terms = split.select("id", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
+    tf = F.count(F.lit(1)).alias("tf")
+    if max_features is None:
+        counts = terms.groupBy("id", "term").agg(tf).join(in_use, "term")
+    else:
+        # No more than max_features rows, so terms not in use drop before they are counted.
+        counts = terms.join(F.broadcast(in_use), "term").groupBy("id", "term", "idf").agg(tf)
+    raw = counts.select("id", "term", (F.col("tf") * F.col("idf")).alias("_w"))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("id")))
     return raw.select("id", "term", (F.col("_w") / length).alias("weight"))
 

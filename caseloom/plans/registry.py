@@ -333,9 +333,8 @@ def ngrams(spark, folder):
 
 @query
 def vocabulary(spark, folder):
-    docs = _texts(spark, folder)
-    counts = tfidf.term_counts(docs, "cluster_text", text.default_stop_words())
-    return tfidf.vocabulary(counts, docs).withColumn("idf", F.round("idf", 6))
+    found = tfidf.vocabulary(_texts(spark, folder), "cluster_text", text.default_stop_words())
+    return found.withColumn("idf", F.round("idf", 6))
 
 
 @query

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import statistics
 
 import numpy as np
@@ -109,8 +110,6 @@ def test_filters(spark):
 
 
 def plain_tfidf(texts, min_df, max_df, max_features):
-    import re
-
     docs = []
     for said in texts:
         words = re.findall(r"\w\w+", said.lower())
@@ -119,7 +118,7 @@ def plain_tfidf(texts, min_df, max_df, max_features):
     df = {w: sum(w in d for d in docs) for w in vocabulary}
     total = {w: sum(d.count(w) for d in docs) for w in vocabulary}
     kept = [w for w in vocabulary if min_df <= df[w] <= max_df * len(docs)]
-    kept = sorted(kept, key=lambda w: (-total[w], w))[:max_features]
+    kept = sorted(kept, key=lambda w: (-total[w], w))[:max_features]  # all where it is None
     weights = {}
     for i, d in enumerate(docs):
         raw = {w: d.count(w) * (math.log((1 + len(docs)) / (1 + df[w])) + 1) for w in kept if w in d}
@@ -134,7 +133,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("features", [4, 2000])
+@pytest.mark.parametrize("features", [4, 2000, None])
 def test_tfidf_equals_plain_python(spark, features):
     df = spark.createDataFrame([(str(i), x) for i, x in enumerate(TEXTS)], "id string, text string")
     got = {(r["id"], r["term"]): r["weight"] for r in tfidf.weights(df, "text", [], features, 2, 0.4).collect()}
@@ -143,8 +142,12 @@ def test_tfidf_equals_plain_python(spark, features):
 
 def test_terms_are_counted_without_shuffling_them(spark):
     df = spark.createDataFrame([(str(i), x) for i, x in enumerate(TEXTS)], "id string, text string")
-    plan = tfidf.term_counts(df, "text", [])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+    plan = tfidf.weights(df, "text", [])._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(id#\d+, \d+\), REPARTITION_BY_NUM", plan)
+    counted = re.findall(r"Exchange hashpartitioning\(term#", plan)
+    assert len(dealt) == 2  # one and the same, made once
+    assert len(counted) == 1  # the partial counts of the vocabulary
+    assert plan.count("Exchange hashpartitioning") == 3
 
 
 def test_vectors_hold_the_weights(spark):
