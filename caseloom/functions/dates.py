@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# --- fixed values: date formats read besides the ISO one, month first ---
+DATE_FORMATS = ["M/d/yyyy[ H:mm[:ss]]"]
+
 
 def parsed(text: Column) -> Column:
-    return F.try_to_timestamp(F.nullif(text, F.lit("")))
+    present = F.nullif(text, F.lit(""))
+    others = [F.try_to_timestamp(present, F.lit(f)) for f in DATE_FORMATS]
+    return F.coalesce(F.try_to_timestamp(present), *others)
 
 
 def is_bad_date(text: Column) -> Column:

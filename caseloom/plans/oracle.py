@@ -65,7 +65,7 @@ def on_tickets(select: str, more: str = "") -> str:
     return f"WITH {TICKETS}{more} {select}"
 
 
-def scored(limit: int | None) -> str:
+def scored(limit: int | None, but: str = "query_id <> id") -> str:
     """Candidates, the usable ones with their vectors, and all their scores."""
     newest = f"ORDER BY ts DESC, id DESC LIMIT {limit}" if limit else ""
     return f""",
@@ -75,12 +75,12 @@ q AS (SELECT CAST(vec_id AS VARCHAR) AS query_id, embedding FROM embeddings),
 s AS (
   SELECT query_id, id, ts,
     round(coalesce(list_cosine_similarity(q.embedding::DOUBLE[], u.embedding::DOUBLE[]), 0), 9) AS score
-  FROM q CROSS JOIN u WHERE query_id <> id
+  FROM q CROSS JOIN u WHERE {but}
 )"""
 
 
-def best(limit: int | None, threshold: float, k: int) -> str:
-    return scored(limit) + f""",
+def best(limit: int | None, threshold: float, k: int, but: str = "query_id <> id") -> str:
+    return scored(limit, but) + f""",
 h AS (
   SELECT query_id, id, score, row_number() OVER (
     PARTITION BY query_id ORDER BY score DESC, ts DESC, id DESC) AS rank
@@ -96,17 +96,17 @@ def similar(limit: int | None) -> str:
     )
 
 
-def recommend(limit: int | None) -> str:
+def recommend(limit: int | None, but: str = "query_id <> id") -> str:
     return on_tickets(
         f"""SELECT query_id, rank, ticket_number, summary, project, category, id,
   CASE WHEN {non_blank('latest_comments')} THEN latest_comments ELSE {text(v.NO_RESOLUTION)} END
     AS probable_resolution, round(score, 6) AS similarity_score FROM h JOIN c USING (id)""",
-        best(limit, 0.4, 3),
+        best(limit, 0.4, 3, but),
     )
 
 
-def context(limit: int | None, threshold: float, fallback: float) -> str:
-    return scored(limit) + f""",
+def context(limit: int | None, threshold: float, fallback: float, but: str = "query_id <> id") -> str:
+    return scored(limit, but) + f""",
 recent AS (SELECT id FROM c ORDER BY ts DESC, id DESC LIMIT 100),
 strict AS (SELECT query_id, id, ts, score, false AS is_fallback FROM s WHERE score >= {threshold}),
 loose AS (
@@ -248,7 +248,7 @@ FROM ({sampled('combined', 'd', v.BATCH_SAMPLES)})""",
     )
 
 
-def assistant_prompts() -> str:
+def assistant_prompts(found: str, more: str = "") -> str:
     incident = (
         f"{text(v.INCIDENT_HEAD)} || '- summary: ' || summary || {NL} || '- category: ' || category || {NL} || "
         f"'- priority: ' || priority || {NL}"
@@ -263,17 +263,21 @@ def assistant_prompts() -> str:
   || CASE WHEN with_incident THEN ''{gap}'system: ' || {incident} ELSE '' END
   {gap}'user: How to resolve ' || ticket_number || '?' AS messages,
   NOT focus AND context IS NOT NULL AS context_used,
-  CASE WHEN NOT focus THEN coalesce(context, {text(v.NO_CONTEXT_SUMMARY)}) END AS context_summary
+  CASE WHEN NOT focus THEN coalesce(context, {text(v.NO_CONTEXT_SUMMARY)}) END AS context_summary {more}
 FROM (
   SELECT id AS query_id, CASE WHEN id::BIGINT % 4 <> 3 THEN ticket_number END AS ticket_id,
     id::BIGINT % 2 = 1 AS focus, id::BIGINT % 3 <> 0 AS with_incident, summary, category, priority,
     ticket_number
   FROM t
 ) LEFT JOIN ({CONTEXT_TEXT}) USING (query_id)""",
-        context(None, 0.35, 0.1),
+        found,
     )
 
 
+PROCESSED = """, CASE WHEN NOT focus AND query_id IN (SELECT query_id FROM q)
+  THEN (SELECT count(*) FROM c) ELSE 0 END AS incidents_processed"""
+
+
 def link(number: str) -> str:
     token = f"left(sha256({number} || '-{NOW}-{ACCESS_KEY}'), 32)"
     return f"'{BASE_URL}/direct-ticket/' || {number} || '/' || {token}"
@@ -512,7 +516,10 @@ FROM t"""
         "category_report": category_report(),
         "category_batch_prompts": batch_prompts(),
         "context_prompts": on_tickets(CONTEXT_TEXT, context(None, 0.35, 0.1)),
-        "assistant_prompts": assistant_prompts(),
+        "assistant_prompts": assistant_prompts(context(None, 0.35, 0.1)),
+        "ask_assistant": assistant_prompts(context(300, 0.5, 0.3, "true"), PROCESSED),
+        "ask_assistant_all": assistant_prompts(context(None, 0.5, 0.3, "true"), PROCESSED),
+        "recommend_for_incidents": recommend(300, "true"),
         "search_texts": on_tickets(
             f"""SELECT id AS query_id, CASE WHEN id::BIGINT % 5 <> 4 AND {non_blank('x')} THEN x END AS search_text
 FROM (SELECT id, CASE WHEN id::BIGINT % 3 <> 0 THEN summary || ' ' || latest_comments ELSE category END AS x FROM t)"""

@@ -21,7 +21,7 @@ from caseloom.functions.messages import arrived, command_argument, topic
 from caseloom.functions.vectors import cosine, hash_embed, norm
 from caseloom.operators import clustering, metrics, neighbours, prompts, scans, similarity, tfidf
 from caseloom.operators.joins import attach_embeddings, embed_once
-from caseloom.plans import reports
+from caseloom.plans import reports, searches
 from caseloom.session import run_dir
 from caseloom.sources import readers, sample_tables, sinks
 from caseloom.sources.sample_tables import (
@@ -405,26 +405,68 @@ def context_prompts(spark, folder):
     return prompts.context_texts(_context(spark, folder, None, 0.35, 0.1))
 
 
-@query
-def assistant_prompts(spark, folder):
+def _questions(spark, folder):
+    """A question about every ticket: some with its fields, some about nothing else."""
     number = F.col("id").cast("long")
     incident = F.create_map(
         F.lit("summary"), F.col("summary"), F.lit("category"), F.col("category"),
         F.lit("priority"), F.col("priority"),
     )
-    questions = tickets(spark, folder).select(
+    return tickets(spark, folder).select(
         F.col("id").alias("query_id"),
         F.concat(F.lit("How to resolve "), F.col("ticket_number"), F.lit("?")).alias("query"),
         F.when(number % 4 != 3, F.col("ticket_number")).alias("ticket_id"),
         (number % 2 == 1).alias("focus_on_ticket_only"),
         F.when(number % 3 != 0, incident).alias("incident"),
     )
-    contexts = prompts.context_texts(_context(spark, folder, None, 0.35, 0.1))
-    asked = prompts.assistant_prompts(prompts.search_texts(questions), contexts)
+
+
+def _with_shown_messages(prompts_):
     shown = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
-    return asked.select(
-        "query_id", "ticket_id", F.array_join(shown, "\n--\n").alias("messages"), "context_used", "context_summary"
+    return prompts_.withColumn("messages", F.array_join(shown, "\n--\n"))
+
+
+@query
+def assistant_prompts(spark, folder):
+    contexts = prompts.context_texts(_context(spark, folder, None, 0.35, 0.1))
+    return _with_shown_messages(prompts.assistant_prompts(_questions(spark, folder), contexts))
+
+
+def _by_id(spark, folder):
+    """Embeds a query by the vector of the ticket it is about."""
+    vectors = embeddings(spark, folder).select(F.col("id").alias("query_id"), "embedding")
+    return lambda df, column: df.join(vectors, "query_id", "left")
+
+
+@query
+def ask_assistant(spark, folder):
+    candidates = similarity.Candidates.of(embedded_tickets(spark, folder))
+    return _with_shown_messages(searches.ask(_questions(spark, folder), candidates, _by_id(spark, folder)))
+
+
+@query
+def ask_assistant_all(spark, folder):
+    candidates = similarity.Candidates.of(embedded_tickets(spark, folder), None)
+    return _with_shown_messages(searches.ask(_questions(spark, folder), candidates, _by_id(spark, folder)))
+
+
+@query
+def recommend_for_incidents(spark, folder):
+    candidates = similarity.Candidates.of(embedded_tickets(spark, folder))
+    incidents = tickets(spark, folder).select(
+        F.col("id").alias("query_id"), "summary", F.col("latest_comments").alias("description")
     )
+    found = searches.recommend_for(incidents, candidates, _by_id(spark, folder))
+    return found.select("query_id", "rank", "ticket_info.*", "probable_resolution", _score("similarity_score"))
+
+
+@query
+def similar_to_texts(spark, folder):
+    """Documents searched for by their whole texts, with hashed vectors."""
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    newest = scans.recent(tickets(spark, folder))
+    candidates = similarity.Candidates.of(hash_embed(newest, "summary"))
+    return searches.similar_to(texts, candidates).select("query_id", "rank", "id", _score("similarity_score"))
 
 
 @query

@@ -19,13 +19,23 @@ def make(spark, rows, schema):
     return as_tickets(spark.createDataFrame(rows, schema))
 
 
+DATES = {
+    "": (None, False),
+    "2024-13-01": (None, True),
+    "2024-03-01 10:00:00": ("2024-03-01 10:00:00", False),
+    None: (None, False),
+    "soon": (None, True),
+    "2024-02-29": ("2024-02-29 00:00:00", False),
+    "3/1/2024 9:05": ("2024-03-01 09:05:00", False),
+    "12/31/2024": ("2024-12-31 00:00:00", False),
+    "31/12/2024": (None, True),
+}
+
+
 def test_dates(spark):
-    df = spark.createDataFrame(
-        [("",), ("2024-13-01",), ("2024-03-01 10:00:00",), (None,), ("soon",), ("2024-02-29",)], "x string"
-    ).coalesce(1)
-    got = df.select(parsed(F.col("x")).cast("string").alias("d"), is_bad_date(F.col("x")).alias("b")).collect()
-    assert [r["d"] for r in got] == [None, None, "2024-03-01 10:00:00", None, None, "2024-02-29 00:00:00"]
-    assert [r["b"] for r in got] == [False, True, False, False, True, False]
+    df = spark.createDataFrame([(x,) for x in DATES], "x string").coalesce(1)
+    got = df.select("x", parsed(F.col("x")).cast("string").alias("d"), is_bad_date(F.col("x")).alias("b")).collect()
+    assert {r["x"]: (r["d"], r["b"]) for r in got} == DATES
 
 
 def test_resolution_metrics(spark):
