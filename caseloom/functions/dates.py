@@ -15,9 +15,9 @@ def parsed(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(present), *others)
 
 
-def is_bad_date(text: Column) -> Column:
-    """True where a text is present but cannot be read as a date."""
-    return (F.coalesce(text, F.lit("")) != "") & parsed(text).isNull()
+def is_bad_date(text: Column, moment: Column) -> Column:
+    """True where a text is present but was not read as a date."""
+    return (F.coalesce(text, F.lit("")) != "") & moment.isNull()
 
 
 def micros_between(start: Column, end: Column) -> Column:

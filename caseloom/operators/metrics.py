@@ -142,7 +142,8 @@ def resolution_metrics(tickets: DataFrame, keys: Sequence[str]) -> DataFrame:
     many tickets had such a text. Of months tied for busiest the earliest counts.
     """
     timed = with_times(tickets)
-    bad = is_bad_date(F.col("date_submitted")) | is_bad_date(F.col("resolution_date"))
+    bad = is_bad_date(F.col("date_submitted"), F.col("submitted"))
+    bad |= is_bad_date(F.col("resolution_date"), F.col("resolved"))
     micros = F.col("resolution_micros")
     plain = timed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("size"),

@@ -34,7 +34,8 @@ DATES = {
 
 def test_dates(spark):
     df = spark.createDataFrame([(x,) for x in DATES], "x string").coalesce(1)
-    got = df.select("x", parsed(F.col("x")).cast("string").alias("d"), is_bad_date(F.col("x")).alias("b")).collect()
+    read = df.withColumn("d", parsed(F.col("x")))
+    got = read.select("x", F.col("d").cast("string"), is_bad_date(F.col("x"), F.col("d")).alias("b")).collect()
     assert {r["x"]: (r["d"], r["b"]) for r in got} == DATES
 
 
