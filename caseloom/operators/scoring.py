@@ -73,6 +73,9 @@ class Block(NamedTuple):
         newest = table.sort_by([("ts", "descending"), ("id", "descending")])
         return cls(_values(newest["id"]), _values(newest["ts"]), unit_rows(newest["embedding"]))
 
+    def part(self, rows: np.ndarray | slice) -> Block:
+        return Block(self.ids[rows], None if self.ts is None else self.ts[rows], self.matrix[rows])
+
     @classmethod
     def of_queries(cls, table: pa.Table) -> Block:
         return cls(_values(table["query_id"]), None, unit_rows(table["query_vec"]))
@@ -189,6 +192,32 @@ def top_k_of_block(
     return wanted.mapInArrow(score, schema)
 
 
+def top_k_or_recent_of_block(
+    queries: DataFrame, tickets: pa.Table, ticket_schema: T.StructType, strict: Rule, loose: Rule, recent: int
+) -> DataFrame:
+    """Best tickets of a small ticket table per query by the strict rule; for a query with none, those that
+    the loose rule picks among the ``recent`` newest, ranked by score. Map-only, every pair scored once."""
+    held = queries.sparkSession.sparkContext.broadcast(tuple(Block.of_tickets(tickets)))
+    schema = T.StructType([
+        *hit_schema(queries.schema, ticket_schema).fields, T.StructField("is_fallback", T.BooleanType()),
+    ])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        newest_first = Block(*held.value)
+        for batch in batches:
+            asking = Block.of_queries(pa.Table.from_batches([batch]))
+            hits = top_hits(asking, newest_first, strict).assign(is_fallback=False)
+            left = asking.part(~np.isin(asking.ids, hits["query_id"].to_numpy()))
+            others = top_hits(left, newest_first.part(slice(0, recent)), loose).assign(is_fallback=True)
+            others = others.sort_values(["query_id", "score", "rank"], ascending=[True, False, True])
+            others["rank"] = others.groupby("query_id").cumcount() + 1
+            for found in (hits, others):
+                yield from _to_arrow(found, schema).to_batches()
+
+    wanted = queries.select("query_id", "query_vec").where(F.size("query_vec") > 0)
+    return wanted.mapInArrow(score, schema)
+
+
 def _stream_tickets(block: pa.Table, queries: DataFrame, tickets: DataFrame, rule: Rule) -> DataFrame:
     held = queries.sparkSession.sparkContext.broadcast(tuple(Block.of_queries(block)))
     schema = hit_schema(queries.schema, tickets.schema)
@@ -254,10 +283,10 @@ def hit_schema(queries: T.StructType, tickets: T.StructType) -> T.StructType:
 
 
 def _to_arrow(hits: pd.DataFrame, schema: T.StructType) -> pa.Table:
-    # --- fixed values: Arrow types of the id types in use ---
+    # --- fixed values: Arrow types of the types in use ---
     types = {
-        T.StringType(): pa.string(), T.LongType(): pa.int64(),
-        T.IntegerType(): pa.int32(), T.DoubleType(): pa.float64(),
+        T.StringType(): pa.string(), T.LongType(): pa.int64(), T.IntegerType(): pa.int32(),
+        T.DoubleType(): pa.float64(), T.BooleanType(): pa.bool_(),
     }
     fields = [pa.field(f.name, types[f.dataType]) for f in schema]
     return pa.table(

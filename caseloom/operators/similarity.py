@@ -33,6 +33,7 @@ from caseloom.operators.scoring import (
     Rule,
     top_k,
     top_k_of_block,
+    top_k_or_recent_of_block,
 )
 from caseloom.sources.schema import CANDIDATE_COLUMNS
 
@@ -68,11 +69,20 @@ class Candidates:
         self, queries: DataFrame, rule: Rule, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS
     ) -> Found:
         """Best hits per query."""
-        usable = self.tickets.where(non_blank(F.col("summary")) & (F.size("embedding") > 0))
+        usable = _usable(self.tickets)
         if self.newest is None:
             return top_k(queries, usable, rule, block_rows, cell_rows)
         return Found(top_k_of_block(queries, usable.toArrow(), usable.schema, rule), False)
 
+    def scored_or_recent(self, queries: DataFrame, strict: Rule, loose: Rule, recent: int) -> DataFrame:
+        """Best hits per query among tickets fetched already; see ``top_k_or_recent_of_block``."""
+        usable = _usable(self.tickets)
+        # Tickets that cannot be scored count among the newest all the same.
+        scored_recent = _usable(self.first(recent).tickets).count()
+        return top_k_or_recent_of_block(
+            queries, usable.toArrow(), usable.schema, strict, loose, scored_recent
+        )
+
     def described(self, hits: DataFrame, few: bool) -> DataFrame:
         """Hits with the columns of their tickets.
 
@@ -85,6 +95,10 @@ class Candidates:
         return (F.broadcast(hits) if few else hits).join(tickets, "id")
 
 
+def _usable(tickets: DataFrame) -> DataFrame:
+    return tickets.where(non_blank(F.col("summary")) & (F.size("embedding") > 0))
+
+
 def hits(
     candidates: Candidates, queries: DataFrame, threshold: float, k: int, exclude_self: bool = False
 ) -> DataFrame:
@@ -136,26 +150,38 @@ def context(
     A query with none takes the first ``k`` of the newest ``fallback_recent`` tickets that reach the
     lower threshold, newest first. Either way they are then ranked by score.
     """
-    strict = candidates.scored(queries, Rule(threshold, k, exclude_self=exclude_self))
-    newest = candidates.first(fallback_recent)
-    loose = newest.scored(queries, Rule(fallback_threshold, k, BY_RECENCY, exclude_self))
+    strict = Rule(threshold, k, exclude_self=exclude_self)
+    loose = Rule(fallback_threshold, k, BY_RECENCY, exclude_self)
+    if candidates.newest is not None:
+        chosen, few = candidates.scored_or_recent(queries, strict, loose, fallback_recent), False
+    else:
+        chosen, few = _best_or_recent(candidates, queries, strict, loose, fallback_recent)
+    return candidates.described(chosen, few).select(
+        "query_id", "rank", "is_fallback", "id",
+        F.coalesce("ticket_number", F.lit(NOT_AVAILABLE)).alias("ticket"),
+        F.substring("summary", 1, CONTEXT_SUMMARY_CHARS).alias("summary"),
+        F.substring(F.coalesce("latest_comments", F.lit(NOT_AVAILABLE)), 1, CONTEXT_RESOLUTION_CHARS)
+        .alias("resolution"),
+        F.coalesce("category", F.lit(NOT_AVAILABLE)).alias("category"),
+        F.col("score").alias("similarity"),
+    )
+
+
+def _best_or_recent(
+    candidates: Candidates, queries: DataFrame, strict: Rule, loose: Rule, recent: int
+) -> tuple[DataFrame, bool]:
+    """Both searches for all queries, then per query the strict hits if there are any."""
+    best = candidates.scored(queries, strict)
+    newest = candidates.first(recent).scored(queries, loose)
     # At most 2k rows per query meet here.
     per_query = Window.partitionBy("query_id")
     by_score = per_query.orderBy(F.desc("score"), F.desc("ts"), F.desc("id"))
     chosen = (
-        strict.hits.withColumn("is_fallback", F.lit(False))
-        .unionByName(loose.hits.withColumn("is_fallback", F.lit(True)))
+        best.hits.withColumn("is_fallback", F.lit(False))
+        .unionByName(newest.hits.withColumn("is_fallback", F.lit(True)))
         .withColumn("_strict_found", F.bool_or(~F.col("is_fallback")).over(per_query))
         .where(F.col("is_fallback") != F.col("_strict_found"))
         .withColumn("rank", F.row_number().over(by_score))
         .drop("_strict_found")
     )
-    return candidates.described(chosen, strict.few).select(
-        "query_id", "rank", "is_fallback", "id",
-        F.coalesce("ticket_number", F.lit(NOT_AVAILABLE)).alias("ticket"),
-        F.substring("summary", 1, CONTEXT_SUMMARY_CHARS).alias("summary"),
-        F.substring(F.coalesce("latest_comments", F.lit(NOT_AVAILABLE)), 1, CONTEXT_RESOLUTION_CHARS)
-        .alias("resolution"),
-        F.coalesce("category", F.lit(NOT_AVAILABLE)).alias("category"),
-        F.col("score").alias("similarity"),
-    )
+    return chosen, best.few

@@ -143,6 +143,21 @@ def test_context_and_its_fallback(corpus, queries, vectors, limit, high):
     assert rows(got) == brute_context(vectors, high, 0.3, 60)
 
 
+def test_unusable_tickets_count_among_the_newest(spark):
+    rows_ = [("old", 1, "an old ticket", "", [1.0, 0.9]), ("new", 2, "a new ticket", "", [1.0, 0.8])]
+    rows_ += [(f"n{i:03d}", 10 + i, "without vector", "", None) for i in range(99)]
+    tickets = make_tickets(spark, rows_)
+    asked = make_queries(spark, [("q", [1.0, -0.4])])
+    for limit in (300, None):
+        found = similarity.context(similarity.Candidates.of(tickets, limit), asked, 0.9)
+        assert [(r["id"], r["rank"], r["is_fallback"]) for r in found.collect()] == [("new", 1, True)]
+
+
+def test_context_of_held_tickets_is_map_only(corpus, queries):
+    found = similarity.context(similarity.Candidates.of(corpus, 300), queries)
+    assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fallback_ignores_older_hits(spark):
     old = [("old", 1, "an old ticket", "", [1.0, 0.9])]
     new = [(f"n{i:03d}", 10 + i, "a new ticket", "", [0.0, -1.0]) for i in range(100)]
