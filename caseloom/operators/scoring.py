@@ -25,6 +25,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,6 +62,14 @@ def unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)[:, None]
 
 
+def with_vector(table: pa.Table, column: str) -> pa.Table:
+    """The rows that have a vector.
+
+    Left to the tasks, as a filter of Spark's would compute a vector once more that is made on the way.
+    """
+    return table.filter(pc.greater(pc.list_value_length(table[column]), 0))
+
+
 class Block(NamedTuple):
     """Vectors with their ids, tickets newest first."""
 
@@ -70,7 +79,7 @@ class Block(NamedTuple):
 
     @classmethod
     def of_tickets(cls, table: pa.Table) -> Block:
-        newest = table.sort_by([("ts", "descending"), ("id", "descending")])
+        newest = with_vector(table, "embedding").sort_by([("ts", "descending"), ("id", "descending")])
         return cls(_values(newest["id"]), _values(newest["ts"]), unit_rows(newest["embedding"]))
 
     def part(self, rows: np.ndarray | slice) -> Block:
@@ -78,6 +87,7 @@ class Block(NamedTuple):
 
     @classmethod
     def of_queries(cls, table: pa.Table) -> Block:
+        table = with_vector(table, "query_vec")
         return cls(_values(table["query_id"]), None, unit_rows(table["query_vec"]))
 
 
@@ -155,8 +165,8 @@ def top_k(
     ``queries`` has ``query_id, query_vec`` and ``tickets`` has ``id, ts, embedding``; ids are
     unique on either side. Rows without a vector take no part.
     """
-    tickets = tickets.select("id", "ts", "embedding").where(F.size("embedding") > 0)
-    queries = queries.select("query_id", "query_vec").where(F.size("query_vec") > 0)
+    tickets = tickets.select("id", "ts", "embedding")
+    queries = queries.select("query_id", "query_vec")
     block = bounded(queries, block_rows)
     if block is not None:
         return Found(_stream_tickets(block, queries, tickets, rule), True)
@@ -188,8 +198,7 @@ def top_k_of_block(
             block = Block.of_queries(pa.Table.from_batches([batch]))
             yield from _to_arrow(top_hits(block, Block(*held.value), rule), schema).to_batches()
 
-    wanted = queries.select("query_id", "query_vec").where(F.size("query_vec") > 0)
-    return wanted.mapInArrow(score, schema)
+    return queries.select("query_id", "query_vec").mapInArrow(score, schema)
 
 
 def top_k_or_recent_of_block(
@@ -214,8 +223,7 @@ def top_k_or_recent_of_block(
             for found in (hits, others):
                 yield from _to_arrow(found, schema).to_batches()
 
-    wanted = queries.select("query_id", "query_vec").where(F.size("query_vec") > 0)
-    return wanted.mapInArrow(score, schema)
+    return queries.select("query_id", "query_vec").mapInArrow(score, schema)
 
 
 def _stream_tickets(block: pa.Table, queries: DataFrame, tickets: DataFrame, rule: Rule) -> DataFrame:

@@ -78,7 +78,7 @@ class Candidates:
         """Best hits per query among tickets fetched already; see ``top_k_or_recent_of_block``."""
         usable = _usable(self.tickets)
         # Tickets that cannot be scored count among the newest all the same.
-        scored_recent = _usable(self.first(recent).tickets).count()
+        scored_recent = _usable(self.first(recent).tickets).where(F.size("embedding") > 0).count()
         return top_k_or_recent_of_block(
             queries, usable.toArrow(), usable.schema, strict, loose, scored_recent
         )
@@ -96,7 +96,7 @@ class Candidates:
 
 
 def _usable(tickets: DataFrame) -> DataFrame:
-    return tickets.where(non_blank(F.col("summary")) & (F.size("embedding") > 0))
+    return tickets.where(non_blank(F.col("summary")))
 
 
 def hits(

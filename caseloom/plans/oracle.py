@@ -5,7 +5,15 @@ from __future__ import annotations
 from caseloom import fixed_values as v
 from caseloom.functions.links import BASE_16
 from caseloom.functions.text import SPACE, TOKEN
-from caseloom.plans.registry import ACCESS_KEY, BASE_URL, LOADED_AT, LOOKED_UP, NOW, SEARCHED
+from caseloom.plans.registry import (
+    ACCESS_KEY,
+    BASE_URL,
+    LETTERS,
+    LOADED_AT,
+    LOOKED_UP,
+    NOW,
+    SEARCHED,
+)
 from caseloom.sources.sample_tables import OPENINGS
 
 # --- fixed values: Spark's English stop words ---
@@ -354,6 +362,52 @@ SELECT message_id, intent, CASE intent
   WHEN 'fallback_similar' THEN x END AS search_text FROM i"""
 
 
+def letters(expression: str) -> str:
+    return (
+        f"list_transform({texts(LETTERS)}, lambda a: length(lower({expression})) - "
+        f"length(replace(lower({expression}), a, '')))::DOUBLE[]"
+    )
+
+
+def by_letters(queries: str) -> str:
+    """Scores of query texts, ``query_id, x``, against the newest tickets."""
+    return f""",
+c AS (SELECT * FROM t WHERE length(summary) > 5 ORDER BY ts DESC, id DESC LIMIT 300),
+u AS (SELECT id, ts, {letters('summary')} AS e FROM c WHERE {non_blank('summary')}),
+q AS (SELECT query_id, {letters('x')} AS e FROM ({queries}) WHERE {non_blank('x')}),
+s AS (
+  SELECT query_id, id, ts, CASE WHEN isnan(score) THEN 0 ELSE score END AS score FROM (
+    SELECT query_id, id, ts, round(coalesce(list_cosine_similarity(q.e, u.e), 0), 9) AS score FROM q CROSS JOIN u
+  )
+),
+h AS (
+  SELECT query_id, id, score, row_number() OVER (
+    PARTITION BY query_id ORDER BY score DESC, ts DESC, id DESC) AS rank
+  FROM s WHERE score >= 0.3 QUALIFY rank <= 5
+)"""
+
+
+def answered_by_letters() -> str:
+    cells = f"{fixed('score * 100', 1)} || '%|'"
+    similar_reply = replies(
+        v.SIMILAR_TITLE, v.SCORED_TABLE_HEAD, cells,
+        "h JOIN c USING (id) JOIN m ON m.message_id = query_id "
+        "WHERE m.intent IN ('similar_command', 'similar')", "query_id",
+    )
+    recommend_reply = replies(
+        v.RECOMMENDED_TITLE, v.SCORED_TABLE_HEAD, cells,
+        "(SELECT * FROM h WHERE score >= 0.4 AND rank <= 3) JOIN c USING (id) JOIN m ON m.message_id = query_id "
+        "WHERE m.intent IN ('recommend_command', 'recommend')", "query_id",
+    )
+    asked = "SELECT message_id AS query_id, search_text AS x FROM m WHERE search_text IS NOT NULL"
+    return on_tickets(
+        f"""SELECT message_id, intent, reply FROM m LEFT JOIN (
+  {similar_reply} UNION ALL {recommend_reply}
+) ON query_id = message_id""",
+        f", m AS ({routed('chat')})" + by_letters(asked),
+    )
+
+
 CENTROIDS = """WITH m AS (
   SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, len(embedding) + 1) r(i) GROUP BY ALL
 ), c AS (SELECT label, list(x ORDER BY i) AS centroid FROM m GROUP BY label)"""
@@ -519,6 +573,11 @@ FROM t"""
         "assistant_prompts": assistant_prompts(context(None, 0.35, 0.1)),
         "ask_assistant": assistant_prompts(context(300, 0.5, 0.3, "true"), PROCESSED),
         "ask_assistant_all": assistant_prompts(context(None, 0.5, 0.3, "true"), PROCESSED),
+        "similar_to_texts_by_letters": on_tickets(
+            "SELECT query_id, rank, id, round(score, 6) AS similarity_score FROM h",
+            by_letters("SELECT doc_id AS query_id, text AS x FROM documents"),
+        ),
+        "answered_messages_by_letters": answered_by_letters(),
         "recommend_for_incidents": recommend(300, "true"),
         "search_texts": on_tickets(
             f"""SELECT id AS query_id, CASE WHEN id::BIGINT % 5 <> 4 AND {non_blank('x')} THEN x END AS search_text
