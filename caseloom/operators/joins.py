@@ -43,7 +43,8 @@ def embed_once(
 
     ``embed`` takes a table and the name of its text column and adds ``embedding``; a model is
     plugged in here. ``max_chars`` cuts the text for models that have such a limit. The text itself
-    is shuffled once, to find the distinct ones; the join back goes by its SHA-256.
+    is shuffled once, to find the distinct ones; the join back goes by its SHA-256. Blank texts drop.
+    Texts the model gives no vector for keep a null: a filter here would run the model once more.
     """
     said = F.col(text) if max_chars is None else F.substring(text, 1, max_chars)
     keyed = docs.withColumn("text_key", F.sha2(said, 256))
@@ -52,5 +53,5 @@ def embed_once(
         .groupBy("text_key")
         .agg(F.any_value(said).alias("_text"), F.count(F.lit(1)).alias("copies"))
     )
-    embedded = embed(distinct, "_text").where(F.col("embedding").isNotNull()).drop("_text")
+    embedded = embed(distinct, "_text").drop("_text")
     return salted_join(keyed, embedded, "text_key", F.col(key))

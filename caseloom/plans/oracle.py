@@ -499,6 +499,8 @@ def oracle_sql() -> dict[str, str]:
 FROM documents WHERE {non_blank('text')} UNION ALL
 SELECT doc_id, NULL FROM documents WHERE NOT {non_blank('text')}""",
         "kmeans_coverage": on_tickets("SELECT count(*) AS tickets, count(DISTINCT id) AS ids, 5 AS clusters FROM t"),
+        "pca_2d_moments": on_tickets("""SELECT count(*) AS tickets, 0.0::DOUBLE AS mean_x, 0.0::DOUBLE AS mean_y,
+  0.0::DOUBLE AS correlation, true AS in_order FROM t"""),
         "assign_centroid": CENTROIDS + """, d AS (
   SELECT vec_id, label, sqrt(greatest(round(
     list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::DOUBLE - centroid[i]) ** 2)), 9), 0)) AS distance

@@ -695,3 +695,15 @@ def cluster_report(spark, folder):
 def pca_2d(spark, folder):
     features, _ = clustering.text_features(_texts(spark, folder), "cluster_text", text.default_stop_words())
     return clustering.project_2d(features)
+
+
+@query
+def pca_2d_moments(spark, folder):
+    """The coordinates are centred and uncorrelated, and the first spreads the most."""
+    found = pca_2d(spark, folder)
+    return found.agg(
+        F.count(F.lit(1)).alias("tickets"),
+        F.abs(F.round(F.avg("x"), 6)).alias("mean_x"), F.abs(F.round(F.avg("y"), 6)).alias("mean_y"),
+        F.abs(F.round(F.corr("x", "y"), 6)).alias("correlation"),
+        (F.stddev("x") >= F.stddev("y")).alias("in_order"),
+    )
