@@ -46,24 +46,30 @@ def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame |
         return None
 
 
+def insert_absent(new: DataFrame, path: str, key: str, first: list[Column]) -> int:
+    """Append the rows whose key a stored table does not hold, one per key; returns how many."""
+    present = stored(new.sparkSession, path, new.schema)
+    rows = one_per_key(new, key, first) if present is None else absent_from(new, present, key, first)
+    return append(rows.select(*new.columns), path)
+
+
 def append_once(tickets: DataFrame, path: str) -> int:
     """Append the tickets a stored table does not hold yet; returns the number of rows written."""
-    rows = with_content_id(tickets)
-    present = stored(tickets.sparkSession, path, rows.schema)
-    if present is None:
-        return _append(one_per_key(rows, "id", [F.col("ts")]), path)
-    return _append(absent_from(rows, present, "id", [F.col("ts")]), path)
+    return insert_absent(with_write_time(with_content_id(tickets)), path, "id", [F.col("ts")])
 
 
 def append_all(tickets: DataFrame, path: str) -> int:
     """Append all tickets under fresh ids; returns the number of rows written."""
-    return _append(with_new_id(tickets), path)
+    return append(with_write_time(with_new_id(tickets)), path)
+
+
+def with_write_time(tickets: DataFrame) -> DataFrame:
+    """The time of writing, in epoch seconds, for tickets that bring no time of their own."""
+    return tickets.withColumn("ts", F.coalesce("ts", F.unix_timestamp()))
 
 
-def _append(rows: DataFrame, path: str) -> int:
-    """Write rows, with the time of writing where they bring no time of their own."""
+def append(rows: DataFrame, path: str) -> int:
     seen = Observation("append")
-    rows = rows.withColumn("ts", F.coalesce("ts", F.unix_timestamp()))
     rows.observe(seen, F.count(F.lit(1)).alias("written")).write.mode("append").parquet(path)
     return int(seen.get["written"])
 

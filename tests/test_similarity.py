@@ -234,3 +234,24 @@ def test_salted_join_is_an_inner_join(spark):
     one = spark.createDataFrame([("hot", 1), ("k0", 2), ("other", 3)], "k string, v int")
     got = sorted(salted_join(many, one, "k", F.col("id")).select("id", "k", "v").collect())
     assert got == sorted(many.join(one, "k").select("id", "k", "v").collect())
+
+
+@pytest.mark.parametrize("limit", [300, None])
+def test_tickets_without_a_time(spark, limit):
+    rows_ = [("a", None, "printer jam", "", [1.0, 0.0]), ("b", None, "printer jam", "", [1.0, 0.0])]
+    rows_ += [("c", 7, "printer jam", "", [1.0, 0.0])]
+    tickets = make_tickets(spark, rows_)
+    for some, wanted in ((tickets, ["c", "b", "a"]), (tickets.where("ts IS NULL"), ["b", "a"])):
+        found = similarity.similar(similarity.Candidates.of(some, limit), make_queries(spark, [("q", [1.0, 0.0])]))
+        assert [r["id"] for r in found.orderBy("rank").collect()] == wanted
+
+
+def test_no_candidates_and_no_queries(spark):
+    tickets = make_tickets(spark, [("a", 1, "printer jam", "", [1.0, 0.0])])
+    asked = make_queries(spark, [("q", [1.0, 0.0])])
+    for limit in (300, None):
+        for some, queries_ in ((tickets.limit(0), asked), (tickets, asked.limit(0))):
+            candidates = similarity.Candidates.of(some, limit)
+            assert similarity.similar(candidates, queries_).count() == 0
+            assert similarity.context(candidates, queries_).count() == 0
+    assert neighbours.similar_for_all(tickets.limit(0)).count() == 0

@@ -55,7 +55,9 @@ def test_new_rows_only(spark, tmp_path):
     make = lambda names: as_tickets(spark.createDataFrame([(n,) for n in names], "summary string"))
     assert sinks.append_once(make(["a", "a", "b"]), path) == 2
     assert sinks.append_once(make(["b", "c"]), path) == 1
-    assert sorted(r["summary"] for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+    found = spark.read.parquet(path)
+    assert sorted(r["summary"] for r in found.collect()) == ["a", "b", "c"]
+    assert found.where("ts IS NULL").count() == 0
 
 
 def test_formats(spark, tmp_path):
@@ -94,6 +96,15 @@ def test_absent_from(spark):
     assert sorted((r["email"], r["n"]) for r in got) == [("a", 1), ("c", 1)]
 
 
+def test_insert_absent(spark, tmp_path):
+    path = str(tmp_path / "accounts")
+    make = lambda rows: spark.createDataFrame(rows, "email string, n int")
+    assert sinks.insert_absent(make([("a", 2), ("a", 1)]), path, "email", [F.col("n")]) == 1
+    assert sinks.insert_absent(make([("a", 0), ("b", 5)]), path, "email", [F.col("n")]) == 1
+    stored = [tuple(r) for r in spark.read.parquet(path).orderBy("email").collect()]
+    assert stored == [("a", 1), ("b", 5)]
+
+
 def test_snapshot_is_read_again_when_old(spark):
     now, loads = [1000.0], []
 
