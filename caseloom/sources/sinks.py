@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,12 +37,10 @@ def absent_from(new: DataFrame, existing: DataFrame, key: str, first: list[Colum
 
 def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
     """The table at a path, if there is one."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return None
+    return spark.read.schema(schema).parquet(path)
 
 
 def insert_absent(new: DataFrame, path: str, key: str, first: list[Column]) -> int:
