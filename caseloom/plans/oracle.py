@@ -580,7 +580,7 @@ FROM t"""
             by_letters("SELECT doc_id AS query_id, text AS x FROM documents"),
         ),
         "answered_messages_by_letters": answered_by_letters(),
-        "recommend_for_incidents": recommend(300, "true"),
+        "recommend_for_incidents": recommend(300, "query_id IN (SELECT id FROM t)"),
         "search_texts": on_tickets(
             f"""SELECT id AS query_id, CASE WHEN id::BIGINT % 5 <> 4 AND {non_blank('x')} THEN x END AS search_text
 FROM (SELECT id, CASE WHEN id::BIGINT % 3 <> 0 THEN summary || ' ' || latest_comments ELSE category END AS x FROM t)"""
