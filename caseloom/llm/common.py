@@ -90,7 +90,7 @@ class BitFilter:
         rows = (
             keys.where(F.col(column).isNotNull())
             .groupBy(word.alias("word"))
-            .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), place)).alias("bits"))
+            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("bits"))
             .collect()
         )
         words = [0] * (1 << (bits - 6))

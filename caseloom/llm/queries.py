@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import line_runs, secret_ledger, shards
+from caseloom.llm import (
+    decontaminate,
+    distribution_rules,
+    host_paths,
+    line_runs,
+    mixing,
+    private_spans,
+    quality_gam,
+    secret_ledger,
+    shards,
+    trie_join,
+)
 from caseloom.session import run_dir
 from caseloom.sources.sample_tables import table
 
@@ -20,6 +31,24 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_quality_rules(spark, folder):
+    return distribution_rules.quality_rules(table(spark, folder, "documents"))
+
+
+@query
+def op2_benchmark_leaks(spark, folder):
+    found = decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("_key").withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def op3_ngram_join(spark, folder):
+    # Four words and 0.85, as this query is defined; the operator's own defaults are five and 0.8.
+    linked = trie_join.linked_documents(table(spark, folder, "documents"), size=4, shared=85, of=100)
+    return linked.drop("_key")
+
+
 @query
 def op4_secret_scan(spark, folder):
     ledger = secret_ledger.SecretLedger(spark, run_dir(spark, "ledger"))
@@ -35,3 +64,23 @@ def op5_minimax_shards(spark, folder):
 def op6_line_dedup(spark, folder):
     kept = line_runs.without_repeated_lines(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op7_mixture(spark, folder):
+    return mixing.mixed(table(spark, folder, "documents"))
+
+
+@query
+def op8_quality_scores(spark, folder):
+    return quality_gam.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op9_main_texts(spark, folder):
+    return host_paths.main_texts(table(spark, folder, "pages"))
+
+
+@query
+def op10_private_spans(spark, folder):
+    return private_spans.private_spans(table(spark, folder, "documents"))
