@@ -113,46 +113,39 @@ class BitFilter:
 def components(edges: DataFrame, steps: int = 60) -> DataFrame:
     """Connected components of ``edges (a long, b long)``: ``(id, root)``, root the smallest id reached.
 
-    Every node that has a smaller neighbour takes its smallest one as parent and leaves; its other neighbours
-    are linked to that parent. When no link is left, the parents form trees, whose paths are halved until
-    every node points to its root. All steps are joins and grouped minima over stored tables. Links of a node
-    to itself and null ends are ignored; a node without a link to another has no row.
+    Two steps in turn until nothing changes: every node sends its larger neighbours to the smallest node it knows,
+    then every node sends itself and its smaller neighbours there. What is left are stars around the smallest
+    ids. All steps are joins and grouped minima over stored tables. Links of a node to itself and null ends are
+    ignored; a node without a link to another has no row.
     """
-    left = stored(
+    links = stored(
         edges.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct(),
         "links",
     )
-    trees = None
+    seen = _fingerprint(links)
     for _ in range(steps):
-        if left.isEmpty():
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        links = links.join(least, "b").select("a", F.least("b", "m").alias("b")).distinct()
+        links = stored(links, "links")
+        least = links.groupBy("a").agg(F.min("b").alias("m"))
+        links = links.join(least, "a").select(
+            F.explode(F.array(
+                F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
+            )).alias("x")
+        ).select("x.*").where(F.col("a") != F.col("b")).distinct()
+        links = stored(links, "links")
+        now = _fingerprint(links)
+        if now == seen:
             break
-        parents = stored(left.groupBy("a").agg(F.min("b").alias("p")), "parents")
-        trees = parents if trees is None else trees.unionByName(parents)
-        left = stored(
-            left.join(parents, "a")
-            .where(F.col("b") != F.col("p"))
-            .select(F.greatest("b", "p").alias("a"), F.least("b", "p").alias("b"))
-            .distinct(),
-            "links",
-        )
+        seen = now
     else:
-        raise RuntimeError("components: links are left after the last step")
-    if trees is None:
-        return edges.sparkSession.createDataFrame([], "id long, root long")
-    trees = trees.select(F.col("a").alias("id"), F.col("p").alias("root"))
-    for _ in range(steps):
-        up = trees.select(F.col("id").alias("root"), F.col("root").alias("_up"))
-        trees = stored(
-            trees.join(up, "root", "left").select(
-                "id", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved")
-            ),
-            "trees",
-        )
-        moved = not trees.where("_moved").isEmpty()
-        trees = trees.drop("_moved")
-        if not moved:
-            break
-    roots = trees.select("root").distinct().select(F.col("root").alias("id"), "root")
-    return trees.unionByName(roots)
+        raise RuntimeError("components: links still change after the last step")
+    roots = links.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("root"))
+    return links.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(roots)
+
+
+def _fingerprint(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
