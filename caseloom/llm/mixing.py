@@ -118,7 +118,7 @@ def _targets(tokens: dict[str, float], power: float, given: dict[str, float] | N
     total = sum(tempered.values())
     found = {**given, **{k: left * x / total if total else 0.0 for k, x in tempered.items()}}
     whole = sum(found.values())
-    return {k: x / whole if whole else 0.0 for k, x in found.items()}
+    return {k: found[k] / whole if whole else 0.0 for k in tokens}
 
 
 def rake(
