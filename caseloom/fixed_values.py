@@ -85,8 +85,6 @@ CONTEXT_ITEM = (
     "   Summary: %s\n"
     "   Resolution/Comments: %s\n"
 )
-CONTEXT_SUMMARY_CHARS = 200
-CONTEXT_RESOLUTION_CHARS = 300
 NO_CONTEXT_SUMMARY = "No relevant historical incidents found"
 
 # --- fixed values: cluster prompts ---

@@ -114,12 +114,13 @@ def cluster_messages() -> Column:
 
 
 def batch_prompts(samples: DataFrame, key: str) -> DataFrame:
-    """The two questions of the batch report about each group's sample texts."""
+    """The two questions of the batch report about each group's sample texts, and what the model is told before them."""
     listed = F.concat(F.lit("\n- "), F.array_join("samples", "\n- "))
     return samples.select(
         key,
         F.format_string(fixed_texts.BATCH_SUMMARY_PROMPT, listed).alias("summary_prompt"),
         F.format_string(fixed_texts.BATCH_ROOT_CAUSE_PROMPT, listed).alias("root_cause_prompt"),
+        F.lit(fixed_texts.BATCH_ANALYST_PROMPT).alias("system_prompt"),
     )
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.fixed_values import (
-    CANDIDATE_LIMIT,
     CONTEXT_THRESHOLD,
     LIST_K,
     MIN_SUMMARY_CHARS,
@@ -36,10 +35,10 @@ def searchable(tickets: DataFrame) -> DataFrame:
     return tickets.where(F.col("summary").isNotNull() & (F.length("summary") > MIN_SUMMARY_CHARS))
 
 
-def recent(tickets: DataFrame, limit: int | None = CANDIDATE_LIMIT, offset: int = 0) -> DataFrame:
-    """The newest searchable tickets; ``limit=None`` takes the whole table, in no order.
+def recent(tickets: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """The searchable tickets of the whole table, in no order; with a ``limit`` the newest ones only.
 
-    Their times are found first, on two narrow columns. Whole rows are then only read from where the
+    With a limit their times are found first, on two narrow columns. Whole rows are then only read from where the
     oldest of these times allows: the filter reaches the scan, and files written in the order of time
     answer it from their statistics. Each task keeps its newest ``limit`` of what is left.
     """
@@ -52,7 +51,7 @@ def recent(tickets: DataFrame, limit: int | None = CANDIDATE_LIMIT, offset: int
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
-def recent_candidates(tickets: DataFrame, limit: int | None = CANDIDATE_LIMIT, offset: int = 0) -> DataFrame:
+def recent_candidates(tickets: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     return recent(tickets.select(*CANDIDATE_COLUMNS), limit, offset)
 
 
@@ -60,12 +59,10 @@ def latest(tickets: DataFrame, n: int = LIST_K) -> DataFrame:
     return recent_candidates(tickets, n)
 
 
-def search_substring(
-    tickets: DataFrame, query: str, limit: int | None = CANDIDATE_LIMIT
-) -> DataFrame:
+def search_substring(tickets: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     """Tickets whose summary contains the query, letter case aside; an empty query finds none.
 
-    ``limit`` searches only that many newest tickets, ``None`` the whole table.
+    The whole table is searched; ``limit`` searches only that many newest tickets.
     """
     wanted = F.lower(F.lit(query))
     return recent_candidates(tickets, limit).where(
@@ -79,14 +76,14 @@ def is_high_priority() -> Column:
     return high | severe
 
 
-def high_priority(tickets: DataFrame, n: int = LIST_K, limit: int | None = CANDIDATE_LIMIT) -> DataFrame:
-    """The newest tickets of high priority or severity 1 or 2, among the newest ``limit``."""
+def high_priority(tickets: DataFrame, n: int = LIST_K, limit: int | None = None) -> DataFrame:
+    """The newest tickets of high priority or severity 1 or 2, in the whole table or among the newest ``limit``."""
     found = recent_candidates(tickets, limit).where(is_high_priority())
     return found.orderBy(*recency()).limit(n)
 
 
-def ticket(tickets: DataFrame, number: str, limit: int | None = CANDIDATE_LIMIT) -> DataFrame:
-    """The newest ticket with this number, among the newest ``limit`` (``None``: in the whole table)."""
+def ticket(tickets: DataFrame, number: str, limit: int | None = None) -> DataFrame:
+    """The newest ticket with this number, in the whole table or among the newest ``limit``."""
     found = recent_candidates(tickets, limit).where(F.col("ticket_number").cast("string") == number)
     return found.orderBy(*recency()).limit(1)
 

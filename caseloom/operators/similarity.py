@@ -5,16 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.fixed_values import (
-    CANDIDATE_LIMIT,
     CONTEXT_FALLBACK_RECENT,
     CONTEXT_FALLBACK_THRESHOLD,
     CONTEXT_K,
-    CONTEXT_RESOLUTION_CHARS,
-    CONTEXT_SUMMARY_CHARS,
     CONTEXT_THRESHOLD,
     NO_RESOLUTION,
     NOT_AVAILABLE,
@@ -40,7 +37,7 @@ from caseloom.sources.schema import CANDIDATE_COLUMNS
 
 @dataclass
 class Candidates:
-    """The tickets a search looks at: the newest ``limit``, or all searchable ones.
+    """The tickets a search looks at: all searchable ones, or the newest ``limit``.
 
     With a limit they are fetched once, at most ``limit`` rows, and serve any number of searches.
     Without one they stay a distributed table.
@@ -50,7 +47,7 @@ class Candidates:
     newest: pa.Table | None = None
 
     @classmethod
-    def of(cls, tickets: DataFrame, limit: int | None = CANDIDATE_LIMIT) -> Candidates:
+    def of(cls, tickets: DataFrame, limit: int | None = None) -> Candidates:
         found = recent(tickets.select(*CANDIDATE_COLUMNS, "embedding"), limit)
         if limit is None or limit > BLOCK_ROWS:
             return cls(found)
@@ -58,8 +55,10 @@ class Candidates:
         local = tickets.sparkSession.createDataFrame(table, found.schema)
         return cls(local, table)
 
-    def first(self, n: int) -> Candidates:
-        """The newest ``n`` of them."""
+    def first(self, n: int | None) -> Candidates:
+        """The newest ``n`` of them, or all."""
+        if n is None:
+            return self
         if self.newest is None:
             return Candidates.of(self.tickets, n)
         table = self.newest.slice(0, n)
@@ -74,7 +73,7 @@ class Candidates:
             return top_k(queries, usable, rule, block_rows, cell_rows)
         return Found(top_k_of_block(queries, usable.toArrow(), usable.schema, rule), False)
 
-    def scored_or_recent(self, queries: DataFrame, strict: Rule, loose: Rule, recent: int) -> DataFrame:
+    def scored_or_recent(self, queries: DataFrame, strict: Rule, loose: Rule, recent: int | None) -> DataFrame:
         """Best hits per query among tickets fetched already; see ``top_k_or_recent_of_block``."""
         usable = _usable(self.tickets)
         # Tickets that cannot be scored count among the newest all the same.
@@ -142,13 +141,16 @@ def context(
     threshold: float = CONTEXT_THRESHOLD,
     k: int = CONTEXT_K,
     fallback_threshold: float = CONTEXT_FALLBACK_THRESHOLD,
-    fallback_recent: int = CONTEXT_FALLBACK_RECENT,
+    fallback_recent: int | None = CONTEXT_FALLBACK_RECENT,
     exclude_self: bool = False,
+    summary_chars: int | None = None,
+    resolution_chars: int | None = None,
 ) -> DataFrame:
     """Past tickets to answer a query with: the ``k`` best above the threshold.
 
-    A query with none takes the first ``k`` of the newest ``fallback_recent`` tickets that reach the
-    lower threshold, newest first. Either way they are then ranked by score.
+    A query with none takes the first ``k`` of the newest ``fallback_recent`` tickets (``None``: of all) that reach
+    the lower threshold, newest first. Either way they are then ranked by score. Texts come whole; ``summary_chars``
+    and ``resolution_chars`` cut them for prompts that must be short.
     """
     strict = Rule(threshold, k, exclude_self=exclude_self)
     loose = Rule(fallback_threshold, k, BY_RECENCY, exclude_self)
@@ -159,16 +161,19 @@ def context(
     return candidates.described(chosen, few).select(
         "query_id", "rank", "is_fallback", "id",
         F.coalesce("ticket_number", F.lit(NOT_AVAILABLE)).alias("ticket"),
-        F.substring("summary", 1, CONTEXT_SUMMARY_CHARS).alias("summary"),
-        F.substring(F.coalesce("latest_comments", F.lit(NOT_AVAILABLE)), 1, CONTEXT_RESOLUTION_CHARS)
-        .alias("resolution"),
+        _cut(F.col("summary"), summary_chars).alias("summary"),
+        _cut(F.coalesce("latest_comments", F.lit(NOT_AVAILABLE)), resolution_chars).alias("resolution"),
         F.coalesce("category", F.lit(NOT_AVAILABLE)).alias("category"),
         F.col("score").alias("similarity"),
     )
 
 
+def _cut(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
 def _best_or_recent(
-    candidates: Candidates, queries: DataFrame, strict: Rule, loose: Rule, recent: int
+    candidates: Candidates, queries: DataFrame, strict: Rule, loose: Rule, recent: int | None
 ) -> tuple[DataFrame, bool]:
     """Both searches for all queries, then per query the strict hits if there are any."""
     best = candidates.scored(queries, strict)

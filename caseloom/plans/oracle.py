@@ -67,6 +67,7 @@ CANDIDATE = (
     "latest_comments, ts"
 )
 RECENT = ", r AS (SELECT * FROM t WHERE length(summary) > 5 ORDER BY ts DESC, id DESC LIMIT 300)"
+SEARCHABLE = ", r AS (SELECT * FROM t WHERE length(summary) > 5)"
 
 
 def on_tickets(select: str, more: str = "") -> str:
@@ -128,8 +129,8 @@ x AS (
   FROM (SELECT * FROM strict UNION ALL SELECT * FROM loose) QUALIFY rank <= 3
 ),
 found AS (
-  SELECT query_id, rank, is_fallback, id, ticket_number AS ticket, substr(summary, 1, 200) AS summary,
-    substr(latest_comments, 1, 300) AS resolution, category, score
+  SELECT query_id, rank, is_fallback, id, ticket_number AS ticket, summary,
+    latest_comments AS resolution, category, score
   FROM x JOIN c USING (id)
 )"""
 
@@ -250,7 +251,7 @@ def batch_prompts() -> str:
     listed = f"{NL} || '- ' || array_to_string(samples, {NL} || '- ')"
     return on_tickets(
         f"""SELECT category, {filled_in(v.BATCH_SUMMARY_PROMPT, listed)} AS summary_prompt,
-  {filled_in(v.BATCH_ROOT_CAUSE_PROMPT, listed)} AS root_cause_prompt
+  {filled_in(v.BATCH_ROOT_CAUSE_PROMPT, listed)} AS root_cause_prompt, {text(v.BATCH_ANALYST_PROMPT)} AS system_prompt
 FROM ({sampled('combined', 'd', v.BATCH_SAMPLES)})""",
         f", d AS (SELECT *, {COMBINED_BATCH} AS combined FROM t)",
     )
@@ -370,9 +371,9 @@ def letters(expression: str) -> str:
 
 
 def by_letters(queries: str) -> str:
-    """Scores of query texts, ``query_id, x``, against the newest tickets."""
+    """Scores of query texts, ``query_id, x``, against all searchable tickets."""
     return f""",
-c AS (SELECT * FROM t WHERE length(summary) > 5 ORDER BY ts DESC, id DESC LIMIT 300),
+c AS (SELECT * FROM t WHERE length(summary) > 5),
 u AS (SELECT id, ts, {letters('summary')} AS e FROM c WHERE {non_blank('summary')}),
 q AS (SELECT query_id, {letters('x')} AS e FROM ({queries}) WHERE {non_blank('x')}),
 s AS (
@@ -416,6 +417,10 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)
 HIGH = "(lower(priority) = 'high' OR lower(severity) IN ('severity 1', 'severity 2'))"
 
 
+_MOMENT = """make_timestamp(2020 + doc_id % 3, 1 + doc_id % 12, 13 + doc_id % 16, doc_id % 24, doc_id % 60,
+  (doc_id * 7 % 60)::DOUBLE)"""
+
+
 def profiled(source: str) -> str:
     return f"""SELECT count(*) AS total, count(*) FILTER ({non_blank('summary')}) AS with_summary,
   count(*) FILTER ({non_blank('latest_comments')}) AS with_comments, {NOW - LOADED_AT} AS age_seconds,
@@ -459,13 +464,13 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT {CANDIDATE} FROM t WHERE length(summary) > 5 AND contains(lower(summary), lower({text(SEARCHED)}))"
         ),
         "search_recent": on_tickets(
-            f"SELECT {CANDIDATE} FROM r WHERE contains(lower(summary), lower({text(SEARCHED)}))", RECENT
+            f"SELECT {CANDIDATE} FROM r WHERE contains(lower(summary), lower({text(SEARCHED)}))", SEARCHABLE
         ),
         "high_priority_all": on_tickets(
             f"SELECT {CANDIDATE} FROM t WHERE length(summary) > 5 AND {HIGH} ORDER BY ts DESC, id DESC LIMIT 5"
         ),
         "high_priority": on_tickets(
-            f"SELECT {CANDIDATE} FROM r WHERE {HIGH} ORDER BY ts DESC, id DESC LIMIT 5", RECENT
+            f"SELECT {CANDIDATE} FROM r WHERE {HIGH} ORDER BY ts DESC, id DESC LIMIT 5", SEARCHABLE
         ),
         "ticket_lookup": on_tickets(f"SELECT {CANDIDATE} FROM t WHERE ticket_number = {text(LOOKED_UP)}"),
         "ticket_details": on_tickets(
@@ -473,23 +478,23 @@ def oracle_sql() -> dict[str, str]:
   coalesce(nullif(resolution_date, ''), {text(v.NOT_RESOLVED)}) AS resolution_date,
   coalesce(nullif(latest_comments, ''), {text(v.NO_COMMENTS)}) AS latest_comments FROM t"""
         ),
-        "profile": on_tickets(profiled("r"), RECENT),
+        "profile": on_tickets(profiled("r"), SEARCHABLE),
         "profile_all": on_tickets(profiled("t")),
         "profile_samples": on_tickets(
             f"""SELECT ticket_number,
   CASE WHEN length(summary) > 100 THEN left(summary, 100) || '...' ELSE summary END AS summary,
   {non_blank('latest_comments')} AS has_comments, category FROM r ORDER BY ts DESC, id DESC LIMIT 3""",
-            RECENT,
+            SEARCHABLE,
         ),
         "json_rows": on_tickets(
             """SELECT to_json({'id': id, 'ts': ts, 'project': project, 'category': category,
   'resolution_date': resolution_date})::VARCHAR AS json FROM t"""
         ),
-        "similar_top5": similar(300),
+        "similar_top5": similar(None),
         "similar_top5_all": similar(None),
-        "recommend_top3": recommend(300),
+        "recommend_top3": recommend(None),
         "recommend_top3_all": recommend(None),
-        "context_top3": on_tickets(FOUND, context(300, 0.5, 0.3)),
+        "context_top3": on_tickets(FOUND, context(None, 0.5, 0.3)),
         "context_top3_all": on_tickets(FOUND, context(None, 0.5, 0.1)),
         "context_top3_035": on_tickets(FOUND, context(None, 0.35, 0.1)),
         "similar_for_every_ticket": every_ticket,
@@ -573,14 +578,14 @@ FROM t"""
         "category_batch_prompts": batch_prompts(),
         "context_prompts": on_tickets(CONTEXT_TEXT, context(None, 0.35, 0.1)),
         "assistant_prompts": assistant_prompts(context(None, 0.35, 0.1)),
-        "ask_assistant": assistant_prompts(context(300, 0.5, 0.3, "true"), PROCESSED),
+        "ask_assistant": assistant_prompts(context(None, 0.5, 0.3, "true"), PROCESSED),
         "ask_assistant_all": assistant_prompts(context(None, 0.5, 0.3, "true"), PROCESSED),
         "similar_to_texts_by_letters": on_tickets(
             "SELECT query_id, rank, id, round(score, 6) AS similarity_score FROM h",
             by_letters("SELECT doc_id AS query_id, text AS x FROM documents"),
         ),
         "answered_messages_by_letters": answered_by_letters(),
-        "recommend_for_incidents": recommend(300, "query_id IN (SELECT id FROM t)"),
+        "recommend_for_incidents": recommend(None, "query_id IN (SELECT id FROM t)"),
         "search_texts": on_tickets(
             f"""SELECT id AS query_id, CASE WHEN id::BIGINT % 5 <> 4 AND {non_blank('x')} THEN x END AS search_text
 FROM (SELECT id, CASE WHEN id::BIGINT % 3 <> 0 THEN summary || ' ' || latest_comments ELSE category END AS x FROM t)"""
@@ -613,6 +618,18 @@ WHERE email NOT IN (SELECT 'user' || user_id || '@example.org' FROM events) GROU
         "append_twice": on_tickets(
             "SELECT ticket_number, summary, 1 AS copies FROM t"
         ),
+        "sheet_by_heading": f"""SELECT 'INC-' || doc_id AS ticket_number, source AS summary, NULL::VARCHAR AS project,
+  lang AS severity, n_chars::VARCHAR AS room FROM documents""",
+        "sheet_with_title": """SELECT 'INC-' || doc_id AS ticket_number, source AS summary, lang AS project FROM documents""",
+        "sheet_load_summary": """SELECT count(*) AS read, count(*) FILTER (doc_id % 10 = 0) AS rejected,
+  count(*) FILTER (doc_id % 10 <> 0) AS written, count(*) FILTER (doc_id % 10 = 0) AS rejected_stored,
+  min('INC-' || doc_id || ',' || lang || ',too,many') FILTER (doc_id % 10 = 0) AS first_rejected FROM documents""",
+        "date_forms": f"""SELECT doc_id, CASE
+    WHEN doc_id % 14 IN (12, 13) THEN NULL
+    WHEN doc_id % 14 IN (0, 1, 2, 3) THEN strftime({_MOMENT}, '%Y-%m-%d %H:%M:%S')
+    ELSE strftime({_MOMENT}, '%Y-%m-%d 00:00:00') END AS moment, doc_id % 14 = 13 AS is_bad FROM documents""",
+        "bad_dates": """SELECT source, count(*) FILTER (doc_id % 14 = 13) AS n_bad, count(*) FILTER (doc_id % 14 = 12) AS n_blank
+FROM documents GROUP BY source""",
         "sheet_round_trip": on_tickets(
             "SELECT ticket_number, summary, project, category, severity, priority, status, task_type, "
             "ticket_owner, date_submitted, resolution_date, latest_comments FROM t"

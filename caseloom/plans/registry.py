@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caseloom.fixed_values import (
     BATCH_SAMPLES,
+    CANDIDATE_LIMIT,
     CLUSTER_SAMPLES,
     NO_RESOLUTION,
     RECOMMENDED_TITLE,
@@ -16,7 +17,7 @@ from caseloom.fixed_values import (
     SIMILAR_TITLE,
 )
 from caseloom.functions import links, text
-from caseloom.functions.dates import day
+from caseloom.functions.dates import day, is_bad_date, parsed
 from caseloom.functions.messages import arrived, command_argument, topic
 from caseloom.functions.vectors import cosine, hash_embed, norm
 from caseloom.operators import clustering, metrics, neighbours, prompts, scans, similarity, tfidf
@@ -64,7 +65,7 @@ def full_scan(spark, folder):
 
 @query
 def recent_tickets(spark, folder):
-    return scans.recent_candidates(tickets(spark, folder))
+    return scans.recent_candidates(tickets(spark, folder), CANDIDATE_LIMIT)
 
 
 @query
@@ -79,7 +80,7 @@ def latest_tickets(spark, folder):
 
 @query
 def search_substring(spark, folder):
-    return scans.search_substring(tickets(spark, folder), SEARCHED, limit=None)
+    return scans.search_substring(tickets(spark, folder), SEARCHED)
 
 
 @query
@@ -89,7 +90,7 @@ def search_recent(spark, folder):
 
 @query
 def high_priority_all(spark, folder):
-    return scans.high_priority(tickets(spark, folder), limit=None)
+    return scans.high_priority(tickets(spark, folder))
 
 
 @query
@@ -99,7 +100,7 @@ def high_priority(spark, folder):
 
 @query
 def ticket_lookup(spark, folder):
-    return scans.ticket(tickets(spark, folder), LOOKED_UP, limit=None)
+    return scans.ticket(tickets(spark, folder), LOOKED_UP)
 
 
 @query
@@ -137,7 +138,7 @@ def _similar(spark, folder, limit):
 
 @query
 def similar_top5(spark, folder):
-    return _similar(spark, folder, 300)
+    return _similar(spark, folder, None)
 
 
 @query
@@ -153,7 +154,7 @@ def _recommend(spark, folder, limit):
 
 @query
 def recommend_top3(spark, folder):
-    return _recommend(spark, folder, 300)
+    return _recommend(spark, folder, None)
 
 
 @query
@@ -170,7 +171,7 @@ def _context(spark, folder, limit, threshold, fallback=0.3):
 
 @query
 def context_top3(spark, folder):
-    return _context(spark, folder, 300, 0.5).withColumn("similarity", F.round("similarity", 6))
+    return _context(spark, folder, None, 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
 @query
@@ -662,6 +663,86 @@ def sheet_round_trip(spark, folder):
     return spark.read.parquet(f"{path}/stored").select(*names)
 
 
+@query
+def sheet_by_heading(spark, folder):
+    """A sheet with its columns in another order, some missing, some in other letters, and one more."""
+    path = run_dir(spark, "sheet")
+    exported = table(spark, folder, "documents").select(
+        F.col("lang").alias("SEVERITY "), F.col("n_chars").cast("string").alias("Room"), F.col("source").alias("Summary"),
+        F.concat(F.lit("INC-"), "doc_id").alias("Ticket Number"),
+    )
+    exported.write.option("header", True).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return readers.good_rows(readers.read_sheet(spark, path)).select(
+        "ticket_number", "summary", F.nullif("project", F.lit("")).alias("project"), "severity", F.col("Room").alias("room")
+    )
+
+
+@query
+def sheet_with_title(spark, folder):
+    """A sheet with a title above its headings."""
+    path = run_dir(spark, "sheet")
+    number = F.concat(F.lit("INC-"), "doc_id")
+    lines = table(spark, folder, "documents").select(F.concat_ws(",", "lang", "source", number).alias("line"))
+    first = spark.createDataFrame([("Exported tickets,,",), ("Project,Summary,Ticket Number",)], "line string")
+    first.unionByName(lines).coalesce(1).write.text(path)
+    rows = readers.read_sheet(spark, path, title_row=True)
+    return readers.good_rows(rows).select("ticket_number", "summary", "project")
+
+
+@query
+def sheet_load_summary(spark, folder):
+    """Counts of a load with rows that do not fit, and the rejected rows as they were stored."""
+    path = run_dir(spark, "load")
+    row = F.concat_ws(",", F.concat(F.lit("INC-"), "doc_id"), "lang", F.when(F.col("doc_id") % 10 == 0, F.lit("too,many")))
+    lines = table(spark, folder, "documents").select(row.alias("line"))
+    first = spark.createDataFrame([("Ticket Number,Project",)], "line string")
+    first.unionByName(lines).coalesce(1).write.text(f"{path}/sheet")
+    counts = sinks.load_sheet(readers.read_sheet(spark, f"{path}/sheet"), f"{path}/stored", rejected_path=f"{path}/rejected")
+    return spark.read.parquet(f"{path}/rejected").agg(
+        *[F.lit(int(counts[k])).cast("long").alias(k) for k in ("read", "rejected", "written")],
+        F.count(F.lit(1)).alias("rejected_stored"), F.min(readers.REJECTED).alias("first_rejected"),
+    )
+
+
+#: Forms in which ``date_forms`` writes moments; the last two are no moments.
+_FORMS = [
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm:ss a", "M/d/yyyy", "d/M/yyyy", "yyyy/M/d",
+    "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d.M.yyyy",
+]
+
+
+def _written_dates(spark, folder):
+    number = F.col("doc_id")
+    # Days from the 13th on, so that no form can be taken for month and day the other way round.
+    moment = F.make_timestamp(
+        2020 + number % 3, 1 + number % 12, 13 + number % 16, number % 24, number % 60, number * 7 % 60
+    )
+    said = F.when(number % 14 == 12, F.lit("  ")).when(number % 14 == 13, F.lit("sometime in spring"))
+    for place, form in enumerate(_FORMS):
+        said = said.when(number % 14 == place, F.date_format(moment, form))
+    return table(spark, folder, "documents").select("doc_id", "source", said.alias("said"))
+
+
+@query
+def date_forms(spark, folder):
+    """Moments written in a dozen forms, blank texts and texts that are no dates."""
+    read = _written_dates(spark, folder).withColumn("moment", parsed(F.col("said")))
+    return read.select(
+        "doc_id", F.date_format("moment", "yyyy-MM-dd HH:mm:ss").alias("moment"),
+        is_bad_date(F.col("said"), F.col("moment")).alias("is_bad"),
+    )
+
+
+@query
+def bad_dates(spark, folder):
+    """Texts that are no dates, counted per source."""
+    read = _written_dates(spark, folder).withColumn("moment", parsed(F.col("said")))
+    return read.groupBy("source").agg(
+        F.count_if(is_bad_date(F.col("said"), F.col("moment"))).alias("n_bad"),
+        F.count_if(~text.non_blank(F.col("said"))).alias("n_blank"),
+    )
+
+
 # --- clusters by learning ---
 
 @query

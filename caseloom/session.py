@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +17,7 @@ def build_session(app: str = "caseloom", **conf: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     builder = SparkSession.builder.appName(app)
     for key, value in {**settings, **conf}.items():
@@ -23,17 +25,23 @@ def build_session(app: str = "caseloom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+@cache
+def _scratch() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="caseloom-", ignore_cleanup_errors=True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only for a local master that names none (tests).
+    A local master that names none gets one on this machine that goes when the program ends; any other master
+    must name one.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="caseloom-")
+        folder = _scratch().name
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

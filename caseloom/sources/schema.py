@@ -38,8 +38,17 @@ TICKET_SCHEMA = T.StructType(
 
 
 def as_tickets(df: DataFrame) -> DataFrame:
-    """Rename sheet headings and add the ticket columns a table lacks, as nulls."""
-    df = df.withColumnsRenamed({old: new for old, new in HEADINGS.items() if old in df.columns})
+    """Rename sheet headings, letter case and outer spaces aside, and add the ticket columns a table lacks, as nulls.
+
+    Other columns stay as they are.
+    """
+    known = {old.lower(): new for old, new in HEADINGS.items()}
+    renamed: dict[str, str] = {}
+    for column in df.columns:
+        new = known.get(column.strip().lower())
+        if new and new not in df.columns and new not in renamed.values():
+            renamed[column] = new
+    df = df.withColumnsRenamed(renamed)
     absent = {
         field.name: F.lit(None).cast(field.dataType)
         for field in TICKET_SCHEMA

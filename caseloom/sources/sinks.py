@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.sources.readers import REJECTED, good_rows
+from caseloom.sources.readers import REJECTED, good_rows, rejected_rows
 
 
 def with_new_id(tickets: DataFrame) -> DataFrame:
@@ -37,10 +38,12 @@ def absent_from(new: DataFrame, existing: DataFrame, key: str, first: list[Colum
 
 def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
     """The table at a path, if there is one."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return spark.read.schema(schema).parquet(path)
 
 
 def insert_absent(new: DataFrame, path: str, key: str, first: list[Column]) -> int:
@@ -71,9 +74,14 @@ def append(rows: DataFrame, path: str) -> int:
     return int(seen.get["written"])
 
 
-def load_sheet(rows: DataFrame, path: str, once: bool = True) -> dict[str, object]:
+def load_sheet(
+    rows: DataFrame, path: str, once: bool = True, rejected_path: str | None = None
+) -> dict[str, object]:
     """Store a sheet as ``read_sheet`` gives it; returns its columns and how many rows it had, how many
-    of them were rejected as not fitting, and how many were written. The sheet is read once."""
+    of them were rejected as not fitting, and how many were written. The sheet is read once, and once more
+    where ``rejected_path`` asks for the rejected rows to be stored, as raw text and what could be read of them."""
+    if rejected_path:
+        rejected_rows(rows).write.mode("append").parquet(rejected_path)
     seen = Observation("sheet")
     counted = rows.observe(
         seen, F.count(F.lit(1)).alias("read"), F.count_if(F.col(REJECTED).isNotNull()).alias("rejected")

@@ -28,7 +28,17 @@ DATES = {
     "2024-02-29": ("2024-02-29 00:00:00", False),
     "3/1/2024 9:05": ("2024-03-01 09:05:00", False),
     "12/31/2024": ("2024-12-31 00:00:00", False),
-    "31/12/2024": (None, True),
+    "31/12/2024": ("2024-12-31 00:00:00", False),
+    "31/31/2024": (None, True),
+    "3/1/2024 9:05 PM": ("2024-03-01 21:05:00", False),
+    "1-Mar-2024": ("2024-03-01 00:00:00", False),
+    "Mar 1, 2024": ("2024-03-01 00:00:00", False),
+    "March 1, 2024 10:00": ("2024-03-01 10:00:00", False),
+    "1 Mar 2024": ("2024-03-01 00:00:00", False),
+    "2024/03/01": ("2024-03-01 00:00:00", False),
+    "01.03.2024": ("2024-03-01 00:00:00", False),
+    "20240301": ("2024-03-01 00:00:00", False),
+    "  ": (None, False),
 }
 
 
