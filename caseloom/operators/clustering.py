@@ -10,9 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, cloudpickle, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +25,7 @@ from caseloom.fixed_values import (
     N_CLUSTERS,
     TOP_KEYWORDS,
 )
-from caseloom.functions.text import with_terms
-from caseloom.operators.tfidf import dealt, heaviest, is_in_few_files, vocabulary
+from caseloom.operators.tfidf import heaviest, unit_vectors, vocabulary
 from caseloom.session import shared_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -51,22 +48,11 @@ def text_features(
     They are checkpointed: clustering goes over them many times, and neither that nor the loss of an
     executor repeats the text work.
     """
-    deal = is_in_few_files(docs)
-    in_use = vocabulary(docs, text, stop_words, max_features, min_df, max_df, deal)
-    terms = in_use.orderBy("term").collect()
+    terms = vocabulary(docs, text, stop_words, max_features, min_df, max_df).orderBy("term").collect()
     if not terms:
         raise ValueError("no term is frequent enough to describe the documents")
-    names = [t["term"] for t in terms]
-    counter = CountVectorizerModel.from_vocabulary(names, inputCol="terms", outputCol="tf")
-    scale = ElementwiseProduct(
-        scalingVec=Vectors.dense([t["idf"] for t in terms]), inputCol="tf", outputCol="tfidf"
-    )
-    unit = Normalizer(p=2.0, inputCol="tfidf", outputCol="features")
-    texts = docs.select(*keep, text)
-    described = with_terms(dealt(texts) if deal else texts, text, stop_words)
-    vectors = unit.transform(scale.transform(counter.transform(described)))
     shared_dir(docs.sparkSession)
-    return vectors.select(*keep, "features").checkpoint(), names
+    return unit_vectors(docs, text, stop_words, terms, keep).checkpoint(), [t["term"] for t in terms]
 
 
 def kmeans(
@@ -120,9 +106,7 @@ def principal_axes(features: DataFrame, n: int = 2) -> tuple[np.ndarray, np.ndar
     square of the number of features at most, whatever the number of rows. Of the two signs of a
     component the one with the largest loading positive is used.
     """
-    # Each task holds a square of the number of features: better few tasks than many.
-    context = features.sparkSession.sparkContext
-    features = features.select("features").coalesce(2 * context.defaultParallelism)
+    features = features.select("features")
     moments = features.agg(
         Summarizer.metrics("mean", "std").summary(F.col("features")).alias("s")
     ).head()["s"]

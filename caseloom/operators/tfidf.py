@@ -4,26 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from caseloom.fixed_values import MAX_DF, MAX_FEATURES, MIN_DF, TOP_KEYWORDS
 from caseloom.functions.text import with_terms
 
 
-def dealt(docs: DataFrame) -> DataFrame:
-    """Documents dealt by id.
-
-    Over a set number of partitions: sized by the texts alone they would be too few for the terms.
-    """
-    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-
-
-def is_in_few_files(docs: DataFrame) -> bool:
-    """Whether reading alone would leave cores idle; a large table is better left where it is."""
-    return len(docs.inputFiles()) < docs.sparkSession.sparkContext.defaultParallelism
-
-
 def vocabulary(
     docs: DataFrame,
     text: str,
@@ -31,18 +20,14 @@ def vocabulary(
     max_features: int | None = MAX_FEATURES,
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
-    deal: bool | None = None,
 ) -> DataFrame:
     """The terms in use, with their inverse document frequency: ``term, df, total, idf``.
 
     Terms of at least ``min_df`` documents and at most a share ``max_df`` of them; of those the
     ``max_features`` most frequent. Each document gives all its terms, and once more the distinct ones, so
-    both counts come from one aggregation by term, summed up in the tasks before the shuffle. Texts need
-    not move for that; with ``deal`` they are dealt by id first, by default only from a few files.
+    both counts come from one aggregation by term, summed up in the tasks before the shuffle. Texts do not move.
     """
-    deal = is_in_few_files(docs) if deal is None else deal
-    texts = docs.select("id", text)
-    terms = with_terms(dealt(texts) if deal else texts, text, stop_words)
+    terms = with_terms(docs.select("id", text), text, stop_words)
     # Outer explodes, as plain ones would also make the terms for a filter on their number.
     twice = F.posexplode_outer(F.array("terms", F.array_distinct("terms"))).alias("_first", "_terms")
     each = terms.select(twice).select("_first", F.explode_outer("_terms").alias("term"))
@@ -60,6 +45,22 @@ def vocabulary(
     return found.withColumn("idf", idf).drop("_n")
 
 
+def unit_vectors(
+    docs: DataFrame, text: str, stop_words: Sequence[str], in_use: list[Row], keep: Sequence[str]
+) -> DataFrame:
+    """TF-IDF vectors of unit length, ``features``, over the terms in use, next to the columns to keep.
+
+    Terms are counted and scaled in the row that holds the text: nothing is shuffled.
+    """
+    counter = CountVectorizerModel.from_vocabulary([t["term"] for t in in_use], inputCol="terms", outputCol="tf")
+    scale = ElementwiseProduct(
+        scalingVec=Vectors.dense([t["idf"] for t in in_use]), inputCol="tf", outputCol="tfidf"
+    )
+    unit = Normalizer(p=2.0, inputCol="tfidf", outputCol="features")
+    described = with_terms(docs.select(*keep, text), text, stop_words)
+    return unit.transform(scale.transform(counter.transform(described))).select(*keep, "features")
+
+
 def weights(
     docs: DataFrame,
     text: str,
@@ -67,35 +68,41 @@ def weights(
     max_features: int | None = MAX_FEATURES,
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
+    keep: Sequence[str] = ("id",),
 ) -> DataFrame:
-    """TF-IDF weights, every document scaled to length one: ``id, term, weight``.
+    """TF-IDF weights, every document scaled to length one: the columns to keep, ``term, weight``.
 
-    Texts are dealt by id once, for the vocabulary and the counts alike. Counting and scaling happen where
-    the texts then are: the many terms are never shuffled. Documents without a term in use have no rows.
+    With ``max_features`` the vocabulary is found while this is called and terms are counted in the rows of
+    their texts. Without, the vocabulary stays in Spark and counts per document and term meet it in a join.
+    Documents without a term in use have no rows.
     """
-    in_use = vocabulary(docs, text, stop_words, max_features, min_df, max_df, deal=True).select("term", "idf")
-    split = with_terms(dealt(docs.select("id", text)), text, stop_words)
-    terms = split.select("id", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
-    tf = F.count(F.lit(1)).alias("tf")
+    found = vocabulary(docs, text, stop_words, max_features, min_df, max_df).select("term", "idf")
     if max_features is None:
-        counts = terms.groupBy("id", "term").agg(tf).join(in_use, "term")
-    else:
-        # No more than max_features rows, so terms not in use drop before they are counted.
-        counts = terms.join(F.broadcast(in_use), "term").groupBy("id", "term", "idf").agg(tf)
-    raw = counts.select("id", "term", (F.col("tf") * F.col("idf")).alias("_w"))
-    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("id")))
-    return raw.select("id", "term", (F.col("_w") / length).alias("weight"))
+        split = with_terms(docs.select(*keep, text), text, stop_words)
+        terms = split.select(*keep, F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
+        counts = terms.groupBy(*keep, "term").agg(F.count(F.lit(1)).alias("tf")).join(found, "term")
+        raw = counts.select(*keep, "term", (F.col("tf") * F.col("idf")).alias("_w"))
+        length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(*keep)))
+        return raw.select(*keep, "term", (F.col("_w") / length).alias("weight"))
+    in_use = found.orderBy("term").collect()
+    spark = docs.sparkSession
+    names = spark.createDataFrame([(i, t["term"]) for i, t in enumerate(in_use)], "_at int, term string")
+    if not in_use:
+        return docs.select(*keep).limit(0).withColumns({"term": F.lit(""), "weight": F.lit(0.0)})
+    cells = unit_vectors(docs, text, stop_words, in_use, keep).withColumn("_cells", F.unwrap_udt("features")).select(
+        *keep, F.inline(F.arrays_zip(F.col("_cells.indices").alias("_at"), F.col("_cells.values").alias("weight")))
+    )
+    return cells.join(F.broadcast(names), "_at").select(*keep, "term", "weight")
 
 
-def group_weights(weighted: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """Summed weight of every term in every group: ``key, term, weight``."""
-    labelled = weighted.join(groups.select("id", key), "id")
-    return labelled.groupBy(key, "term").agg(F.sum("weight").alias("weight"))
+def group_weights(weighted: DataFrame, key: str) -> DataFrame:
+    """Summed weight of every term in every group, ``key, term, weight``, from weights that kept the key."""
+    return weighted.groupBy(key, "term").agg(F.sum("weight").alias("weight"))
 
 
-def keywords(weighted: DataFrame, groups: DataFrame, key: str, n: int = TOP_KEYWORDS) -> DataFrame:
+def keywords(weighted: DataFrame, key: str, n: int = TOP_KEYWORDS) -> DataFrame:
     """The heaviest ``n`` terms of each group: ``key, rank, term, weight``."""
-    return heaviest(group_weights(weighted, groups, key), key, n)
+    return heaviest(group_weights(weighted, key), key, n)
 
 
 def heaviest(weights: DataFrame, key: str, n: int) -> DataFrame:

@@ -347,15 +347,15 @@ def tfidf_weights(spark, folder):
 @query
 def keywords_top7(spark, folder):
     docs = _texts(spark, folder)
-    weighted = tfidf.weights(docs, "cluster_text", text.default_stop_words())
-    return tfidf.keywords(weighted, docs, "category").withColumn("weight", F.round("weight", 6))
+    weighted = tfidf.weights(docs, "cluster_text", text.default_stop_words(), keep=["id", "category"])
+    return tfidf.keywords(weighted, "category").withColumn("weight", F.round("weight", 6))
 
 
 @query
 def category_term_weights(spark, folder):
     docs = _texts(spark, folder)
-    weighted = tfidf.weights(docs, "cluster_text", text.default_stop_words())
-    return tfidf.group_weights(weighted, docs, "category").withColumn("weight", F.round("weight", 6))
+    weighted = tfidf.weights(docs, "cluster_text", text.default_stop_words(), keep=["id", "category"])
+    return tfidf.group_weights(weighted, "category").withColumn("weight", F.round("weight", 6))
 
 
 @query
@@ -379,8 +379,8 @@ def reflowed(spark, folder):
 
 def _by_category(spark, folder):
     docs = reports.with_text(tickets(spark, folder)).withColumn("cluster", F.col("category"))
-    weighted = tfidf.weights(docs, "cluster_text", text.default_stop_words())
-    keywords = tfidf.keyword_lists(tfidf.keywords(weighted, docs, "cluster"), "cluster")
+    weighted = tfidf.weights(docs, "cluster_text", text.default_stop_words(), keep=["id", "cluster"])
+    keywords = tfidf.keyword_lists(tfidf.keywords(weighted, "cluster"), "cluster")
     texts = metrics.samples(docs, ["cluster"], "combined_text", CLUSTER_SAMPLES, scans.recency())
     return reports.group_report(docs, keywords, texts)
 
