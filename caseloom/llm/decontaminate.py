@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import BitFilter, stored
+from caseloom.llm.common import stored
 
 SHINGLE = 5
 #: Similarity that counts: shared parts of the whole, as a fraction.
@@ -32,6 +32,8 @@ RADIUS = 19
 FLIPS = 3
 #: Pieces whose tables may go to every task; beyond, they are joined by shuffles.
 BROADCAST_PIECES = 1000
+#: So many documents' places or ids may go to every task; beyond, texts are joined by shuffles.
+BROADCAST_DOCUMENTS = 20_000
 
 
 def words_of(text: Column) -> Column:
@@ -39,6 +41,14 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def once(value: Column) -> Column:
+    """The value, worked out once per row: the optimizer copies no expression that holds a row number.
+
+    It would copy an array into filters and into functions of its elements, and so work it out for every element.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def shingles_of(hashes: Column, size: int) -> Column:
     """Hashes of all runs of ``size`` words, in order, from the hashes of the words."""
     last = F.size(hashes) - size
@@ -118,30 +128,31 @@ def _common(left: Column, right: Column) -> Column:
     return F.when(plain, F.size(F.array_intersect(left, right))).otherwise(counted)
 
 
-def _windows(docs: DataFrame, pieces: DataFrame, size: int, small: bool) -> DataFrame:
-    """``(doc_id, at, n, window, print)``: windows as long as some piece, that begin with one of its shingles."""
+def _windows(hashed: DataFrame, pieces: DataFrame, size: int, small: bool) -> DataFrame:
+    """``(doc_id, _key, at, n, window, print)``: windows as long as some piece, that begin with one of its shingles.
+
+    First the places where they begin, from narrow rows; then only the texts that have such places are read again.
+    """
     pieces = pieces.where(F.col("size") == size)
     begins = pieces.select(F.explode("shingles").alias("first"), "n").distinct()
-    longest = pieces.agg(F.max("n")).first()[0]
-    known = BitFilter(begins, "first")
-    shingled = docs.select("doc_id", "_key", shingles_of(F.col("h"), size).alias("s"))
-    # No filter on the arrays themselves: pushed down, it would work them out anew for every element.
-    places = F.when(
-        F.size("s") > 0,
-        F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: known.maybe(F.get(F.col("s"), i))),
-    ).otherwise(F.array().cast("array<int>"))
-    laid = shingled.select(
-        "doc_id", "_key",
+    shingled = hashed.select("doc_id", "_key", once(shingles_of(F.col("h"), size)).alias("s"))
+    places = stored(
+        shingled.select("doc_id", "_key", F.posexplode("s").alias("at", "first"))
+        .join(F.broadcast(begins) if small else begins, "first")
+        .groupBy("doc_id", "_key").agg(F.collect_set(F.struct("at", "n")).alias("places")),
+        "places",
+    )
+    few = places.count() <= BROADCAST_DOCUMENTS
+    laid = shingled.join(
+        F.broadcast(places) if few else places.hint("shuffle_hash"),
+        shingled["doc_id"].eqNullSafe(places["doc_id"]) & (shingled["_key"] == places["_key"]),
+    ).select(
+        shingled["doc_id"], shingled["_key"],
         F.inline(F.transform(
-            places,
-            lambda i: F.struct(i.alias("at"), F.get("s", i).alias("first"), F.slice("s", i + 1, longest).alias("rest")),
+            "places", lambda p: F.struct(p["at"].alias("at"), p["n"].alias("n"), F.slice("s", p["at"] + 1, p["n"]).alias("window"))
         )),
     )
-    windows = (
-        laid.join(F.broadcast(begins) if small else begins, "first")
-        .select("doc_id", "_key", "at", "n", F.slice("rest", F.lit(1), F.col("n")).alias("window"))
-        .where(F.size("window") * OF >= F.col("n") * SHARED)
-    )
+    windows = laid.where(F.size("window") * OF >= F.col("n") * SHARED)
     return simhash(windows, "window", "print").withColumn("size", F.lit(size))
 
 
@@ -159,7 +170,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     text = F.col(text_col)
     hashed = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("_key"),
-        F.transform(words_of(text), lambda w: F.xxhash64(w)).alias("h"),
+        once(F.transform(words_of(text), lambda w: F.xxhash64(w))).alias("h"),
     )
     # Without items one shingle length is looked for in vain, and the result is empty.
     if not sizes:
@@ -218,7 +229,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
     bad = stored(matches(docs, items).select("doc_id", "_key").distinct(), "contaminated")
-    few = bad.count() <= BROADCAST_PIECES * 100
+    few = bad.count() <= BROADCAST_DOCUMENTS
     bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("_key").alias("_bad_key"))
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs["text"]) == F.col("_bad_key"))
     return docs.join(F.broadcast(bad) if few else bad, same, "left_anti")
