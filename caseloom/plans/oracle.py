@@ -58,7 +58,7 @@ t AS (
     strftime(o.o_orderdate, '%Y-%m-%d %H:%M:%S') AS date_submitted,
     CASE WHEN o.o_orderstatus <> 'O' AND s.shipped >= o.o_orderdate
       THEN strftime(s.shipped, '%Y-%m-%d %H:%M:%S') ELSE '' END AS resolution_date
-  FROM documents d JOIN orders o ON o.o_orderkey = d.doc_id
+  FROM documents d LEFT JOIN orders o ON o.o_orderkey = d.doc_id
   LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS shipped FROM lineitem GROUP BY 1) s
     ON s.l_orderkey = o.o_orderkey
 )"""

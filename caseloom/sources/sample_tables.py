@@ -50,7 +50,7 @@ def tickets(spark: SparkSession, folder: str) -> DataFrame:
     line_end = F.instr(text, "\n")
     resolved = (F.col("o_orderstatus") != "O") & (F.col("shipped") >= F.col("o_orderdate"))
     urgency = F.substring("o_orderpriority", 3, 20)
-    return documents.join(dated, F.col("doc_id") == F.col("o_orderkey")).select(
+    return documents.join(dated, F.col("doc_id") == F.col("o_orderkey"), "left").select(
         F.col("doc_id").cast("string").alias("id"),
         F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("ts"),
         F.concat(F.lit("INC-"), F.col("doc_id").cast("string")).alias("ticket_number"),
