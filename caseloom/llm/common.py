@@ -1,4 +1,4 @@
-"""What several corpus operators share: words, stored steps, running totals, bit filters, components."""
+"""What several corpus operators share: words, stored steps, running totals, components."""
 
 from __future__ import annotations
 
@@ -32,6 +32,16 @@ def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(rows, schema).coalesce(1)
 
 
+def first_hashes(hashed: Column, wanted: int, total: int, spare: int = 4) -> Column:
+    """Of ``total`` rows with evenly spread hashes, those with the smallest, about ``spare`` times ``wanted``.
+
+    Asked before ``orderBy(hash).limit(wanted)``, so that what the tasks keep for it does not grow with their number.
+    """
+    if total <= spare * wanted:
+        return F.lit(True)
+    return hashed <= F.lit(int((1 << 64) * (spare * wanted / total)) - (1 << 63))
+
+
 def running_total(df: DataFrame, order: list[Column], weight: str, out: str) -> DataFrame:
     """Adds ``out``: the total ``weight`` of all rows before this one in ``order``.
 
@@ -77,39 +87,6 @@ def running_total(df: DataFrame, order: list[Column], weight: str, out: str) ->
     )
 
 
-class BitFilter:
-    """A fixed number of bits that says of a 64-bit hash "not among the keys" or "maybe".
-
-    It is built from the keys by one aggregation and has the same size for any number of keys, so it may go to
-    every task; the exact join that follows removes the rows let through by chance.
-    """
-
-    def __init__(self, keys: DataFrame, column: str, bits: int = 20):
-        self.bits = bits
-        word, place = self._place(F.col(column))
-        rows = (
-            keys.where(F.col(column).isNotNull())
-            .groupBy(word.alias("word"))
-            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("bits"))
-            .collect()
-        )
-        words = [0] * (1 << (bits - 6))
-        for row in rows:
-            words[row["word"]] = row["bits"]
-        self.empty = not rows
-        # One foldable text that the optimizer turns into one array.
-        self._words = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
-
-    def _place(self, key: Column) -> tuple[Column, Column]:
-        word = F.shiftrightunsigned(key, 64 - (self.bits - 6)).cast("int")
-        return word, key.bitwiseAND(F.lit(63)).cast("int")
-
-    def maybe(self, key: Column) -> Column:
-        """True for every hash among the keys, and for few others."""
-        word, place = self._place(key)
-        return F.getbit(F.get(self._words, word), place) == 1
-
-
 def components(edges: DataFrame, steps: int = 60) -> DataFrame:
     """Connected components of ``edges (a long, b long)``: ``(id, root)``, root the smallest id reached.
 

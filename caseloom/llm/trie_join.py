@@ -1,9 +1,10 @@
 """Documents linked by the Jaccard similarity of their word n-grams, joined over prefix trees; exact.
 
 1. Documents with equal sets are one class; only one of each goes on.
-2. All n-grams have one global order, from rare to frequent. Two sets that are similar enough share an n-gram among
-   the first few of each; sorting all those by n-gram and set size links neighbours that may be similar, and the
-   connected parts of these links are the families that can hold links.
+2. All n-grams have one global order, from rare to frequent. Two sets that are similar enough share several n-grams
+   among the first of each. Those are sorted by n-gram and set size; sets that stand together there are counted, by
+   pairs where they are few, by set where they are many. Pairs that share too few are left out, and the connected
+   parts of what remains are the families that can hold links.
 3. A family is cut into blocks of bounded size, and pairs of blocks that sizes allow are joined, one pair a
    task: the sets of one block stand in a prefix tree, most frequent n-gram first; the tree is walked once for all sets
    of the other block together, their partial overlaps are shared by all sets below a node, and a set leaves a subtree
@@ -20,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import BitFilter, components, small_frame, stored
+from caseloom.llm.common import components, small_frame, stored
 
 #: Words per n-gram and the similarity that links, as shared parts of the whole.
 SHINGLE, SHARED, OF = 5, 8, 10
@@ -32,8 +33,10 @@ COUNTER_BITS = 18
 #: A block of a family: at most about so many sets and n-grams in all.
 BLOCK_SETS = 512
 BLOCK_SHINGLES = 200_000
-#: Bits (2 to this power) of the filter that lets the documents of families through.
-FILTER_BITS = 22
+#: A set must share one of its first n-grams, and one more for each so many members.
+MEMBERS_PER_SHARE = 20
+#: Up to so many sets that share an n-gram are counted by pairs.
+PAIRED_SETS = 4
 #: Rows that may go to every task.
 BROADCAST_ROWS = 200_000
 
@@ -99,9 +102,29 @@ class GlobalOrder:
         return found[np.argsort(levels, kind="stable")]
 
 
+def overlap_needed(n: int, shared: int, of: int) -> int:
+    """Members that a set of n shares at least with every set that is similar enough."""
+    return -(-n * shared // of)
+
+
 def prefix_length(n: int, shared: int, of: int) -> int:
-    """Sets of n members share one of their first so many with every set that is similar enough."""
-    return n - -(-n * shared // of) + 1
+    """Of its first so many members a set shares ``shares_needed`` with every set that is similar enough.
+
+    With an overlap of o, the l-th common member in the order has at least o - l members of each set behind it, so it
+    is among the first n - o + l of both.
+    """
+    overlap = overlap_needed(n, shared, of)
+    return n - overlap + min(1 + n // MEMBERS_PER_SHARE, overlap)
+
+
+def shares_of(n: Column, shared: int, of: int) -> Column:
+    """For a set of n: how many of its first members ``prefix_length`` lets it share; of two sets the smaller number counts."""
+    return F.least(F.floor(n / F.lit(MEMBERS_PER_SHARE)) + 1, F.ceil(n * shared / F.lit(of))).cast("long")
+
+
+def shares_needed(n: Column, shared: int, of: int) -> Column:
+    """The least that a set of n must share with any set that may be similar: the smallest such set decides."""
+    return shares_of(F.ceil(n * shared / F.lit(of)).cast("long"), shared, of)
 
 
 def _sets(read: DataFrame, size: int, order: GlobalOrder, shared: int, of: int) -> DataFrame:
@@ -128,22 +151,70 @@ def _sets(read: DataFrame, size: int, order: GlobalOrder, shared: int, of: int)
     return read.mapInArrow(describe, "doc_id long, _key long, n long, c1 long, c2 long, first array<bigint>")
 
 
-def _neighbours(classes: DataFrame, shared: int, of: int) -> DataFrame:
-    """``(a, b)``: classes next to each other in the order of (n-gram, set size), if one n-gram and sizes allow a link.
+ORDER = ["gram", "n", "cls"]
 
-    Sorted by ranges, so that a frequent n-gram is spread over tasks; the driver joins the ends of the ranges.
+
+def _allowed(grams, sizes, next_grams, next_sizes, shared: int, of: int):
+    return (grams == next_grams) & (sizes * of >= next_sizes * shared)
+
+
+def _together(rows: DataFrame, shared: int, of: int) -> DataFrame:
+    """``(kind, gram, n, a, b)``: sets that stand together in the order of (n-gram, set size).
+
+    Of up to ``PAIRED_SETS`` sets each pair ``(a, b)``, kind 1; of more each set ``a``, kind 2. Sets at the ends of
+    a range count as more, as others may stand beside them in the next.
     """
-    rows = classes.select(F.explode("first").alias("gram"), "n", "cls")
-    order = ["gram", "n", "cls"]
 
-    def allowed(grams, sizes, next_grams, next_sizes):
-        return (grams == next_grams) & (sizes * of >= next_sizes * shared)
+    def out(kind: int, gram, n, a, b) -> pa.RecordBatch:
+        columns = [np.full(len(a), kind), gram, n, a, b]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.asarray(c, np.int64)) for c in columns], names=["kind", "gram", "n", "a", "b"]
+        )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of the last run, which may go on; its first row is known already if the run is long.
+        left, long, known = None, True, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gram, n, cls = (batch.column(c).to_numpy() for c in ORDER)
+            if left is not None:
+                gram, n, cls = (np.concatenate([x, y]) for x, y in zip(left, (gram, n, cls)))
+            good = _allowed(gram[:-1], n[:-1], gram[1:], n[1:], shared, of)
+            run = np.concatenate([[0], np.cumsum(~good)])
+            many = np.bincount(run) > PAIRED_SETS
+            many[0] |= long
+            many_rows, ends = many[run], run < run[-1]
+            for step in range(1, PAIRED_SETS):
+                i = np.flatnonzero((run[:-step] == run[step:]) & ~many_rows[:-step] & ends[:-step])
+                i = i[n[i] * of >= n[i + step] * shared]
+                yield out(1, gram[i], n[i], cls[i], cls[i + step])
+            long = bool(many[-1])
+            told = many_rows & (ends | long)
+            told[0] &= not known
+            yield out(2, gram[told], n[told], cls[told], cls[told])
+            # Without an end in this batch the first run is the last one too.
+            keep = np.array([len(run) - 1]) if long else np.flatnonzero(~ends)
+            left, known = (gram[keep], n[keep], cls[keep]), long
+        if left is not None and not known:
+            yield out(2, *left, left[2])
+
+    return rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(
+        count, "kind long, gram long, n long, a long, b long"
+    )
+
+
+def _chained(rows: DataFrame, shared: int, of: int) -> DataFrame:
+    """``(a, b)``: sets next to each other in the order, if one n-gram and sizes allow a link.
+
+    Sorted by ranges, so that a frequent n-gram is spread over tasks; the driver joins the ends of the ranges.
+    """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last = TaskContext.get().partitionId(), None
 
-        def out(kind, grams, sizes, a, b) -> pa.RecordBatch:
-            columns = [np.full(len(a), part), np.full(len(a), kind), grams, sizes, a, b]
+        def out(kind, gram, n, a, b) -> pa.RecordBatch:
+            columns = [np.full(len(a), part), np.full(len(a), kind), gram, n, a, b]
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.asarray(c, np.int64)) for c in columns], names=["part", "kind", "gram", "n", "a", "b"]
             )
@@ -151,29 +222,52 @@ def _neighbours(classes: DataFrame, shared: int, of: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            gram, n, cls = (batch.column(c).to_numpy() for c in order)
+            gram, n, cls = (batch.column(c).to_numpy() for c in ORDER)
             if last is None:
                 yield out(0, gram[:1], n[:1], cls[:1], cls[:1])
             else:
                 gram, n, cls = (np.concatenate([[x], y]) for x, y in zip(last, (gram, n, cls)))
-            good = allowed(gram[:-1], n[:-1], gram[1:], n[1:])
+            good = _allowed(gram[:-1], n[:-1], gram[1:], n[1:], shared, of)
             yield out(1, gram[1:][good], n[1:][good], cls[:-1][good], cls[1:][good])
             last = (gram[-1], n[-1], cls[-1])
         if last is not None:
             yield out(2, *([x] for x in last), [last[2]])
 
     found = stored(
-        rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
         .mapInArrow(link, "part long, kind long, gram long, n long, a long, b long"),
-        "neighbours",
+        "chained",
     )
     ends = sorted(found.where(F.col("kind") != 1).collect(), key=lambda r: (r["part"], r["kind"]))
     joined = [
         (x["a"], y["a"]) for x, y in zip(ends, ends[1:])
-        if x["kind"] == 2 and y["kind"] == 0 and allowed(x["gram"], x["n"], y["gram"], y["n"])
+        if x["kind"] == 2 and y["kind"] == 0 and _allowed(x["gram"], x["n"], y["gram"], y["n"], shared, of)
     ]
-    edges = found.where(F.col("kind") == 1).select("a", "b")
-    return edges.unionByName(small_frame(classes.sparkSession, joined, "a long, b long"))
+    links = found.where(F.col("kind") == 1).select("a", "b").distinct()
+    return links.unionByName(small_frame(rows.sparkSession, joined, "a long, b long"))
+
+
+def _candidates(classes: DataFrame, shared: int, of: int) -> DataFrame:
+    """``(a, b)``: links that connect all classes that may be similar, and few others.
+
+    Two similar classes share ``shares_of`` of their first n-grams. They stand there as a counted pair, or both among
+    many: the pairs counted and the lesser of both numbers among many must add up to that.
+    """
+    found = stored(_together(classes.select(F.explode("first").alias("gram"), "n", "cls"), shared, of), "together")
+    pairs = found.where(F.col("kind") == 1).groupBy("a", "b").agg(F.count(F.lit(1)).alias("pairs"))
+    many = found.where(F.col("kind") == 2).select(F.col("a").alias("cls"), "gram", "n")
+    among = many.groupBy("cls").agg(F.count(F.lit(1)).alias("many"))
+    known = stored(
+        classes.select("cls", "n").join(among, "cls", "left").select("cls", "n", F.coalesce("many", F.lit(0)).alias("many")),
+        "known",
+    )
+    for end in ("a", "b"):
+        pairs = pairs.join(known.select(*(F.col(c).alias(f"{c}_{end}") for c in ("cls", "n", "many"))), F.col(end) == F.col(f"cls_{end}"))
+    needed = F.least(shares_of(F.col("n_a"), shared, of), shares_of(F.col("n_b"), shared, of))
+    close = pairs.where(F.col("pairs") + F.least("many_a", "many_b") >= needed).select("a", "b")
+    # Pairs that never stand together among few must reach their number among many alone.
+    busy = known.where(F.col("many") >= shares_needed(F.col("n"), shared, of)).select("cls")
+    return close.unionByName(_chained(many.join(busy, "cls", "left_semi").select(*ORDER), shared, of))
 
 
 def _cells(members: DataFrame, shared: int, of: int) -> DataFrame:
@@ -312,7 +406,9 @@ def join_cell(
 
 def _links(read: DataFrame, members: DataFrame, size: int, order: GlobalOrder, shared: int, of: int) -> DataFrame:
     """``(cls, links, root)`` of each class in each cell where it has links. ``members (cls, n, c1, c2, copies, root)``."""
-    known = BitFilter(members.select(F.xxhash64("cls").alias("h")), "h", FILTER_BITS)
+    few = members.count() <= BROADCAST_ROWS
+    wanted = members.select(F.col("cls").alias("doc_id")).distinct()
+    wanted = F.broadcast(wanted) if few else wanted.hint("shuffle_hash")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,12 +423,14 @@ def _links(read: DataFrame, members: DataFrame, size: int, order: GlobalOrder, s
                 names=["cls", "c1", "c2", "grams"],
             )
 
-    # The filter leaves few documents that are in no family, so that few texts are read again and shuffled.
-    sets = read.where(known.maybe(F.xxhash64("doc_id"))).select("doc_id", "text").mapInArrow(
+    sets = read.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
         fetch, "cls long, c1 long, c2 long, grams binary"
     )
-    cells = _cells(members, shared, of)
-    placed = cells.join(sets, ["cls", "c1", "c2"]).select("root", "cell.*", "cls", "copies", "grams")
+    cells = stored(_cells(members, shared, of), "cells")
+    few = cells.count() <= BROADCAST_ROWS
+    placed = sets.join(F.broadcast(cells) if few else cells, ["cls", "c1", "c2"]).select(
+        "root", "cell.*", "cls", "copies", "grams"
+    )
 
     def join(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         ids = group.column("cls").to_numpy()
@@ -377,7 +475,7 @@ def linked_documents(
         ),
         "classes",
     )
-    families = components(_neighbours(classes, shared, of))
+    families = components(_candidates(classes, shared, of))
     members = stored(
         classes.select("cls", *same, "copies").join(families.select(F.col("id").alias("cls"), "root"), "cls"), "members"
     )
