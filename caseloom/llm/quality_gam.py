@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import WHITE, small_frame
+from caseloom.llm.common import WHITE, first_hashes, small_frame
 from caseloom.llm.distribution_rules import class_counts, repeated_words
 
 FEATURES = (
@@ -205,9 +205,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Additiv
 
     Rows with a null id or label are not used; of labels that repeat an id the smallest counts.
     """
+    few = first_hashes(F.xxhash64("doc_id"), fit_rows, labels.count(), 8)
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-        .where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out())
+        .where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out() & few)
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).collect()
     )
