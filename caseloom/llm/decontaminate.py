@@ -9,13 +9,17 @@ within the radius. Pairs found are verified by the exact similarity of the multi
 Windows are laid where they can matter: a window that begins with a shingle of no item can be moved on by one word
 without its similarity to any item falling, so only windows beginning with a shingle of an item are fingerprinted.
 Windows cut off by the end of the text count as shorter ones.
+
+Items over ``PIECE_WORDS`` words are compared whole too, without fingerprints: each occurrence of an item's shingle
+counts for a range of window starts, so sums over the ends of these ranges give the shared part of every window. Such
+an item also counts as held where a document has one of its passages of ``PIECE_WORDS`` words.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import stored
@@ -23,14 +27,14 @@ from caseloom.llm.common import stored
 SHINGLE = 5
 #: Similarity that counts: shared parts of the whole, as a fraction.
 SHARED, OF = 8, 10
-#: Longer items are compared in pieces of so many words; the shingle counts of a piece fit in ``PLANES`` bits.
+#: Longer items are compared whole and in pieces of so many words; the shingle counts of a piece fit in ``PLANES`` bits.
 PIECE_WORDS = 128
 PLANES = 7
 #: Five blocks of at most 13 bits; 19 different bits leave at most 3 in one of them.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 RADIUS = 19
 FLIPS = 3
-#: Pieces whose tables may go to every task; beyond, they are joined by shuffles.
+#: Pieces (for whole long items: their shingles, in pieces) whose tables may go to every task; beyond, they are joined by shuffles.
 BROADCAST_PIECES = 1000
 #: So many documents' places or ids may go to every task; beyond, texts are joined by shuffles.
 BROADCAST_DOCUMENTS = 20_000
@@ -97,12 +101,21 @@ def _flips(width: int) -> list[int]:
     return [x for x in range(1 << width) if x.bit_count() <= FLIPS]
 
 
-def _pieces(items: DataFrame) -> DataFrame:
-    """``(piece, item_id, at, size, shingles, n, print)``: items, long ones in pieces; ``size`` words make a shingle."""
-    hashes = items.where(F.col("item_id").isNotNull()).select(
+def _hashed(items: DataFrame) -> DataFrame:
+    """``(item_id, h)``: the hashes of the words of items with an id."""
+    return items.where(F.col("item_id").isNotNull()).select(
         F.col("item_id").cast("long").alias("item_id"), F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h")
     )
-    starts = F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)), F.lit(PIECE_WORDS))
+
+
+def _pieces(items: DataFrame) -> DataFrame:
+    """``(piece, item_id, at, size, shingles, n, print)``: items, long ones in pieces; ``size`` words make a shingle.
+
+    All pieces of a long item have ``PIECE_WORDS`` words: the last one ends with the item and overlaps the one before.
+    """
+    hashes = _hashed(items)
+    last = F.greatest(F.size("h") - PIECE_WORDS, F.lit(0))
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(PIECE_WORDS)), F.array(last)))
     cut = hashes.where(F.size("h") > 0).select(
         "item_id", F.inline(F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("h", i + 1, PIECE_WORDS).alias("h"))))
     )
@@ -156,11 +169,62 @@ def _windows(hashed: DataFrame, pieces: DataFrame, size: int, small: bool) -> Da
     return simhash(windows, "window", "print").withColumn("size", F.lit(size))
 
 
+def _whole(hashed: DataFrame, items: DataFrame) -> DataFrame | None:
+    """``(doc_id, _key, item_id, hit)`` of items over ``PIECE_WORDS`` words, compared whole; None without such items.
+
+    An occurrence at ``p`` of a shingle that the item holds ``m`` times counts in the windows that begin after the
+    ``m``-th occurrence before ``p`` and hold ``p``. As above, only windows beginning with a shingle of the item matter.
+    """
+    texts = _hashed(items).where(F.size("h") > PIECE_WORDS).select("item_id", shingles_of(F.col("h"), SHINGLE).alias("shingles"))
+    held = stored(
+        texts.dropDuplicates().withColumns({"piece": F.xxhash64("item_id", "shingles"), "n": F.size("shingles")})
+        .select("piece", "item_id", "n", F.explode("shingles").alias("x"))
+        .groupBy("piece", "item_id", "n", "x").agg(F.count(F.lit(1)).cast("int").alias("m")),
+        "long_items",
+    )
+    rows = held.count()
+    if not rows:
+        return None
+    shingled = hashed.select("doc_id", "_key", once(shingles_of(F.col("h"), SHINGLE)).alias("s"))
+    pair = ["doc_id", "_key", "piece", "item_id", "n", "total"]
+    events = (
+        shingled.select("doc_id", "_key", F.size("s").alias("total"), F.posexplode("s").alias("at", "x"))
+        .join(F.broadcast(held) if rows <= BROADCAST_PIECES * PIECE_WORDS else held, "x")
+        .groupBy(*pair, "x", "m").agg(F.sort_array(F.collect_set("at")).alias("places"))
+        .select(*pair, F.inline(F.transform("places", lambda p, i: F.struct(
+            p.alias("at"), (F.greatest(F.coalesce(F.get("places", i - F.col("m")), F.lit(-1)), p - F.col("n")) + 1).alias("from"),
+        ))))
+        .select(*pair, F.inline(F.array(
+            F.struct(F.col("from").alias("at"), F.lit(1).alias("step"), F.lit(False).alias("begins")),
+            F.struct(F.col("at"), F.lit(0).alias("step"), F.lit(True).alias("begins")),
+            F.struct((F.col("at") + 1).alias("at"), F.lit(-1).alias("step"), F.lit(False).alias("begins")),
+        )))
+        .groupBy(*pair, "at").agg(F.sum("step").alias("step"), F.max("begins").alias("begins"))
+    )
+    size = F.least(F.col("n"), F.col("total") - F.col("at"))
+    return (
+        events.withColumn("common", F.sum("step").over(Window.partitionBy(*pair).orderBy("at"))).where("begins")
+        .withColumn("all", size + F.col("n") - F.col("common"))
+        .where(F.col("common") * OF >= F.col("all") * SHARED)
+        .select("doc_id", "_key", "item_id", _hit(F.lit(True), size, F.lit(SHINGLE)))
+    )
+
+
+def _hit(whole: Column, length: Column, size: Column) -> Column:
+    """What is kept of a window of ``length`` shingles; the greatest one is the best."""
+    return F.struct(
+        whole.alias("whole"), (F.col("common") / F.col("all")).alias("similarity"), F.negative("at").alias("back"),
+        (length + size - 1).alias("n_words"),
+    ).alias("hit")
+
+
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, similarity, start_word, n_words, _key``: each item a document holds, at its most similar window.
 
     ``items (item_id, text)``. Of windows of one similarity the first counts. Items without words or id match nothing;
-    items of fewer than five words are one shingle. Null and empty documents match nothing. Rows that repeat a
+    items of fewer than five words are one shingle. An item over ``PIECE_WORDS`` words is held where a window of its whole
+    length is similar, or one of ``PIECE_WORDS`` words to a passage of it; the row is that of the whole window if there is one,
+    else that of the passage, as ``n_words`` tells. Null and empty documents match nothing. Rows that repeat a
     doc_id give one row per distinct text, told apart by ``_key``. No items or no documents give an empty result. Other
     columns are not read.
     """
@@ -213,14 +277,11 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         .withColumn("common", _common(F.col("window"), F.col("shingles")))
         .withColumn("all", F.size("window") + F.col("n") - F.col("common"))
         .where(F.col("common") * OF >= F.col("all") * SHARED)
-        .select(
-            "doc_id", "_key", "item_id",
-            F.struct(
-                (F.col("common") / F.col("all")).alias("similarity"), F.negative("at").alias("back"),
-                (F.size("window") + F.col("size") - 1).alias("n_words"),
-            ).alias("hit"),
-        )
+        .select("doc_id", "_key", "item_id", _hit(F.lit(False), F.size("window"), F.col("size")))
     )
+    whole = _whole(hashed, items)
+    if whole is not None:
+        verified = verified.unionByName(whole)
     return verified.groupBy("doc_id", "_key", "item_id").agg(F.max("hit").alias("hit")).select(
         "doc_id", "item_id", "hit.similarity", F.negative("hit.back").alias("start_word"), "hit.n_words", "_key"
     )

@@ -99,6 +99,35 @@ def test_long_items_are_compared_in_pieces(spark):
     assert [(r.doc_id, r.item_id, r.similarity, r.n_words) for r in rows] == [(1, 9, 1.0, 116)] or rows[0].doc_id == 1
 
 
+def test_long_items_by_brute_force(spark):
+    """No short tail of a long item is a match, and no similar window of its whole length is lost."""
+    picked = random.Random(5)
+    sizes = (128, 129, 130, 131, 132, 133, 137, 256, 300, 1000)
+    items = {n: [f"i{n}x{picked.randrange(3 * n)}" for _ in range(n - 40)] + ["again"] * 12 for n in sizes}
+    items = {n: [*words, *(f"the{k}" for k in range(n - len(words)))] for n, words in items.items()}
+    docs = {}
+    for n, words in items.items():
+        for tail in (1, 2, 4, 5, 9, 28):
+            docs[len(docs)] = ["front", *words[-tail:], "back"] * 3
+        for changed in (0, 1, n // 60, n // 45, n // 40, n // 20):
+            passage = list(words)
+            for k in range(changed):  # evenly, so that every piece loses as much
+                passage[(2 * k + 1) * n // (2 * changed)] = "changed"
+            docs[len(docs)] = [*picked.choices(words[:30], k=20), *passage, *picked.choices(words, k=10)]
+        docs[len(docs)] = [*words[: n // 2], *(f"new{k}" for k in range(n // 9)), *words[n // 2 :]]
+    docs = {d: " ".join(words) for d, words in docs.items()}
+    items = {n: " ".join(words) for n, words in items.items()}
+    frame = spark.createDataFrame([*docs.items(), *docs.items()], "doc_id long, text string")
+    found = decontaminate.matches(frame, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    wanted = brute_leaks(docs, items)
+    got = {(r.doc_id, r.item_id): r for r in found}
+    assert len(got) == len(found) and set(wanted) <= set(got)
+    assert all(got[k].similarity >= v - 1e-12 for k, v in wanted.items())
+    assert any(v < 0.82 for (_, n), v in wanted.items() if n >= 256)
+    # What is found beyond are passages of 128 words, and windows cut off by the end of their text.
+    assert all(r.n_words >= 104 for r in found)
+
+
 def test_simhash_counts_bits(spark):
     picked = random.Random(2)
     rows = [[picked.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 7, 40, 124)]
