@@ -37,15 +37,22 @@ INLINE = {
     "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
     "time", "tt", "u", "var", "wbr", "label",
 }
-#: Tags and the words in class, id and role that mark what is no main text.
-LEFT_OUT_TAGS = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "figcaption"} | RAW
+#: Tags and the words that mark what is no main text: a class, id or role made up of such words and of ``BESIDE`` only.
+LEFT_OUT_TAGS = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head"} | RAW
 LEFT_OUT_WORDS = {
     "ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
     "complementary", "consent", "contentinfo", "cookie", "cookies", "dialog", "disqus", "footer", "gdpr", "masthead",
     "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo",
     "promoted", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored",
-    "subscribe", "toolbar", "widget",
+    "subscribe", "toolbar", "widget", "widgets",
 }
+BESIDE = {
+    "area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "container", "fixed", "form", "global",
+    "group", "icon", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "mobile", "module", "outer",
+    "page", "panel", "post", "posts", "primary", "region", "right", "row", "secondary", "section", "signup", "site", "slot",
+    "sticky", "stories", "text", "title", "top", "trail", "unit", "wrap", "wrapper", "zone",
+}
+SIZES = re.compile(r"\d+(?:x\d+)?")
 #: A start tag ends open ones: those it names, up to the nearest of the second set.
 _BLOCKS = {
     "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figure",
@@ -74,6 +81,8 @@ class Block:
     path: tuple[str, ...]
     text: str
     linked: int
+    marked: tuple[int, ...] = ()
+    """The containers around it, by number, that a class, id or role marks as no main text."""
 
 
 @dataclass
@@ -81,37 +90,71 @@ class _Open:
     tag: str
     name: str
     left_out: bool
+    marked: int = 0
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)}
 
 
+def _marks(token: str, inside: bool) -> bool:
+    words = [w for w in SPLIT.split(token) if w and not SIZES.fullmatch(w)]
+    out = [w in LEFT_OUT_WORDS or w == "header" and not inside for w in words]
+    return any(out) and all(o or w in BESIDE or w == "header" for o, w in zip(out, words))
+
+
 def _opened(tag: str, attributes: str, inside: bool) -> _Open:
-    """``inside``: an article or main is open, so a header is the text's own."""
+    """``inside``: an article or main is open, so a header is the text's own. ``marked`` is 1 if a class, id or role says so."""
     if not attributes.strip(" /\n\t"):
         return _Open(tag, tag, tag in LEFT_OUT_TAGS or tag == "header" and not inside)
     found = _attributes(attributes)
     classes = found.get("class", "").lower().split()
-    words = {w for c in (*classes, found.get("id", "").lower(), found.get("role", "").lower()) for w in SPLIT.split(c)}
-    if "header" in words and not inside:
-        words.add("masthead")
+    tokens = (*classes, found.get("id", "").lower(), *found.get("role", "").lower().split())
+    marked = tag not in ("html", "body", "article", "main") and any(_marks(t, inside) for t in tokens)
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    left_out = (
-        hidden
-        or tag in LEFT_OUT_TAGS
-        or tag == "header" and not inside
-        or tag not in ("html", "body", "article", "main") and not words.isdisjoint(LEFT_OUT_WORDS)
-    )
+    left_out = hidden or tag in LEFT_OUT_TAGS or tag == "header" and not inside
     name = ".".join([tag, *sorted({DIGITS.sub("#", c) for c in classes})])
-    return _Open(tag, name, left_out)
+    if tag in INLINE:  # their text stands in the blocks around them
+        return _Open(tag, name, left_out or marked)
+    return _Open(tag, name, left_out, int(marked))
+
 
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page in order, without what is marked as no main text.
 
-def blocks(page: str) -> Iterator[Block]:
-    """The blocks of a page in order, without what is marked as no main text."""
+    What a class, id or role marks stays where it holds most of the page's unlinked text and no article or main
+    outside it has any.
+    """
+    found = list(_all_blocks(page))
+    worth = [max(0, len(b.text) - 2 * b.linked) for b in found]
+    inside: dict[int, int] = defaultdict(int)
+    for block, n in zip(found, worth):
+        for k in block.marked:
+            inside[k] += n
+    if not inside:
+        return found
+    most = sum(worth) / 2
+    stay = {
+        k for k, n in inside.items()
+        if n > most and not any(w and k not in b.marked and _framed(b.path) is not None for b, w in zip(found, worth))
+    }
+    return [b for b in found if stay.issuperset(b.marked)]
+
+
+def _framed(path: tuple[str, ...]) -> tuple[str, ...] | None:
+    """The outermost article around a path, else the innermost main."""
+    tags = [name.split(".")[0] for name in path]
+    if "article" in tags:
+        return path[: tags.index("article") + 1]
+    if "main" in tags:
+        return path[: len(tags) - tags[::-1].index("main")]
+    return None
+
+
+def _all_blocks(page: str) -> Iterator[Block]:
     stack: list[_Open] = []
     pieces: list[str] = []
-    linked, links, out, at = 0, 0, 0, 0
+    linked, links, out, at, marks = 0, 0, 0, 0, 0
 
     def flush() -> Block | None:
         nonlocal linked
@@ -120,7 +163,8 @@ def blocks(page: str) -> Iterator[Block]:
         done, linked = linked, 0
         if not text:
             return None
-        return Block(tuple(o.name for o in stack if o.tag not in INLINE and o.tag != "p")[:MAX_DEPTH], text, done)
+        path = tuple(o.name for o in stack if o.tag not in INLINE and o.tag != "p")[:MAX_DEPTH]
+        return Block(path, text, done, tuple(o.marked for o in stack if o.marked))
 
     def put(text: str) -> None:
         nonlocal linked
@@ -171,11 +215,15 @@ def blocks(page: str) -> Iterator[Block]:
                         depth = i
                 if depth is not None:
                     close(depth)
-            if tag in RAW:
+            if tag in ("svg", "math") and found[3].endswith("/"):
+                pass
+            elif tag in RAW:
                 end = lowered.find(f"</{tag}", at)
                 at = len(page) if end < 0 else end
             elif tag not in VOID and not found[3].endswith("/"):
                 opened = _opened(tag, found[3], any(o.tag in ("article", "main") for o in stack))
+                marks += opened.marked
+                opened.marked *= marks
                 stack.append(opened)
                 out += opened.left_out
                 links += tag == "a"
@@ -206,7 +254,7 @@ def scores(found: list[Block]) -> dict[str, float]:
     return result
 
 
-_LEAVES = {"h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "dd", "dt", "dl", "td", "th", "tr", "tbody", "table", "figure"}
+_LEAVES = {"h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "dd", "dt", "dl", "td", "th", "tr", "tbody", "table", "figure", "figcaption"}
 
 
 def own_best(found: list[Block]) -> str | None:
@@ -249,7 +297,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            found = scores(list(blocks(page or "")))
+            found = scores(blocks(page or ""))
             total = sum(found.values())
             for path, worth in found.items():
                 # A page has a thousand votes, however long it is; whole numbers, so that sums have one result.
@@ -275,7 +323,7 @@ def winning_paths(pages: DataFrame, paths: int = PATHS_PER_HOST) -> DataFrame:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [
-            read_at(list(blocks(page or "")), paths or [])
+            read_at(blocks(page or ""), paths or [])
             for page, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist())
         ]
         yield pa.RecordBatch.from_arrays(

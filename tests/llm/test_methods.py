@@ -418,6 +418,24 @@ def test_pages_hold_the_article(spark, folder):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "layout-with-sidebar", "comments-open", "cookie-recipes", "sidebar-left"])
+def test_layout_words_leave_no_article_out(name):
+    side = '<div class="sidebar widget-area"><p>Side</p></div><div id="comments"><p>Nice</p></div><div class="ad-300x250">Buy</div>'
+    page = f'<body><div class="{name}"><div class="post"><h1>Title</h1><p>The long text of it</p></div>{side}</div></body>'
+    assert [b.text for b in host_paths.blocks(page)] == ["Title", "The long text of it"]
+
+
+def test_long_comments_stay_out_beside_an_article():
+    page = "<body><article><p>Short text</p></article><div class=comments><p>" + "very long " * 50 + "</p></div></body>"
+    assert [b.text for b in host_paths.blocks(page)] == ["Short text"]
+    assert [b.text for b in host_paths.blocks("<p>One <span class=share>Share</span> two</p>")] == ["One two"]
+
+
+def test_captions_and_what_follows_a_closed_drawing_are_text():
+    page = "<body><svg class='x'/><math/><p>One</p><figure><img src=a><figcaption>Caption</figcaption></figure><svg><text>no</text></svg><p>Two</p>"
+    assert [b.text for b in host_paths.blocks(page)] == ["One", "Caption", "Two"]
+
+
 # --- 10: personal data ---
 
 def test_field_finds_the_best_segmentation():
