@@ -1,8 +1,11 @@
 """Main text of web pages by consensus of their host: containers are scored per page, hosts vote, winners are read.
 
 Each page scores its containers by the text of the paragraphs in them. A container is named by its generalised
-path: the tags from the root, with their classes, digits replaced. Spark sums the votes per host and path. The
-page is then read again at the best of its host's paths that it has; a page without any is read at its own best.
+path: the tags from the root, with their classes, digits replaced. A page's votes go to the whole text around them: the
+article or main a container stands in, else the lowest container with nearly all of the page's text. Spark sums the
+votes per host and path. The page is then read again at its host's paths: those that several pages have as their best are
+templates, and a page is read at all of them that it has, its own first; without one, at the best path it has; a page
+without any is read at its own best.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -22,6 +25,11 @@ from caseloom.llm.common import stored
 PATHS_PER_HOST = 4
 #: Hosts whose winners may go to every task; beyond, pages and winners are joined by host.
 BROADCAST_HOSTS = 50_000
+#: Paths that are the best of at least so many pages of a host, and of one in ``TEMPLATE_SHARE`` of them, are templates.
+TEMPLATE_PAGES = 2
+TEMPLATE_SHARE = 50
+#: A container with so much of a page's unlinked text has nearly all of it.
+NEARLY_ALL = 0.9
 MAX_DEPTH = 40
 FLUSH = 50_000
 
@@ -234,23 +242,75 @@ def _all_blocks(page: str) -> Iterator[Block]:
         yield block
 
 
+def _container(path: tuple[str, ...]) -> tuple[str, ...]:
+    while path and path[-1].split(".")[0] in _LEAVES:
+        path = path[:-1]
+    return path
+
+
+def _widened(found: list[Block]) -> Callable[[tuple[str, ...]], tuple[str, ...]]:
+    """From a container of a page to the one that holds the whole text around it.
+
+    That is the article or main it stands in. On pages without text in one it is the lowest container with nearly all of
+    the unlinked text, and the one around that, short of the body, whose own blocks or main heading it lacks.
+    """
+    below: dict[tuple[str, ...], int] = defaultdict(int)
+    right_in, titled = set(), set()
+    for block in found:
+        worth = max(0, len(block.text) - 2 * block.linked)
+        if worth:
+            path = _container(block.path)
+            right_in.add(path)
+            below[path] += worth
+            if any(name.split(".")[0] == "h1" for name in block.path):
+                titled.add(path)
+    for path, worth in list(below.items()):
+        for k in range(len(path)):
+            below[path[:k]] += worth
+    titled = {path[:k] for path in titled for k in range(len(path) + 1)}
+    total = below[()]
+    framed = any(_framed(path) for path in right_in)
+
+    def widen(path: tuple[str, ...]) -> tuple[str, ...]:
+        if framed:
+            return _framed(path) or path
+        while path and below[path] < NEARLY_ALL * total:
+            path = path[:-1]
+        for k in range(len(path) - 1, 0, -1):
+            around = path[:k]
+            if around[-1].split(".")[0] in ("html", "body"):
+                break
+            if around in right_in and k == len(path) - 1 or around in titled and path not in titled:
+                path = around
+        return path
+
+    return widen
+
+
 def scores(found: list[Block]) -> dict[str, float]:
     """The score of each container: the unlinked text of the blocks right in it, and half of those one level below.
 
-    Headings and list items count for the container around them. Commas and length speak for running text.
+    Headings and list items count for the container around them. Commas and length speak for running text. What
+    containers inside a whole text score is its own.
     """
     result: dict[str, float] = defaultdict(float)
+    widen = _widened(found)
+    names: dict[tuple[str, ...], str] = {}
+
+    def name(path: tuple[str, ...]) -> str:
+        if path not in names:
+            names[path] = ">".join(widen(path))
+        return names[path]
+
     for block in found:
         worth = max(0, len(block.text) - 2 * block.linked)
         if not worth:
             continue
         worth *= 1 + min(3, block.text.count(",") / 3)
-        path = block.path
-        while path and path[-1].split(".")[0] in _LEAVES:
-            path = path[:-1]
-        result[">".join(path)] += worth
+        path = _container(block.path)
+        result[name(path)] += worth
         if path:
-            result[">".join(path[:-1])] += worth / 2
+            result[name(path[:-1])] += worth / 2
     return result
 
 
@@ -259,20 +319,34 @@ _LEAVES = {"h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "
 
 def own_best(found: list[Block]) -> str | None:
     votes = scores(found)
-    return min(votes, key=lambda p: (-votes[p], p)) if votes else None
+    return _best(votes) if votes else None
+
+
+def _best(votes: dict[str, float]) -> str:
+    return min(votes, key=lambda p: (-votes[p], p))
+
+
+def _under(path: str, around: str) -> bool:
+    return not around or path == around or path.startswith(around + ">")
+
 
+def read_at(found: list[Block], paths: list[str], templates: Iterable[str] = ()) -> str:
+    """The blocks under the page's templates, else under the first of ``paths`` it has, else under its own best container.
 
-def read_at(found: list[Block], paths: list[str]) -> str:
-    """The blocks under the first of ``paths`` that the page has, else under its own best container."""
-    standing = [">".join(b.path) + ">" for b in found]
+    Templates count in the order of ``paths``, after the page's own best if that is one. One that holds another or
+    stands in it is passed over.
+    """
+    standing = [">".join(b.path) for b in found]
     best = own_best(found)
-    for path in [*paths, best]:
-        if path is None:
+    if best in templates:
+        paths = [best, *paths]
+    taken: list[str] = []
+    for path in [*paths, *([] if best is None else [best])]:
+        if taken and (path not in templates or any(_under(path, t) or _under(t, path) for t in taken)):
             continue
-        inside = [b.text for b, where in zip(found, standing) if not path or where.startswith(path + ">")]
-        if inside:
-            return "\n".join(inside)
-    return ""
+        if any(_under(where, path) for where in standing):
+            taken.append(path)
+    return "\n".join(b.text for b, where in zip(found, standing) if any(_under(where, t) for t in taken))
 
 
 def host_of(url: Column) -> Column:
@@ -282,17 +356,19 @@ def host_of(url: Column) -> Column:
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    votes: dict[tuple[str, str], float] = defaultdict(float)
+    votes: dict[tuple[str, str], int] = defaultdict(int)
+    wins: dict[tuple[str, str], int] = defaultdict(int)
 
     def flush() -> pa.RecordBatch:
-        rows = [(host, path, n) for (host, path), n in votes.items()]
+        rows = [(host, path, n, wins[host, path]) for (host, path), n in votes.items()]
         votes.clear()
+        wins.clear()
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
-                pa.array([r[2] for r in rows], pa.int64()),
+                pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()),
             ],
-            names=["host", "path", "votes"],
+            names=["host", "path", "votes", "wins"],
         )
 
     for batch in batches:
@@ -302,29 +378,42 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path, worth in found.items():
                 # A page has a thousand votes, however long it is; whole numbers, so that sums have one result.
                 votes[host, path] += round(1000 * worth / total)
+            if found:
+                wins[host, _best(found)] += 1
         if len(votes) > FLUSH:
             yield flush()
     yield flush()
 
 
 def winning_paths(pages: DataFrame, paths: int = PATHS_PER_HOST) -> DataFrame:
-    """``(host, paths)``: the paths with most votes per host, best first; ties go to the smaller path."""
+    """``(host, paths, templates)``: paths per host, best first: the ones with most votes, and all templates.
+
+    Ties go to the smaller path.
+    """
     votes = (
         pages.where(F.col("host").isNotNull())
-        .mapInArrow(_vote, "host string, path string, votes long")
-        .groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+        .mapInArrow(_vote, "host string, path string, votes long, wins long")
+        .groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("wins").alias("wins"))
     )
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    ranked = votes.withColumn("rank", rank).where(F.col("rank") <= paths)
-    listed = F.array_sort(F.collect_list(F.struct("rank", "path")))
-    return ranked.groupBy("host").agg(F.transform(listed, lambda x: x["path"]).alias("paths"))
+    voted = F.sum("wins").over(Window.partitionBy("host"))
+    template = (F.col("wins") >= TEMPLATE_PAGES) & (F.col("wins") * TEMPLATE_SHARE >= F.col("voted"))
+    ranked = votes.withColumns({"rank": rank, "voted": voted}).withColumn("template", template)
+    listed = F.array_sort(F.collect_list(F.struct("rank", "path", "template")))
+    return (
+        ranked.where((F.col("rank") <= paths) | F.col("template")).groupBy("host").agg(listed.alias("listed"))
+        .select(
+            "host", F.transform("listed", lambda x: x["path"]).alias("paths"),
+            F.transform(F.filter("listed", lambda x: x["template"]), lambda x: x["path"]).alias("templates"),
+        )
+    )
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [
-            read_at(blocks(page or ""), paths or [])
-            for page, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist())
+            read_at(blocks(page or ""), paths or [], templates or [])
+            for page, paths, templates in zip(*(batch.column(k).to_pylist() for k in ("html", "paths", "templates")))
         ]
         yield pa.RecordBatch.from_arrays(
             [
@@ -349,7 +438,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     winners = stored(winning_paths(read.select("host", "html")), "winners")
     if winners.count() <= BROADCAST_HOSTS:
         winners = F.broadcast(winners)
-    return read.join(winners, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(
+    return read.join(winners, "host", "left").select("page_id", "url", "html", "paths", "templates").mapInArrow(
         _read, "page_id long, url string, text string, n_chars long"
     )
 

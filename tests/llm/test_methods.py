@@ -418,6 +418,33 @@ def test_pages_hold_the_article(spark, folder):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+LONG = "words of the long text, and more, " * 12
+
+
+@pytest.mark.parametrize("page", [
+    f"<article><h1>Title</h1><p>Lead</p><div class=body><p>{LONG}</p></div><p>End</p></article>",
+    f"<main><section class=a><p>{LONG}</p></section><section class=b><h2>Second</h2><p>{LONG[:280]}</p></section></main>",
+    f"<div class=post><section class=a><p>{LONG}</p></section><section class=b><p>{LONG[:280]}</p></section></div>",
+    f"<div class=post><h1>Title</h1><p>Lead</p><div class=body><p>{LONG}</p></div><p>End</p></div>",
+    f"<article><h1>T</h1><div class=x><div class=y><div class=z><p>{LONG}</p></div></div></div><div class=w><p>Short</p></div></article>",
+])
+def test_whole_article_is_read(spark, page):
+    whole = f"<html><body><div class=top-links><a href=/>Home page</a></div>{page}</body></html>"
+    pages = spark.createDataFrame([(i, f"https://b.org/{i}", whole) for i in range(3)], "page_id long, url string, html string")
+    wanted = "\n".join(t for t in (" ".join(x.split()) for x in re.split(r"<[^>]*>", page)) if t)
+    assert {r.text for r in host_paths.main_texts(pages).collect()} == {wanted}
+
+
+def test_two_templates_on_one_host(spark):
+    """The second template has the path of the first one as a teaser."""
+    first = f"<body><div class=story><p>{LONG}</p></div></body>"
+    second = f"<body><div class=story><p>Teaser</p></div><div class=report><h1>Title</h1><p>{LONG}</p></div></body>"
+    rows = [(i, f"https://c.org/{i}", first if i < 8 else second) for i in range(11)]
+    found = host_paths.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    text = LONG.strip()
+    assert all(r.text == text if r.page_id < 8 else r.text.endswith(f"Title\n{text}") for r in found)
+
+
 @pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "layout-with-sidebar", "comments-open", "cookie-recipes", "sidebar-left"])
 def test_layout_words_leave_no_article_out(name):
     side = '<div class="sidebar widget-area"><p>Side</p></div><div id="comments"><p>Nice</p></div><div class="ad-300x250">Buy</div>'
