@@ -2,8 +2,11 @@
 
 Token counts per (source, language, topic) are raked to the three target marginals by iterative proportional
 fitting: in turn the factors of sources, languages and topics are set so that their marginal is met. A document's
-weight is the product of its three factors, its probability of staying is that weight times one scale, at most 1, the
-scale being chosen so that the wanted share of all tokens is expected to stay.
+weight is the product of its three factors.
+
+Its probability of staying comes from a second fit, of the tokens that are expected to stay, with the bound of 1 inside:
+the product of three other factors, at most 1. Its marginals are the target shares of the wanted share of all tokens. A
+value with fewer tokens than that keeps all it has, and the others make up for it in proportion to their targets.
 """
 
 from __future__ import annotations
@@ -74,7 +77,12 @@ def _with_topic(docs: DataFrame, text: str, topic: str | None) -> DataFrame:
 
 @dataclass
 class Mix:
-    """Factors per source (a table), language and topic, and the scale from weights to probabilities."""
+    """Factors per source (a table), language and topic, and the scale from weights to probabilities without a second fit.
+
+    ``bound_langs``, ``bound_topics`` and ``bound`` of the sources are the factors of the probabilities. ``shares`` has the
+    target and the expected share of kept tokens per language and topic, the sources have them as ``target`` and ``kept``.
+    ``error`` tells how far the weighted marginals are off, ``bound_error`` the kept ones from what can be reached.
+    """
 
     sources: DataFrame
     langs: dict[str, float]
@@ -82,22 +90,30 @@ class Mix:
     scale: float
     steps: int
     error: float
+    bound_langs: dict[str, float]
+    bound_topics: dict[str, float]
+    shares: dict[str, dict[str, tuple[float, float]]]
+    bound_error: float
 
     def weighted(self, docs: DataFrame, source: Column, lang: Column, topic: Column) -> DataFrame:
         """Adds ``_weight`` and ``_probability`` by the values of three columns."""
         spark = docs.sparkSession
-        factors = [small_frame(spark, list(f.items()), f"{k} string, {k}_factor double") for k, f in (("_l", self.langs), ("_t", self.topics))]
-        sources = self.sources.select(F.col("source").alias("_s"), F.col("factor").alias("_s_factor"))
+        factors = [
+            small_frame(spark, [(v, x, bound[v]) for v, x in f.items()], f"{k} string, {k}_factor double, {k}_bound double")
+            for k, f, bound in (("_l", self.langs, self.bound_langs), ("_t", self.topics, self.bound_topics))
+        ]
+        sources = self.sources.select(F.col("source").alias("_s"), F.col("factor").alias("_s_factor"), F.col("bound").alias("_s_bound"))
         if sources.count() <= BROADCAST_SOURCES:
             sources = F.broadcast(sources)
         placed = docs.withColumns({"_s": source, "_l": _named(lang, self.langs), "_t": _named(topic, self.topics)})
         weight = F.coalesce(F.col("_s_factor") * F.col("_l_factor") * F.col("_t_factor"), F.lit(1.0))
+        chance = F.coalesce(F.col("_s_bound") * F.col("_l_bound") * F.col("_t_bound"), F.lit(self.scale))
         return (
             placed.join(sources, "_s", "left").join(F.broadcast(factors[0]), "_l", "left")
             .join(F.broadcast(factors[1]), "_t", "left")
             .withColumn("_weight", F.round(weight, 9))
-            .withColumn("_probability", F.least(F.lit(1.0), F.round(F.col("_weight") * self.scale, 9)))
-            .drop("_s", "_l", "_t", "_s_factor", "_l_factor", "_t_factor")
+            .withColumn("_probability", F.least(F.lit(1.0), F.round(chance, 9)))
+            .drop("_s", "_l", "_t", "_s_factor", "_l_factor", "_t_factor", "_s_bound", "_l_bound", "_t_bound")
         )
 
 
@@ -186,12 +202,147 @@ def rake(
         c = _ratio(want_topic, table.T @ b)
     factors = stored(_source_factors(wanted, b, c), "factors")
     scale = _scale(factors, b, c, total, keep)
+    bound, bound_b, bound_c, kept, bound_error = _bounded(wanted, b * scale, c, want_lang, want_topic, total, keep, steps)
+    whole = max(float(kept.sum()), 1e-300)
+    shares = {
+        name: {v: (float(w) / max(total, 1), float(k) / whole) for v, w, k in zip(names[name], wants, found)}
+        for name, wants, found in (("lang", want_lang, kept.sum(1)), ("topic", want_topic, kept.sum(0)))
+    }
+    sources = factors.select("source", "factor").join(
+        bound.select(
+            "source", F.col("factor").alias("bound"), (F.col("full") / max(total, 1)).alias("target"),
+            (F.col("kept") / whole).alias("kept"),
+        ),
+        "source",
+    )
     return Mix(
-        factors.select("source", "factor"), dict(zip(names["lang"], b.tolist())), dict(zip(names["topic"], c.tolist())),
-        scale, taken, error,
+        stored(sources, "mix"), dict(zip(names["lang"], b.tolist())), dict(zip(names["topic"], c.tolist())),
+        scale, taken, error, dict(zip(names["lang"], bound_b.tolist())), dict(zip(names["topic"], bound_c.tolist())),
+        shares, bound_error,
     )
 
 
+def _bounded(
+    wanted: DataFrame, b: np.ndarray, c: np.ndarray, want_lang: np.ndarray, want_topic: np.ndarray, total: int, keep: float, steps: int
+) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Factors whose product, at most 1, lets the target shares of the kept tokens be expected, from factors near them.
+
+    Gives the sources with their factors, those of languages and topics, the kept tokens of both, and the error. In a
+    step the tokens of clipped cells are fixed, and the others are raked to what is left of their marginal.
+    """
+    n = F.aggregate("n", F.lit(0).cast("bigint"), lambda x, y: x + y)
+    asked = wanted.withColumn("full", F.col("want")).withColumn("tokens", n)
+    weight = F.when(F.col("tokens") > 0, F.col("full") / F.col("tokens")).otherwise(0.0)
+    level = _scale(asked.select(weight.alias("factor"), F.array(F.lit(0)).alias("at"), F.array("tokens").alias("n")), np.ones(1), np.ones(1), total, keep)
+    asked = stored(asked.withColumn("want", F.least(F.col("tokens").cast("double"), F.col("full") * level)), "kept_sources")
+    goal = asked.agg(F.sum("want").alias("want")).first()["want"] or 0.0
+    rows = asked.select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n")).collect()
+    have = np.zeros(len(b) * len(c))
+    for row in rows:
+        have[row["at"]] = row["n"]
+    have = have.reshape(len(b), len(c))
+    goal_lang, goal_topic = (_reachable(w, h, goal) for w, h in ((want_lang, have.sum(1)), (want_topic, have.sum(0))))
+    fixed, free, error = np.zeros_like(have), np.zeros_like(have), 0.0
+    for taken in range(1, steps + 1):
+        fixed, free = _bounded_step(asked, b, c)
+        kept = fixed + free * np.outer(b, c)
+        error = float(max(np.abs(kept.sum(1) - goal_lang).max(), np.abs(kept.sum(0) - goal_topic).max()) / max(total, 1))
+        if error <= TOLERANCE or taken == steps:
+            break
+        b = _newton(goal_lang, fixed.sum(1), free @ c, b)
+        c = _newton(goal_topic, fixed.sum(0), free.T @ b, c)
+    return stored(_bounded_factors(asked, b, c), "bounded"), b, c, fixed + free * np.outer(b, c), error
+
+
+def _reachable(wants: np.ndarray, have: np.ndarray, goal: float) -> np.ndarray:
+    """Tokens per value, ``goal`` in all: in proportion to ``wants``, but never more than there are."""
+    weight = np.where(have > 0, wants / np.where(have > 0, have, 1), 0.0)
+    some = weight > 0
+    if not some.any():
+        return np.zeros_like(have)
+    return np.where(some, np.minimum(have, have * weight * _level(have[some], weight[some], goal)), 0.0)
+
+
+def _level(n: np.ndarray, weight: np.ndarray, goal: float) -> float:
+    """The scale at which ``n`` tokens of some weights, at most all of them, are ``goal`` tokens."""
+    low, high = 0.0, 1.0 / weight.min()
+    for _ in range(200):
+        middle = (low + high) / 2
+        if (n * np.minimum(1.0, middle * weight)).sum() < goal:
+            low = middle
+        else:
+            high = middle
+    return high
+
+
+def _newton(goal: np.ndarray, fixed: np.ndarray, free: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """Factors that bring the free tokens to what the fixed ones leave; without either, in proportion."""
+    found = fixed + free * now
+    apart = np.where(found > 0, now * goal / np.where(found > 0, found, 1), now)
+    some = (goal > fixed) & (free > 0)
+    rest = np.where(some, (goal - fixed) / np.where(free > 0, free, 1), apart)
+    return np.where((free <= 0) & (goal >= fixed), now, rest)
+
+
+def _source_bound(want: float, weight: np.ndarray, n: np.ndarray) -> float:
+    """The factor at which the cells of a source, each clipped at 1, have ``want`` tokens."""
+    some = (weight > 0) & (n > 0)
+    if want <= 0 or not some.any():
+        return 0.0 if want <= 0 else 1.0
+    order = np.argsort(-weight[some], kind="stable")
+    weight, n = weight[some][order], n[some][order].astype(float)
+    if want >= n.sum() * (1 - 1e-12):
+        return float(1.0 / weight[-1])
+    fixed = np.concatenate(([0.0], np.cumsum(n)[:-1]))
+    free = np.cumsum((weight * n)[::-1])[::-1]
+    factors = (want - fixed) / free
+    fits = np.flatnonzero(factors * weight <= 1.0)
+    return float(factors[fits[0]]) if len(fits) else float(1.0 / weight[-1])
+
+
+def _bounded_factors(asked: DataFrame, b: np.ndarray, c: np.ndarray) -> DataFrame:
+    """``(source, factor, full, kept, at, n)``: each source's factor for the given ones, clipped cells counted as such."""
+    cell = np.outer(b, c).ravel()
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            factors, kept = [], []
+            for want, at, n in zip(*(batch.column(k).to_pylist() for k in ("want", "at", "n"))):
+                n = np.array(n)
+                factors.append(_source_bound(want, cell[at], n))
+                kept.append(float((np.minimum(1.0, factors[-1] * cell[at]) * n).sum()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("source"), pa.array(factors, pa.float64()), batch.column("full"), pa.array(kept, pa.float64()),
+                    batch.column("at"), batch.column("n"),
+                ],
+                names=["source", "factor", "full", "kept", "at", "n"],
+            )
+
+    return asked.select("source", "want", "full", "at", "n").mapInArrow(
+        fit, "source string, factor double, full double, kept double, at array<int>, n array<bigint>"
+    )
+
+
+def _bounded_step(asked: DataFrame, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per language and topic, after the sources' factors are set: tokens of clipped cells, and factors times other tokens."""
+    cell = small_frame(asked.sparkSession, [(i, float(x)) for i, x in enumerate(np.outer(b, c).ravel())], "at int, w double")
+    clipped = F.col("factor") * F.col("w") >= 1.0
+    rows = (
+        _bounded_factors(asked, b, c)
+        .select("factor", F.explode(F.arrays_zip("at", "n")).alias("x"))
+        .select("factor", F.col("x.at").alias("at"), F.col("x.n").alias("n")).join(F.broadcast(cell), "at")
+        .groupBy("at").agg(
+            F.sum(F.when(clipped, F.col("n")).otherwise(0)).alias("fixed"),
+            F.sum(F.when(clipped, 0.0).otherwise(F.col("factor") * F.col("n"))).alias("free"),
+        ).collect()
+    )
+    fixed, free = np.zeros(len(b) * len(c)), np.zeros(len(b) * len(c))
+    for row in rows:
+        fixed[row["at"]], free[row["at"]] = row["fixed"], row["free"]
+    return fixed.reshape(len(b), len(c)), free.reshape(len(b), len(c))
+
+
 def _ratio(wanted: np.ndarray, found: np.ndarray) -> np.ndarray:
     return np.where(found > 0, wanted / np.where(found > 0, found, 1), 1.0)
 
@@ -242,14 +393,7 @@ def _scale(factors: DataFrame, b: np.ndarray, c: np.ndarray, total: int, keep: f
         return keep
     n = np.array([r["n"] for r in rows], float)
     mean = np.array([r["weighted"] for r in rows]) / n
-    low, high = 0.0, 1.0 / mean.min()
-    for _ in range(200):
-        middle = (low + high) / 2
-        if (n * np.minimum(1.0, middle * mean)).sum() < keep * total:
-            low = middle
-        else:
-            high = middle
-    return high
+    return _level(n, mean, keep * total)
 
 
 def _chance(id_col: Column, text: Column) -> Column:

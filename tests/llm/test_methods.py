@@ -358,6 +358,33 @@ def test_sample_follows_its_probabilities(spark):
     assert ids == set(found[found.kept].doc_id)
 
 
+def test_marginals_of_the_sample_on_skewed_sources(spark):
+    """A hot source and a long tail: what can reach its target share of the kept tokens does, the others keep all."""
+    sources = {"hot": 1 / 3, **{f"s{i}": 2 / 3 * 0.97**i / sum(0.97**k for k in range(60)) for i in range(60)}}
+    langs = {"en": 0.8, "de": 0.1, "fr": 0.06, "es": 0.03, "it": 0.01}
+    rows = [
+        (s, lang, f"t{t}", max(1, round(1e7 * x * y / 4))) for s, x in sources.items() for lang, y in langs.items() for t in range(4)
+    ]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, n long")
+    asked = {"en": 0.774, "de": 0.11, "fr": 0.07, "es": 0.035, "it": 0.011}
+    mix = mixing.rake(cells, {"lang": asked})
+    total = sum(r[3] for r in rows)
+    sure = mix.weighted(cells, F.col("source"), F.col("lang"), F.col("topic")).toPandas()
+    sure["kept"] = sure.n * sure._probability
+    assert sure.kept.sum() / total == pytest.approx(0.8, rel=0.002) and mix.bound_error < 1e-5
+    targets = {r.source: r.target for r in mix.sources.collect()}
+    for name, wants in (("source", targets), ("lang", {k: t for k, (t, _) in mix.shares["lang"].items()})):
+        kept, have = sure.groupby(name).kept.sum(), sure.groupby(name).n.sum()
+        full = {v for v in kept.index if kept[v] > 0.9999 * have[v]}
+        raised = [kept[v] / wants[v] for v in kept.index if v not in full]
+        # Those below their all share one level; those that keep all have no more to give.
+        assert raised and max(raised) / min(raised) == pytest.approx(1, rel=0.001)
+        assert all(have[v] <= wants[v] * max(raised) * 1.001 for v in full)
+    shares = sure.groupby("lang").kept.sum() / sure.kept.sum()
+    assert all(mix.shares["lang"][v][1] == pytest.approx(shares[v], abs=1e-5) for v in langs)
+    assert all(shares[v] == pytest.approx(share, abs=1e-4) for v, share in asked.items())
+
+
 # --- 8: quality ---
 
 def test_held_out_accuracy(spark, folder):
