@@ -220,6 +220,46 @@ def _linked(size: int, shared: int, of: int) -> str:
     FROM parts LEFT JOIN sizes USING (doc_id) LEFT JOIN counts USING (doc_id)"""
 
 
+def _phrases() -> str:
+    def grams(words: int) -> str:
+        text = " || ' ' || ".join(f"w[i + {k}]" for k in range(words))
+        return f"""SELECT lang, phrase, count(*) AS f FROM (
+            SELECT lang, unnest(list_transform(range(1, len(w) - {words} + 2), lambda i: {text})) AS phrase FROM pieces)
+        GROUP BY lang, phrase"""
+
+    return f"""
+    WITH docs AS (
+        SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_LOWER}) AS text FROM documents),
+    pieces AS (
+        SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+        FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM docs)),
+    one AS ({grams(1)}), two AS ({grams(2)}), three AS ({grams(3)}),
+    totals AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang),
+    triples AS (SELECT lang, phrase, f, string_split(phrase, ' ') AS w FROM three WHERE f >= 10),
+    inside AS (
+        SELECT lang, phrase, max(f) AS longest FROM (
+            SELECT lang, w[1] || ' ' || w[2] AS phrase, f FROM triples UNION ALL
+            SELECT lang, w[2] || ' ' || w[3], f FROM triples)
+        GROUP BY lang, phrase),
+    pairs AS (
+        SELECT t.lang, t.phrase, t.f, string_split(t.phrase, ' ') AS w FROM two t LEFT JOIN inside USING (lang, phrase)
+        WHERE t.f >= 10 AND (longest IS NULL OR 100 * longest < 50 * t.f)),
+    cuts AS (
+        SELECT lang, phrase, f AS a, 1 AS k, w[1] AS front, w[2] AS rest FROM pairs UNION ALL
+        SELECT lang, phrase, f, 1, w[1], w[2] || ' ' || w[3] FROM triples UNION ALL
+        SELECT lang, phrase, f, 2, w[1] || ' ' || w[2], w[3] FROM triples),
+    known AS (SELECT * FROM one UNION ALL SELECT * FROM two),
+    scored AS (
+        SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r,
+               ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+        FROM cuts c JOIN known x ON x.lang = c.lang AND x.phrase = c.front
+        JOIN known y ON y.lang = c.lang AND y.phrase = c.rest),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+           phrase, a, l, r, n, score
+    FROM best JOIN totals USING (lang) QUALIFY rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": _quality_rules(),
@@ -227,4 +267,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_ngram_join": _linked(4, 85, 100),
         "op4_secret_scan": _secrets(),
         "op6_line_dedup": _LINES,
+        "op11_phrases": _phrases(),
     }

@@ -13,11 +13,14 @@ from caseloom.llm import (
     host_paths,
     line_runs,
     mixing,
+    periodic_runs,
+    phrases,
     private_spans,
     quality_gam,
     secret_ledger,
     shards,
     trie_join,
+    vector_copies,
 )
 from caseloom.session import run_dir
 from caseloom.sources.sample_tables import table
@@ -84,3 +87,18 @@ def op9_main_texts(spark, folder):
 @query
 def op10_private_spans(spark, folder):
     return private_spans.private_spans(table(spark, folder, "documents"))
+
+
+@query
+def op11_phrases(spark, folder):
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+@query
+def op12_periodic_runs(spark, folder):
+    return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.with_loops(table(spark, folder, "documents"))))
+
+
+@query
+def op13_near_vectors(spark, folder):
+    return vector_copies.near_vectors(table(spark, folder, "embeddings"))
