@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -33,7 +34,8 @@ NEARLY_ALL = 0.9
 MAX_DEPTH = 40
 FLUSH = 50_000
 
-ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+# No < outside quotes: else every tag that is never closed would be sought to the end of the page.
+ATTRIBUTES = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
 TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
@@ -45,7 +47,9 @@ INLINE = {
     "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
     "time", "tt", "u", "var", "wbr", "label",
 }
-#: Tags and the words that mark what is no main text: a class, id or role made up of such words and of ``BESIDE`` only.
+#: Tags and the words that mark what is no main text. A class, id or role made up of such words and of ``BESIDE`` marks, and
+#: so does one with a word that begins like one of ``PLAIN_WORDS``, whatever else it says. One that holds another of these words hints
+#: at it. With a word of ``STATES`` a class tells how a page is laid out, and neither marks nor hints.
 LEFT_OUT_TAGS = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head"} | RAW
 LEFT_OUT_WORDS = {
     "ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
@@ -54,13 +58,21 @@ LEFT_OUT_WORDS = {
     "promoted", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored",
     "subscribe", "toolbar", "widget", "widgets",
 }
+PLAIN_WORDS = (
+    "advert", "breadcrumb", "comment", "consent", "disqus", "gdpr", "livefyre", "masthead", "navbar", "navigation",
+    "newsletter", "pagination", "popup", "reply", "replies", "respond", "sidebar", "sponsored", "subscribe",
+)
+STATES = {
+    "active", "allowed", "closed", "disabled", "enabled", "full", "has", "have", "hide", "layout", "no", "none", "not",
+    "off", "on", "open", "single", "template", "with", "without",
+}
 BESIDE = {
     "area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "container", "fixed", "form", "global",
     "group", "icon", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "mobile", "module", "outer",
     "page", "panel", "post", "posts", "primary", "region", "right", "row", "secondary", "section", "signup", "site", "slot",
     "sticky", "stories", "text", "title", "top", "trail", "unit", "wrap", "wrapper", "zone",
 }
-SIZES = re.compile(r"\d+(?:x\d+)?")
+SIZES = re.compile(r"v?\d+(?:x\d+)?")
 #: A start tag ends open ones: those it names, up to the nearest of the second set.
 _BLOCKS = {
     "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figure",
@@ -91,6 +103,8 @@ class Block:
     linked: int
     marked: tuple[int, ...] = ()
     """The containers around it, by number, that a class, id or role marks as no main text."""
+    hinted: tuple[int, ...] = ()
+    """Those that a class, id or role only hints at."""
 
 
 @dataclass
@@ -99,54 +113,97 @@ class _Open:
     name: str
     left_out: bool
     marked: int = 0
+    hinted: int = 0
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)}
 
 
-def _marks(token: str, inside: bool) -> bool:
+def _marks(token: str, inside: bool) -> int:
+    """2 if the token marks its container as no main text, 1 if it hints at that, else 0."""
     words = [w for w in SPLIT.split(token) if w and not SIZES.fullmatch(w)]
     out = [w in LEFT_OUT_WORDS or w == "header" and not inside for w in words]
-    return any(out) and all(o or w in BESIDE or w == "header" for o, w in zip(out, words))
+    if any(out) and all(o or w in BESIDE or w == "header" for o, w in zip(out, words)):
+        return 2
+    if STATES.intersection(words):
+        return 0
+    return 2 if any(w.startswith(PLAIN_WORDS) for w in words) else int(any(w in LEFT_OUT_WORDS for w in words))
 
 
 def _opened(tag: str, attributes: str, inside: bool) -> _Open:
-    """``inside``: an article or main is open, so a header is the text's own. ``marked`` is 1 if a class, id or role says so."""
+    """``inside``: an article or main is open, so a header is the text's own."""
     if not attributes.strip(" /\n\t"):
         return _Open(tag, tag, tag in LEFT_OUT_TAGS or tag == "header" and not inside)
     found = _attributes(attributes)
     classes = found.get("class", "").lower().split()
     tokens = (*classes, found.get("id", "").lower(), *found.get("role", "").lower().split())
-    marked = tag not in ("html", "body", "article", "main") and any(_marks(t, inside) for t in tokens)
+    marks = 0 if tag in ("html", "body", "article", "main") else max((_marks(t, inside) for t in tokens), default=0)
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
     left_out = hidden or tag in LEFT_OUT_TAGS or tag == "header" and not inside
     name = ".".join([tag, *sorted({DIGITS.sub("#", c) for c in classes})])
     if tag in INLINE:  # their text stands in the blocks around them
-        return _Open(tag, name, left_out or marked)
-    return _Open(tag, name, left_out, int(marked))
+        return _Open(tag, name, left_out or marks == 2)
+    return _Open(tag, name, left_out, int(marks == 2), int(marks == 1))
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, without what is marked as no main text.
+    """The blocks of a page in order, without what is marked or found to be no main text.
 
     What a class, id or role marks stays where it holds most of the page's unlinked text and no article or main
-    outside it has any.
+    outside it has any. What one hints at goes where it stands beside the text: it holds less than half of the unlinked
+    text of the article or main around it, or of the page, and is mostly links, or no more of that text follows it.
     """
     found = list(_all_blocks(page))
     worth = [max(0, len(b.text) - 2 * b.linked) for b in found]
     inside: dict[int, int] = defaultdict(int)
+    framed = 0
+    framed_inside: dict[int, int] = defaultdict(int)
     for block, n in zip(found, worth):
+        in_frame = n if block.marked and _framed(block.path) is not None else 0
         for k in block.marked:
             inside[k] += n
-    if not inside:
+            framed_inside[k] += in_frame
+        framed += n if _framed(block.path) is not None else 0
+    if inside:
+        most = sum(worth) / 2
+        stay = {k for k, n in inside.items() if n > most and framed == framed_inside[k]}
+        found = [b for b in found if stay.issuperset(b.marked)]
+    return _without_hinted(found)
+
+
+def _without_hinted(found: list[Block]) -> list[Block]:
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    inside: dict[int, int] = defaultdict(int)
+    linked: dict[int, int] = defaultdict(int)
+    length: dict[int, int] = defaultdict(int)
+    frames = [_framed(b.path) for b in found]
+    total: dict[tuple[str, ...] | None, int] = defaultdict(int)
+    #: The last block of each frame that no hint stands around and that holds more than links.
+    end: dict[tuple[str, ...] | None, int] = {}
+    for i, (block, frame) in enumerate(zip(found, frames)):
+        worth = max(0, len(block.text) - 2 * block.linked)
+        total[frame] += worth
+        if worth and not block.hinted:
+            end[frame] = i
+        for k in block.hinted:
+            first.setdefault(k, i)
+            last[k] = i
+            inside[k] += worth
+            linked[k] += block.linked
+            length[k] += len(block.text)
+    if not first:
         return found
-    most = sum(worth) / 2
-    stay = {
-        k for k, n in inside.items()
-        if n > most and not any(w and k not in b.marked and _framed(b.path) is not None for b, w in zip(found, worth))
-    }
-    return [b for b in found if stay.issuperset(b.marked)]
+    framed = any(total[frame] for frame in total if frame is not None)
+    out = set()
+    for k, i in first.items():
+        frame = frames[i]
+        if frame is None and framed:
+            out.add(k)
+        elif 2 * inside[k] < total[frame] and (2 * linked[k] >= length[k] or end.get(frame, -1) < i):
+            out.add(k)
+    return [b for b in found if out.isdisjoint(b.hinted)]
 
 
 def _framed(path: tuple[str, ...]) -> tuple[str, ...] | None:
@@ -161,8 +218,13 @@ def _framed(path: tuple[str, ...]) -> tuple[str, ...] | None:
 
 def _all_blocks(page: str) -> Iterator[Block]:
     stack: list[_Open] = []
+    #: Where each tag is open, and the names, marks and hints of what is open: no tag looks through the stack.
+    open_at: dict[str, list[int]] = defaultdict(list)
+    names: list[str] = []
+    marked: list[int] = []
+    hinted: list[int] = []
     pieces: list[str] = []
-    linked, links, out, at, marks = 0, 0, 0, 0, 0
+    linked, out, at, numbered = 0, 0, 0, 0
 
     def flush() -> Block | None:
         nonlocal linked
@@ -171,22 +233,33 @@ def _all_blocks(page: str) -> Iterator[Block]:
         done, linked = linked, 0
         if not text:
             return None
-        path = tuple(o.name for o in stack if o.tag not in INLINE and o.tag != "p")[:MAX_DEPTH]
-        return Block(path, text, done, tuple(o.marked for o in stack if o.marked))
+        return Block(tuple(names[:MAX_DEPTH]), text, done, tuple(marked[:MAX_DEPTH]), tuple(hinted[:MAX_DEPTH]))
 
     def put(text: str) -> None:
         nonlocal linked
         if not out and text:
             pieces.append(entities.unescape(text))
-            if links:
+            if open_at["a"]:
                 linked += len(text)
 
     def close(depth: int) -> None:
-        nonlocal out, links
-        for gone in stack[depth:]:
+        nonlocal out
+        while len(stack) > depth:
+            gone = stack.pop()
+            open_at[gone.tag].pop()
             out -= gone.left_out
-            links -= gone.tag == "a"
-        del stack[depth:]
+            if _names_a_container(gone.tag):
+                names.pop()
+            if gone.marked:
+                marked.pop()
+            if gone.hinted:
+                hinted.pop()
+
+    def implied(ends: set[str], bounds: set[str]) -> int | None:
+        """The lowest open tag of ``ends`` above the highest of ``bounds``."""
+        bound = max((open_at[t][-1] for t in bounds if open_at[t]), default=-1)
+        above = (open_at[t] for t in ends if open_at[t] and open_at[t][-1] > bound)
+        return min((places[bisect_right(places, bound)] for places in above), default=None)
 
     lowered = page.lower()
     if len(lowered) != len(page):  # a few letters change length; then ends of raw tags are sought as they stand
@@ -199,13 +272,12 @@ def _all_blocks(page: str) -> Iterator[Block]:
         if not tag:
             pass
         elif found[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
             if tag not in INLINE:
                 block = flush()
                 if block:
                     yield block
-            if depth is not None:
-                close(depth)
+            if open_at[tag]:
+                close(open_at[tag][-1])
         else:
             if tag == "br":
                 put(" ")
@@ -213,14 +285,8 @@ def _all_blocks(page: str) -> Iterator[Block]:
                 block = flush()
                 if block:
                     yield block
-            ends, bounds = IMPLIED_ENDS.get(tag, (None, None))
-            if ends:
-                depth = None
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag in bounds:
-                        break
-                    if stack[i].tag in ends:
-                        depth = i
+            if tag in IMPLIED_ENDS:
+                depth = implied(*IMPLIED_ENDS[tag])
                 if depth is not None:
                     close(depth)
             if tag in ("svg", "math") and found[3].endswith("/"):
@@ -229,12 +295,17 @@ def _all_blocks(page: str) -> Iterator[Block]:
                 end = lowered.find(f"</{tag}", at)
                 at = len(page) if end < 0 else end
             elif tag not in VOID and not found[3].endswith("/"):
-                opened = _opened(tag, found[3], any(o.tag in ("article", "main") for o in stack))
-                marks += opened.marked
-                opened.marked *= marks
+                opened = _opened(tag, found[3], bool(open_at["article"] or open_at["main"]))
+                open_at[tag].append(len(stack))
                 stack.append(opened)
                 out += opened.left_out
-                links += tag == "a"
+                numbered += 1
+                if _names_a_container(tag):
+                    names.append(opened.name)
+                if opened.marked:
+                    marked.append(numbered)
+                if opened.hinted:
+                    hinted.append(numbered)
         found = TAG.search(page, at)
     put(page[at:])
     block = flush()
@@ -242,6 +313,10 @@ def _all_blocks(page: str) -> Iterator[Block]:
         yield block
 
 
+def _names_a_container(tag: str) -> bool:
+    return tag not in INLINE and tag != "p"
+
+
 def _container(path: tuple[str, ...]) -> tuple[str, ...]:
     while path and path[-1].split(".")[0] in _LEAVES:
         path = path[:-1]

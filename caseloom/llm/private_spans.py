@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +23,31 @@ from caseloom.llm.common import first_hashes
 #: The patterns of the base kinds, in the order in which spans with the same start are listed.
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    # A run of digits that fails from its first digit fails from all others, so it is read once.
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 KINDS = tuple(PATTERNS)
 
-ISLAND = re.compile(r"[^\s]*[0-9@][^\s]*(?:\x20[^\s]*[0-9@][^\s]*)*")
+NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+HOST = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+CHUNK = re.compile(r"\S+")
+MARK = re.compile(r"[0-9@]")
+DIGITS = re.compile(r"[0-9]+")
+LETTER = re.compile(r"[^\W\d_]")
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z\s]")
 #: Longest segment, in tokens and characters. Longer spans are left to the patterns.
 MAX_TOKENS = 13
 MAX_CHARS = 64
+#: Most digits of a segment without an @.
+MAX_DIGITS = 24
+#: Signs that a segment may begin and end with.
+OPENS, CLOSES = "+(_", ")_-"
+#: Tokens of an island whose segments are scored at a time.
+TOKENS_AT_ONCE = 512
+#: Scores of segments that a task keeps.
+SCORED = 100_000
 #: The sample the weights are learned from: documents that hold an @ or a digit, in the order of a hash of their id.
 FIT_DOCUMENTS = 1500
 #: They are looked for among so many times as many documents; where fewer hold one, the sample is smaller.
@@ -58,12 +72,13 @@ def luhn(digits: str) -> bool:
 
 
 def _digits(text: str) -> str:
-    return "".join(c for c in text if "0" <= c <= "9")
+    return "".join(DIGITS.findall(text))
 
 
 def _holds(kind: str, text: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        parts = [p.lstrip("0") or "0" for p in text.split(".")]
+        return all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
         digits = _digits(text)
         return 14 <= len(digits) <= 19 and luhn(digits)
@@ -74,14 +89,30 @@ def _holds(kind: str, text: str) -> bool:
 
 def base_spans(text: str) -> list[Span]:
     """Spans of the patterns: leftmost matches per kind, none overlapping, those that fail their test dropped."""
-    found = []
+    found = _emails(text)
     for kind, pattern in PATTERNS.items():
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
+        if kind == "email" or kind == "phone" and "+" not in text:
             continue
         found += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if _holds(kind, m.group())]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _emails(text: str) -> list[Span]:
+    """The matches of the e-mail pattern, found from each @: what is no name holds no @, so a name is read once."""
+    found: list[Span] = []
+    until, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > until and text[start - 1] in NAME:
+            start -= 1
+        host = HOST.match(text, at) if start < at else None
+        if host:
+            until = host.end()
+            found.append((start, until, "email"))
+        at = text.find("@", max(at + 1, until))
+    return found
+
+
 FEATURES = (
     "bias", "tokens", "one_at", "name_then_host", "dotted_host", "dotted_quad", "small_parts", "n_digits_7_9",
     "n_digits_10_13", "n_digits_14_19", "check_digit", "groups_even", "plus", "brackets", "only_digits",
@@ -95,7 +126,7 @@ def _features(span: str, before: str, after: str, tokens: int) -> list[float]:
     quad = len(parts) == 4 and all(p.isdigit() and p.isascii() for p in parts)
     name, _, host = span.partition("@")
     groups = re.split(r"[ -]", span)
-    letters = any(c.isalpha() for c in span)
+    letters = LETTER.search(span) is not None
     return [
         1.0,
         tokens / MAX_TOKENS,
@@ -112,7 +143,7 @@ def _features(span: str, before: str, after: str, tokens: int) -> list[float]:
         float(span.startswith("+")),
         float(span.count("(") == 1 and span.count(")") == 1 and span.index("(") < span.index(")")),
         float(span.isdigit()),
-        float(bool(digits) and not letters and all(c.isdigit() or c in " -().+" for c in span)),
+        float(bool(digits) and not letters and not span.strip("0123456789 -().+")),
         float(letters),
         float(before.isalnum() or before in {"@", ".", "_", "+"} and before != ""),
         float(after.isalnum() or after in {"@", "_"}),
@@ -132,20 +163,41 @@ class _Lattice:
 
 def lattice(island: str) -> _Lattice:
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(island)]
-    starts, ends, rows = [], [], []
-    for i, (left, _) in enumerate(tokens):
+    found = list(_segments(island, tokens, 0, len(tokens)))
+    rows = [_features(*seen) for _, _, seen in found]
+    return _Lattice(
+        tokens, np.array([s for s, _, _ in found], int), np.array([e for _, e, _ in found], int),
+        np.array(rows, float).reshape(len(rows), len(FEATURES)),
+    )
+
+
+def _plain(c: str) -> bool:
+    return c.isascii() and c.isalnum()
+
+
+def _segments(
+    island: str, tokens: list[tuple[int, int]], first: int, last: int
+) -> Iterator[tuple[int, int, tuple[str, str, str, int]]]:
+    """The candidates that start at the tokens from ``first`` up to ``last``: start, end, what the features look at.
+
+    None begins with a sign but ``OPENS``, ends with one but ``CLOSES``, or is over the bounds.
+    """
+    for i in range(first, last):
+        left = tokens[i][0]
+        if not _plain(island[left]) and island[left] not in OPENS:
+            continue
         for j in range(i, min(len(tokens), i + MAX_TOKENS)):
             right = tokens[j][1]
-            if right - left > MAX_CHARS and j > i:
+            if right - left > MAX_CHARS:
                 break
+            if not _plain(island[right - 1]) and island[right - 1] not in CLOSES:
+                continue
             span = island[left:right]
-            if "@" in span or any("0" <= c <= "9" for c in span):
-                starts.append(i)
-                ends.append(j + 1)
-                rows.append(_features(span, island[left - 1 : left], island[right : right + 1], j - i + 1))
-    return _Lattice(
-        tokens, np.array(starts, int), np.array(ends, int), np.array(rows, float).reshape(len(rows), len(FEATURES))
-    )
+            digits = len(_digits(span))
+            if "@" not in span and digits > MAX_DIGITS:
+                break
+            if digits or "@" in span:
+                yield i, j + 1, (span, island[max(0, left - 1) : left], island[right : right + 1], j - i + 1)
 
 
 def _log_sum(values: list[float]) -> float:
@@ -158,33 +210,46 @@ class SpanField:
     """Weights (kind, feature). A token outside of all spans scores 0."""
 
     weights: np.ndarray
+    scored: dict[tuple, tuple[int, float]] = field(default_factory=dict)
+    """The best kind and its score of segments seen before, as many as ``SCORED``."""
+
+    def _score(self, segments: set[tuple]) -> None:
+        if len(self.scored) > SCORED:
+            self.scored.clear()
+        new = [s for s in segments if s not in self.scored]
+        if new:
+            scores = np.array([_features(*s) for s in new], float) @ self.weights.T
+            self.scored.update(zip(new, zip(scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist())))
 
     def best(self, island: str) -> list[Span]:
-        """The segmentation of the highest score; ties go to fewer spans."""
-        grid = lattice(island)
-        if not len(grid.start):
-            return []
-        scores = grid.features @ self.weights.T
-        kinds, tops = scores.argmax(axis=1), scores.max(axis=1)
-        n = len(grid.tokens)
-        by_end: list[list[int]] = [[] for _ in range(n + 1)]
-        for k, end in enumerate(grid.end):
-            by_end[end].append(k)
-        value, last = [0.0] * (n + 1), [-1] * (n + 1)
-        for j in range(1, n + 1):
-            value[j] = value[j - 1]
-            for k in by_end[j]:
-                found = value[grid.start[k]] + tops[k]
-                if found > value[j]:
-                    value[j], last[j] = found, k
+        """The segmentation of the highest score; of equals the one found first, from the left."""
+        tokens = [(m.start(), m.end()) for m in TOKEN.finditer(island)]
+        n = len(tokens)
+        value = [0.0] + [-np.inf] * n
+        last: list[tuple[int, int] | None] = [None] * (n + 1)
+        for first in range(0, n, TOKENS_AT_ONCE):
+            until = min(n, first + TOKENS_AT_ONCE)
+            found = list(_segments(island, tokens, first, until))
+            self._score({seen for _, _, seen in found})
+            k = 0
+            # What ends at a token is known when the segments that start there come.
+            for i in range(first, until):
+                if value[i] >= value[i + 1]:
+                    value[i + 1], last[i + 1] = value[i], None
+                while k < len(found) and found[k][0] == i:
+                    _, end, seen = found[k]
+                    kind, top = self.scored[seen]
+                    if value[i] + top > value[end]:
+                        value[end], last[end] = value[i] + top, (i, kind)
+                    k += 1
         spans, j = [], n
         while j > 0:
-            k = last[j]
-            if k < 0:
+            if last[j] is None:
                 j -= 1
                 continue
-            spans.append((grid.tokens[grid.start[k]][0], grid.tokens[j - 1][1], KINDS[kinds[k]]))
-            j = int(grid.start[k])
+            i, kind = last[j]
+            spans.append((tokens[i][0], tokens[j - 1][1], KINDS[kind]))
+            j = i
         return spans[::-1]
 
     def gradient(self, grid: _Lattice, gold: np.ndarray) -> np.ndarray:
@@ -209,7 +274,18 @@ class SpanField:
 
 
 def islands(text: str) -> Iterator[tuple[int, str]]:
-    return ((m.start(), m.group()) for m in ISLAND.finditer(text))
+    """Neighbouring chunks with a digit or an @, one space between them, and where they start."""
+    start = end = -1
+    for chunk in CHUNK.finditer(text):
+        if not MARK.search(text, chunk.start(), chunk.end()):
+            continue
+        if end < 0 or chunk.start() != end + 1 or text[end] != " ":
+            if end >= 0:
+                yield start, text[start:end]
+            start = chunk.start()
+        end = chunk.end()
+    if end >= 0:
+        yield start, text[start:end]
 
 
 def learn(samples: list[tuple[str, list[Span]]]) -> SpanField:

@@ -48,10 +48,11 @@ BASE_RULES = (
     # Runs of at least 32 are the long ones among all runs.
     Rule("hex", 1, r"[0-9a-f]{32,}", min_chars=32),
 )
-#: Further well-known token forms.
+#: Further well-known token forms. Repeated groups would use the stack of the thread once per repetition, and a part
+#: without a bound that may begin anywhere in a long run is read again from every place: neither stands here.
 MORE_RULES = (
-    Rule("pem", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", needle="PRIVATE KEY-----"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", needle="eyJ"),
+    Rule("pem", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", needle="PRIVATE KEY-----"),
+    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", needle="eyJ"),
     Rule("github", 1, r"gh[opsur]_[A-Za-z0-9]{36,}", needle="gh"),
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", needle="xox"),
     Rule("google", 1, r"AIza[A-Za-z0-9_-]{35}", needle="AIza"),
