@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,66 @@ from caseloom.session import shared_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Chance that the index finds a pair right at the threshold; nearer pairs are found more often.
+RECALL = 0.95
+#: Pairs that are scored in the time it takes to deal a row to one more bucket.
+PAIRS_PER_COPY = 500
+MAX_BITS = 24
+_SAMPLE = 4000
+
+
+class Index(NamedTuple):
+    """An index by sign bits: how many bits tell a bucket of a band, how many bands there are, and in how many buckets of a
+    band a query looks besides its own, those beyond the planes that it is nearest to."""
+
+    bits: int
+    bands: int
+    probes: int
+
+    @classmethod
+    def of(
+        cls, rows: int, threshold: float, recall: float = RECALL, bits: int | None = None, probes: int | None = None
+    ) -> Index:
+        """The cheapest index over ``rows`` vectors that finds a pair at the threshold with chance ``recall``.
+
+        Its cost for a query is the copies dealt to buckets and the pairs scored there. Where the threshold is too low for
+        buckets to pay, there is one bucket and the search is exact. ``bits`` and ``probes`` settle these themselves.
+        """
+        best = None
+        for n in [bits] if bits is not None else range(MAX_BITS + 1):
+            for k, met in enumerate(chances(n, threshold)):
+                if probes is not None and k != probes:
+                    continue
+                bands = 1 if met >= recall else math.ceil(math.log(1 - recall) / math.log(1 - met))
+                cost = bands * ((2 + k) * PAIRS_PER_COPY + (1 + k) * rows / 2**n)
+                if best is None or cost < best[0]:
+                    best = cost, cls(n, bands, k)
+        if best is None:
+            raise ValueError(f"no more than {bits} buckets can be looked into besides the own")
+        return best[1]
+
+
+def chances(bits: int, threshold: float) -> list[float]:
+    """The chance that a pair at the threshold meets in one band, by the number of buckets probed besides the own.
+
+    A unit vector at cosine t to a query that lies m from a plane (in normal units) is beyond that plane with chance
+    Phi(-m t / sqrt(1 - t^2)). Averaged over sampled distances m; the planes nearest to the query are crossed first.
+    """
+    if not -1 < threshold < 1:
+        return [1.0 if threshold >= 1 else 0.0 if bits else 1.0]
+    distances = np.sort(np.abs(np.random.RandomState(7).standard_normal((_SAMPLE, bits))), axis=1)
+    slope = threshold / math.sqrt(2 * (1 - threshold**2))
+    grid = np.linspace(0, 6, 2001)
+    crossed = np.interp(distances, grid, [0.5 * math.erfc(m * slope) for m in grid])
+    same = np.prod(1 - crossed, axis=1)
+    one_off = np.cumsum(same[:, None] * crossed / (1 - crossed), axis=1)
+    return [float(same.mean()), *(float((same + one_off[:, k]).mean()) for k in range(bits))]
+
+
+def planes_of(index: Index, dim: int, seed: int) -> np.ndarray:
+    """The normals of the planes, as many as there are bits in all bands."""
+    return np.random.RandomState(seed).standard_normal((index.bands * index.bits, dim))
+
 
 def similar_for_all(
     tickets: DataFrame,
@@ -48,22 +110,29 @@ def likely_similar_for_all(
     dim: int,
     threshold: float = SIMILAR_THRESHOLD,
     k: int = SIMILAR_K,
-    bands: int = 16,
-    bits: int = 8,
+    bands: int | None = None,
+    bits: int | None = None,
+    probes: int | None = None,
+    recall: float = RECALL,
     seed: int = 42,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """Like ``similar_for_all``, but scoring only tickets that share a band of sign bits.
+    """Like ``similar_for_all``, but scoring only tickets that share a bucket of sign bits.
 
-    Two vectors share a bit with probability 1 - angle/pi, so near copies are found almost surely and
-    distant pairs seldom: an approximation for tables too large to score all against all, with scores
-    exact for what is found. A bucket of more than ``cell_rows`` tickets is split into a grid.
+    The index is laid out for the number of tickets, so that a neighbour right at the threshold is found with chance
+    ``recall``: an approximation for tables too large to score all against all, with scores exact for what is found.
+    ``bits`` and ``probes`` settle parts of the layout, and with ``bands`` all of it. A bucket of more than
+    ``cell_rows`` tickets is split into a grid.
     """
     usable, kept, asking = without_copies(tickets, k)
-    planes = np.random.RandomState(seed).standard_normal((bands * bits, dim))
+    if bands is None:
+        index = Index.of(kept.count(), threshold, recall, bits, probes)
+    else:
+        index = Index(bits or 0, bands, probes or 0)
+    planes = planes_of(index, dim, seed)
     rule = Rule(threshold, k + 1)
-    there = _with_bands(kept.select("id", "ts", "embedding"), "embedding", planes, bands)
-    here = _with_bands(asking.select("query_id", "query_vec"), "query_vec", planes, bands)
+    there = _with_bands(kept.select("id", "ts", "embedding"), "embedding", planes, index, 0)
+    here = _with_bands(asking.select("query_id", "query_vec"), "query_vec", planes, index, index.probes)
     down = _splits(there, cell_rows, "_down")
     across = _splits(here, cell_rows, "_across")
     found = score_cells(
@@ -117,21 +186,23 @@ def for_copies(usable: DataFrame, asking: DataFrame, found: DataFrame, k: int) -
     )
 
 
-def _with_bands(df: DataFrame, vector: str, planes: np.ndarray, bands: int) -> DataFrame:
-    """One row per band: which bucket the vector falls into."""
+def _with_bands(df: DataFrame, vector: str, planes: np.ndarray, index: Index, probes: int) -> DataFrame:
+    """One row per band and bucket: the bucket the vector falls into, and those beyond its ``probes`` nearest planes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = 1 << np.arange(index.bits, dtype=np.int64)
         for batch in batches:
-            above = unit_rows(batch.column(vector)) @ planes.T >= 0
-            above = above.reshape(len(batch), bands, -1)
-            buckets = above @ (1 << np.arange(above.shape[2], dtype=np.int64))
-            offsets = np.arange(0, len(batch) * bands + 1, bands, dtype=np.int32)
+            sides = (unit_rows(batch.column(vector)) @ planes.T).reshape(len(batch), index.bands, index.bits)
+            own = ((sides >= 0) @ values)[:, :, None]
+            nearest = np.argsort(np.abs(sides), axis=2, kind="stable")[:, :, :probes]
+            buckets = np.concatenate([own, own ^ values[nearest]], axis=2).reshape(len(batch), -1)
+            offsets = np.arange(0, buckets.size + 1, buckets.shape[1], dtype=np.int32)
             column = pa.ListArray.from_arrays(offsets, buckets.ravel())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "_buckets"])
 
     schema = df.limit(0).withColumn("_buckets", F.array().cast("array<bigint>")).schema
-    marked = df.mapInArrow(sign, schema)
-    return marked.select(*df.columns, F.posexplode("_buckets").alias("_band", "_bucket"))
+    marked = df.mapInArrow(sign, schema).select(*df.columns, F.posexplode("_buckets").alias("_at", "_bucket"))
+    return marked.withColumn("_band", F.floor(F.col("_at") / (1 + probes)).cast("int")).drop("_at")
 
 
 def _splits(rows: DataFrame, cell_rows: int, name: str) -> DataFrame:

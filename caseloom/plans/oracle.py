@@ -5,10 +5,12 @@ from __future__ import annotations
 from caseloom import fixed_values as v
 from caseloom.functions.links import BASE_16
 from caseloom.functions.text import SPACE, TOKEN
+from caseloom.operators.neighbours import Index, planes_of
 from caseloom.plans.registry import (
     ACCESS_KEY,
     BASE_URL,
     LETTERS,
+    LIKELY_BITS,
     LOADED_AT,
     LOOKED_UP,
     NOW,
@@ -434,6 +436,55 @@ def by_field(fields, key: str = "") -> str:
     )
 
 
+def likely_similar(threshold: float, k: int = v.SIMILAR_K, seed: int = 42) -> str:
+    """The search by sign bits: planes written out, each ticket in its own bucket of every band, each query also in those
+    beyond its nearest planes."""
+    index = Index.of(0, threshold, bits=LIKELY_BITS)
+    normals = planes_of(index, 64, seed)
+    planes = ", ".join(
+        f"({i // index.bits}, {i % index.bits}, [{', '.join(map(repr, row))}]::DOUBLE[])"
+        for i, row in enumerate(normals.tolist())
+    )
+    return on_tickets(
+        f"""SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ts DESC, id DESC) AS rank,
+  round(score, 6) AS score FROM (
+  SELECT DISTINCT a.id AS query_id, b.id, b.ts, round(list_cosine_similarity(a.e, b.e), 9) AS score
+  FROM looked l JOIN own o ON l.band = o.band AND l.bucket = o.bucket AND l.id <> o.id
+  JOIN vectors a ON a.id = l.id JOIN vectors b ON b.id = o.id)
+WHERE score >= {threshold} QUALIFY rank <= {k}""",
+        f""", planes(band, bit, normal) AS (VALUES {planes}),
+vectors AS (
+  SELECT t.id, t.ts, embedding::DOUBLE[] AS e FROM t JOIN embeddings ON vec_id::VARCHAR = t.id
+  WHERE length(summary) > 5 AND {non_blank('summary')}),
+sides AS (SELECT id, band, bit, list_dot_product(e, normal) AS side FROM vectors CROSS JOIN planes),
+own AS (SELECT id, band, sum(CASE WHEN side >= 0 THEN 1 << bit ELSE 0 END)::BIGINT AS bucket FROM sides GROUP BY id, band),
+near AS (
+  SELECT id, band, bit FROM sides QUALIFY row_number() OVER (PARTITION BY id, band ORDER BY abs(side), bit) <= {index.probes}),
+looked AS (
+  SELECT id, band, bucket FROM own UNION ALL
+  SELECT id, band, xor(bucket, (1 << bit)::BIGINT) FROM own JOIN near USING (id, band))""",
+    )
+
+
+def likely_recall() -> str:
+    parts = [
+        f"SELECT {t}::DOUBLE AS threshold, (SELECT count(*) FROM ({exact_neighbours(t, 10)})) AS neighbours, true AS enough"
+        for t in (v.SIMILAR_THRESHOLD, v.RECOMMEND_THRESHOLD)
+    ]
+    return " UNION ALL ".join(parts)
+
+
+def exact_neighbours(threshold: float, k: int) -> str:
+    return on_tickets(
+        f"""SELECT a.id AS query_id, b.id FROM vectors a JOIN vectors b ON a.id <> b.id
+WHERE round(list_cosine_similarity(a.e, b.e), 9) >= {threshold}
+QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.ts DESC, b.id DESC) <= {k}""",
+        f""", vectors AS (
+  SELECT t.id, t.ts, embedding::DOUBLE[] AS e FROM t JOIN embeddings ON vec_id::VARCHAR = t.id
+  WHERE length(summary) > 5 AND {non_blank('summary')})""",
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     modes = by_field(["category", "severity", "status", "ticket_owner"], "project,")
     clean = (
@@ -499,7 +550,9 @@ def oracle_sql() -> dict[str, str]:
         "context_top3_035": on_tickets(FOUND, context(None, 0.35, 0.1)),
         "similar_for_every_ticket": every_ticket,
         "similar_for_every_ticket_by_grid": every_ticket,
-        "likely_similar_in_one_bucket": every_ticket,
+        "likely_similar_for_every_ticket": likely_similar(v.RECOMMEND_THRESHOLD),
+        "likely_similar_at_low_threshold": likely_similar(v.SIMILAR_THRESHOLD),
+        "likely_similar_recall": likely_recall(),
         "hash_embedding_lengths": f"""SELECT doc_id, CASE WHEN len({tokens('text')}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length
 FROM documents WHERE {non_blank('text')} UNION ALL
 SELECT doc_id, NULL FROM documents WHERE NOT {non_blank('text')}""",

@@ -12,8 +12,10 @@ from caseloom.fixed_values import (
     CANDIDATE_LIMIT,
     CLUSTER_SAMPLES,
     NO_RESOLUTION,
+    RECOMMEND_THRESHOLD,
     RECOMMENDED_TITLE,
     SIMILAR_KEYWORDS,
+    SIMILAR_THRESHOLD,
     SIMILAR_TITLE,
 )
 from caseloom.functions import links, text
@@ -45,6 +47,9 @@ NOW = 1_700_000_000
 LOADED_AT = NOW - 42
 SEARCHED = "The RE"
 LOOKED_UP = "INC-7"
+# Sign bits of a band where likely neighbours are searched for, so that there are buckets at any size of the tables.
+LIKELY_BITS = 4
+RECALL_ASKED = 0.9
 
 
 def query(function: Query) -> Query:
@@ -198,21 +203,36 @@ def similar_for_every_ticket_by_grid(spark, folder):
     return found.select("query_id", "id", "rank", _score("score"))
 
 
-@query
-def likely_similar_in_one_bucket(spark, folder):
-    """With no sign bits all tickets share one bucket, and all neighbours are found."""
-    found = neighbours.likely_similar_for_all(
-        embedded_tickets(spark, folder), dim=64, bands=1, bits=0, cell_rows=128
-    )
+def _likely(spark, folder, threshold):
+    with_vectors = attach_embeddings(tickets(spark, folder), embeddings(spark, folder))
+    found = neighbours.likely_similar_for_all(with_vectors, dim=64, threshold=threshold, bits=LIKELY_BITS)
     return found.select("query_id", "id", "rank", _score("score"))
 
 
 @query
 def likely_similar_for_every_ticket(spark, folder):
+    return _likely(spark, folder, RECOMMEND_THRESHOLD)
+
+
+@query
+def likely_similar_at_low_threshold(spark, folder):
+    return _likely(spark, folder, SIMILAR_THRESHOLD)
+
+
+@query
+def likely_similar_recall(spark, folder):
+    """Of the neighbours that the exact search finds, how many the index finds."""
     with_vectors = attach_embeddings(tickets(spark, folder), embeddings(spark, folder))
-    return neighbours.likely_similar_for_all(with_vectors, dim=64, threshold=0.4).select(
-        "query_id", "id", "rank", _score("score")
-    )
+    parts = []
+    for threshold in (SIMILAR_THRESHOLD, RECOMMEND_THRESHOLD):
+        exact = neighbours.similar_for_all(with_vectors, threshold, 10).select("query_id", "id")
+        likely = neighbours.likely_similar_for_all(with_vectors, 64, threshold, 10, bits=LIKELY_BITS)
+        both = exact.join(likely.select("query_id", "id", F.lit(1).alias("_found")), ["query_id", "id"], "left")
+        parts.append(both.agg(
+            F.lit(threshold).alias("threshold"), F.count(F.lit(1)).alias("neighbours"),
+            (F.count("_found") >= RECALL_ASKED * F.count(F.lit(1))).alias("enough"),
+        ))
+    return parts[0].unionByName(parts[1])
 
 
 @query
