@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from caseloom.fixed_values import MAX_DF, MAX_FEATURES, MIN_DF, TOP_KEYWORDS
-from caseloom.functions.text import with_terms
+from caseloom.functions.text import one_two_grams, tokens, without
+from caseloom.session import written
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+TOKENS = "_tokens"
+#: Terms that may be sent to all tasks with their weights, some 10 MB.
+BROADCAST_TERMS = 200_000
+
+
+def tokenised(docs: DataFrame, text: str, stop_words: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """The columns to keep and the tokens of a text, written down: texts are read once, whatever is done with the tokens."""
+    found = docs.select(*keep, text).withColumn(TOKENS, without(tokens(F.col(text)), stop_words))
+    return written(found.select(*keep, TOKENS), "tokens")
 
 
 def vocabulary(
@@ -24,19 +42,26 @@ def vocabulary(
     """The terms in use, with their inverse document frequency: ``term, df, total, idf``.
 
     Terms of at least ``min_df`` documents and at most a share ``max_df`` of them; of those the
-    ``max_features`` most frequent. Each document gives all its terms, and once more the distinct ones, so
-    both counts come from one aggregation by term, summed up in the tasks before the shuffle. Texts do not move.
+    ``max_features`` most frequent, or all.
     """
-    terms = with_terms(docs.select("id", text), text, stop_words)
+    return vocabulary_of(tokenised(docs, text, stop_words, []), max_features, min_df, max_df)
+
+
+def vocabulary_of(split: DataFrame, max_features: int | None, min_df: int, max_df: float) -> DataFrame:
+    """The vocabulary of tokenised documents.
+
+    Each document gives all its terms, and once more the distinct ones, so both counts come from one aggregation
+    by term, summed up in the tasks before the shuffle.
+    """
+    terms = split.select(one_two_grams(F.col(TOKENS)).alias("terms"))
     # Outer explodes, as plain ones would also make the terms for a filter on their number.
     twice = F.posexplode_outer(F.array("terms", F.array_distinct("terms"))).alias("_first", "_terms")
     each = terms.select(twice).select("_first", F.explode_outer("_terms").alias("term"))
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
     found = (
         each.where(F.col("term").isNotNull())
         .groupBy("term")
         .agg(F.sum("_first").alias("df"), F.sum(1 - F.col("_first")).alias("total"))
-        .withColumn("_n", n_docs)
+        .withColumn("_n", F.lit(split.count()))
         .where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("_n")))
     )
     if max_features is not None:
@@ -45,19 +70,18 @@ def vocabulary(
     return found.withColumn("idf", idf).drop("_n")
 
 
-def unit_vectors(
-    docs: DataFrame, text: str, stop_words: Sequence[str], in_use: list[Row], keep: Sequence[str]
-) -> DataFrame:
-    """TF-IDF vectors of unit length, ``features``, over the terms in use, next to the columns to keep.
+def unit_vectors(split: DataFrame, in_use: list[Row], keep: Sequence[str]) -> DataFrame:
+    """TF-IDF vectors of unit length, ``features``, of tokenised documents over the terms in use, next to the columns
+    to keep.
 
-    Terms are counted and scaled in the row that holds the text: nothing is shuffled.
+    Terms are counted and scaled in the row that holds the tokens: nothing is shuffled.
     """
     counter = CountVectorizerModel.from_vocabulary([t["term"] for t in in_use], inputCol="terms", outputCol="tf")
     scale = ElementwiseProduct(
         scalingVec=Vectors.dense([t["idf"] for t in in_use]), inputCol="tf", outputCol="tfidf"
     )
     unit = Normalizer(p=2.0, inputCol="tfidf", outputCol="features")
-    described = with_terms(docs.select(*keep, text), text, stop_words)
+    described = split.select(*keep, one_two_grams(F.col(TOKENS)).alias("terms"))
     return unit.transform(scale.transform(counter.transform(described))).select(*keep, "features")
 
 
@@ -72,29 +96,63 @@ def weights(
 ) -> DataFrame:
     """TF-IDF weights, every document scaled to length one: the columns to keep, ``term, weight``.
 
-    With ``max_features`` the vocabulary is found while this is called and terms are counted in the rows of
-    their texts. Without, the vocabulary stays in Spark and counts per document and term meet it in a join.
+    The texts are tokenised and the vocabulary is found while this is called. With ``max_features`` terms are then
+    counted in the rows of their tokens and nothing is shuffled. Without, the vocabulary stays in Spark: counts per
+    document, made in its row, meet their terms in a join, and are scaled where the weights of the document meet.
     Documents without a term in use have no rows.
     """
-    found = vocabulary(docs, text, stop_words, max_features, min_df, max_df).select("term", "idf")
+    split = tokenised(docs, text, stop_words, keep)
+    found = vocabulary_of(split, max_features, min_df, max_df).select("term", "idf")
     if max_features is None:
-        split = with_terms(docs.select(*keep, text), text, stop_words)
-        terms = split.select(*keep, F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
-        counts = terms.groupBy(*keep, "term").agg(F.count(F.lit(1)).alias("tf")).join(found, "term")
-        raw = counts.select(*keep, "term", (F.col("tf") * F.col("idf")).alias("_w"))
-        length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(*keep)))
+        found = written(found, "vocabulary")
+        if found.count() <= BROADCAST_TERMS:
+            found = F.broadcast(found)
+        raw = term_counts(split, keep).join(found, "term").withColumn("_w", F.col("tf") * F.col("idf"))
+        length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_row")))
         return raw.select(*keep, "term", (F.col("_w") / length).alias("weight"))
     in_use = found.orderBy("term").collect()
     spark = docs.sparkSession
     names = spark.createDataFrame([(i, t["term"]) for i, t in enumerate(in_use)], "_at int, term string")
     if not in_use:
         return docs.select(*keep).limit(0).withColumns({"term": F.lit(""), "weight": F.lit(0.0)})
-    cells = unit_vectors(docs, text, stop_words, in_use, keep).withColumn("_cells", F.unwrap_udt("features")).select(
+    cells = unit_vectors(split, in_use, keep).withColumn("_cells", F.unwrap_udt("features")).select(
         *keep, F.inline(F.arrays_zip(F.col("_cells.indices").alias("_at"), F.col("_cells.values").alias("weight")))
     )
     return cells.join(F.broadcast(names), "_at").select(*keep, "term", "weight")
 
 
+def term_counts(split: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """How often each document has each of its terms: the columns to keep, ``_row`` (a number of the document), ``term, tf``.
+
+    Counted in the batch that holds the tokens: nothing is shuffled, and a document gives each of its terms once.
+    """
+    rows = split.select(*keep, F.monotonically_increasing_id().alias("_row"), TOKENS)
+    kept = [*keep, "_row"]
+    schema = rows.select(*kept, F.lit("").alias("term"), F.lit(0).cast("long").alias("tf")).schema
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(TOKENS)
+            coded = lists.flatten().dictionary_encode()
+            names, word = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(batch)), np.asarray(pc.fill_null(lists.value_lengths(), 0)))
+            pairs = np.flatnonzero(row[1:] == row[:-1])
+            for words, at in ((word[:, None], row), (np.stack([word[pairs], word[pairs + 1]], axis=1), row[pairs])):
+                if len(at) == 0:
+                    continue
+                code = words[:, 0] * (len(names) if words.shape[1] > 1 else 1) + words[:, -1] * (words.shape[1] > 1)
+                order = np.lexsort((code, at))
+                code, at, words = code[order], at[order], words[order]
+                first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (at[1:] != at[:-1])))
+                parts = [names.take(pa.array(column)) for column in words[first].T]
+                terms = pc.binary_join_element_wise(*parts, " ")
+                tf = np.diff(np.append(first, len(code)))
+                columns = batch.select(kept).take(pa.array(at[first])).columns
+                yield pa.RecordBatch.from_arrays([*columns, terms, pa.array(tf)], names=[*kept, "term", "tf"])
+
+    return rows.mapInArrow(count, schema)
+
+
 def group_weights(weighted: DataFrame, key: str) -> DataFrame:
     """Summed weight of every term in every group, ``key, term, weight``, from weights that kept the key."""
     return weighted.groupBy(key, "term").agg(F.sum("weight").alias("weight"))

@@ -485,6 +485,83 @@ QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similari
     )
 
 
+def all_terms(sql: str) -> str:
+    return sql.replace("ORDER BY total DESC, term LIMIT 2000", "")
+
+
+def kmeans_from_categories(steps: int) -> str:
+    """Centres as rows per term, moved and asked again step by step."""
+    more = WEIGHTS + """,
+a0 AS (SELECT id, dense_rank() OVER (ORDER BY category) - 1 AS cluster FROM t)"""
+    for i in range(1, steps + 2):
+        # The first step asks the means of the categories, the last only places the tickets.
+        more += f""",
+n{i} AS (SELECT cluster, count(*) AS n FROM a{i - 1} GROUP BY cluster),
+c{i} AS MATERIALIZED (
+  SELECT cluster, term, sum(weight) / any_value(n) AS x
+  FROM a{i - 1} JOIN wt USING (id) JOIN n{i} USING (cluster) GROUP BY cluster, term),
+l{i} AS (SELECT cluster, sum(x * x) AS l FROM n{i} LEFT JOIN c{i} USING (cluster) GROUP BY cluster),
+p{i} AS (SELECT id, cluster, sum(weight * x) AS p FROM wt JOIN c{i} USING (term) GROUP BY id, cluster),
+a{i} AS MATERIALIZED (
+  SELECT t.id, l.cluster FROM t CROSS JOIN l{i} l LEFT JOIN p{i} p ON p.id = t.id AND p.cluster = l.cluster
+  QUALIFY row_number() OVER (
+    PARTITION BY t.id ORDER BY round(coalesce(l, 0) - 2 * coalesce(p, 0), 9), l.cluster) = 1)"""
+    return on_tickets(f"SELECT id, cluster FROM a{steps + 1}", more)
+
+
+def _squared(times: int, start: str, name: str) -> str:
+    """A matrix (i, j, v) squared again and again, scaled by its trace each time."""
+    parts, last = [], start
+    for k in range(times):
+        parts.append(f"""{name}{k} AS MATERIALIZED (
+  SELECT a.i, b.j, sum(a.v * b.v) / (SELECT sum(v) ** 2 FROM {last} WHERE i = j) AS v
+  FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY a.i, b.j)""")
+        last = f"{name}{k}"
+    return ", ".join(parts)
+
+
+def _axis(power: str, matrix: str, name: str) -> str:
+    """The first axis of a matrix, from the column of its power with the largest diagonal; the largest loading positive."""
+    return f"""{name}_raw AS (
+  SELECT i, v FROM {power} WHERE j = (SELECT arg_max(i, v) FROM {power} WHERE i = j)),
+{name} AS MATERIALIZED (
+  SELECT i, v * (SELECT sign(arg_max(v, abs(v))) FROM {name}_raw) / (SELECT sqrt(sum(v * v)) FROM {name}_raw) AS v
+  FROM {name}_raw),
+{name}_l AS (
+  SELECT sum(a.v * m.v * b.v) AS l FROM {matrix} m JOIN {name} a ON a.i = m.i JOIN {name} b ON b.i = m.j)"""
+
+
+PCA = f"""WITH e AS (
+  SELECT vec_id::VARCHAR AS id, unnest(range(1, 65)) AS i, unnest(embedding::DOUBLE[]) AS v FROM embeddings),
+m AS (SELECT i, avg(v) AS mean FROM e GROUP BY i),
+x AS MATERIALIZED (SELECT id, i, v - mean AS v FROM e JOIN m USING (i)),
+n AS (SELECT count(*)::DOUBLE AS n FROM embeddings),
+c AS MATERIALIZED (
+  SELECT a.i, b.i AS j, sum(a.v * b.v) / any_value(n) AS v FROM x a JOIN x b USING (id) CROSS JOIN n GROUP BY a.i, b.i),
+{_squared(13, "c", "f")}, {_axis("f12", "c", "one")},
+d AS MATERIALIZED (
+  SELECT c.i, c.j, c.v - (SELECT l FROM one_l) * a.v * b.v AS v FROM c JOIN one a ON a.i = c.i JOIN one b ON b.i = c.j),
+{_squared(13, "d", "g")}, {_axis("g12", "d", "two")}
+SELECT id, round(sum(x.v * one.v), 5) AS x, round(sum(x.v * two.v), 5) AS y
+FROM x JOIN one USING (i) JOIN two USING (i) GROUP BY id"""
+
+
+def report_tables() -> str:
+    def listed(table: str, fields) -> str:
+        return f"SELECT '{table}' AS report_table, field, value, n FROM ({by_field(fields)})"
+
+    def whole(table: str, n: str) -> str:
+        return f"SELECT '{table}', NULL, NULL, ({n})::BIGINT"
+
+    parts = [
+        listed("overview_counts", ["category", "severity", "status"]),
+        listed("cluster_counts", ["category", "task_type", "severity"]),
+        *(whole(x, "SELECT count(*) FROM t") for x in ("labels", "clusters", "summary", "projection2d")),
+        whole("cluster_modes", "6"), whole("cluster_keywords", "7"), whole("cluster_prompts", "5"),
+    ]
+    return on_tickets(" UNION ALL ".join(parts))
+
+
 def oracle_sql() -> dict[str, str]:
     modes = by_field(["category", "severity", "status", "ticket_owner"], "project,")
     clean = (
@@ -515,13 +592,13 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT {CANDIDATE} FROM t WHERE length(summary) > 5 AND contains(lower(summary), lower({text(SEARCHED)}))"
         ),
         "search_recent": on_tickets(
-            f"SELECT {CANDIDATE} FROM r WHERE contains(lower(summary), lower({text(SEARCHED)}))", SEARCHABLE
+            f"SELECT {CANDIDATE} FROM r WHERE contains(lower(summary), lower({text(SEARCHED)}))", RECENT
         ),
         "high_priority_all": on_tickets(
             f"SELECT {CANDIDATE} FROM t WHERE length(summary) > 5 AND {HIGH} ORDER BY ts DESC, id DESC LIMIT 5"
         ),
         "high_priority": on_tickets(
-            f"SELECT {CANDIDATE} FROM r WHERE {HIGH} ORDER BY ts DESC, id DESC LIMIT 5", SEARCHABLE
+            f"SELECT {CANDIDATE} FROM r WHERE {HIGH} ORDER BY ts DESC, id DESC LIMIT 5", RECENT
         ),
         "ticket_lookup": on_tickets(f"SELECT {CANDIDATE} FROM t WHERE ticket_number = {text(LOOKED_UP)}"),
         "ticket_details": on_tickets(
@@ -541,9 +618,9 @@ def oracle_sql() -> dict[str, str]:
             """SELECT to_json({'id': id, 'ts': ts, 'project': project, 'category': category,
   'resolution_date': resolution_date})::VARCHAR AS json FROM t"""
         ),
-        "similar_top5": similar(None),
+        "similar_top5": similar(v.CANDIDATE_LIMIT),
         "similar_top5_all": similar(None),
-        "recommend_top3": recommend(None),
+        "recommend_top3": recommend(v.CANDIDATE_LIMIT),
         "recommend_top3_all": recommend(None),
         "context_top3": on_tickets(FOUND, context(None, 0.5, 0.3)),
         "context_top3_all": on_tickets(FOUND, context(None, 0.5, 0.1)),
@@ -556,7 +633,11 @@ def oracle_sql() -> dict[str, str]:
         "hash_embedding_lengths": f"""SELECT doc_id, CASE WHEN len({tokens('text')}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length
 FROM documents WHERE {non_blank('text')} UNION ALL
 SELECT doc_id, NULL FROM documents WHERE NOT {non_blank('text')}""",
-        "kmeans_coverage": on_tickets("SELECT count(*) AS tickets, count(DISTINCT id) AS ids, 5 AS clusters FROM t"),
+        "kmeans_coverage": on_tickets(
+            "SELECT count(*) AS tickets, count(DISTINCT id) AS ids, 5 AS clusters, true AS settled FROM t"
+        ),
+        "kmeans_from_categories": kmeans_from_categories(3),
+        "pca_2d_embeddings": PCA,
         "pca_2d_moments": on_tickets("""SELECT count(*) AS tickets, 0.0::DOUBLE AS mean_x, 0.0::DOUBLE AS mean_y,
   0.0::DOUBLE AS correlation, true AS in_order FROM t"""),
         "assign_centroid": CENTROIDS + """, d AS (
@@ -571,7 +652,7 @@ FROM embeddings JOIN c USING (label)""",
         "embed_distinct_texts": f"""SELECT doc_id, sha256(text) AS text_key,
   count(*) OVER (PARTITION BY text) AS copies, true AS embedded FROM documents WHERE {non_blank('text')}""",
         "overview_counts": overview,
-        "report_tables": overview,
+        "report_tables": report_tables(),
         "value_count_maps": on_tickets(
             """SELECT a.g AS project, category_counts AS category, task_type_counts AS task_type,
   severity_counts AS severity FROM n_category a JOIN n_task_type b USING (g) JOIN n_severity c USING (g)""",
@@ -610,14 +691,15 @@ FROM embeddings JOIN c USING (label)""",
         "ngrams": f"""SELECT doc_id, array_to_string({GRAMS}, '|') AS terms FROM (
   SELECT doc_id, list_filter({tokens('text')}, lambda x: NOT list_contains({STOP}, x)) AS w FROM documents)""",
         "vocabulary": on_tickets(
-            "SELECT term, df, total::BIGINT AS total, round(idf, 6) AS idf FROM voc", TERMS
+            "SELECT term, df, total::BIGINT AS total, round(idf, 6) AS idf FROM voc", all_terms(TERMS)
         ),
-        "tfidf_weights": on_tickets("SELECT id, term, round(weight, 6) AS weight FROM wt", WEIGHTS),
+        "tfidf_weights": on_tickets("SELECT id, term, round(weight, 6) AS weight FROM wt", all_terms(WEIGHTS)),
         "keywords_top7": on_tickets(
             "SELECT category, rank, term, round(weight, 6) AS weight FROM k", KEYWORDS
         ),
         "category_term_weights": on_tickets(
-            "SELECT category, term, round(sum(weight), 6) AS weight FROM wt JOIN t USING (id) GROUP BY ALL", WEIGHTS
+            "SELECT category, term, round(sum(weight), 6) AS weight FROM wt JOIN t USING (id) GROUP BY ALL",
+            all_terms(WEIGHTS),
         ),
         "text_pieces": on_tickets(
             f"""SELECT id,
@@ -631,7 +713,7 @@ FROM t"""
         "category_batch_prompts": batch_prompts(),
         "context_prompts": on_tickets(CONTEXT_TEXT, context(None, 0.35, 0.1)),
         "assistant_prompts": assistant_prompts(context(None, 0.35, 0.1)),
-        "ask_assistant": assistant_prompts(context(None, 0.5, 0.3, "true"), PROCESSED),
+        "ask_assistant": assistant_prompts(context(v.CANDIDATE_LIMIT, 0.5, 0.3, "true"), PROCESSED),
         "ask_assistant_all": assistant_prompts(context(None, 0.5, 0.3, "true"), PROCESSED),
         "similar_to_texts_by_letters": on_tickets(
             "SELECT query_id, rank, id, round(score, 6) AS similarity_score FROM h",

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,7 @@ from caseloom.sources.sample_tables import (
     embedded_tickets,
     embeddings,
     table,
+    texts,
     ticket_queries,
     tickets,
 )
@@ -90,7 +94,8 @@ def search_substring(spark, folder):
 
 @query
 def search_recent(spark, folder):
-    return scans.search_substring(tickets(spark, folder), SEARCHED)
+    """Among the newest tickets, as a search page does that holds only these."""
+    return scans.search_substring(tickets(spark, folder), SEARCHED, CANDIDATE_LIMIT)
 
 
 @query
@@ -100,7 +105,7 @@ def high_priority_all(spark, folder):
 
 @query
 def high_priority(spark, folder):
-    return scans.high_priority(tickets(spark, folder))
+    return scans.high_priority(tickets(spark, folder), limit=CANDIDATE_LIMIT)
 
 
 @query
@@ -120,7 +125,7 @@ def profile(spark, folder):
 
 @query
 def profile_all(spark, folder):
-    return scans.profile(tickets(spark, folder), NOW, LOADED_AT)
+    return scans.profile(tickets(spark, folder, for_text=True), NOW, LOADED_AT)
 
 
 @query
@@ -143,7 +148,7 @@ def _similar(spark, folder, limit):
 
 @query
 def similar_top5(spark, folder):
-    return _similar(spark, folder, None)
+    return _similar(spark, folder, CANDIDATE_LIMIT)
 
 
 @query
@@ -159,7 +164,7 @@ def _recommend(spark, folder, limit):
 
 @query
 def recommend_top3(spark, folder):
-    return _recommend(spark, folder, None)
+    return _recommend(spark, folder, CANDIDATE_LIMIT)
 
 
 @query
@@ -268,7 +273,7 @@ def hash_embedding(spark, folder):
 
 @query
 def hash_embedding_lengths(spark, folder):
-    embedded = hash_embed(table(spark, folder, "documents"), "text", dim=64)
+    embedded = hash_embed(table(spark, folder, "documents"), "text")
     return embedded.select("doc_id", F.round(norm(F.col("embedding")), 3).alias("length"))
 
 
@@ -323,7 +328,7 @@ def group_samples(spark, folder):
 # --- text ---
 
 def _texts(spark, folder):
-    return reports.with_text(tickets(spark, folder)).select("id", "category", "ts", "cluster_text")
+    return reports.with_text(tickets(spark, folder, for_text=True)).select("id", "category", "ts", "cluster_text")
 
 
 @query
@@ -333,20 +338,20 @@ def combined_text(spark, folder):
 
 @query
 def clean_text(spark, folder):
-    cleaned = reports.with_text(tickets(spark, folder), batch=True, stop_words=text.default_stop_words())
+    cleaned = reports.with_text(tickets(spark, folder, for_text=True), batch=True, stop_words=text.default_stop_words())
     return cleaned.select("id", F.col("cluster_text").alias("clean"))
 
 
 @query
 def tokens(spark, folder):
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder).select(
         "doc_id", F.array_join(text.tokens(F.col("text")), " ").alias("tokens")
     )
 
 
 @query
 def ngrams(spark, folder):
-    documents = table(spark, folder, "documents")
+    documents = texts(spark, folder)
     return text.with_terms(documents, "text", text.default_stop_words()).select(
         "doc_id", F.array_join("terms", "|").alias("terms")
     )
@@ -354,13 +359,13 @@ def ngrams(spark, folder):
 
 @query
 def vocabulary(spark, folder):
-    found = tfidf.vocabulary(_texts(spark, folder), "cluster_text", text.default_stop_words())
+    found = tfidf.vocabulary(_texts(spark, folder), "cluster_text", text.default_stop_words(), max_features=None)
     return found.withColumn("idf", F.round("idf", 6))
 
 
 @query
 def tfidf_weights(spark, folder):
-    weighted = tfidf.weights(_texts(spark, folder), "cluster_text", text.default_stop_words())
+    weighted = tfidf.weights(_texts(spark, folder), "cluster_text", text.default_stop_words(), max_features=None)
     return weighted.withColumn("weight", F.round("weight", 6))
 
 
@@ -374,7 +379,7 @@ def keywords_top7(spark, folder):
 @query
 def category_term_weights(spark, folder):
     docs = _texts(spark, folder)
-    weighted = tfidf.weights(docs, "cluster_text", text.default_stop_words(), keep=["id", "category"])
+    weighted = tfidf.weights(docs, "cluster_text", text.default_stop_words(), None, keep=["id", "category"])
     return tfidf.group_weights(weighted, "category").withColumn("weight", F.round("weight", 6))
 
 
@@ -398,7 +403,7 @@ def reflowed(spark, folder):
 # --- reports and prompts ---
 
 def _by_category(spark, folder):
-    docs = reports.with_text(tickets(spark, folder)).withColumn("cluster", F.col("category"))
+    docs = reports.with_text(tickets(spark, folder, for_text=True)).withColumn("cluster", F.col("category"))
     weighted = tfidf.weights(docs, "cluster_text", text.default_stop_words(), keep=["id", "cluster"])
     keywords = tfidf.keyword_lists(tfidf.keywords(weighted, "cluster"), "cluster")
     texts = metrics.samples(docs, ["cluster"], "combined_text", CLUSTER_SAMPLES, scans.recency())
@@ -461,7 +466,7 @@ def _by_id(spark, folder):
 
 @query
 def ask_assistant(spark, folder):
-    candidates = similarity.Candidates.of(embedded_tickets(spark, folder))
+    candidates = similarity.Candidates.of(embedded_tickets(spark, folder), CANDIDATE_LIMIT)
     return _with_shown_messages(searches.ask(_questions(spark, folder), candidates, _by_id(spark, folder)))
 
 
@@ -665,10 +670,27 @@ def append_twice(spark, folder):
 
 @query
 def report_tables(spark, folder):
-    """Tables of a report, written and read back."""
+    """All tables of the offline report, published and read back: what they say of the whole table of tickets, whatever the
+    clusters are."""
     path = run_dir(spark, "report")
-    sinks.write_report({"overview_counts": overview_counts(spark, folder)}, path)
-    return spark.read.parquet(f"{path}/overview_counts")
+    sinks.publish(reports.root_cause_patterns(tickets(spark, folder, for_text=True), batch=True), path)
+    found = sinks.published(spark, path)
+
+    def whole(name: str, n) -> DataFrame:
+        return found[name].agg(F.lit(name).alias("report_table"), F.lit(None).cast("string").alias("field"),
+                               F.lit(None).cast("string").alias("value"), n.cast("long").alias("n"))
+
+    rows = found["overview_counts"].select(F.lit("overview_counts").alias("report_table"), "field", "value", "n")
+    by_value = found["cluster_counts"].groupBy("field", "value").agg(F.sum("n").alias("n"))
+    parts = [
+        by_value.select(F.lit("cluster_counts").alias("report_table"), "field", "value", "n"),
+        whole("labels", F.count_distinct("id")), whole("clusters", F.sum("size")), whole("summary", F.max("total")),
+        whole("projection2d", F.count_distinct("id")), whole("cluster_modes", F.count_distinct("field")),
+        whole("cluster_keywords", F.max("rank")), whole("cluster_prompts", F.count_distinct("cluster")),
+    ]
+    for part in parts:
+        rows = rows.unionByName(part)
+    return rows
 
 
 @query
@@ -699,12 +721,11 @@ def sheet_by_heading(spark, folder):
 
 @query
 def sheet_with_title(spark, folder):
-    """A sheet with a title above its headings."""
+    """Sheets with a title above their headings."""
     path = run_dir(spark, "sheet")
     number = F.concat(F.lit("INC-"), "doc_id")
-    lines = table(spark, folder, "documents").select(F.concat_ws(",", "lang", "source", number).alias("line"))
-    first = spark.createDataFrame([("Exported tickets,,",), ("Project,Summary,Ticket Number",)], "line string")
-    first.unionByName(lines).coalesce(1).write.text(path)
+    lines = texts(spark, folder).select(F.concat_ws(",", "lang", "source", number).alias("line"))
+    sinks.write_under(lines, ["Exported tickets,,", "Project,Summary,Ticket Number"], path)
     rows = readers.read_sheet(spark, path, title_row=True)
     return readers.good_rows(rows).select("ticket_number", "summary", "project")
 
@@ -714,9 +735,7 @@ def sheet_load_summary(spark, folder):
     """Counts of a load with rows that do not fit, and the rejected rows as they were stored."""
     path = run_dir(spark, "load")
     row = F.concat_ws(",", F.concat(F.lit("INC-"), "doc_id"), "lang", F.when(F.col("doc_id") % 10 == 0, F.lit("too,many")))
-    lines = table(spark, folder, "documents").select(row.alias("line"))
-    first = spark.createDataFrame([("Ticket Number,Project",)], "line string")
-    first.unionByName(lines).coalesce(1).write.text(f"{path}/sheet")
+    sinks.write_under(texts(spark, folder).select(row.alias("line")), ["Ticket Number,Project"], f"{path}/sheet")
     counts = sinks.load_sheet(readers.read_sheet(spark, f"{path}/sheet"), f"{path}/stored", rejected_path=f"{path}/rejected")
     return spark.read.parquet(f"{path}/rejected").agg(
         *[F.lit(int(counts[k])).cast("long").alias(k) for k in ("read", "rejected", "written")],
@@ -765,37 +784,63 @@ def bad_dates(spark, folder):
 
 # --- clusters by learning ---
 
+def _features(spark, folder, keep=("id",)):
+    found, _ = clustering.text_features(_texts(spark, folder), "cluster_text", text.default_stop_words(), keep=keep)
+    return found
+
+
 @query
 def kmeans_clusters(spark, folder):
-    docs = _texts(spark, folder)
-    features, _ = clustering.text_features(docs, "cluster_text", text.default_stop_words())
+    features = _features(spark, folder)
     return clustering.labelled(features, clustering.kmeans(features)).select("id", "cluster")
 
 
+@query
+def kmeans_from_categories(spark, folder):
+    """Three steps from the means of the categories, then the nearest centre of every ticket."""
+    features = _features(spark, folder, ["id", "category"])
+    means = features.groupBy("category").agg(vector_to_array(Summarizer.mean(F.col("features"))).alias("m"))
+    start = [r["m"] for r in means.orderBy("category").collect()]  # seven categories
+    moved = clustering.kmeans(features, start=[start], max_iter=3, tolerance=-1.0)
+    return clustering.labelled(features, moved).select("id", "cluster")
+
+
 @query
 def kmeans_coverage(spark, folder):
-    """Every ticket is in exactly one of the clusters."""
-    features, _ = clustering.text_features(_texts(spark, folder), "cluster_text", text.default_stop_words())
-    found = clustering.labelled(features, clustering.kmeans(features, restarts=1))
-    return found.agg(
+    """Every ticket is in exactly one of the clusters, and nearly none is nearer to the mean of another one."""
+    features = _features(spark, folder)
+    found = clustering.labelled(features, clustering.kmeans(features))
+    means = found.groupBy("cluster").agg(vector_to_array(Summarizer.mean(F.col("features"))).alias("m"))
+    centres = [r["m"] for r in means.orderBy("cluster").collect()]
+    again = clustering.labelled(found.withColumnRenamed("cluster", "first"), clustering.Clusters(np.array(centres), 0.0))
+    return again.agg(
         F.count(F.lit(1)).alias("tickets"), F.count_distinct("id").alias("ids"),
-        F.count_distinct("cluster").alias("clusters"),
+        F.count_distinct("first").alias("clusters"),
+        (F.count_if(F.col("first") != F.col("cluster")) <= 0.01 * F.count(F.lit(1))).alias("settled"),
     )
 
 
 @query
 def cluster_report(spark, folder):
-    found = reports.root_cause_patterns(tickets(spark, folder), projection=False)
-    return found["clusters"].select(
+    found = reports.root_cause_patterns(tickets(spark, folder, for_text=True))
+    centre = found["projection2d"].groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return found["clusters"].join(centre, "cluster").select(
         "cluster", "size", F.array_join("keywords", ",").alias("keywords"), "avg_hours", "median_hours",
-        "peak_month", F.col("messages")[1]["content"].alias("prompt"),
+        "peak_month", F.col("messages")[1]["content"].alias("prompt"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"),
     )
 
 
 @query
 def pca_2d(spark, folder):
-    features, _ = clustering.text_features(_texts(spark, folder), "cluster_text", text.default_stop_words())
-    return clustering.project_2d(features)
+    return clustering.project_2d(_features(spark, folder))
+
+
+@query
+def pca_2d_embeddings(spark, folder):
+    """The vectors of the tickets on their first two principal components."""
+    vectors = embeddings(spark, folder).select("id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    placed = clustering.project_2d(vectors, tolerance=1e-13)
+    return placed.select("id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
 @query

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "caseloom", **conf: str) -> SparkSession:
@@ -50,3 +50,24 @@ def shared_dir(spark: SparkSession) -> str:
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for one run of a job."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written once to the shared folder and read from there by the columns that are asked for.
+
+    Cuts the lineage: neither a second use nor the loss of an executor repeats the steps before.
+    """
+    spark = rows.sparkSession
+    path = run_dir(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A scan whose rows are dealt out by a unique key where it has fewer partitions than there are cores.
+
+    For dear work on few or large files. ``scan`` reads files and has no join or aggregation in it, so that its
+    partitions are known without running anything; large tables have more of them than cores and are left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan

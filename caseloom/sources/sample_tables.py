@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseloom.session import spread
 from caseloom.sources.schema import TICKET_SCHEMA
 
 # --- fixed values: opening words put before a message, by the number of its conversation ---
@@ -37,8 +38,14 @@ def _as_text(moment: str):
     return F.date_format(moment, "yyyy-MM-dd HH:mm:ss")
 
 
-def tickets(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
+def texts(spark: SparkSession, folder: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """A table for work on its texts, on all cores even where it is one small file."""
+    return spread(table(spark, folder, name), key)
+
+
+def tickets(spark: SparkSession, folder: str, for_text: bool = False) -> DataFrame:
+    """``for_text``: texts are worked on, not only looked at."""
+    documents = texts(spark, folder) if for_text else table(spark, folder, "documents")
     orders = table(spark, folder, "orders")
     shipped = (
         table(spark, folder, "lineitem")

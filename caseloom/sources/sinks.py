@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +16,9 @@ from pyspark.sql import types as T
 from caseloom.sources.readers import REJECTED, good_rows, rejected_rows
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def with_new_id(tickets: DataFrame) -> DataFrame:
     """A fresh id per row: loading the same sheet twice stores its rows twice."""
     return tickets.withColumn("id", F.expr("uuid()"))
@@ -107,7 +116,55 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_under(lines: DataFrame, heads: list[str], path: str) -> None:
+    """Write the lines of a sheet (one text column) as a folder of files, each with the same lines above its own."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(heads)], names=["line"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns, names=["line"])
+
+    lines.mapInArrow(put, "line string").write.text(path)
+
+
 def write_report(tables: dict[str, DataFrame], path: str) -> None:
     """Write the tables of a cluster report, one folder each."""
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+
+
+MANIFEST = "version string, published_at timestamp, tables array<string>"
+
+
+def publish(tables: dict[str, DataFrame], path: str) -> str:
+    """Publish the tables of a report together; returns the name of this version.
+
+    Each version has a folder of its own. Its tables are written there, and the version is entered in the manifest
+    when all of them are: readers see the whole of a version or none of it, and the versions before stay.
+    """
+    if not tables:
+        raise ValueError("a report has tables")
+    root = path.rstrip("/")
+    version = uuid.uuid4().hex
+    for name, table in tables.items():
+        table.write.parquet(f"{root}/{version}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    entered = spark.range(1).select(
+        F.lit(version).alias("version"), F.current_timestamp().alias("published_at"),
+        F.array(*[F.lit(name) for name in tables]).alias("tables"),
+    )
+    entered.write.mode("append").parquet(f"{root}/manifest")
+    return version
+
+
+def published(spark: SparkSession, path: str, version: str | None = None) -> dict[str, DataFrame]:
+    """The tables of the newest version of a report, or of a given one; none where nothing has been published."""
+    root = path.rstrip("/")
+    manifest = stored(spark, f"{root}/manifest", T.StructType.fromDDL(MANIFEST))
+    if manifest is None:
+        return {}
+    wanted = manifest if version is None else manifest.where(F.col("version") == version)
+    newest = wanted.orderBy(F.desc("published_at"), F.desc("version")).limit(1).collect()
+    return {
+        name: spark.read.parquet(f"{root}/{row['version']}/{name}") for row in newest for name in row["tables"]
+    }
