@@ -13,12 +13,12 @@ known to the tasks by a bit table of fixed size: a false positive costs a row an
 from __future__ import annotations
 
 import sys
-from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +34,8 @@ COVER = 50
 TOP = 2000
 #: Mean number of words between the ends of chunks.
 PERIOD = 16
+#: Parts of a language whose first phrases are found before the first of all.
+TOP_PARTS = 16
 #: Bytes of text or chunks that a task holds at a time.
 HELD = 8 << 20
 #: Bits of the table of frequent n-grams, a power of two.
@@ -91,9 +93,17 @@ def collocations(
         candidates = candidates.unionByName(level)
     candidates = candidates.select("lang", "phrase", F.col("n").alias("a"))
     scored = _scored(_uncovered(candidates, cover), known)
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    best = Window.partitionBy("lang").orderBy(*order)
+    # The first of each part before the first of all: no task reads more than the first of so many parts.
+    part = Window.partitionBy("lang", "_part").orderBy(*order)
+    firsts = (
+        scored.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(TOP_PARTS)))
+        .withColumn("_at", F.row_number().over(part))
+        .where(F.col("_at") <= top)
+    )
     return (
-        scored.withColumn("rank", F.row_number().over(best).cast("long"))
+        firsts.withColumn("rank", F.row_number().over(best).cast("long"))
         .where(F.col("rank") <= top)
         .join(words, "lang")
         .select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
@@ -111,22 +121,19 @@ def dictionary(
     shared = max_words - 1
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        found: Counter = Counter()
+        langs: list[str] = []
+        texts: list[bytes] = []
         held = 0
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                text = text.as_py()
-                tokens = text.translate(FOLD).replace(BREAK, b" . ").split()
-                begin, head = 0, True
-                for end in _ends(tokens, hashes, max(1, shared), period):
-                    found[lang, head, b" ".join(tokens[begin:end])] += 1
-                    begin, head = end - shared, False
+                text = text.as_py().translate(FOLD).replace(BREAK, b" . ")
+                langs.append(lang)
+                texts.append(text)
                 held += len(text)
                 if held >= HELD:
-                    yield _chunk_batch(found)
-                    found, held = Counter(), 0
-        yield _chunk_batch(found)
+                    yield _parsed(langs, texts, shared, period)
+                    langs, texts, held = [], [], 0
+        yield _parsed(langs, texts, shared, period)
 
     texts = docs.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
@@ -135,38 +142,35 @@ def dictionary(
     return texts.mapInArrow(parse, _CHUNKS).groupBy("lang", "head", "chunk").agg(F.sum("n").alias("n"))
 
 
-class _Hashes(dict):
-    """Hashes of words, kept while there are not too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = crc32(word)
-        return value
-
-
-def _ends(tokens: list[bytes], hashes: _Hashes, window: int, period: int) -> list[int]:
-    """Where chunks end (exclusive): behind each window whose hash says so, and at the end of the text."""
-    if not tokens:
-        return []
-    last = len(tokens)
-    if last <= window:
-        return [last]
-    each = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, last)
-    rolled = np.zeros(last - window + 1, np.uint64)
-    for k in range(window):
-        rolled = rolled * np.uint64(_MIX) + each[k:k + len(rolled)]
+def _parsed(langs: list[str], texts: list[bytes], shared: int, period: int) -> pa.RecordBatch:
+    """The chunks of folded texts. They end behind each window of words whose hash says so, and with the text."""
+    split = pc.split_pattern(pa.array(texts, pa.binary()), b" ")
+    coded = split.flatten().dictionary_encode()
+    names, word = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    known = names.to_pylist()
+    full = (np.array(known, object) != b"")[word]
+    word = word[full]
+    text = np.repeat(np.arange(len(texts)), np.asarray(split.value_lengths(), np.int64))[full]
+    place = np.arange(len(word)) - np.searchsorted(text, text)
+    each = np.fromiter(map(crc32, known), np.uint64, len(known))[word]
+    window = max(1, shared)
+    rolled = np.zeros(len(word), np.uint64)
+    for back in range(window - 1, -1, -1):
+        rolled = rolled * np.uint64(_MIX) + np.append(np.zeros(back, np.uint64), each[:len(each) - back])
     rolled = (rolled * np.uint64(_MIX)) >> np.uint64(32)
-    ends = np.flatnonzero(rolled % np.uint64(period) == 0) + window
-    return [*ends[ends < last].tolist(), last]
-
-
-def _chunk_batch(found: Counter) -> pa.RecordBatch:
-    keys = list(found)
+    last = np.append(text[1:] != text[:-1], np.ones(min(1, len(text)), bool))
+    end = np.flatnonzero(last | ((rolled % np.uint64(period) == 0) & (place >= window - 1)))
+    head = np.append(np.ones(min(1, len(end)), bool), text[end[1:]] != text[end[:-1]])
+    begin = np.where(head, end - place[end], np.append(0, end[:-1])[:len(end)] + 1 - shared)
+    lengths = end + 1 - begin
+    offsets = np.append(0, np.cumsum(lengths))
+    inside = np.repeat(begin - offsets[:-1], lengths) + np.arange(offsets[-1])
+    words = names.take(pa.array(word[inside]))
+    chunks = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words), b" ")
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()),
-            pa.array([k[2] for k in keys], pa.binary()), pa.array(list(found.values()), pa.int64()),
+            pa.array(langs, pa.string()).take(pa.array(text[end])), pa.array(head), chunks,
+            pa.array(np.ones(len(end), np.int64)),
         ],
         names=["lang", "head", "chunk", "n"],
     )
@@ -181,100 +185,92 @@ def _counted(
     shared = max_words - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[tuple] = []
-        size_held = 0
+        block: list[pa.RecordBatch] = []
         for batch in batches:
-            for row in zip(*(batch.column(name).to_pylist() for name in ("lang", "head", "chunk", "n"))):
-                block.append(row)
-                size_held += len(row[2])
-                if size_held >= HELD:
-                    yield from _block_counts(block, size, shared, held.value)
-                    block, size_held = [], 0
+            block.append(batch)
+            if sum(b.nbytes for b in block) >= HELD:
+                yield from _block_counts(pa.Table.from_batches(block), size, shared, held.value)
+                block = []
         if block:
-            yield from _block_counts(block, size, shared, held.value)
+            yield from _block_counts(pa.Table.from_batches(block), size, shared, held.value)
 
     grams = entries.mapInArrow(count, _GRAMS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     return grams.where((F.col("n") >= min_count) | (F.length("phrase") == 0))
 
 
-def _block_counts(block: list[tuple], size: int, shared: int, tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Weighted counts of the n-grams in a block of chunks, each distinct one once."""
-    tokens: list[bytes] = []
-    ids: list[int] = []
-    lengths, weights, skips = [], [], []
-    known: dict[str, dict[bytes, int]] = {}
-    names: list[tuple[str, bytes]] = []
-    for lang, head, chunk, n in block:
-        words = chunk.split(b" ")
-        own = known.setdefault(lang, {BREAK: -1})
-        for word in words:
-            number = own.get(word)
-            if number is None:
-                number = own[word] = len(names)
-                names.append((lang, word))
-            ids.append(number)
-        tokens += words
-        lengths.append(len(words))
-        weights.append(n)
-        skips.append(0 if head else shared)
-    if not names:
-        return
-    lengths = np.array(lengths)
-    starts = np.cumsum(lengths) - lengths
-    place = np.arange(len(ids)) - np.repeat(starts, lengths)
-    counts_here = place >= np.repeat(np.array(skips), lengths)
-    weight = np.repeat(np.array(weights, np.int64), lengths)
-    word = np.array(ids, np.int64)
-    # rank: the number of the n-gram that ends here, -1 where there is none that may be frequent.
-    rank, seen = word, names
-    for k in range(1, size):
-        good = np.append(_frequent(seen, tables[k - 1]), False)[rank]
-        before = np.append(-1, rank[:-1])
-        there = good & np.append(False, good[:-1]) & (place >= k)
-        if not there.any():
-            return
-        at = np.flatnonzero(there)
-        _, first, rank_there = np.unique(
-            before[at] * np.int64(len(names)) + word[at], return_index=True, return_inverse=True
-        )
-        rank = np.full(len(word), -1, np.int64)
-        rank[at] = rank_there
-        seen = [(names[word[i]][0], b" ".join(tokens[i - k:i + 1])) for i in at[first].tolist()]
-    at = np.flatnonzero(counts_here & (rank >= 0))
-    total = np.zeros(len(seen), np.int64)
-    np.add.at(total, rank[at], weight[at])
-    used = np.flatnonzero(total)
-    yield _gram_batch([seen[i] for i in used.tolist()], total[used])
-    if size == 1:
-        sums: Counter = Counter()
-        for i in used.tolist():
-            sums[names[i][0], b""] += int(total[i])
-        yield _gram_batch(list(sums), list(sums.values()))
-
-
-def _gram_batch(keys: list[tuple[str, bytes]], counts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()),
-            pa.array(counts, pa.int64()),
-        ],
-        names=["lang", "phrase", "n"],
-    )
+def _block_counts(block: pa.Table, size: int, shared: int, tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Weighted counts of the n-grams in chunks of each language, each distinct one once."""
+    for lang in pc.unique(block["lang"]).to_pylist():
+        rows = block.filter(pc.equal(block["lang"], lang)).combine_chunks()
+        split = pc.split_pattern(rows["chunk"].chunk(0), b" ")
+        lengths = np.asarray(split.value_lengths(), np.int64)
+        coded = split.flatten().dictionary_encode()
+        names, word = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        place = np.arange(len(word)) - np.repeat(starts, lengths)
+        weight = np.repeat(rows["n"].to_numpy(), lengths)
+        known = names.to_pylist()
+        hashes = np.fromiter(map(crc32, known), np.int64, len(known))[word]
+        # rank: the number of the n-gram that ends here, where there is one that may be frequent.
+        rank, there = word, (np.array(known, object) != BREAK)[word]
+        rolled = np.full(len(word), _first(lang))
+        for k in range(1, size):
+            rolled = _rolled(rolled, hashes)
+            there = there & _held(rolled, tables[k - 1])
+            # On to the n-grams one word longer, of which both parts are there.
+            there = np.append(False, there[:-1]) & there & (place >= k)
+            rolled = np.append(0, rolled[:-1])
+            before = np.append(0, rank[:-1])
+            at = np.flatnonzero(there)
+            rank = np.zeros(len(word), np.int64)
+            rank[at] = before[at] * len(known) + word[at]
+            if k + 1 < size:
+                rank[at] = np.unique(rank[at], return_inverse=True)[1]
+        heads = rows["head"].to_numpy()
+        at = np.flatnonzero(there & (place >= np.repeat(np.where(heads, 0, shared), lengths)))
+        if len(at) == 0:
+            continue
+        at = at[np.argsort(rank[at])]
+        first = np.flatnonzero(np.append(True, rank[at[1:]] != rank[at[:-1]]))
+        total = np.add.reduceat(weight[at], first)
+        last = at[first]
+        phrases = pc.binary_join_element_wise(*(names.take(pa.array(word[last - k])) for k in range(size - 1, -1, -1)), b" ")
+        yield _gram_batch(lang, phrases, total)
+        if size == 1:
+            yield _gram_batch(lang, pa.array([b""], pa.binary()), total.sum(keepdims=True))
+
+
+def _gram_batch(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(phrases), np.int32)), pa.array([lang])).dictionary_decode()
+    return pa.RecordBatch.from_arrays([langs, phrases, pa.array(counts)], names=["lang", "phrase", "n"])
+
+
+# --- one hash of n-grams, here and as a column: that of the n-gram without its last word times _STEP, and the word's ---
+_STEP, _MODULUS = 1_000_003, 1 << 40
 
 
-def _frequent(grams: list[tuple[str, bytes]], table: np.ndarray) -> np.ndarray:
-    """Which n-grams the bit table holds."""
-    marks: dict[str, int] = {}
-    for lang, _ in grams:
-        if lang not in marks:
-            marks[lang] = crc32(lang.encode() + b" ")
-    at = np.fromiter((crc32(phrase, marks[lang]) for lang, phrase in grams), np.int64, len(grams)) % TABLE_BITS
+def _first(lang: str) -> int:
+    return crc32(lang.encode())
+
+
+def _rolled(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return (before * _STEP + word) % _MODULUS
+
+
+def _held(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which n-grams the bit table holds, by their hashes."""
+    at = hashes % TABLE_BITS
     return (table[at >> 6] >> (at & 63)) & 1 == 1
 
 
 def _bit_table(grams: DataFrame) -> np.ndarray:
     """The bit table of the n-grams of one size: made in Spark, at most ``TABLE_BITS / 64`` rows come back."""
-    at = F.pmod(F.crc32(F.concat(F.col("lang").cast("binary"), F.lit(b" "), F.col("phrase"))), F.lit(TABLE_BITS))
+    words = F.split(F.col("phrase").cast("string"), " ", -1)
+    rolled = F.aggregate(
+        words, F.crc32(F.col("lang").cast("binary")),
+        lambda h, w: (h * _STEP + F.crc32(w.cast("binary"))) % F.lit(_MODULUS),
+    )
+    at = rolled % F.lit(TABLE_BITS)
     rows = (
         grams.select(at.alias("at"))
         .select(
