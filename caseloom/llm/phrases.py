@@ -42,9 +42,9 @@ HELD = 8 << 20
 TABLE_BITS = 1 << 26
 #: The break between pieces; no word holds it.
 BREAK = b"."
-#: A-Z to a-z; every character that ends a piece to the break.
+#: A-Z to a-z, every character that ends a piece to the break, tab to space.
 FOLD = bytes(
-    ord(BREAK) if chr(i) in ".,;:!?\n\x0b\x0c\r" else i + 32 if 65 <= i <= 90 else i for i in range(256)
+    ord(BREAK) if chr(i) in ".,;:!?\n\x0b\x0c\r" else 32 if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256)
 )
 _MIX = 0x9E3779B97F4A7C15
 
