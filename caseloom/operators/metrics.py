@@ -116,6 +116,17 @@ def exact_median(df: DataFrame, value: str, keys: Sequence[str], out: str = "med
     return found.groupBy(*keys).agg(F.avg(F.col("_value").cast("double")).alias(out))
 
 
+def approximate_median(
+    df: DataFrame, value: str, keys: Sequence[str], accuracy: int = 10_000, out: str = "median"
+) -> DataFrame:
+    """A value of each group whose rank is off the middle by at most one part in ``accuracy`` of the group's rows.
+
+    One pass: each task sketches the groups it holds, and the sketches, of a size that ``accuracy`` sets, are merged.
+    Groups of less than ``accuracy`` rows get the lower one of their middle values.
+    """
+    return df.groupBy(*keys).agg(F.percentile_approx(value, 0.5, accuracy).alias(out))
+
+
 def _with_offset(counts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Add how many rows of the group come before."""
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -575,6 +575,10 @@ def oracle_sql() -> dict[str, str]:
         best(None, 0.3, 5),
     )
     overview = on_tickets(by_field(["category", "severity", "status"]))
+    texts_by_letters = on_tickets(
+        "SELECT query_id, rank, id, round(score, 6) AS similarity_score FROM h",
+        by_letters("SELECT doc_id AS query_id, text AS x FROM documents"),
+    )
     own = f"left(sha256(doc_id || '-' || ({NOW} - doc_id * 1000) || '-{ACCESS_KEY}'), 32)"
     return {
         "full_scan": on_tickets(
@@ -668,6 +672,10 @@ FROM embeddings JOIN c USING (label)""",
   earliest, latest, peak_month, 0 AS n_bad_dates FROM m JOIN p USING (category)""",
             TIMES,
         ),
+        "category_approximate_medians": on_tickets(
+            """SELECT category, quantile_disc(date_diff('microsecond', submitted, resolved), 0.5) AS median
+FROM t GROUP BY category"""
+        ),
         "overall_metrics": on_tickets(
             f"""SELECT count(*) AS size, round(avg({HOURS}), 4) AS avg_hours,
   round(median({HOURS}), 4) AS median_hours, (
@@ -715,10 +723,8 @@ FROM t"""
         "assistant_prompts": assistant_prompts(context(None, 0.35, 0.1)),
         "ask_assistant": assistant_prompts(context(v.CANDIDATE_LIMIT, 0.5, 0.3, "true"), PROCESSED),
         "ask_assistant_all": assistant_prompts(context(None, 0.5, 0.3, "true"), PROCESSED),
-        "similar_to_texts_by_letters": on_tickets(
-            "SELECT query_id, rank, id, round(score, 6) AS similarity_score FROM h",
-            by_letters("SELECT doc_id AS query_id, text AS x FROM documents"),
-        ),
+        "similar_to_texts_by_letters": texts_by_letters,
+        "similar_to_texts_by_memo": texts_by_letters,
         "answered_messages_by_letters": answered_by_letters(),
         "recommend_for_incidents": recommend(None, "query_id IN (SELECT id FROM t)"),
         "search_texts": on_tickets(

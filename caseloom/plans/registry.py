@@ -27,6 +27,7 @@ from caseloom.functions.messages import arrived, command_argument, topic
 from caseloom.functions.vectors import cosine, hash_embed, norm
 from caseloom.operators import clustering, metrics, neighbours, prompts, scans, similarity, tfidf
 from caseloom.operators.joins import attach_embeddings, embed_once
+from caseloom.operators.memo import EmbeddingMemo
 from caseloom.plans import reports, searches
 from caseloom.session import run_dir
 from caseloom.sources import readers, sample_tables, sinks
@@ -306,6 +307,13 @@ def category_metrics(spark, folder):
     )
 
 
+@query
+def category_approximate_medians(spark, folder):
+    timed = metrics.with_times(tickets(spark, folder))
+    found = metrics.approximate_median(timed, "resolution_micros", ["category"])
+    return found.select("category", "median")
+
+
 @query
 def overall_metrics(spark, folder):
     return metrics.resolution_metrics(tickets(spark, folder), []).select(
@@ -506,6 +514,24 @@ def similar_to_texts_by_letters(spark, folder):
     return found.select("query_id", "rank", "id", _score("similarity_score"))
 
 
+@query
+def similar_to_texts_by_memo(spark, folder):
+    """The same, its vectors kept from one search to the next: the second finds them all, and embeds nothing."""
+    path = run_dir(spark, "memo")
+    candidate_texts = scans.recent(tickets(spark, folder))
+    asked = table(spark, folder, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    for embed in (by_letters, _no_vectors):
+        memo = EmbeddingMemo(spark, path, "letters", embed)
+        candidates = similarity.Candidates.of(memo(candidate_texts, "summary"))
+        found = searches.similar_to(asked, candidates, memo)
+    return found.select("query_id", "rank", "id", _score("similarity_score"))
+
+
+def _no_vectors(df, column):
+    """An embedder that knows nothing: what it is asked for is not found."""
+    return df.withColumn("embedding", F.lit(None).cast("array<float>"))
+
+
 @query
 def similar_to_texts(spark, folder):
     """Documents searched for by their whole texts, with hashed vectors."""
