@@ -122,7 +122,7 @@ def approximate_median(
     """A value of each group whose rank is off the middle by at most one part in ``accuracy`` of the group's rows.
 
     One pass: each task sketches the groups it holds, and the sketches, of a size that ``accuracy`` sets, are merged.
-    Groups of less than ``accuracy`` rows get the lower one of their middle values.
+    Groups of less than ``accuracy`` rows get the lower one of their middle values. Values are exact up to 2**53.
     """
     return df.groupBy(*keys).agg(F.percentile_approx(value, 0.5, accuracy).alias(out))
 

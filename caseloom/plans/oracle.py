@@ -9,6 +9,7 @@ from caseloom.operators.neighbours import Index, planes_of
 from caseloom.plans.registry import (
     ACCESS_KEY,
     BASE_URL,
+    EXPIRY_HOURS,
     LETTERS,
     LIKELY_BITS,
     LOADED_AT,
@@ -751,6 +752,9 @@ SELECT message_id, {topic(v.SIMILAR_KEYWORDS)} AS topic, {ARGUMENT} AS argument
         "route_messages_stream": routed("chat"),
         "latest_per_user": NEWEST_EVENT,
         "latest_per_user_stream": NEWEST_EVENT,
+        "latest_per_user_until_stream": f"""SELECT user_id, event_type AS reference, event_id FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
+  AND ts + INTERVAL {EXPIRY_HOURS} HOURS > (SELECT max(ts) FROM events)""",
         "insert_if_absent": """WITH a AS (
   SELECT 'user' || c_custkey || '@example.org' AS email, c_name AS name FROM customer
   UNION ALL SELECT 'user' || (s_suppkey * 13) || '@example.org', s_name FROM supplier

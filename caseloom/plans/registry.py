@@ -40,6 +40,7 @@ from caseloom.sources.sample_tables import (
     ticket_queries,
     tickets,
 )
+from caseloom.streaming import expiry
 from caseloom.streaming import messages as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +56,7 @@ LOOKED_UP = "INC-7"
 # Sign bits of a band where likely neighbours are searched for, so that there are buckets at any size of the tables.
 LIKELY_BITS = 4
 RECALL_ASKED = 0.9
+EXPIRY_HOURS = 4
 
 
 def query(function: Query) -> Query:
@@ -653,6 +655,29 @@ def latest_per_user_stream(spark, folder):
     return _newest_event(changes).select("user_id", "reference", "event_id")
 
 
+@query
+def latest_per_user_until_stream(spark, folder):
+    """The newest event of each user of the last hours of a stream; the others' state has expired."""
+    stream = spark.readStream.schema(table(spark, folder, "events").schema)
+    arriving = stream.option("pathGlobFilter", "events.parquet").parquet(folder)
+    out = run_dir(spark, "latest")
+    changes = expiry.latest_per_user_until(
+        arriving, "user_id", F.col("event_type"), F.col("ts").cast("timestamp"),
+        F.format_string("%018d", F.col("event_id")), 3600 * EXPIRY_HOURS,
+    )
+    store, before = expiry.STATE_STORE[0], spark.conf.get(expiry.STATE_STORE[0])
+    spark.conf.set(*expiry.STATE_STORE)
+    try:
+        streaming.write_changes(changes, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    order = F.struct("moment", "message", "expired")
+    last = spark.read.parquet(f"{out}/rows").groupBy("user").agg(F.max_by(F.struct("*"), order).alias("x")).select("x.*")
+    return last.where(~F.col("expired")).select(
+        F.col("user").cast("long").alias("user_id"), "reference", F.col("message").cast("long").alias("event_id")
+    )
+
+
 def _answered(spark, folder, embed):
     stream = spark.readStream.schema(table(spark, folder, "conversations").schema)
     arriving = stream.option("pathGlobFilter", "conversations.parquet").parquet(folder)
