@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 # --- fixed values: patterns ---
 # White space as Python's str.strip/str.split understand it.
 SPACE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
+#: The same one by one: what is stripped is sought at both ends only, not in the whole text.
+SPACE_CHARS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -25,7 +30,7 @@ def filled(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def non_blank(text: Column) -> Column:

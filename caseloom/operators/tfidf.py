@@ -50,17 +50,13 @@ def vocabulary(
 def vocabulary_of(split: DataFrame, max_features: int | None, min_df: int, max_df: float) -> DataFrame:
     """The vocabulary of tokenised documents.
 
-    Each document gives all its terms, and once more the distinct ones, so both counts come from one aggregation
-    by term, summed up in the tasks before the shuffle.
+    Each document gives each of its terms once, with its count, so both counts come from one aggregation by term, summed
+    up in the tasks before the shuffle.
     """
-    terms = split.select(one_two_grams(F.col(TOKENS)).alias("terms"))
-    # Outer explodes, as plain ones would also make the terms for a filter on their number.
-    twice = F.posexplode_outer(F.array("terms", F.array_distinct("terms"))).alias("_first", "_terms")
-    each = terms.select(twice).select("_first", F.explode_outer("_terms").alias("term"))
     found = (
-        each.where(F.col("term").isNotNull())
+        term_counts(split, [])
         .groupBy("term")
-        .agg(F.sum("_first").alias("df"), F.sum(1 - F.col("_first")).alias("total"))
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
         .withColumn("_n", F.lit(split.count()))
         .where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("_n")))
     )
@@ -101,7 +97,13 @@ def weights(
     document, made in its row, meet their terms in a join, and are scaled where the weights of the document meet.
     Documents without a term in use have no rows.
     """
-    split = tokenised(docs, text, stop_words, keep)
+    return weights_of(tokenised(docs, text, stop_words, keep), max_features, min_df, max_df, keep)
+
+
+def weights_of(
+    split: DataFrame, max_features: int | None, min_df: int = MIN_DF, max_df: float = MAX_DF, keep: Sequence[str] = ("id",)
+) -> DataFrame:
+    """The weights of tokenised documents."""
     found = vocabulary_of(split, max_features, min_df, max_df).select("term", "idf")
     if max_features is None:
         found = written(found, "vocabulary")
@@ -111,10 +113,10 @@ def weights(
         length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_row")))
         return raw.select(*keep, "term", (F.col("_w") / length).alias("weight"))
     in_use = found.orderBy("term").collect()
-    spark = docs.sparkSession
+    spark = split.sparkSession
     names = spark.createDataFrame([(i, t["term"]) for i, t in enumerate(in_use)], "_at int, term string")
     if not in_use:
-        return docs.select(*keep).limit(0).withColumns({"term": F.lit(""), "weight": F.lit(0.0)})
+        return split.select(*keep).limit(0).withColumns({"term": F.lit(""), "weight": F.lit(0.0)})
     cells = unit_vectors(split, in_use, keep).withColumn("_cells", F.unwrap_udt("features")).select(
         *keep, F.inline(F.arrays_zip(F.col("_cells.indices").alias("_at"), F.col("_cells.values").alias("weight")))
     )

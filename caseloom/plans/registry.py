@@ -14,6 +14,7 @@ from caseloom.fixed_values import (
     BATCH_SAMPLES,
     CANDIDATE_LIMIT,
     CLUSTER_SAMPLES,
+    MAX_FEATURES,
     NO_RESOLUTION,
     RECOMMEND_THRESHOLD,
     RECOMMENDED_TITLE,
@@ -413,11 +414,17 @@ def reflowed(spark, folder):
 # --- reports and prompts ---
 
 def _by_category(spark, folder):
+    """Texts are read for their tokens, and for the few samples; all else comes of the columns written with the tokens."""
     docs = reports.with_text(tickets(spark, folder, for_text=True)).withColumn("cluster", F.col("category"))
-    weighted = tfidf.weights(docs, "cluster_text", text.default_stop_words(), keep=["id", "cluster"])
+    narrow = [*reports.NARROW, "cluster"]
+    split = tfidf.tokenised(docs, "cluster_text", text.default_stop_words(), narrow)
+    weighted = tfidf.weights_of(split, MAX_FEATURES, keep=["id", "cluster"])
     keywords = tfidf.keyword_lists(tfidf.keywords(weighted, "cluster"), "cluster")
-    texts = metrics.samples(docs, ["cluster"], "combined_text", CLUSTER_SAMPLES, scans.recency())
-    return reports.group_report(docs, keywords, texts)
+    grouped = split.select(*narrow)
+    # No more than a few rows for each of the seven categories.
+    chosen = metrics.first_of_group(grouped, ["cluster"], CLUSTER_SAMPLES, scans.recency()).select("cluster", "_at", "id")
+    sampled = docs.select("id", "combined_text").join(F.broadcast(chosen), "id")
+    return reports.group_report(grouped, keywords, metrics.listed(sampled, ["cluster"], "combined_text"))
 
 
 @query
