@@ -1,6 +1,6 @@
 """Quality rules on whole texts: counts of words, symbols and repeats, and how far a text's histograms lie from its language.
 
-A document's histogram of character classes and of its language's common words is compared with the pooled
+A document's histogram of character classes and of its language's common words is compared with the
 histogram of all documents of that language by Jensen-Shannon distance (base 2, 0 to 1). Texts too short for a
 histogram to mean anything are not judged by it.
 """
@@ -34,8 +34,9 @@ WINDOW = 3
 #: Common words are the most frequent among words of up to so many letters.
 COMMON_WORDS = 48
 COMMON_LETTERS = 5
-#: Languages with a reference of their own: the largest, with so many letter words at least. Others use the pooled one.
-MAX_LANGUAGES = 256
+#: Languages with a reference: the largest, with so many letter words at least. Texts of others get no verdict by distance,
+#: as another language's histogram says nothing of them.
+MAX_LANGUAGES = 4096
 MIN_REFERENCE_WORDS = 2000
 #: A reference is learned from documents of at least ``MIN_WORDS`` words, with at most so many percent of symbols among
 #: their characters and of capitals among their cased letters, so that shouting and markup do not define a language.
@@ -124,8 +125,6 @@ class Reference:
     counts: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
 
-#: Stands for the pooled reference; no language has this name.
-POOLED = "\0pooled"
 
 
 def _defines(classes: np.ndarray, symbols: int) -> bool:
@@ -167,9 +166,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def references(docs: DataFrame, common_words: int = COMMON_WORDS) -> dict[str, Reference]:
-    """The reference of each language, and the pooled one, from all documents that may define a language.
+    """The reference of each language, from all its documents that may define a language.
 
-    What reaches the driver is bounded: ``MAX_LANGUAGES`` and the pool, each with the classes and the common words.
+    What reaches the driver is bounded: ``MAX_LANGUAGES``, each with the classes and the common words.
     Ties among words are settled by the word, among languages by the name.
     """
     each = stored(
@@ -178,13 +177,12 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS) -> dict[str, R
         .groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")),
         "counts",
     )
-    pooled = each.groupBy("kind", "item").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "kind", "item", "n")
     total = F.col("kind").eqNullSafe("word") & (F.col("item") == "")
     large = (
         each.where(total & (F.col("lang") != "") & (F.col("n") >= MIN_REFERENCE_WORDS))
         .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")
     )
-    counted = each.join(F.broadcast(large), "lang").unionByName(pooled)
+    counted = each.join(F.broadcast(large), "lang")
     # The best of each part first, so that no task holds all words of a language.
     words = counted.where((F.col("kind") == "word") & (F.col("item") != ""))
     order = [F.desc("n"), F.col("item")]
@@ -226,8 +224,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``base_failed``: fewer than 50 words, or more than half of the words in repeated windows. ``kept``: not failed,
     and no histogram that may judge the text lies too far from its language's. Distances are null where the text is
-    too short for them. Null texts have no words, so they fail. Rows of an unknown, rare or null language are held
-    against all languages together. Repeated rows are judged each; an empty table gives an empty result. Other
+    too short for them, and for rows of a null language or one too rare to have a reference: there the base rules decide
+    alone. Null texts have no words, so they fail. Repeated rows are judged each; an empty table gives an empty result. Other
     columns are not read.
     """
     read = docs.select(
@@ -235,26 +233,26 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col(text_col).alias("text"),
     )
     known = references(read)
-    pooled = known.get(POOLED, Reference(np.zeros(len(CLASSES))))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield _judged(batch, known, pooled)
+                yield _judged(batch, known)
 
     return read.mapInArrow(judge, COLUMNS)
 
 
-def _judged(batch: pa.RecordBatch, known: dict[str, Reference], pooled: Reference) -> pa.RecordBatch:
+def _judged(batch: pa.RecordBatch, known: dict[str, Reference]) -> pa.RecordBatch:
     texts = [t or "" for t in batch.column("text").to_pylist()]
     langs = batch.column("lang").to_pylist()
     base = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
     char_distance, word_distance = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
     by_reference: dict[str, list[int]] = defaultdict(list)
     for i, lang in enumerate(langs):
-        by_reference[lang if lang in known else POOLED].append(i)
+        if lang in known:
+            by_reference[lang].append(i)
     for lang, rows in by_reference.items():
-        reference = known.get(lang, pooled)
+        reference = known[lang]
         classes = np.array([class_counts(texts[i]) for i in rows])
         words = np.zeros((len(rows), len(reference.counts)))
         place = reference.words.get

@@ -31,7 +31,7 @@ TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 KEEP = 0.8
 STEPS = 60
 TOLERANCE = 1e-7
-#: Languages and topics with a marginal of their own; smaller ones share the marginal of ``OTHER``.
+#: Languages and topics with a marginal of their own, besides those a target names; smaller ones share that of ``OTHER``.
 MAX_VALUES = 255
 OTHER = "\0other"
 #: The topic of a document without a given one: a bucket of its most frequent long word.
@@ -152,9 +152,10 @@ def rake(
     total = cells.agg(F.sum("n").alias("n")).first()["n"] or 0
 
     def small(name: str) -> dict[str, float]:
+        named = list(targets.get(name) or {})
         rows = (
             cells.groupBy(name).agg(F.sum("n").alias("n")).where(F.col(name) != OTHER)
-            .orderBy(F.desc("n"), name).limit(MAX_VALUES).collect()
+            .orderBy(F.col(name).isin(named).desc(), F.desc("n"), name).limit(MAX_VALUES + len(named)).collect()
         )
         found = {r[name]: float(r["n"]) for r in rows}
         found[OTHER] = float(total) - sum(found.values())

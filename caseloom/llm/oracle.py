@@ -127,8 +127,7 @@ def _quality_rules() -> str:
         SELECT lang FROM lang_words WHERE lang <> '' GROUP BY lang HAVING sum(n) >= {rules.MIN_REFERENCE_WORDS}
         ORDER BY sum(n) DESC, lang LIMIT {rules.MAX_LANGUAGES}),
     ref_words AS (
-        SELECT lang AS ref, token, n FROM lang_words JOIN langs USING (lang)
-        UNION ALL SELECT '', token, sum(n) FROM lang_words GROUP BY token),
+        SELECT lang AS ref, token, n FROM lang_words JOIN langs USING (lang)),
     common AS (
         SELECT ref, token, n FROM ref_words WHERE length(token) <= {rules.COMMON_LETTERS}
         QUALIFY row_number() OVER (PARTITION BY ref ORDER BY n DESC, token) <= {rules.COMMON_WORDS}),
@@ -137,11 +136,9 @@ def _quality_rules() -> str:
         UNION ALL
         SELECT ref, 'word', 'rest', sum(n) - (SELECT sum(n) FROM common c WHERE c.ref = r.ref) FROM ref_words r GROUP BY ref
         UNION ALL
-        SELECT lang, 'class', item, sum(n) FROM class_counts JOIN learned USING (doc_id) JOIN langs USING (lang) GROUP BY ALL
-        UNION ALL
-        SELECT '', 'class', item, sum(n) FROM class_counts JOIN learned USING (doc_id) GROUP BY item),
+        SELECT lang, 'class', item, sum(n) FROM class_counts JOIN learned USING (doc_id) JOIN langs USING (lang) GROUP BY ALL),
     shares AS (SELECT ref, kind, item, n::DOUBLE / sum(n) OVER (PARTITION BY ref, kind) AS share FROM ref_counts),
-    chosen AS (SELECT doc_id, coalesce(langs.lang, '') AS ref FROM docs LEFT JOIN langs ON langs.lang = docs.lang),
+    chosen AS (SELECT doc_id, lang AS ref FROM docs JOIN langs USING (lang)),
     counts AS (
         SELECT doc_id, kind, item, n FROM class_counts
         UNION ALL

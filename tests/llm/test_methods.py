@@ -554,3 +554,28 @@ def test_learned_field_knows_the_kinds(spark, folder):
     field = private_spans.fit(docs)
     for island, kind in (("bob.x@mail.org", "email"), ("10.20.30.40", "ip"), ("+1 (743) 555-3824", "phone")):
         assert field.best(island) == [(0, len(island), kind)]
+
+
+# --- many languages and values ---
+
+def test_clean_texts_of_rare_languages_are_kept(spark):
+    """400 languages with letters of their own: the large ones have references, texts of the rare ones get no verdict."""
+    rows = []
+    for i in range(400):
+        letters = [chr(0x4E00 + 40 * i + k) for k in range(30)]
+        words = ["".join(letters[(a * b) % 30] for b in range(2, 4 + a % 3)) for a in range(1, 40)]
+        for copy in range(3 if i else 200):
+            rows.append((1000 * i + copy, " ".join(words[(a * (copy + 3)) % len(words)] + str(a) for a in range(130)), f"l{i}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = distribution_rules.quality_rules(docs).collect()
+    assert all(r["kept"] for r in found if r["doc_id"] >= 1000)
+    assert {r["char_distance"] is None for r in found if r["doc_id"] >= 1000} == {True}
+    assert {r["char_distance"] is None for r in found if r["doc_id"] < 1000} == {False}
+
+
+def test_a_named_target_holds_however_small_the_value(spark):
+    cells = [(f"s{i % 3}", f"l{i}", "t", 3000 - 9 * i) for i in range(300)]
+    frame = spark.createDataFrame(cells, "source string, lang string, topic string, n long")
+    mix = mixing.rake(frame, {"lang": {"l290": 0.01}}, keep=0.05)
+    assert mix.shares["lang"]["l290"][0] == pytest.approx(0.01)
+    assert mix.shares["lang"]["l290"][1] == pytest.approx(0.01, rel=0.05)
