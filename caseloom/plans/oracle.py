@@ -765,6 +765,8 @@ WHERE email NOT IN (SELECT 'user' || user_id || '@example.org' FROM events) GROU
         ),
         "sheet_by_heading": f"""SELECT 'INC-' || doc_id AS ticket_number, source AS summary, NULL::VARCHAR AS project,
   lang AS severity, n_chars::VARCHAR AS room FROM documents""",
+        "sheets_of_other_headings": """SELECT 'INC-' || doc_id AS ticket_number, source AS summary, lang AS project,
+  CASE WHEN doc_id % 2 = 1 THEN doc_id::VARCHAR END AS room FROM documents""",
         "sheet_with_title": """SELECT 'INC-' || doc_id AS ticket_number, source AS summary, lang AS project FROM documents""",
         "sheet_load_summary": """SELECT count(*) AS read, count(*) FILTER (doc_id % 10 = 0) AS rejected,
   count(*) FILTER (doc_id % 10 <> 0) AS written, count(*) FILTER (doc_id % 10 = 0) AS rejected_stored,

@@ -777,6 +777,20 @@ def sheet_by_heading(spark, folder):
     )
 
 
+@query
+def sheets_of_other_headings(spark, folder):
+    """A folder of sheets, some with their columns in another order and one heading more."""
+    path = run_dir(spark, "sheets")
+    number, doc = F.concat(F.lit("INC-"), "doc_id"), F.col("doc_id")
+    documents = texts(spark, folder)
+    first = documents.where(doc % 2 == 0).select(F.concat_ws(",", number, "source", "lang").alias("line"))
+    other = documents.where(doc % 2 == 1).select(F.concat_ws(",", "lang", number, doc.cast("string"), "source").alias("line"))
+    sinks.write_under(first, ["Ticket Number,Summary,Project"], f"{path}/sheet")
+    sinks.write_under(other, ["Project,Ticket Number,Room,Summary"], f"{path}/more")
+    rows = readers.read_sheets(spark, f"{path}/*")
+    return readers.good_rows(rows).select("ticket_number", "summary", "project", F.col("Room").alias("room"))
+
+
 @query
 def sheet_with_title(spark, folder):
     """Sheets with a title above their headings."""

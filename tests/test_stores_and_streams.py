@@ -223,3 +223,27 @@ def test_answer_to_one_table_of_messages(spark, folder):
     got = streaming.replies(said, candidates, tickets, "message_id", "https://h", "k", 1).collect()
     assert len(got) == said.count()
     assert all(r["reply"] is None for r in got if r["intent"] in ("ignored", "help_command", "chat", "empty"))
+
+
+def test_sheets_with_other_headings_meet_by_name(spark, tmp_path):
+    folder = tmp_path / "sheets"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Summary,Ticket Number\none,INC-1\ntwo,INC-2\nthree,INC-3,x\n")
+    (folder / "b.csv").write_text("Ticket Number,Room,Summary\nINC-4,r1,four\n")
+    (folder / "c.csv").write_text("Summary,Ticket Number\n")
+    (folder / "d.csv").write_text("")
+    rows = readers.read_sheets(spark, str(folder))
+    good = {r["ticket_number"]: (r["summary"], r["Room"]) for r in readers.good_rows(rows).collect()}
+    assert good == {"INC-1": ("one", None), "INC-2": ("two", None), "INC-4": ("four", "r1")}
+    assert readers.good_rows(rows).count() == 3 and readers.rejected_rows(rows).count() == 1
+
+
+def test_few_partitions_are_dealt_to_all_cores(spark, tmp_path):
+    from caseloom.session import spread, written
+
+    spark.range(50).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    dealt = spread(one, "id")
+    assert dealt.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and dealt.count() == 50
+    assert spread(dealt, "id") is dealt
+    assert written(one, "kept").count() == 50
