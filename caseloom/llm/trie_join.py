@@ -10,6 +10,10 @@
    of the other block together, their partial overlaps are shared by all sets below a node, and a set leaves a subtree
    as soon as the lengths that remain cannot give the overlap needed.
 4. Links found are counted per class and their connected components are taken in Spark.
+
+Where only the components are asked for, a large family is not compared pair by pair: some of its sets, the pivots, are
+compared with all of it first, in rounds, and sets that they connect are one part. Blocks of one large part do not
+meet; only what no pivot has connected is compared with the rest of its family.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import components, small_frame, stored
@@ -39,6 +43,11 @@ MEMBERS_PER_SHARE = 20
 PAIRED_SETS = 4
 #: Rows that may go to every task.
 BROADCAST_ROWS = 200_000
+#: Sets of a large family that are compared with all of it, and how often others are chosen for what they leave.
+PIVOTS = 16
+PIVOT_ROUNDS = 3
+#: The part of the sets that no pivot has connected with more than a block of others.
+OPEN = -1
 
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -270,45 +279,92 @@ def _candidates(classes: DataFrame, shared: int, of: int) -> DataFrame:
     return close.unionByName(_chained(many.join(busy, "cls", "left_semi").select(*ORDER), shared, of))
 
 
+def _blocks() -> Column:
+    """Blocks for so many sets, by their number and by the n-grams they hold."""
+    return F.greatest(
+        F.ceil(F.col("_sets") / BLOCK_SETS), F.least(F.col("_sets"), F.ceil(F.col("_grams") / BLOCK_SHINGLES))
+    ).cast("int")
+
+
+def _sizes(members: DataFrame, *keys: str) -> DataFrame:
+    return members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sets"), F.sum("n").alias("_grams"))
+
+
+def _cell(*columns: Column) -> Column:
+    names = ("low_band", "low_part", "low", "high_band", "high_part", "high", "side")
+    return F.struct(*[c.alias(name) for name, c in zip(names, columns)])
+
+
 def _cells(members: DataFrame, shared: int, of: int) -> DataFrame:
-    """``members`` with the block pairs each takes part in: ``(…, cell struct, side)``.
+    """``members (…, root, part)`` with the block pairs each takes part in: ``(…, cell struct)``.
 
-    Sets that may be similar lie in one class of sizes or in neighbouring ones. A small family is one cell.
+    Sets that may be similar lie in one class of sizes or in neighbouring ones. A small family is one cell. Blocks
+    of the open part meet each other and those of all other parts; blocks of another part do not meet their own.
     """
     small = (F.col("_sets") <= BLOCK_SETS) & (F.col("_grams") <= BLOCK_SHINGLES)
-    family = members.groupBy("root").agg(F.count(F.lit(1)).alias("_sets"), F.sum("n").alias("_grams"))
     step = math.log(of / shared)
-    banded = members.join(family, "root").withColumn(
+    banded = members.join(_sizes(members, "root"), "root").withColumn(
         "band", F.when(small, F.lit(0)).otherwise(F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int"))
     ).drop("_sets", "_grams")
-    bands = banded.groupBy("root", "band").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams")).select(
-        "root", "band",
-        F.greatest(
-            F.ceil(F.col("sets") / BLOCK_SETS), F.least(F.col("sets"), F.ceil(F.col("grams") / BLOCK_SHINGLES))
-        ).cast("int").alias("k"),
-    )
-    bands = stored(bands, "bands")
-    below, above = (
-        bands.select("root", (F.col("band") + d).alias("band"), F.col("k").alias(name)) for d, name in ((1, "k0"), (-1, "k2"))
+    place = ["root", "part", "band"]
+    bands = stored(_sizes(banded, *place).select(*place, _blocks().alias("k")), "bands")
+    others = bands.select("root", F.col("part").alias("part2"), F.col("band").alias("band2"), F.col("k").alias("k2"))
+    meet = (F.abs(F.col("band") - F.col("band2")) <= 1) & ((F.col("part") != F.col("part2")) | (F.col("part") == OPEN))
+    partners = bands.join(others, "root").where(meet)
+    placed = banded.join(partners, place).withColumn("i", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
+    placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k2") - 1)))
+    mine, other = [F.col(c) for c in ("band", "part", "i")], [F.col(c) for c in ("band2", "part2", "j")]
+    first = F.struct(*[c.alias(f"c{at}") for at, c in enumerate(mine)]) <= F.struct(
+        *[c.alias(f"c{at}") for at, c in enumerate(other)]
     )
-    sized = bands.join(below, ["root", "band"], "left").join(above, ["root", "band"], "left")
-    placed = banded.join(sized, ["root", "band"]).withColumn("i", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
-    band, i = F.col("band"), F.col("i")
-
-    def to(n):
-        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-    def cell(low_band, low, high_band, high, side):
-        return F.struct(
-            low_band.alias("low_band"), low.alias("low"), high_band.alias("high_band"), high.alias("high"), side.alias("side")
+    cell = F.when(first, _cell(*mine, *other, F.lit(0))).otherwise(_cell(*other, *mine, F.lit(1)))
+    return placed.withColumn("cell", cell).drop("part", "band", "k", "part2", "band2", "k2", "i", "j")
+
+
+def _pivot_cells(members: DataFrame, turn: int) -> DataFrame | None:
+    """The open sets of families with more than a block of them, in blocks, each with the pivots of its family."""
+    left = members.where(F.col("part") == OPEN).drop("part")
+    large = _sizes(left, "root").where(F.col("_sets") > BLOCK_SETS)
+    large = stored(large.select("root", _blocks().alias("k")), "large")
+    if large.isEmpty():
+        return None
+    left = left.join(large, "root")
+    # No more than the first of each family leave a task.
+    by_hash = Window.partitionBy("root").orderBy(F.xxhash64("cls", F.lit(turn)), "cls")
+    pivots = left.withColumn("_at", F.row_number().over(by_hash)).where(F.col("_at") <= PIVOTS).drop("_at")
+    pivots = stored(pivots, "pivots")
+    chosen = pivots.select("cls")
+    others = left.join(F.broadcast(chosen) if pivots.count() <= BROADCAST_ROWS else chosen, "cls", "left_anti")
+
+    def at(block: Column, side: int) -> Column:
+        return _cell(*[F.lit(0)] * 5, block + 1, F.lit(side))
+
+    own = others.withColumn("cell", at(F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"), 1))
+    spread = pivots.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    spread = spread.withColumn("cell", at(F.col("_block"), 0)).drop("_block")
+    return own.unionByName(spread.select(*own.columns)).drop("k")
+
+
+def _connected_first(
+    read: DataFrame, members: DataFrame, size: int, order: GlobalOrder, shared: int, of: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """``members`` with the part each belongs to, and the links with pivots that have shown it."""
+    near = None
+    for turn in range(PIVOT_ROUNDS):
+        cells = _pivot_cells(members, turn)
+        if cells is None:
+            break
+        found = stored(_links(read, cells, size, order, shared, of).select("cls", "root"), "near")
+        near = found if near is None else near.unionByName(found)
+        known = components(near.select(F.col("cls").alias("a"), F.col("root").alias("b")))
+        parts = known.groupBy("root").agg(F.count(F.lit(1)).alias("_sets")).where(F.col("_sets") > BLOCK_SETS)
+        known = known.join(parts.select("root"), "root", "left_semi")
+        members = stored(
+            members.drop("part").join(known.select(F.col("id").alias("cls"), F.col("root").alias("part")), "cls", "left")
+            .withColumn("part", F.coalesce("part", F.lit(OPEN))),
+            "parts",
         )
-
-    own = F.transform(
-        to(F.col("k")), lambda j: cell(band, F.least(i, j), band, F.greatest(i, j), F.when(i <= j, 0).otherwise(1))
-    )
-    up = F.transform(to(F.coalesce("k2", F.lit(0))), lambda j: cell(band, i, band + 1, j, F.lit(0)))
-    down = F.transform(to(F.coalesce("k0", F.lit(0))), lambda j: cell(band - 1, j, band, i, F.lit(1)))
-    return placed.withColumn("cell", F.explode(F.concat(own, up, down))).drop("k", "k0", "k2", "i", "band")
+    return members, near
 
 
 def _walk(
@@ -404,11 +460,11 @@ def join_cell(
     return linked, roots[label]
 
 
-def _links(read: DataFrame, members: DataFrame, size: int, order: GlobalOrder, shared: int, of: int) -> DataFrame:
-    """``(cls, links, root)`` of each class in each cell where it has links. ``members (cls, n, c1, c2, copies, root)``."""
-    few = members.count() <= BROADCAST_ROWS
-    wanted = members.select(F.col("cls").alias("doc_id")).distinct()
-    wanted = F.broadcast(wanted) if few else wanted.hint("shuffle_hash")
+def _links(read: DataFrame, cells: DataFrame, size: int, order: GlobalOrder, shared: int, of: int) -> DataFrame:
+    """``(cls, links, root)`` of each class in each cell where it has links. ``cells (cls, n, c1, c2, copies, root, cell)``."""
+    cells = stored(cells, "cells")
+    wanted = cells.select(F.col("cls").alias("doc_id")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -426,7 +482,6 @@ def _links(read: DataFrame, members: DataFrame, size: int, order: GlobalOrder, s
     sets = read.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
         fetch, "cls long, c1 long, c2 long, grams binary"
     )
-    cells = stored(_cells(members, shared, of), "cells")
     few = cells.count() <= BROADCAST_ROWS
     placed = sets.join(F.broadcast(cells) if few else cells, ["cls", "c1", "c2"]).select(
         "root", "cell.*", "cls", "copies", "grams"
@@ -437,28 +492,31 @@ def _links(read: DataFrame, members: DataFrame, size: int, order: GlobalOrder, s
         _, first = np.unique(ids, return_index=True)  # rows that repeat a document bring its set twice
         sides = group.column("side").to_numpy()[first]
         grams = [np.frombuffer(g.as_py(), np.uint64) for g in group.column("grams").take(pa.array(first))]
-        within = (key[1].as_py(), key[2].as_py()) == (key[3].as_py(), key[4].as_py())
+        low, high = [x.as_py() for x in key[1:4]], [x.as_py() for x in key[4:7]]
         linked, roots = join_cell(
-            ids[first], group.column("copies").to_numpy()[first], sides, grams, within, order, shared, of
+            ids[first], group.column("copies").to_numpy()[first], sides, grams, low == high, order, shared, of
         )
         some = linked > 0
         return pa.table({"cls": ids[first][some], "links": linked[some], "root": roots[some]})
 
-    return placed.groupBy("root", "low_band", "low", "high_band", "high").applyInArrow(
+    return placed.groupBy("root", "low_band", "low_part", "low", "high_band", "high_part", "high").applyInArrow(
         join, "cls long, links long, root long"
     )
 
 
 def linked_documents(
-    docs: DataFrame, size: int = SHINGLE, shared: int = SHARED, of: int = OF, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, size: int = SHINGLE, shared: int = SHARED, of: int = OF, id_col: str = "doc_id", text_col: str = "text",
+    count_links: bool = True,
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links, _key`` of every row.
+    """``doc_id, n_shingles, component_id, n_links, _key`` of every row; ``n_links`` only where ``count_links`` asks for it.
 
     Two documents link when ``of`` times their shared n-grams are at least ``shared`` times all of theirs.
     ``component_id`` is the smallest doc_id reachable by links, itself included; ``n_links`` the number of documents
     linked with this one, copies included. Null and empty texts have no n-grams and link with nothing. Rows without a
     doc_id are not linked and have no component. Each row is a document, rows that repeat a doc_id and text are
     copies; classes of the same smallest doc_id count as one. ``_key`` is a hash of the text. Other columns are not read.
+    Counting links compares all pairs of a family that sizes allow; the components alone take a large family of near
+    copies in time that grows with its size.
     """
     if not 0 < shared <= of:
         raise ValueError("the similarity must lie above 0 and not above 1")
@@ -479,8 +537,12 @@ def linked_documents(
     members = stored(
         classes.select("cls", *same, "copies").join(families.select(F.col("id").alias("cls"), "root"), "cls"), "members"
     )
-    links = stored(_links(read, members, size, order, shared, of), "links")
-    parts = components(links.select(F.col("cls").alias("a"), F.col("root").alias("b")))
+    members, near = members.withColumn("part", F.lit(OPEN).cast("long")), None
+    if not count_links:
+        members, near = _connected_first(read, members, size, order, shared, of)
+    links = stored(_links(read, _cells(members, shared, of), size, order, shared, of), "links")
+    ends = links.select("cls", "root") if near is None else links.select("cls", "root").unionByName(near)
+    parts = components(ends.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("cls").agg(F.sum("links").alias("links"))
     known = (
         classes.select(*same, "cls", "copies")
@@ -492,6 +554,7 @@ def linked_documents(
         )
     )
     there = F.col("n_shingles") > 0
+    counted = F.when(there & F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(F.lit(0))
     return (
         sets.select("doc_id", "_key", *same).join(known, same, "left")
         .withColumnRenamed("n", "n_shingles")
@@ -499,8 +562,7 @@ def linked_documents(
             "doc_id", "n_shingles",
             F.when(F.col("doc_id").isNull(), F.lit(None).cast("long"))
             .when(there, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-            F.when(there & F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(F.lit(0))
-            .cast("long").alias("n_links"),
+            *([counted.cast("long").alias("n_links")] if count_links else []),
             "_key",
         )
     )
@@ -512,7 +574,7 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, shared: int = SHARED, of:
     Of rows that repeat a doc_id and its text one stays. Rows without a doc_id stay.
     """
     found = stored(
-        linked_documents(docs, size, shared, of).select("doc_id", "_key", "component_id"), "linked"
+        linked_documents(docs, size, shared, of, count_links=False).select("doc_id", "_key", "component_id"), "linked"
     )
     gone = found.where(F.col("component_id") != F.col("doc_id")).select(
         F.col("doc_id").alias("_gone_id"), F.col("_key").alias("_gone_key")

@@ -182,10 +182,39 @@ def test_links_by_brute_force(spark, monkeypatch, size, shared, of, block):
             body = body[: -len(body) // 9 or None]
         texts[i] = " ".join(body).upper() if i % 11 == 0 else " ".join(body)
     texts[160] = ""
-    rows = trie_join.linked_documents(
-        spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5), size, shared, of
-    ).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in rows} == brute_links(texts, size, shared, of)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    wanted = brute_links(texts, size, shared, of)
+    rows = trie_join.linked_documents(docs, size, shared, of).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in rows} == wanted
+    rows = trie_join.linked_documents(docs, size, shared, of, count_links=False).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {i: x[:2] for i, x in wanted.items()}
+
+
+def test_a_large_family_is_met_by_its_pivots_alone(spark, monkeypatch):
+    """Near copies of one text, and a chain that leads away from it."""
+    monkeypatch.setattr(trie_join, "BLOCK_SETS", 20)
+    seen = []
+
+    def cells(members, shared, of):
+        seen.append(whole(members, shared, of))
+        return seen[-1]
+
+    whole = trie_join._cells
+    monkeypatch.setattr(trie_join, "_cells", cells)
+    base = [f"w{i}" for i in range(160)]
+    texts = {}
+    for i in range(400):
+        body = list(base)
+        body[i % 160] = f"x{i}"
+        texts[i] = " ".join(body)
+    for i in range(400, 440):
+        texts[i] = " ".join([*base[: 155 - (i - 400)], *(f"y{k}" for k in range(5 + i - 400))])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = trie_join.linked_documents(docs, count_links=False).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: x[1] for i, x in brute_links(texts, 5, 8, 10).items()}
+    few = seen[-1].count()
+    trie_join.linked_documents(docs).count()
+    assert few < seen[-1].count() / 3
 
 
 @pytest.mark.parametrize("seed", range(8))
