@@ -41,6 +41,8 @@ BLOCK_SHINGLES = 200_000
 MEMBERS_PER_SHARE = 20
 #: Up to so many sets that share an n-gram are counted by pairs.
 PAIRED_SETS = 4
+#: Texts whose n-grams a Python worker holds at a time.
+PIECE_ROWS = 500
 #: Rows that may go to every task.
 BROADCAST_ROWS = 200_000
 #: Sets of a large family that are compared with all of it, and how often others are chosen for what they leave.
@@ -58,6 +60,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows: a worker holds the sets of so many texts at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(start, PIECE_ROWS)
+
+
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted hashes of the distinct runs of ``size`` words, A-Z in lower case; all words as one run if they are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both know ASCII only, as wanted
@@ -83,7 +92,7 @@ def _counts(read: DataFrame, size: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTER_BITS, np.int64)
-        for batch in batches:
+        for batch in _pieces(batches):
             for text in batch.column("text").to_pylist():
                 at = (shingle_set(text, size) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
                 if len(at) > 10_000:
@@ -140,7 +149,7 @@ def _sets(read: DataFrame, size: int, order: GlobalOrder, shared: int, of: int)
     """``(doc_id, _key, n, c1, c2, first)`` of every row: set size, signature and the first n-grams of the order."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             sizes, ones, twos, firsts = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text, size)
@@ -467,7 +476,7 @@ def _links(read: DataFrame, cells: DataFrame, size: int, order: GlobalOrder, sha
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             found = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
             signed = [_signature(x) for x in found]
             yield pa.RecordBatch.from_arrays(
