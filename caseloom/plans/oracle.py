@@ -760,6 +760,12 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)
   UNION ALL SELECT 'user' || (s_suppkey * 13) || '@example.org', s_name FROM supplier
 ) SELECT email, min(name) AS name FROM a
 WHERE email NOT IN (SELECT 'user' || user_id || '@example.org' FROM events) GROUP BY email""",
+        "accounts_by_bucket": """WITH a AS (
+  SELECT 'user' || c_custkey || '@example.org' AS email, c_name AS name FROM customer
+  UNION ALL SELECT 'user' || (s_suppkey * 13) || '@example.org', s_name FROM supplier
+), k AS (SELECT DISTINCT 'user' || user_id || '@example.org' AS email FROM events)
+SELECT email, 'known' AS name FROM k
+UNION ALL SELECT email, min(name) FROM a WHERE email NOT IN (SELECT email FROM k) GROUP BY email""",
         "append_twice": on_tickets(
             "SELECT ticket_number, summary, 1 AS copies FROM t"
         ),

@@ -717,6 +717,16 @@ def insert_if_absent(spark, folder):
     return sinks.absent_from(signups, known, "email", [F.col("name")])
 
 
+@query
+def accounts_by_bucket(spark, folder):
+    """Known accounts and then sign-ups in a store laid out by email: who is known stays as first stored."""
+    signups, known = accounts(spark, folder)
+    path = run_dir(spark, "accounts")
+    sinks.insert_absent_by_bucket(known.select("email", F.lit("known").alias("name")), path, "email", [F.col("name")])
+    sinks.insert_absent_by_bucket(signups.select("email", "name"), path, "email", [F.col("name")])
+    return spark.read.parquet(path).select("email", "name")
+
+
 @query
 def append_twice(spark, folder):
     """Appending the same tickets twice stores them once."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -13,11 +14,18 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseloom.session import written
 from caseloom.sources.readers import REJECTED, good_rows, rejected_rows
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Buckets of a store laid out by a hash of its keys, and the column that names them.
+KEY_BUCKETS = 64
+BUCKET = "key_bucket"
+#: Up to so many arriving keys are looked up in the Bloom filters of the files.
+PROBED_KEYS = 50
+
 
 def with_new_id(tickets: DataFrame) -> DataFrame:
     """A fresh id per row: loading the same sheet twice stores its rows twice."""
@@ -62,6 +70,44 @@ def insert_absent(new: DataFrame, path: str, key: str, first: list[Column]) -> i
     return append(rows.select(*new.columns), path)
 
 
+def insert_absent_by_bucket(
+    new: DataFrame, path: str, key: str, first: list[Column], buckets: int = KEY_BUCKETS
+) -> int:
+    """Like ``insert_absent``, for a store laid out by a hash of its keys: only the buckets the new keys fall into are read.
+
+    Every file has a Bloom filter of its keys; where no more than ``PROBED_KEYS`` keys arrive, it tells which files
+    need not be read at all. The new rows are written down first, as they are asked for three times. ``buckets``
+    must be the same for all writes to a store. A null key falls into a bucket like any other and equals no stored one.
+    """
+    spark = new.sparkSession
+    arriving = written(
+        one_per_key(new, key, first).select(*new.columns, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias(BUCKET)),
+        "arriving",
+    )
+    touched = [row[BUCKET] for row in arriving.select(BUCKET).distinct().collect()]
+    fresh = arriving
+    present = stored(spark, path, arriving.schema)
+    if present is not None:
+        fresh = arriving.join(_held(present, arriving, key, touched), [BUCKET, key], "left_anti")
+    seen = Observation("insert")
+    fresh = fresh.select(*arriving.columns).observe(seen, F.count(F.lit(1)).alias("written"))
+    (
+        fresh.repartition(BUCKET).write.mode("append").partitionBy(BUCKET)
+        .option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
+    )
+    return int(seen.get["written"])
+
+
+def _held(present: DataFrame, arriving: DataFrame, key: str, touched: list[int]) -> DataFrame:
+    """The stored keys that the arriving ones may meet, from the buckets they fall into."""
+    held = present.where(F.col(BUCKET).isin(touched))
+    few = [row[key] for row in arriving.select(key).limit(PROBED_KEYS + 1).collect()]
+    if few and len(few) <= PROBED_KEYS:
+        # Equalities one by one: Spark asks the Bloom filters for these, and only for the range of a longer list.
+        held = held.where(reduce(lambda a, b: a | b, [F.col(key) == F.lit(k) for k in few]))
+    return held.select(BUCKET, key)
+
+
 def append_once(tickets: DataFrame, path: str) -> int:
     """Append the tickets a stored table does not hold yet; returns the number of rows written."""
     return insert_absent(with_write_time(with_content_id(tickets)), path, "id", [F.col("ts")])

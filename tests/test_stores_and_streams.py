@@ -96,6 +96,31 @@ def test_absent_from(spark):
     assert sorted((r["email"], r["n"]) for r in got) == [("a", 1), ("c", 1)]
 
 
+def test_insert_by_bucket_reads_the_buckets_of_its_keys(spark, tmp_path):
+    path = str(tmp_path / "store")
+
+    def insert(keys, buckets=16):
+        rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "email string, n int")
+        return rows, sinks.insert_absent_by_bucket(rows, path, "email", [F.col("n")], buckets)
+
+    assert insert([f"u{i}" for i in range(2000)])[1] == 2000
+    files = {f.parent.name for f in (tmp_path / "store").rglob("*.parquet")}
+    assert len(files) == 16
+    assert insert(["u7", "u7", "new", None])[1] == 2
+    assert insert([f"u{i}" for i in range(1900, 2100)])[1] == 100
+    kept = spark.read.parquet(path)
+    assert kept.count() == 2102 and kept.where("email = 'u7'").first()["n"] == 7
+    # Of the files, one bucket's are read for one key.
+    schema = "email string, n int, key_bucket int"
+    one = spark.createDataFrame([("u7", 0)], "email string, n int").withColumn(
+        "key_bucket", F.pmod(F.xxhash64("email"), F.lit(16)).cast("int")
+    )
+    held = sinks._held(spark.read.schema(schema).parquet(path), one, "email", [one.first()["key_bucket"]])
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(key_bucket" in plan and "EqualTo(email,u7)" in plan
+    assert [tuple(r) for r in held.collect()] == [(one.first()["key_bucket"], "u7")]
+
+
 def test_insert_absent(spark, tmp_path):
     path = str(tmp_path / "accounts")
     make = lambda rows: spark.createDataFrame(rows, "email string, n int")
