@@ -202,6 +202,23 @@ def test_stream_and_table_are_routed_alike(spark, folder):
     assert sorted(registry.QUERIES["route_messages_stream"](spark, folder).collect()) == sorted(on_table)
 
 
+def test_streams_read_tables_stored_as_folders(spark, tmp_path):
+    # One folder per table, of several files, next to a table of a like name.
+    turns = [(i, t, "user" if t % 2 == 0 else "assistant", f"vpn drops {i}") for i in range(4) for t in range(3)]
+    schema = "conv_id long, turn int, role string, text string"
+    spark.createDataFrame(turns, schema).repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame(turns, schema).write.parquet(str(tmp_path / "old_conversations.parquet"))
+    spark.createDataFrame(turns, schema).write.parquet(str(tmp_path / "conversations.parquet2"))
+    on_table = registry.QUERIES["route_messages"](spark, str(tmp_path)).collect()
+    on_stream = registry.QUERIES["route_messages_stream"](spark, str(tmp_path)).collect()
+    assert len(on_table) == 12 and sorted(on_stream) == sorted(on_table)
+    events = [(i, i % 3, "click", f"2024-01-0{i + 1} 00:00:00") for i in range(6)]
+    rows = spark.createDataFrame(events, "event_id long, user_id long, event_type string, ts string")
+    rows.withColumn("ts", F.col("ts").cast("timestamp")).repartition(2).write.parquet(str(tmp_path / "events.parquet"))
+    got = registry.QUERIES["latest_per_user_stream"](spark, str(tmp_path)).collect()
+    assert sorted((r["user_id"], r["event_id"]) for r in got) == [(0, 3), (1, 4), (2, 5)]
+
+
 def test_latest_reference_over_several_batches(spark, tmp_path):
     schema = "user string, ts long, ref string"
     batches = [[("a", 1, "a1"), ("b", 5, "b5")], [("a", 3, "a3"), ("b", 2, "b2")], [("c", 1, "c1"), ("a", 2, "a2")]]
