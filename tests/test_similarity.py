@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.functions.vectors import cosine, hash_embed
-from caseloom.operators import neighbours, similarity
+from caseloom.operators import neighbours, scoring, similarity
 from caseloom.operators.joins import attach_embeddings, embed_once, salted_join
 from caseloom.operators.scoring import BY_RECENCY, Rule, top_k
 from caseloom.sources.schema import as_tickets
@@ -255,3 +255,42 @@ def test_no_candidates_and_no_queries(spark):
             assert similarity.similar(candidates, queries_).count() == 0
             assert similarity.context(candidates, queries_).count() == 0
     assert neighbours.similar_for_all(tickets.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+@pytest.mark.parametrize("copies", [False, True])
+def test_rough_scores_lose_no_hit(copies, exclude_self):
+    random = np.random.default_rng(3)
+    vectors = random.random((3000, 26)) ** 4
+    if copies:
+        vectors[500:2500] = vectors[7]
+    ids = np.array([f"{i:05d}" for i in range(3000)])
+    block = scoring.Block(ids, np.arange(3000)[::-1].copy(), scoring.unit_matrix(vectors))
+    got = scoring.top_hits(block, block, Rule(0.6, 5, exclude_self=exclude_self))
+    scores = np.round(block.matrix @ block.matrix.T, scoring.SCORE_DIGITS)
+    if exclude_self:
+        np.fill_diagonal(scores, -1)
+    places = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+    wanted = [
+        (ids[i], ids[j], scores[i, j]) for i in range(3000) for j in places[i] if scores[i, j] >= 0.6
+    ]
+    found = got.sort_values(["query_id", "rank"])
+    assert len(wanted) > 1000 and list(found["query_id"]) == [w[0] for w in wanted]
+    # Scores one digit apart in the last place may change places.
+    assert np.abs(found["score"].to_numpy(float) - [w[2] for w in wanted]).max() < 2e-9
+    assert np.mean([a == w[1] for a, w in zip(found["id"], wanted)]) > 0.999
+
+
+def test_many_of_both_are_dealt_once(spark):
+    """No row is shuffled more than once, however many blocks there are: the rows written for the scoring are as many as came."""
+    rows = [(f"{i}", i, [float((i * k) % 7 + 1) for k in range(1, 9)]) for i in range(600)]
+    tickets = spark.createDataFrame(rows, "id string, ts long, embedding array<float>")
+    queries = tickets.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    found = top_k(queries, tickets, Rule(0.9, 3), 0, 16).hits
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
+    stored = scoring.blocks(tickets, ["id", "ts"], "embedding", 16)
+    sizes = [r["n"] for r in stored.select(F.size("id").alias("n")).collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 32 and len(sizes) >= 600 // 32
+    in_one = sorted(map(tuple, top_k(queries, tickets, Rule(0.9, 3), 1000, 16).hits.collect()))
+    assert sorted(map(tuple, found.collect())) == in_one
