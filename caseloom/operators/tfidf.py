@@ -23,6 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TOKENS = "_tokens"
 #: Terms that may be sent to all tasks with their weights, some 10 MB.
 BROADCAST_TERMS = 200_000
+#: Tokens counted at a time inside a task, but for a document that has more.
+TOKENS_AT_ONCE = 100_000
 
 
 def tokenised(docs: DataFrame, text: str, stop_words: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -126,14 +128,15 @@ def weights_of(
 def term_counts(split: DataFrame, keep: Sequence[str]) -> DataFrame:
     """How often each document has each of its terms: the columns to keep, ``_row`` (a number of the document), ``term, tf``.
 
-    Counted in the batch that holds the tokens: nothing is shuffled, and a document gives each of its terms once.
+    Counted in the batch that holds the tokens, ``TOKENS_AT_ONCE`` of them at a time: nothing is shuffled, and a document
+    gives each of its terms once.
     """
     rows = split.select(*keep, F.monotonically_increasing_id().alias("_row"), TOKENS)
     kept = [*keep, "_row"]
     schema = rows.select(*kept, F.lit("").alias("term"), F.lit(0).cast("long").alias("tf")).schema
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, TOKENS_AT_ONCE)):
             lists = batch.column(TOKENS)
             coded = lists.flatten().dictionary_encode()
             names, word = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
@@ -155,6 +158,17 @@ def term_counts(split: DataFrame, keep: Sequence[str]) -> DataFrame:
     return rows.mapInArrow(count, schema)
 
 
+def _parts(batch: pa.RecordBatch, tokens: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of whole documents with no more than so many tokens, or of one document."""
+    ends = np.cumsum(np.asarray(pc.fill_null(batch.column(TOKENS).value_lengths(), 0)))
+    begin = 0
+    while begin < len(batch):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + tokens, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def group_weights(weighted: DataFrame, key: str) -> DataFrame:
     """Summed weight of every term in every group, ``key, term, weight``, from weights that kept the key."""
     return weighted.groupBy(key, "term").agg(F.sum("weight").alias("weight"))

@@ -146,6 +146,20 @@ def test_terms_are_counted_in_their_batch(spark):
     assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
 
 
+def test_terms_are_counted_some_tokens_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    lists = [["a", "b", "a"], None, [], ["b"], list("abcabcabc"), ["a", "b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], names=[tfidf.TOKENS])
+    parts = list(tfidf._parts(batch, 5))
+    assert [p.num_rows for p in parts] == [4, 1, 1] and pa.Table.from_batches(parts).column(0).to_pylist() == lists
+    split = spark.createDataFrame([(i, w) for i, w in enumerate(lists)], f"id int, {tfidf.TOKENS} array<string>").coalesce(1)
+    whole = sorted(map(tuple, tfidf.term_counts(split, ["id"]).drop("_row").collect()))
+    monkeypatch.setattr(tfidf, "TOKENS_AT_ONCE", 5)
+    assert sorted(map(tuple, tfidf.term_counts(split, ["id"]).drop("_row").collect())) == whole
+    assert (0, "a", 2) in whole and (4, "c a", 2) in whole
+
+
 def test_approximate_median_is_near_the_middle(spark):
     df = spark.range(50_000).select((F.col("id") % 3).alias("g"), (F.xxhash64("id") % 10**12).alias("v"))
     accuracy = 200
