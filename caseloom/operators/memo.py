@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseloom.functions.text import non_blank
-from caseloom.operators.joins import salted_join
+from caseloom.operators.joins import hot_keys, salted_join
 from caseloom.session import written
 from caseloom.sources.sinks import stored
 
@@ -58,7 +58,8 @@ class EmbeddingMemo:
             "text_key", F.lit(self.model).alias("model"), F.col("embedding").cast("array<float>").alias("embedding")
         ).write.mode("append").parquet(self.path)
         known = self.rows().join(distinct.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
-        found = salted_join(keyed.where(F.col("text_key").isNotNull()), known, "text_key", F.col("_row"))
+        asked = keyed.where(F.col("text_key").isNotNull())
+        found = salted_join(asked, known, "text_key", F.col("_row"), hot=hot_keys(asked.select("text_key"), "text_key"))
         blank = keyed.where(F.col("text_key").isNull()).withColumn("embedding", F.lit(None).cast("array<float>"))
         return found.unionByName(blank).select(*docs.columns, "embedding")
 

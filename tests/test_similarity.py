@@ -294,3 +294,21 @@ def test_many_of_both_are_dealt_once(spark):
     assert sum(sizes) == 600 and max(sizes) <= 32 and len(sizes) >= 600 // 32
     in_one = sorted(map(tuple, top_k(queries, tickets, Rule(0.9, 3), 1000, 16).hits.collect()))
     assert sorted(map(tuple, found.collect())) == in_one
+
+
+def test_only_hot_keys_are_repeated(spark, monkeypatch):
+    from caseloom.operators import joins
+
+    monkeypatch.setattr(joins, "HOT_ROWS", 20)
+    docs = spark.createDataFrame([(i, "often" if i < 50 else f"once {i}") for i in range(90)], "id int, text string")
+    joined = embed_once(docs, "id", "text")
+    assert {(r["id"], r["copies"]) for r in joined.collect()} == {(i, 50 if i < 50 else 1) for i in range(90)}
+    hot = joins.hot_keys(docs, "text")
+    assert [r["text"] for r in hot.collect()] == ["often"]
+    # 41 texts, of which one goes to every salt.
+    one = docs.select("text").distinct().withColumn("x", F.lit(1))
+    got = salted_join(docs, one, "text", F.col("id"), hot=hot)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 90 and "_hot" in plan
+    tasks = salted_join(docs, one, "text", F.col("id"), 4, hot)
+    assert tasks.select("id").distinct().count() == 90
