@@ -8,6 +8,7 @@ from caseloom.functions.vectors import cosine, hash_embed
 from caseloom.operators import neighbours, scoring, similarity
 from caseloom.operators.joins import attach_embeddings, embed_once, salted_join
 from caseloom.operators.scoring import BY_RECENCY, Rule, top_k
+from caseloom.plans import registry
 from caseloom.sources.schema import as_tickets
 
 TICKETS = "id string, ts long, summary string, latest_comments string, embedding array<float>"
@@ -312,3 +313,30 @@ def test_only_hot_keys_are_repeated(spark, monkeypatch):
     assert got.count() == 90 and "_hot" in plan
     tasks = salted_join(docs, one, "text", F.col("id"), 4, hot)
     assert tasks.select("id").distinct().count() == 90
+
+
+@pytest.fixture(scope="module")
+def many_tickets(spark, tmp_path_factory):
+    """350 tickets, more than the 300 newest, of which the oldest 40 alone are about one thing and near each other."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    number = F.col("id")
+    old = number < 40
+    rows = spark.range(350)
+    rows.select(
+        number.alias("doc_id"), F.concat(F.when(old, "the replaced router ").otherwise("printer "), number, F.lit("\nfixed")).alias("text"),
+        F.lit("en").alias("lang"), F.lit("web").alias("source"),
+    ).write.parquet(f"{folder}/documents.parquet")
+    rows.select(
+        number.alias("o_orderkey"), F.timestamp_seconds(number * 86400).alias("o_orderdate"), F.lit("F").alias("o_orderstatus"),
+        F.lit("3-MEDIUM").alias("o_orderpriority"), F.lit(1).alias("o_custkey"),
+    ).write.parquet(f"{folder}/orders.parquet")
+    rows.select(number.alias("l_orderkey"), F.timestamp_seconds(number * 86400).alias("l_shipdate")).write.parquet(
+        f"{folder}/lineitem.parquet")
+    axis = F.when(old, F.array(F.lit(1.0), F.lit(0.0), number / 1000)).otherwise(F.array(F.lit(0.0), F.lit(1.0), number / 1000))
+    rows.select(number.alias("vec_id"), axis.cast("array<float>").alias("embedding"), F.lit(0).alias("label")).write.parquet(
+        f"{folder}/embeddings.parquet")
+    return folder
+
+
+def test_search_finds_tickets_older_than_the_newest_300(spark, many_tickets):
+    assert registry.QUERIES["search_recent"](spark, many_tickets).count() == 40
