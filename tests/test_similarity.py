@@ -340,3 +340,13 @@ def many_tickets(spark, tmp_path_factory):
 
 def test_search_finds_tickets_older_than_the_newest_300(spark, many_tickets):
     assert registry.QUERIES["search_recent"](spark, many_tickets).count() == 40
+
+
+@pytest.mark.parametrize("name", ["similar_top5"])
+def test_whole_table_is_searched(name, spark, many_tickets):
+    got = registry.QUERIES[name](spark, many_tickets)
+    every = registry.QUERIES[f"{name}_all"](spark, many_tickets)
+    assert sorted(map(str, got.collect())) == sorted(map(str, every.collect()))
+    assert got.where("query_id = '3'").count() > 0
+    if name == "ask_assistant":
+        assert got.agg(F.max("incidents_processed")).first()[0] == 350
