@@ -342,7 +342,7 @@ def test_search_finds_tickets_older_than_the_newest_300(spark, many_tickets):
     assert registry.QUERIES["search_recent"](spark, many_tickets).count() == 40
 
 
-@pytest.mark.parametrize("name", ["similar_top5", "recommend_top3"])
+@pytest.mark.parametrize("name", ["similar_top5", "recommend_top3", "ask_assistant"])
 def test_whole_table_is_searched(name, spark, many_tickets):
     got = registry.QUERIES[name](spark, many_tickets)
     every = registry.QUERIES[f"{name}_all"](spark, many_tickets)
