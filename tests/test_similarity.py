@@ -350,3 +350,15 @@ def test_whole_table_is_searched(name, spark, many_tickets):
     assert got.where("query_id = '3'").count() > 0
     if name == "ask_assistant":
         assert got.agg(F.max("incidents_processed")).first()[0] == 350
+
+
+def test_tickets_meet_orders_and_vectors_by_one_number(spark, many_tickets):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        from caseloom.sources import sample_tables
+
+        found = sample_tables.embedded_tickets(spark, many_tickets)
+        plan = found.select("latest_comments", "status", "embedding")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(doc_id") == 2 and "cast(doc_id" not in plan.split("Exchange", 1)[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
