@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from caseloom.llm.common import small_frame, stored
+from caseloom.llm.common import small_frame, stored, text_lists
 
 #: Default targets are the natural shares to this power, made to sum to 1: large sources give, small ones gain.
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
@@ -56,23 +55,24 @@ def topic_of(text: str) -> str:
 
 
 def _with_topic(docs: DataFrame, text: str, topic: str | None) -> DataFrame:
-    """``docs`` with ``_n``, the words of the text, and ``_topic``."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n", T.LongType()), T.StructField("_topic", T.StringType())])
+    """``docs`` with ``_n``, the words of the text, and ``_topic``.
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.names.index(text)).to_pylist()]
-            counts = [len(t.encode("utf-8", "surrogatepass").split()) for t in texts]
-            if topic is None:
-                topics = [topic_of(t) for t in texts]
-            else:
-                topics = batch.column(batch.schema.names.index(topic)).cast(pa.string()).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(counts, pa.int64()), pa.array(topics, pa.string())],
-                names=[*batch.schema.names, "_n", "_topic"],
-            )
+    Of a row only its text, and its topic where there is one, goes to Python; the rest waits in the executor.
+    """
 
-    return docs.mapInArrow(read, schema)
+    @F.arrow_udf("n long, topic string")
+    def read(*columns: pa.Array) -> pa.Array:
+        counts, topics = [], []
+        for texts in text_lists(columns[0]):
+            for t in texts:
+                counts.append(len((t or "").encode("utf-8", "surrogatepass").split()))
+                if topic is None:
+                    topics.append(topic_of(t or ""))
+        given = pa.array(topics, pa.string()) if topic is None else columns[1].cast(pa.string())
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), given], names=["n", "topic"])
+
+    found = docs.withColumn("_read", read(*([text] if topic is None else [text, topic])))
+    return found.withColumns({"_n": F.col("_read.n"), "_topic": F.col("_read.topic")}).drop("_read")
 
 
 @dataclass

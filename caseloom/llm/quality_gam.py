@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import WHITE, first_hashes, small_frame
+from caseloom.llm.common import WHITE, first_hashes, small_frame, text_lists
 from caseloom.llm.distribution_rules import class_counts, repeated_words
 
 FEATURES = (
@@ -196,8 +196,9 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT_FOLD, F.lit(False))
 
 
-def _feature_rows(texts: list[str | None]) -> np.ndarray:
-    return np.array([features(t or "") for t in texts], float).reshape(len(texts), len(FEATURES))
+def _feature_rows(texts: pa.Array) -> np.ndarray:
+    rows = [np.array([features(t or "") for t in part], float) for part in text_lists(texts)]
+    return np.concatenate(rows) if rows else np.zeros((0, len(FEATURES)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> AdditiveModel:
@@ -216,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Additiv
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = _feature_rows(batch.column("text").to_pylist())
+            rows = _feature_rows(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("quality"), pa.array(rows.tolist(), pa.list_(pa.float64()))],
                 names=["doc_id", "quality", "x"],
@@ -247,7 +248,7 @@ def quality_scores(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = model.score(_feature_rows(batch.column("text").to_pylist()))
+            found = model.score(_feature_rows(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(found), pa.array((found >= 0.5).astype("int32"))],
                 names=["doc_id", "held_out", "score", "predicted"],
@@ -262,9 +263,9 @@ def without_rejected(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROW
     """The rows of ``docs``, all columns, whose text the model does not reject."""
     model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, fit_rows)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = model.score(_feature_rows(batch.column("text").to_pylist()))
-            yield batch.filter(pa.array(found >= 0.5))
+    # Of a row only its text goes to Python; the rest waits in the executor.
+    @F.arrow_udf("boolean")
+    def accepted(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(_feature_rows(texts)) >= 0.5)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.where(accepted("text"))

@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import components, running_total
+from caseloom.llm.common import TEXTS_AT_ONCE, components, running_total, text_lists
 
 
 def test_components_of_random_links(spark):
@@ -42,3 +43,10 @@ def test_running_total_with_ties_and_nulls(spark):
         wanted[i] = total
         total += w
     assert {r["i"]: r["before"] for r in found.collect()} == wanted
+
+
+def test_texts_become_strings_some_at_a_time():
+    texts = [None if i % 7 == 0 else f"text {i}" for i in range(2 * TEXTS_AT_ONCE + 3)]
+    found = list(text_lists(pa.array(texts, pa.string())))
+    assert [x for part in found for x in part] == texts and max(map(len, found)) == TEXTS_AT_ONCE
+    assert list(text_lists(pa.array([], pa.string()))) == []

@@ -135,6 +135,13 @@ def test_mixture(messy):
     assert mixing.sampled(messy).columns == messy.columns
 
 
+def test_rows_do_not_pass_through_python(spark, messy):
+    """Only texts go to Python and only what is found in them comes back, whatever columns the rows have."""
+    for found in (mixing.sampled(messy), quality_gam.without_rejected(messy, labels(spark))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+
+
 def test_scores(spark, messy):
     found = by_id(quality_gam.quality_scores(messy, labels(spark)))
     assert found[1][0].score == found[2][0].score
