@@ -161,6 +161,24 @@ def test_tfidf_equals_plain_python(spark, features):
     assert got == pytest.approx(plain_tfidf(TEXTS, 2, 0.4, features))
 
 
+@pytest.mark.parametrize("tokens", [1, 4, 500_000])
+def test_all_terms_are_weighed_by_pieces(spark, monkeypatch, tokens):
+    """Weights of many pieces and buckets are those of one, and the only rows shuffled are pieces and their buckets."""
+    monkeypatch.setattr(tfidf, "PIECE_TOKENS", tokens)
+    texts = [*TEXTS, None, "the vpn " * 50]
+    df = spark.createDataFrame([(str(i), x, i % 2) for i, x in enumerate(texts)], "id string, text string, g int")
+    weighted = tfidf.weights(df, "text", ["the"], None, 2, 0.4, keep=["id", "g"])
+    got = {(r["id"], r["term"]): r["weight"] for r in weighted.collect()}
+    assert got == pytest.approx(plain_tfidf([(x or "").replace("the ", "") for x in texts], 2, 0.4, None))
+    assert {(r["id"], r["g"]) for r in weighted.collect()} <= {(str(i), i % 2) for i in range(len(texts))}
+    plan = weighted._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == {"_piece", "bucket"}
+    twice = df.unionByName(df)
+    again = tfidf.weights(twice, "text", ["the"], None, 2, 0.4, keep=["id"])
+    assert again.count() == 2 * again.distinct().count() > 0
+    assert tfidf.weights(df.limit(0), "text", [], None).count() == 0
+
+
 def test_terms_are_counted_without_shuffling_them(spark):
     df = spark.createDataFrame([(str(i), x) for i, x in enumerate(TEXTS)], "id string, text string")
     weighted = tfidf.weights(df, "text", [], min_df=2, max_df=0.9)
