@@ -33,6 +33,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Centroids that go to the tasks at a time, and numbers of a matrix there.
 CENTROIDS_AT_ONCE = 4096
 CELLS_AT_ONCE = 4_000_000
+#: Numbers of a matrix that vectors are laid out in: it stays in a core's cache while it is multiplied.
+BLOCK_CELLS = 1_000_000
 #: Vectors that k-means runs pick their first centres from.
 START_ROWS = 2048
 #: Directions multiplied at a time, most passes, and the error left, as a share of the largest variance.
@@ -125,21 +127,26 @@ def _cells(features: DataFrame) -> DataFrame:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[np.ndarray]:
-    """The vectors of batches as the rows of matrices of bounded size."""
-    step = max(1, CELLS_AT_ONCE // size)
+    """The vectors of batches as the rows of matrices of bounded size. Places beyond ``size`` are left out."""
+    step = max(1, BLOCK_CELLS // size)
     for batch in batches:
         for begin in range(0, len(batch), step):
             part = batch.slice(begin, step)
-            values = part.column("values")
+            indices, values = part.column("indices"), part.column("values")
             x = np.zeros((len(part), size))
             lengths = np.asarray(values.value_lengths())
             row = np.repeat(np.arange(len(part)), lengths)
-            indices = part.column("indices")
+            place = indices.flatten().to_numpy(zero_copy_only=False)
             if indices.null_count:
-                place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            else:
-                place = indices.flatten().to_numpy(zero_copy_only=False)
-            x[row, place] = values.flatten().to_numpy(zero_copy_only=False)
+                sparse = np.repeat(indices.is_valid().to_numpy(zero_copy_only=False), lengths)
+                every = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                every[sparse] = place
+                place = every
+            found = values.flatten().to_numpy(zero_copy_only=False)
+            if len(place) and place.max() >= size:
+                inside = place < size
+                row, place, found = row[inside], place[inside], found[inside]
+            x[row, place] = found
             yield x
 
 
@@ -185,7 +192,7 @@ def _step(points: DataFrame, runs: list[np.ndarray]) -> list[tuple[np.ndarray, f
         sums, counts, costs = np.zeros_like(centres), np.zeros(len(centres), np.int64), np.zeros(len(centres))
         for x in _blocks(batches, centres.shape[1]):
             distances = squares - 2 * (x @ centres.T)
-            own = (x**2).sum(axis=1)
+            own = np.einsum("ij,ij->i", x, x)
             chosen = np.zeros_like(distances)
             for begin, end in zip(bounds[:-1], bounds[1:]):
                 best = distances[:, begin:end].argmin(axis=1) + begin
@@ -221,14 +228,17 @@ def _step(points: DataFrame, runs: list[np.ndarray]) -> list[tuple[np.ndarray, f
 
 def labelled(features: DataFrame, clusters: Clusters) -> DataFrame:
     """The vectors, and the columns next to them, with their ``cluster``: the nearest centre, of equals the first."""
-    distances = [
-        F.round(float((centre**2).sum()) - 2 * _along(centre), 9) for centre in clusters.centres
-    ]
-    nearest = F.array_position(F.col("_distances"), F.array_min("_distances")) - 1
-    return (
-        features.withColumn("_distances", F.array(*distances))
-        .withColumn("cluster", nearest.cast("int")).drop("_distances")
-    )
+    centres = np.asarray(clusters.centres, float)
+    squares = (centres**2).sum(axis=1)
+
+    @F.arrow_udf("int")
+    def nearest(indices: pa.Array, values: pa.Array) -> pa.Array:
+        vectors = pa.RecordBatch.from_arrays([indices, values], names=["indices", "values"])
+        found = [np.round(squares - 2 * (x @ centres.T), 9).argmin(axis=1) for x in _blocks([vectors], centres.shape[1])]
+        return pa.array(np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int32))
+
+    vector = F.unwrap_udt("features")
+    return features.withColumn("cluster", nearest(vector["indices"], vector["values"]))
 
 
 def _along(axis: np.ndarray) -> Column:

@@ -7,6 +7,7 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from caseloom.functions.dates import is_bad_date, parsed
@@ -225,6 +226,20 @@ def test_kmeans_keeps_the_best_run(spark):
     assert {r["cluster"] for r in labels.collect()} <= {0, 1, 2}
 
 
+def test_labels_are_the_nearest_centres_whatever_form_vectors_have(spark):
+    """Sparse and full vectors in one batch; of equal centres the first; found by matrix products, not value by value."""
+    pick = np.random.default_rng(3)
+    x = pick.random((60, 7)) * (pick.random((60, 7)) < 0.4)
+    rows = [(i, Vectors.dense(v) if i % 3 else Vectors.sparse(7, list(np.flatnonzero(v)), v[v != 0])) for i, v in enumerate(x)]
+    features = spark.createDataFrame(rows, ["id", "features"]).coalesce(1)
+    centres = np.concatenate([pick.random((3, 7)), np.zeros((1, 7))])
+    centres = np.concatenate([centres, centres])
+    found = clustering.labelled(features, clustering.Clusters(centres, 0.0))
+    wanted = ((x[:, None, :] - centres[:4]) ** 2).sum(axis=2).argmin(axis=1)
+    assert [r["cluster"] for r in found.orderBy("id").collect()] == wanted.tolist()
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_assign_ties_go_to_the_lower_label(spark):
     points = spark.createDataFrame([("m", [0.0, 0.0]), ("r", [2.0, 0.0])], "id string, v array<float>")
     centroids = spark.createDataFrame([(9, [1.0, 0.0]), (3, [-1.0, 0.0])], "label int, centroid array<double>")
