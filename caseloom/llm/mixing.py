@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import small_frame, stored, text_lists
+from caseloom.llm.common import for_python, small_frame, stored, text_lists
 
 #: Default targets are the natural shares to this power, made to sum to 1: large sources give, small ones gain.
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
@@ -71,7 +71,7 @@ def _with_topic(docs: DataFrame, text: str, topic: str | None) -> DataFrame:
         given = pa.array(topics, pa.string()) if topic is None else columns[1].cast(pa.string())
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), given], names=["n", "topic"])
 
-    found = docs.withColumn("_read", read(*([text] if topic is None else [text, topic])))
+    found = for_python(docs).withColumn("_read", read(*([text] if topic is None else [text, topic])))
     return found.withColumns({"_n": F.col("_read.n"), "_topic": F.col("_read.topic")}).drop("_read")
 
 

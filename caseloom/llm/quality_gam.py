@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import WHITE, first_hashes, small_frame, text_lists
+from caseloom.llm.common import WHITE, first_hashes, for_python, small_frame, text_lists
 from caseloom.llm.distribution_rules import class_counts, repeated_words
 
 FEATURES = (
@@ -224,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Additiv
             )
 
     known = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+        for_python(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
         .mapInArrow(read, "doc_id long, quality int, x array<double>").collect()
     )
     # The same model from the same rows, whatever order they come in.
@@ -254,7 +254,7 @@ def quality_scores(
                 names=["doc_id", "held_out", "score", "predicted"],
             )
 
-    return read.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(
+    return for_python(read).select("doc_id", held_out().alias("held_out"), "text").mapInArrow(
         score, "doc_id long, held_out boolean, score double, predicted int"
     )
 
@@ -268,4 +268,4 @@ def without_rejected(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROW
     def accepted(texts: pa.Array) -> pa.Array:
         return pa.array(model.score(_feature_rows(texts)) >= 0.5)
 
-    return docs.where(accepted("text"))
+    return for_python(docs).where(accepted("text"))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import components, small_frame, stored
+from caseloom.llm.common import components, for_python, small_frame, stored
 
 #: Words per n-gram and the similarity that links, as shared parts of the whole.
 SHINGLE, SHARED, OF = 5, 8, 10
@@ -102,7 +102,7 @@ def _counts(read: DataFrame, size: int) -> np.ndarray:
         places = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array(total[places])], names=["at", "n"])
 
-    rows = read.select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    rows = for_python(read).select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(1 << COUNTER_BITS, np.int64)
     total[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
     return total
@@ -166,7 +166,7 @@ def _sets(read: DataFrame, size: int, order: GlobalOrder, shared: int, of: int)
                 names=["doc_id", "_key", "n", "c1", "c2", "first"],
             )
 
-    return read.mapInArrow(describe, "doc_id long, _key long, n long, c1 long, c2 long, first array<bigint>")
+    return for_python(read).mapInArrow(describe, "doc_id long, _key long, n long, c1 long, c2 long, first array<bigint>")
 
 
 ORDER = ["gram", "n", "cls"]
@@ -488,7 +488,7 @@ def _links(read: DataFrame, cells: DataFrame, size: int, order: GlobalOrder, sha
                 names=["cls", "c1", "c2", "grams"],
             )
 
-    sets = read.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
+    sets = for_python(read).join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
         fetch, "cls long, c1 long, c2 long, grams binary"
     )
     few = cells.count() <= BROADCAST_ROWS

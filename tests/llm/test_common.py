@@ -3,9 +3,11 @@
 import random
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import TEXTS_AT_ONCE, components, running_total, text_lists
+from caseloom.llm import mixing, quality_gam, trie_join
+from caseloom.llm.common import BATCH_BYTES, BATCH_SETTING, TEXTS_AT_ONCE, components, for_python, running_total, text_lists
 
 
 def test_components_of_random_links(spark):
@@ -50,3 +52,28 @@ def test_texts_become_strings_some_at_a_time():
     found = list(text_lists(pa.array(texts, pa.string())))
     assert [x for part in found for x in part] == texts and max(map(len, found)) == TEXTS_AT_ONCE
     assert list(text_lists(pa.array([], pa.string()))) == []
+
+
+@pytest.mark.parametrize("step", [
+    lambda docs: quality_gam.without_rejected(docs, docs.selectExpr("doc_id", "1 as quality")),
+    lambda docs: quality_gam.quality_scores(docs, docs.selectExpr("doc_id", "1 as quality")),
+    trie_join.one_of_each, trie_join.linked_documents, mixing.sampled, mixing.mixed,
+])
+def test_texts_go_to_python_in_small_batches(spark, step):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    docs = spark.newSession().range(0, 2000, 1, 1).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 400).alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source")
+    )
+    step(docs.limit(3)).collect()
+    found = docs.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in found) == 2000 and max(r["size"] for r in found) < BATCH_BYTES + 10_000
+
+
+def test_a_limit_of_the_session_holds(spark):
+    own = spark.newSession()
+    own.conf.set(BATCH_SETTING, "7m")
+    for_python(own.range(1))
+    assert own.conf.get(BATCH_SETTING) == "7m"
