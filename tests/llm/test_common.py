@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.llm import mixing, quality_gam, trie_join
+from caseloom.llm import distribution_rules, mixing, quality_gam, trie_join
 from caseloom.llm.common import BATCH_BYTES, BATCH_SETTING, TEXTS_AT_ONCE, components, for_python, running_total, text_lists
 
 
@@ -77,3 +77,33 @@ def test_a_limit_of_the_session_holds(spark):
     own.conf.set(BATCH_SETTING, "7m")
     for_python(own.range(1))
     assert own.conf.get(BATCH_SETTING) == "7m"
+
+
+@pytest.mark.parametrize("step", [distribution_rules.references, lambda docs: distribution_rules.quality_rules(docs).collect()])
+def test_quality_rules_take_texts_in_small_batches(spark, step):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    docs = spark.newSession().range(0, 2000, 1, 1).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 400).alias("text"), F.lit("en").alias("lang")
+    )
+    step(docs.limit(3))
+    found = docs.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in found) == 2000 and max(r["size"] for r in found) < BATCH_BYTES + 10_000
+
+
+def test_quality_rules_count_and_judge_some_texts_at_a_time(monkeypatch):
+    n = 2 * TEXTS_AT_ONCE + 3
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(n)]
+    texts = [f"{word} the and " * 20 for word in words]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * n), pa.array(texts)], names=["lang", "text"])
+    monkeypatch.setattr(distribution_rules, "FLUSH", TEXTS_AT_ONCE // 2)
+    found = [part.to_pylist() for part in distribution_rules._count(iter([batch, batch.slice(0, 0)]))]
+    assert max(map(len, found)) <= TEXTS_AT_ONCE + 20  # all words of the batch before
+    total = {}
+    for row in (row for part in found for row in part):
+        total[row["kind"], row["item"]] = total.get((row["kind"], row["item"]), 0) + row["n"]
+    assert total["word", "the"] == 20 * n and total["word", ""] == 60 * n and all(total["word", word] == 20 for word in words)
+    assert total["class", "lower"] == sum(len(text) - text.count(" ") for text in texts)
+    assert [part.num_rows for part in distribution_rules._few_texts([batch])] == [TEXTS_AT_ONCE, TEXTS_AT_ONCE, 3]
