@@ -21,6 +21,7 @@ from caseloom.operators.scoring import (
     BLOCK_ROWS,
     CELL_ROWS,
     Rule,
+    grid,
     hit_schema,
     ranked,
     score_cells,
@@ -36,6 +37,8 @@ RECALL = 0.95
 #: Pairs that are scored in the time it takes to deal a row to one more bucket.
 PAIRS_PER_COPY = 500
 MAX_BITS = 24
+#: Share of all pairs from which on it is cheaper to score each of them once than to deal copies of vectors to buckets.
+DENSE = 1 / 8
 _SAMPLE = 4000
 
 
@@ -87,6 +90,24 @@ def chances(bits: int, threshold: float) -> list[float]:
     return [float(same.mean()), *(float((same + one_off[:, k]).mean()) for k in range(bits))]
 
 
+class Bands(NamedTuple):
+    """The buckets of unit vectors, by band, and the buckets that they look into as queries."""
+
+    planes: np.ndarray
+    index: Index
+
+    def own(self, unit: np.ndarray) -> np.ndarray:
+        return self.looked(unit, 0)[:, :, 0]
+
+    def looked(self, unit: np.ndarray, probes: int | None = None) -> np.ndarray:
+        bits, bands, most = self.index
+        values = 1 << np.arange(bits, dtype=np.int64)
+        sides = (unit @ self.planes.T).reshape(len(unit), bands, bits)
+        own = ((sides >= 0) @ values)[:, :, None]
+        nearest = np.argsort(np.abs(sides), axis=2, kind="stable")[:, :, :most if probes is None else probes]
+        return np.concatenate([own, own ^ values[nearest]], axis=2)
+
+
 def planes_of(index: Index, dim: int, seed: int) -> np.ndarray:
     """The normals of the planes, as many as there are bits in all bands."""
     return np.random.RandomState(seed).standard_normal((index.bands * index.bits, dim))
@@ -121,8 +142,9 @@ def likely_similar_for_all(
 
     The index is laid out for the number of tickets, so that a neighbour right at the threshold is found with chance
     ``recall``: an approximation for tables too large to score all against all, with scores exact for what is found.
-    ``bits`` and ``probes`` settle parts of the layout, and with ``bands`` all of it. A bucket of more than
-    ``cell_rows`` tickets is split into a grid.
+    ``bits`` and ``probes`` settle parts of the layout, and with ``bands`` all of it. Vectors are dealt to their buckets, and a
+    bucket of more than ``cell_rows`` tickets is split into a grid. Where the buckets hold a good share of all pairs, vectors
+    are stored once instead, blocks of them meet each other, and of their pairs those count that share a bucket.
     """
     usable, kept, asking = without_copies(tickets, k)
     if bands is None:
@@ -131,6 +153,9 @@ def likely_similar_for_all(
         index = Index(bits or 0, bands, probes or 0)
     planes = planes_of(index, dim, seed)
     rule = Rule(threshold, k + 1)
+    if index.bands * (1 + index.probes) >= DENSE * 2**index.bits:
+        found = grid(asking, kept, rule, cell_rows, Bands(planes, index))
+        return for_copies(usable, asking, found, k)
     there = _with_bands(kept.select("id", "ts", "embedding"), "embedding", planes, index, 0)
     here = _with_bands(asking.select("query_id", "query_vec"), "query_vec", planes, index, index.probes)
     down = _splits(there, cell_rows, "_down")
@@ -190,12 +215,8 @@ def _with_bands(df: DataFrame, vector: str, planes: np.ndarray, index: Index, pr
     """One row per band and bucket: the bucket the vector falls into, and those beyond its ``probes`` nearest planes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = 1 << np.arange(index.bits, dtype=np.int64)
         for batch in batches:
-            sides = (unit_rows(batch.column(vector)) @ planes.T).reshape(len(batch), index.bands, index.bits)
-            own = ((sides >= 0) @ values)[:, :, None]
-            nearest = np.argsort(np.abs(sides), axis=2, kind="stable")[:, :, :probes]
-            buckets = np.concatenate([own, own ^ values[nearest]], axis=2).reshape(len(batch), -1)
+            buckets = Bands(planes, index).looked(unit_rows(batch.column(vector)), probes).reshape(len(batch), -1)
             offsets = np.arange(0, buckets.size + 1, buckets.shape[1], dtype=np.int32)
             column = pa.ListArray.from_arrays(offsets, buckets.ravel())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "_buckets"])

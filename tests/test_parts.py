@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseloom.functions import text
-from caseloom.operators import scoring
+from caseloom.operators import neighbours, scoring
 from caseloom.operators.scoring import BY_RECENCY, Part, Rule, Shared, top_k
 from caseloom.plans import registry
 
@@ -92,6 +92,26 @@ def test_blocks_go_to_python_once(spark):
     assert found.count() == 1800
 
 
+def vectors(spark, n=300, dim=8):
+    x = np.random.default_rng(4).standard_normal((n, dim))
+    rows = [(f"t{i:04d}", i, "a summary", v.tolist()) for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "id string, ts long, summary string, embedding array<float>")
+
+
+@pytest.mark.parametrize("probes", [0, 2])
+def test_buckets_are_the_same_whether_copies_are_dealt_or_not(spark, monkeypatch, probes):
+    def likely():
+        return neighbours.likely_similar_for_all(vectors(spark), 8, 0.3, 4, bands=2, bits=4, probes=probes, cell_rows=40)
+
+    stored = likely()
+    assert "CoGroup" not in plan_of(stored)
+    monkeypatch.setattr(neighbours, "DENSE", 1e9)
+    dealt = likely()
+    assert "CoGroup" in plan_of(dealt)
+    rows = [sorted((r["query_id"], r["id"], r["rank"], round(r["score"], 6)) for r in df.collect()) for df in (stored, dealt)]
+    assert rows[0] and rows[0] == rows[1]
+
+
 @pytest.mark.parametrize("step", [1, 7, 1 << 18])
 def test_letters_are_counted_in_one_pass(spark, monkeypatch, step):
     monkeypatch.setattr(text, "COUNTED_BYTES", step)
