@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from caseloom.fixed_values import SIMILAR_K, SIMILAR_THRESHOLD
 from caseloom.functions.text import non_blank
-from caseloom.operators.joins import salted_join
+from caseloom.operators.joins import hot_keys, salted_join
 from caseloom.operators.scans import recent
 from caseloom.operators.scoring import (
     BLOCK_ROWS,
@@ -186,7 +186,7 @@ def without_copies(tickets: DataFrame, k: int) -> tuple[DataFrame, DataFrame, Da
     asking = kept.where(F.col("_copy") == 1).select(
         F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"), "_vector"
     )
-    return usable.select("id", "_vector"), kept, asking
+    return usable.select("id", "_vector").checkpoint(), kept, asking
 
 
 def _vector_key():
@@ -201,8 +201,10 @@ def for_copies(usable: DataFrame, asking: DataFrame, found: DataFrame, k: int) -
     )
     answers = asking.select("query_id", "_vector").join(lists, "query_id").select("_vector", "_hits")
     own = F.filter("_hits", lambda hit: hit["id"] != F.col("query_id"))
+    # Lists of hits are wide: only those of vectors with very many copies are repeated.
+    hot = hot_keys(usable, "_vector")
     return (
-        salted_join(usable.withColumnRenamed("id", "query_id"), answers, "_vector", F.col("query_id"))
+        salted_join(usable.withColumnRenamed("id", "query_id"), answers, "_vector", F.col("query_id"), hot=hot)
         .select("query_id", F.posexplode(F.slice(own, 1, k)).alias("_at", "_hit"))
         .select(
             "query_id", F.col("_hit.id").alias("id"), F.col("_hit.score").alias("score"),

@@ -112,6 +112,12 @@ def test_buckets_are_the_same_whether_copies_are_dealt_or_not(spark, monkeypatch
     assert rows[0] and rows[0] == rows[1]
 
 
+def test_hits_are_repeated_for_hot_vectors_only(spark):
+    found = neighbours.similar_for_all(vectors(spark, 60), 0.1, 4)
+    assert "_hot" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.select("query_id").distinct().count() == 60
+
+
 @pytest.mark.parametrize("step", [1, 7, 1 << 18])
 def test_letters_are_counted_in_one_pass(spark, monkeypatch, step):
     monkeypatch.setattr(text, "COUNTED_BYTES", step)
