@@ -147,13 +147,15 @@ def likely_similar_for_all(
     are stored once instead, blocks of them meet each other, and of their pairs those count that share a bucket.
     """
     usable, kept, asking = without_copies(tickets, k)
+    rows, ids = kept.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
     if bands is None:
-        index = Index.of(kept.count(), threshold, recall, bits, probes)
+        index = Index.of(rows, threshold, recall, bits, probes)
     else:
         index = Index(bits or 0, bands, probes or 0)
     planes = planes_of(index, dim, seed)
     rule = Rule(threshold, k + 1)
-    if index.bands * (1 + index.probes) >= DENSE * 2**index.bits:
+    # Where ids come again, every bucket has its own best of them.
+    if ids == rows and index.bands * (1 + index.probes) >= DENSE * 2**index.bits:
         found = grid(asking, kept, rule, cell_rows, Bands(planes, index))
         return for_copies(usable, asking, found, k)
     there = _with_bands(kept.select("id", "ts", "embedding"), "embedding", planes, index, 0)

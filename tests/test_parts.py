@@ -112,6 +112,15 @@ def test_buckets_are_the_same_whether_copies_are_dealt_or_not(spark, monkeypatch
     assert rows[0] and rows[0] == rows[1]
 
 
+def test_ids_that_come_again_are_hits_once(spark):
+    twice = vectors(spark, 60).unionByName(vectors(spark, 60))
+    found = neighbours.likely_similar_for_all(twice, 8, 0.1, 4, bands=2, bits=4, probes=1)
+    hits = found.select("query_id", "id").groupBy("query_id", "id").count()
+    assert "CoGroup" in plan_of(found)
+    # Every query is there twice, and either has a hit once.
+    assert {r["count"] for r in hits.collect()} == {2}
+
+
 def test_hits_are_repeated_for_hot_vectors_only(spark):
     found = neighbours.similar_for_all(vectors(spark, 60), 0.1, 4)
     assert "_hot" in found._jdf.queryExecution().optimizedPlan().toString()
